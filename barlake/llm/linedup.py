@@ -199,7 +199,7 @@ class LineIndex:
     def dropped(self) -> DataFrame:
         """(doc_id, key) of lines that a document loses, since a lesser id holds the key."""
         bytes_ = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        known = self.references
+        known = self.references.select("key", "doc_id")
         if bytes_ <= BROADCAST_BYTES:  # else all references meet the exact counts
             filters = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
             known = self._sharded(known, self.shards).mapInArrow(_known(known.sparkSession.sparkContext.broadcast(filters)), REFERENCES)
@@ -217,8 +217,10 @@ def _change_filter(moves: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     data: bytes | None = bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(1000).to_bytes()
     if len(moves):
         changed = CuckooFilter.of_bytes(data)
-        away = [bytes(k) for k in moves.loc[~moves["add"], "key"]]
-        new = [bytes(k) for k in moves.loc[moves["add"], "key"]]
+        added = moves["add"].to_numpy(bool)
+        keys = [bytes(k) for k in moves["key"]]
+        away = [k for k, new in zip(keys, added, strict=True) if not new]
+        new = [k for k, new in zip(keys, added, strict=True) if new]
         if away:
             changed.delete(key_hashes(away))
         data = changed.to_bytes() if not new or changed.insert(key_hashes(new)) else None

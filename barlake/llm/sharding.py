@@ -3,8 +3,8 @@
 Documents of equal text form one atomic group. Groups stand in the order of their text's hash, so that no join is
 needed to bring a group together and the order is the same on every run. The smallest feasible capacity over the
 ordered group sizes is found by binary search, each try checked greedily (fill a shard until the next group doesn't
-fit), and the sequence is cut there. A group larger than an even share takes a shard of its own, and what lies on
-its two sides is divided the same way.
+fit), and the sequence is cut there. A group larger than an even share takes a shard of its own where that
+costs no capacity, and what lies on its two sides is divided the same way, so that the other shards stay even.
 
 The driver never sees all groups: it works on the edges of at most a few hundred thousand blocks of groups, finds
 the cuts among those, and asks for finer edges around the cuts until they are single groups' edges. Moving a cut by
@@ -57,8 +57,9 @@ def divide(edges: np.ndarray, shards: int, lo: int | None = None, hi: int | None
     own = edges[(edges >= lo) & (edges <= hi)]
     sizes = np.diff(own)
     big = int(np.argmax(sizes))
+    capacity, cuts = _least(own, lo, hi, shards)
     if sizes[big] * shards <= hi - lo or len(sizes) == 1:
-        return _least(own, lo, hi, shards)[1]
+        return cuts
     left, right = int(own[big]), int(own[big + 1])
     best = None
     for k in range(shards):
@@ -67,8 +68,8 @@ def divide(edges: np.ndarray, shards: int, lo: int | None = None, hi: int | None
             continue
         worst = max(_least(own, lo, left, max(k, 1))[0], _least(own, right, hi, max(rest, 1))[0])
         best = min(best or (worst, k), (worst, k))
-    if best is None:  # two shards and groups on both sides
-        return _least(own, lo, hi, shards)[1]
+    if best is None or max(best[0], sizes[big]) > capacity:
+        return cuts
     k = best[1]
     return [*divide(own, k, lo, left), *([left] if left > lo else []), *([right] if right < hi else []), *divide(own, shards - 1 - k, right, hi)]
 
