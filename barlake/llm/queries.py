@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import decontam, linedup, mixing, sharding, tokenbin
+from barlake.llm import decontam, langid, linedup, mixing, pii, quality, sharding, tokenbin, toxicity
 from barlake.llm.queries_sql import ORACLES
 from barlake.session import ship_package
 
@@ -24,6 +24,20 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_digest(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(_fold(5) != 0))
+    return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.overlaps(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
@@ -33,6 +47,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(_fold(3) != 1))
+    return toxicity.scored(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linedup.deduplicated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -43,8 +63,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, trees).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op5_decontamination, op6_source_mix, op8_line_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op1_token_binary, op2_language_id, op3_private_pseudonyms, op5_decontamination, op6_source_mix, op7_toxicity, op8_line_dedup, op9_sharding, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
