@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import decontam, langid, linedup, mixing, pii, quality, sharding, tokenbin, toxicity
+from barlake.llm import decontam, langid, linedup, mixing, ordermh, pii, quality, sharding, tokenbin, toxicity
 from barlake.llm.queries_sql import ORACLES
 from barlake.session import ship_package
 
@@ -38,6 +38,10 @@ def op3_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermh.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.overlaps(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
@@ -70,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_language_id, op3_private_pseudonyms, op5_decontamination, op6_source_mix, op7_toxicity, op8_line_dedup, op9_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_binary, op2_language_id, op3_private_pseudonyms, op4_order_minhash, op5_decontamination, op6_source_mix, op7_toxicity, op8_line_dedup, op9_sharding, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

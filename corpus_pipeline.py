@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import decontam, mixing, sharding
+from barlake.llm import decontam, mixing, ordermh, quality, sharding
 from barlake.llm.queries import table
 from barlake.llm.store import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the trees keep."""
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, trees).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return ordermh.one_of_each(docs).select(*docs.columns)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
     return decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).where("size(hit_items) = 0").select(*docs.columns)
@@ -24,7 +35,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shards_of(docs, 8)
 
 
-STAGES = [("decontamination", decontamination), ("mixing", mix), ("sharding", shard)]
+STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("sharding", shard)]
 
 ORACLE_SQL = None
 
@@ -32,5 +43,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
