@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("daily", "health", "scoring", "sessions")
+MODULES = ("daily", "health", "scoring", "sessions", "ledgers", "models", "streams")
 
 #: Named subqueries of the DuckDB side: name -> (names it stands on, SQL).
 SUBQUERIES: dict[str, tuple[list[str], str]] = {}
