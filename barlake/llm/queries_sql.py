@@ -1,3 +1,40 @@
 """DuckDB equivalents of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP5 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM items, range(1, 100000) t(i) WHERE i <= len(w) - n + 1),
+lengths AS (SELECT DISTINCT n FROM items),
+places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)),
+hits AS (SELECT doc_id, p.n, i, item_id FROM places p JOIN windows v ON v.n = p.n AND v.win = p.win),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+"""
+
+OP6 = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    strlen(coalesce(text, '')) - (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))) AS solid,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>!]', '', 'g')) AS marks FROM documents),
+keyed AS (SELECT doc_id, source, CAST(size AS BIGINT) AS size, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / (0.1 + 0.9 * (1 - marks / greatest(solid, 1))) AS key FROM sized),
+sources AS (SELECT *, list_extract([5.0, 2.0, 1.0], CAST((r - 1) % 3 + 1 AS INTEGER))::DOUBLE AS w, 2.0::DOUBLE * s AS cap FROM (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM keyed GROUP BY source)),
+tried AS (SELECT *, cap / w AS level, (1.5::DOUBLE * sum(s) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM sources),
+water AS (SELECT max(lam) AS water FROM tried WHERE level = (SELECT min(level) FROM tried WHERE lam <= level * (1 + 1e-12))),
+targets AS (SELECT source, s, r, least(cap, water * w) AS target, CASE WHEN s > 0 THEN floor(least(cap, water * w) / s + 1e-9) ELSE 0 END AS epochs FROM tried, water),
+placed AS (SELECT doc_id, size, s, target, epochs, target - epochs * s AS rest, coalesce(sum(size) OVER (PARTITION BY r ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, s AS source_size, target, CAST(size * (epochs + CASE WHEN epochs < 2 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed
+"""
+
+OP8 = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+judged AS (SELECT y.doc_id, k, line, s.first_doc IS NOT NULL AND s.first_doc < y.doc_id AS gone FROM keyed y LEFT JOIN shared s ON s.key = y.key)
+SELECT doc_id, count(*) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_decontamination": OP5, "op6_source_mix": OP6, "op8_line_dedup": OP8}
