@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from barlake.functions.exprs import COMPLETE_PRIORS, COMPLETE_SHARE, COMPLETE_WINDOW, EPSILON, GLITCH_MULTIPLE, GLITCH_WINDOW, THRESHOLD, TOUCH, finite, split_artifact, touch_event, valid_bar
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
+
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def with_glitch(returns: DataFrame) -> DataFrame:
     """`high_glitch_suspect`: the high alone decided the touch, stands out over bar and prior close, and volume doesn't bear it out."""
-    avg = F.avg("volume").over(BY_SYMBOL.rowsBetween(-GLITCH_WINDOW, -1))
-    seen = returns.withColumns({"prev_close": F.lag("close").over(BY_SYMBOL), "trailing_avg_vol": avg})
+    avg = F.avg("volume").over(by_symbol().rowsBetween(-GLITCH_WINDOW, -1))
+    seen = returns.withColumns({"prev_close": F.lag("close").over(by_symbol()), "trailing_avg_vol": avg})
     suspect = (F.col("high_return") >= THRESHOLD) & (F.col("oc_return") < THRESHOLD) & (F.col("high") >= GLITCH_MULTIPLE * F.greatest("open", "close", F.coalesce("prev_close", F.lit(0.0)))) & finite("trailing_avg_vol") & (F.col("volume") < F.col("trailing_avg_vol"))
     return seen.withColumn("high_glitch_suspect", F.coalesce(suspect, F.lit(False)))
 
@@ -41,7 +43,7 @@ def daily_movers(returns: DataFrame, universe: DataFrame, date=None, threshold:
 
 
 def with_split_flag(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("prev_close", F.lag("close").over(BY_SYMBOL)).withColumn("split_artifact", split_artifact())
+    return bars.withColumn("prev_close", F.lag("close").over(by_symbol())).withColumn("split_artifact", split_artifact())
 
 
 def touch_share(glitch: str = "high_glitch_suspect"):

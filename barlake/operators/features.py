@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import MIN_HISTORY, ratio, touch_event
-from barlake.operators.bars import BY_SYMBOL, market_day, sector_day
+from barlake.operators.bars import by_symbol, market_day, sector_day
 
 FEATURES = ["oc_return_today", "ret_5d", "vol_20d", "volume_ratio", "close_pos", "cnt_2pct_20d", "breadth", "market_heat", "log_mcap", "sector_breadth", "sector_excess"]
 
 
 def symbol_windows(returns: DataFrame) -> DataFrame:
     """All per-symbol windows in one shuffle: same partitioning and order."""
-    w, w20 = BY_SYMBOL, BY_SYMBOL.rowsBetween(-19, 0)
+    w, w20 = by_symbol(), by_symbol().rowsBetween(-19, 0)
     return returns.withColumns({
         "history_days": F.row_number().over(w).cast("long"),
         "ret_5d": ratio("close", F.lag("close", 5).over(w)) - 1,

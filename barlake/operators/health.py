@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import COMPLETE_SHARE, COMPLETE_WINDOW, EPSILON, finite, valid_bar
-from barlake.operators.bars import BY_SYMBOL, day_counts, with_glitch, with_returns, with_split_flag
+from barlake.operators.bars import by_symbol, day_counts, with_glitch, with_returns, with_split_flag
 
 
 def calendar(bars: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def zero_volume_runs(bars: DataFrame, at_least: int = 3) -> DataFrame:
     """Islands of consecutive bars without volume."""
     flagged = bars.withColumn("zero", F.coalesce(F.col("volume"), F.lit(0)) == 0)
     own = Window.partitionBy("symbol", "zero").orderBy("date")
-    islands = flagged.withColumn("n", F.row_number().over(BY_SYMBOL)).withColumn("grp", F.col("n") - F.row_number().over(own)).where("zero")
+    islands = flagged.withColumn("n", F.row_number().over(by_symbol())).withColumn("grp", F.col("n") - F.row_number().over(own)).where("zero")
     return islands.groupBy("symbol", "grp").agg(F.count(F.lit(1)).alias("n_bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).where(F.col("n_bars") >= at_least).drop("grp")
 
 

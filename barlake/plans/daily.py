@@ -178,7 +178,7 @@ def x08(spark, d):
 
 @query("x09_thin_history_drop", ["ur"], f"SELECT count(CASE WHEN h < {MIN_DAYS} THEN 1 END) AS dropped, count(CASE WHEN h >= {MIN_DAYS} THEN 1 END) AS kept FROM (SELECT row_number() OVER (PARTITION BY symbol ORDER BY date) AS h FROM ur)")
 def x09(spark, d):
-    aged = Users(spark, d).returns.withColumn("h", F.row_number().over(B.BY_SYMBOL))
+    aged = Users(spark, d).returns.withColumn("h", F.row_number().over(B.by_symbol()))
     return aged.agg(F.count(F.when(F.col("h") < MIN_DAYS, 1)).alias("dropped"), F.count(F.when(F.col("h") >= MIN_DAYS, 1)).alias("kept"))
 
 
@@ -278,20 +278,25 @@ def j09(spark, d):
 
 
 W_SQL = "SELECT symbol, date, {} AS v FROM ur WINDOW w AS (PARTITION BY symbol ORDER BY date), w20 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-W20 = B.BY_SYMBOL.rowsBetween(-19, 0)
+
+
+def w20():
+    return B.by_symbol().rowsBetween(-19, 0)
+
+
 WINDOWS = {
-    "w01_row_number": ("row_number() OVER w", F.row_number().over(B.BY_SYMBOL).cast("long")),
-    "w02_lag": ("round(close / nullif(lag(close, 5) OVER w, 0) - lag(close) OVER w, 6) + 0.0", six(F.try_divide(F.col("close"), F.lag("close", 5).over(B.BY_SYMBOL)) - F.lag("close").over(B.BY_SYMBOL))),
-    "w03_lead": ("round(lead(oc_return) OVER w, 6) + 0.0", six(F.lead("oc_return").over(B.BY_SYMBOL))),
-    "w04_stddev": ("round(stddev_samp(oc_return) OVER w20, 6) + 0.0", six(F.stddev_samp("oc_return").over(W20))),
-    "w05_avg_sum": (f"round(volume / avg(volume) OVER w20 + sum(CASE WHEN {touch_sql()} THEN 1 ELSE 0 END) OVER w20, 6) + 0.0", six(F.col("volume") / F.avg("volume").over(W20) + F.sum(F.when(touch_event(), 1).otherwise(0)).over(W20))),
-    "w06_median": ("round(median(volume) OVER w20, 6) + 0.0", six(F.percentile("volume", F.lit(0.5)).over(W20))),
-    "w07_prior_average": ("round(avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) + 0.0", six(F.avg("volume").over(B.BY_SYMBOL.rowsBetween(-20, -1)))),
+    "w01_row_number": ("row_number() OVER w", lambda: F.row_number().over(B.by_symbol()).cast("long")),
+    "w02_lag": ("round(close / nullif(lag(close, 5) OVER w, 0) - lag(close) OVER w, 6) + 0.0", lambda: six(F.try_divide(F.col("close"), F.lag("close", 5).over(B.by_symbol())) - F.lag("close").over(B.by_symbol()))),
+    "w03_lead": ("round(lead(oc_return) OVER w, 6) + 0.0", lambda: six(F.lead("oc_return").over(B.by_symbol()))),
+    "w04_stddev": ("round(stddev_samp(oc_return) OVER w20, 6) + 0.0", lambda: six(F.stddev_samp("oc_return").over(w20()))),
+    "w05_avg_sum": (f"round(volume / avg(volume) OVER w20 + sum(CASE WHEN {touch_sql()} THEN 1 ELSE 0 END) OVER w20, 6) + 0.0", lambda: six(F.col("volume") / F.avg("volume").over(w20()) + F.sum(F.when(touch_event(), 1).otherwise(0)).over(w20()))),
+    "w06_median": ("round(median(volume) OVER w20, 6) + 0.0", lambda: six(F.percentile("volume", F.lit(0.5)).over(w20()))),
+    "w07_prior_average": ("round(avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) + 0.0", lambda: six(F.avg("volume").over(B.by_symbol().rowsBetween(-20, -1)))),
     "w10_whole_maximum": ("max(volume) OVER ()", None),
-    "w11_own_day_mean": ("round(avg(oc_return) OVER (PARTITION BY date), 6) + 0.0", six(F.avg("oc_return").over(Window.partitionBy("date")))),
-    "w12_seeded_lag": ("coalesce(lag(close) OVER w, 100.0)", F.coalesce(F.lag("close").over(B.BY_SYMBOL), F.lit(100.0))),
-    "w13_shared_window": ("round(avg(close) OVER w20 - min(low) OVER w20, 6) + 0.0", six(F.avg("close").over(W20) - F.min("low").over(W20))),
-    "w14_running_maximum": ("max(high) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)", F.max("high").over(B.BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))),
+    "w11_own_day_mean": ("round(avg(oc_return) OVER (PARTITION BY date), 6) + 0.0", lambda: six(F.avg("oc_return").over(Window.partitionBy("date")))),
+    "w12_seeded_lag": ("coalesce(lag(close) OVER w, 100.0)", lambda: F.coalesce(F.lag("close").over(B.by_symbol()), F.lit(100.0))),
+    "w13_shared_window": ("round(avg(close) OVER w20 - min(low) OVER w20, 6) + 0.0", lambda: six(F.avg("close").over(w20()) - F.min("low").over(w20()))),
+    "w14_running_maximum": ("max(high) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)", lambda: F.max("high").over(B.by_symbol().rowsBetween(Window.unboundedPreceding, 0))),
 }
 
 
@@ -301,7 +306,7 @@ def _window(column):
         if column is None:  # a whole-set maximum is a scalar beside the rows, not a window in one task
             top = returns.agg(F.max("volume").alias("v"))
             return returns.select("symbol", "date").join(F.broadcast(top), F.lit(True))
-        return returns.select("symbol", "date", column.alias("v"))
+        return returns.select("symbol", "date", column().alias("v"))
 
     return run
 
