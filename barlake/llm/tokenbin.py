@@ -19,9 +19,12 @@ leaves no half file and a second attempt replaces the first with equal bytes.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,23 @@ from barlake.llm.textbytes import text_of
 MASK_DELTA = 0xA282EAD8
 END_ID = 2
 ROWS_PER_FILE = 50_000
-#: Entries a worker keeps of chunk -> ids; beyond that it starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries a worker keeps of chunk -> ids and of word -> ids in each of two generations (some 150 bytes an entry).
+CACHE_CHUNKS, CACHE_WORDS = 500_000, 300_000
 FLUSH_BYTES = 4 << 20
+#: Letters below this code point compose and change case one by one, alike in Python and in the tokenizer (but for U+0130).
+LATIN_END, DOTTED_I = "\u0250", "\u0130"
+
+
+def _printable_bytes() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as itself where it prints, the others in order from U+0100 on."""
+    printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_PRINTABLE = _printable_bytes()
+#: Letters (or what lies beyond ASCII), then ASCII marks; not the apostrophe nor <, which begin words of their own.
+_WORD_AND_MARKS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 
 def masked_crc(data: bytes) -> int:
@@ -69,46 +86,75 @@ class ChunkIds(dict):
     """chunk of bytes between ASCII white space -> its ids as bytes.
 
     The tokenizer drops white space and merges nothing across it, so a text's ids are those of its chunks in order.
-    A chunk of ASCII letters is one word to the merge model in lower case; a full stop or comma after it is a word of its own.
-    All other chunks go through the whole tokenizer."""
+    A chunk of Latin letters is one word to the merge model, in lower case and with its bytes as printable characters; the
+    marks after it are a word of their own. All other chunks go through the whole tokenizer."""
 
-    def __init__(self, tokenizer, dtype: str):
+    def __init__(self, tokenizer, width: int):
         super().__init__()
-        self.tokenizer, self.model, self.dtype, self.words = tokenizer, tokenizer.model, dtype, {}
-        self.marks = {mark: self._encode(mark.decode()) for mark in (b".", b",")}
+        self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, {2: "H", 4: "I"}[width]
+        self.older: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}{self.code}", *ids)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: bytes) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(word.decode())], self.dtype).tobytes()
+            found = self.older_words.get(word)
+            if found is None:
+                found = self._pack([t.id for t in self.model.tokenize(word.decode("latin-1").translate(_PRINTABLE))])
+            if len(self.words) >= CACHE_WORDS:
+                self.older_words, self.words = self.words, {}
+            self.words[word] = found
         return found
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) + len(self.words) > CACHE_ENTRIES:
-            self.clear()
-            self.words.clear()
-        core, mark = (chunk[:-1], chunk[-1:]) if chunk[-1:] in self.marks else (chunk, b"")
+    def _chunk(self, chunk: bytes) -> bytes:
+        split = _WORD_AND_MARKS.fullmatch(chunk)
+        if not split:
+            return self._encode(chunk.decode("utf-8", "replace"))
+        core, mark = split.groups()
         if core.isalpha():
-            found = self._word(core.lower()) + (self.marks[mark] if mark else b"")
+            word = core.lower()
         else:
-            found = self._encode(chunk.decode("utf-8", "replace"))
+            text = core.decode("utf-8", "replace")
+            if not (text.isalpha() and max(text) < LATIN_END and DOTTED_I not in text and is_normalized("NFC", text)):
+                return self._encode(chunk.decode("utf-8", "replace"))
+            word = text.lower().encode()
+        if not mark:
+            return self._word(word)
+        if mark not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[mark] = self._encode(mark.decode())
+        return self._word(word) + self.marks[mark]
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self._chunk(chunk)
+        if len(self) >= CACHE_CHUNKS:  # what is used again comes back from the older generation
+            self.older = dict(self)
+            self.clear()
         self[chunk] = found
         return found
 
 
-_LOADED: dict[tuple[str, str], ChunkIds] = {}
+_LOADED: dict[tuple[str, int], ChunkIds] = {}
 
 
-def _chunk_ids(path: str, dtype: str) -> ChunkIds:
+def _chunk_ids(path: str, width: int) -> ChunkIds:
     """One tokenizer a worker process, kept over its tasks."""
-    if (path, dtype) not in _LOADED:
+    if (path, width) not in _LOADED:
         from tokenizers import Tokenizer
 
-        _LOADED[path, dtype] = ChunkIds(Tokenizer.from_file(path), dtype)
-    return _LOADED[path, dtype]
+        _LOADED[path, width] = ChunkIds(Tokenizer.from_file(path), width)
+    return _LOADED[path, width]
 
 
 def encode(text: bytes, ids: ChunkIds) -> bytes:
@@ -142,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, ids = context.partitionId(), _chunk_ids(tokenizer_path, dtype)
+        part, ids = context.partitionId(), _chunk_ids(tokenizer_path, width)
         store, folder = _place(path)
         store.create_dir(folder, recursive=True)
         name, attempt = f"{folder}/part-{part:06d}", f"attempt-{context.taskAttemptId()}"
