@@ -34,7 +34,7 @@ FAMILIES = {
     "indic": ["bn", "hi", "mr", "ne", "pa", "ur"],
 }
 BITS, ORDERS = 14, (1, 2, 3, 4)
-PER_LANGUAGE, SNIPPETS = 400, (30, 120)
+PER_LANGUAGE, SNIPPETS = 200, (30, 120)
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
