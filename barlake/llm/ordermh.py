@@ -9,10 +9,10 @@ more of them is edited or moved. Documents at 0.8 or more are linked, and linked
    are hashed under the key's seed; the TAKE least are kept *in text order*, and the key is the hash of that sequence. Two
    texts share a key with a chance of about (shingle overlap) ** TAKE, less if the order differs; at similarity 0.8 all
    SKETCHES keys differ with a chance under 1e-4.
-3. Nodes that share a key are candidates. A key of up to SMALL nodes pairs all of them. In a key of more nodes the pairs grow
-   with the nodes and not with their square: each is paired with a leader, the node that shares its keys with most
-   others and so stands near the middle of its group. Those that don't match it go on with the next LANES leaders, STAR_ROUNDS
-   times, and at last with each other where SMALL or fewer are left. The README has the recall measured against all pairs.
+3. Nodes that share a key are candidates, and none is left out. A key of up to SMALL nodes pairs all of them. In a key of
+   more nodes, each is first paired with a leader, the node that shares its keys with most others and so stands near the
+   middle of its group. Then the key's nodes are dealt into salted blocks, and every two blocks meet in one task: a pair is
+   passed over only if its nodes are linked already, through others, or their shingles overlap too little for the threshold.
 4. Candidates are verified exactly: longest common subsequence within the diagonal band that the threshold allows, bit-parallel.
 5. Classes are the connected components of the links (least-label hooking on shared tables, never on the driver).
 """
@@ -32,7 +32,9 @@ from barlake.llm.store import materialize
 from barlake.llm.textbytes import Piece, grams, lowered, mix, pieces, text_of, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, TAKE, SMALL, STAR_ROUNDS, LANES = 14, 3, 16, 4, 4
+SKETCHES, TAKE, SMALL = 14, 3, 16
+#: Nodes and shingles of a block of a hot key.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 #: Stands for a null id: after all others.
 NULL_ID = (1 << 63) - 1
 
@@ -208,8 +210,6 @@ def _shingled(seq: bytes) -> np.ndarray:
 
 def verified(pairs: DataFrame, seqs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of nodes whose similarity is `least` or more."""
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last, left = [], None, np.zeros(0, np.uint64)
@@ -222,48 +222,84 @@ def verified(pairs: DataFrame, seqs: DataFrame, least: float = SIMILARITY) -> Da
 
     with_b = pairs.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b")
     both = with_b.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, LINKS)
 
 
 def _of_length(x: str, y: str, least: float):
     return F.least(x, y) >= F.lit(least) * F.greatest(x, y)
 
 
-def links(members: DataFrame, seqs: DataFrame, *, least: float = SIMILARITY, small: int = SMALL, rounds: int = STAR_ROUNDS, lanes: int = LANES) -> DataFrame:
-    """Verified pairs among nodes that share a key. members: (key, node, n)."""
-
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+def _block_links(least: float):
+    """Links among nodes of two blocks of a key, or of one block with itself: as many as join what is similar. Takes rows (key, i, j, block,
+    node, comp, keys, seq); nodes of one comp are linked already. A pair is judged under the first key that it shares."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        names = table.column("node").to_pylist()
+        comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1]
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        block = table.column("block").to_numpy()
+        seqs = [_shingled(x.as_py()) for x in table.column("seq")]
+        size = np.array([len(x) for x in seqs])
+        begin = np.concatenate([[0], np.cumsum(size)])
+        own = labelled(np.concatenate(seqs), np.repeat(np.arange(len(seqs)), size))
+        ids = np.unique(own, return_inverse=True)[1]
+        held = np.zeros(len(own), bool)
+        out: list[tuple[bytes, bytes]] = []
+        place = np.arange(len(names))
+        for a in np.flatnonzero(block == i):
+            others = np.flatnonzero((comp != comp[a]) & ((block == j) if i != j else (place > a)) & (np.minimum(size, size[a]) >= least * np.maximum(size, size[a])))
+            if not len(others):
+                continue
+            first = (keys[others] == keys[a]).argmax(axis=1)
+            others = others[keys[a][first] == key]
+            if not len(others):
+                continue
+            held[ids[begin[a] : begin[a + 1]]] = True
+            at = np.repeat(begin[others] - np.concatenate([[0], np.cumsum(size[others])[:-1]]), size[others]) + np.arange(size[others].sum())
+            most = np.add.reduceat(held[ids[at]].astype(np.int64), np.concatenate([[0], np.cumsum(size[others])[:-1]]))
+            held[ids[begin[a] : begin[a + 1]]] = False
+            near = most >= least * (size[a] + size[others] - most)
+            for b in others[near][np.argsort(-most[near], kind="stable")]:
+                if comp[a] != comp[b] and similarity(seqs[a], seqs[b], least) >= least:
+                    out.append((min(names[a], names[b]), max(names[a], names[b])))
+                    comp[comp == comp[b]] = comp[a]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return run
+
+
+def links(members: DataFrame, seqs: DataFrame, *, least: float = SIMILARITY, small: int = SMALL, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Verified pairs among nodes that share a key, enough of them to connect all that are similar. members: (key, node, n, keys)."""
 
     def all_pairs(rows: DataFrame) -> DataFrame:
         one, two = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na")), rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
         return one.join(two, "key").where((F.col("a") < F.col("b")) & _of_length("na", "nb", least)).select("a", "b")
 
-    def pair(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"a": F.least("leader", "node"), "b": F.greatest("leader", "node")})
-
-    sized = materialize(members.join(materialize(counted(members), "counts"), "key"), "sized")  # a hot key's rows can be split
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    sized = materialize(members.join(materialize(counts, "counts"), "key"), "sized")  # a hot key's rows can be split
     found = materialize(verified(all_pairs(sized.where(F.col("count") <= small)).distinct(), seqs, least), "links")
     hot = sized.where(F.col("count") > small)
+    if hot.limit(1).count() == 0:
+        return found
     # a node that shares its keys with many is near the middle of its group: the best leader
     known = hot.groupBy("node").agg(F.sum("count").alias("shared"))
-    lane = F.pmod(F.xxhash64("node", "key"), F.lit(lanes))
-    pool = materialize(hot.join(known, "node").select("key", "node", "n", "shared", lane.alias("lane")), "pool")
-    left = pool.select("key", "node", "n")
-    for number in range(rounds + 1):
-        best = F.min(F.struct((-F.col("shared")).alias("s"), F.xxhash64("node", "key").alias("h"), F.col("node"), F.col("n"))).alias("best")
-        leaders = materialize(pool.groupBy(*(["key", "lane"] if number else ["key"])).agg(best).select("key", F.col("best.node").alias("leader"), F.col("best.n").alias("nl")), "leaders")
-        stars = pair(left.join(leaders, "key").where((F.col("node") != F.col("leader")) & _of_length("nl", "n", least)))
-        new = materialize(verified(stars.select("a", "b").distinct().join(found, ["a", "b"], "left_anti"), seqs, least), "links")
-        found = found.unionByName(new)
-        met = stars.join(found, ["a", "b"], "left_semi").select("key", "node").distinct()
-        left = materialize(left.join(met, ["key", "node"], "left_anti").join(leaders, (left["key"] == leaders["key"]) & (F.col("node") == F.col("leader")), "left_anti"), "left")
-        pool = materialize(pool.join(leaders, (pool["key"] == leaders["key"]) & (F.col("node") == F.col("leader")), "left_anti"), "pool")
-        if left.limit(1).count() == 0:
-            return found
-    rest = left.join(counted(left).where(F.col("count") <= small), "key")
-    new = verified(all_pairs(rest).distinct().join(found, ["a", "b"], "left_anti"), seqs, least)
-    return found.unionByName(materialize(new, "links"))
+    pool = materialize(hot.select("key", "node", "n", "keys").join(known, "node"), "pool")
+    best = F.min(F.struct((-F.col("shared")).alias("s"), F.xxhash64("node", "key").alias("h"), F.col("node"), F.col("n"))).alias("best")
+    leaders = materialize(pool.groupBy("key").agg(best).select("key", F.col("best.node").alias("leader"), F.col("best.n").alias("nl")), "leaders")
+    stars = pool.join(leaders, "key").where((F.col("node") != F.col("leader")) & _of_length("nl", "n", least)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    found = found.unionByName(materialize(verified(stars.distinct().join(found, ["a", "b"], "left_anti"), seqs, least), "links"))
+    linked = pool.join(components(found), "node", "left").select("key", "node", "n", "keys", F.coalesce("root", "node").alias("comp"))
+    linked = materialize(linked, "linked")
+    wide = linked.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    wide = materialize(wide.select("key", F.ceil(F.greatest(F.col("count") / block_nodes, F.col("total") / block_shingles)).cast("int").alias("blocks")), "wide")
+    dealt = linked.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(seqs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "keys", "seq")
+    return found.unionByName(materialize(dealt.groupBy("key", "i", "j").applyInArrow(_block_links(least), LINKS), "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,7 +324,7 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, small: int = SMALL, rounds: int = STAR_ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """One row per row of docs: id, `class_id` (the least id of its class), `class_size` (rows of the class).
 
     Null and empty texts and texts without words are alone, each a class of its own id. Rows of one id may stand in
@@ -298,13 +334,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     every = materialize(nodes(slim), "nodes")
     some = every.where("n > 0")
     distinct = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
+    keyed = distinct.select("node", "n", "keys", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = materialize(keyed.join(shared, "key"), "members").select("key", "node", "n")
+    members = materialize(keyed.join(shared, "key"), "members").select("key", "node", "n", "keys")
     wanted = distinct.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
     texts = slim.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     seqs = materialize(sequences(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sequences")
-    roots = components(links(members, seqs, least=least, small=small, rounds=rounds))
+    roots = components(links(members, seqs, least=least, small=small))
     named = every.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     sizes = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     out = named.join(materialize(sizes, "sizes"), "root", "left")  # a hot class's rows can then be split among tasks

@@ -98,6 +98,55 @@ def test_large_family_stays_together(spark):
     assert all(got[5000 + i] == (5000 + i, 1) for i in range(50))
 
 
+def drifting(rng, base, n, step):
+    """Copies of copies: each differs from one before it in up to `step` words."""
+    made = [list(base)]
+    for _ in range(n - 1):
+        words = list(made[rng.randrange(max(0, len(made) - 6), len(made))])
+        for _ in range(rng.randrange(1, step)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        made.append(words)
+    return [" ".join(w) for w in made]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_nodes": 40}])
+def test_op4_one_hot_key_links_every_family(spark, blocks):
+    """120 pairs of similar texts and a chain of 60, all under one key and with nobody near most of them."""
+    rng = random.Random(6)
+    word = lambda: rng.randrange(2**32)
+    seqs = []
+    for _ in range(120):
+        one = [word() for _ in range(80)]
+        seqs += [one, [*one[:78], word(), word()]]
+    chain = [word() for _ in range(80)]
+    for k in range(60):
+        chain = [*chain[4:], *(word() for _ in range(4))]
+        seqs.append(chain)
+    rows = [(f"n{k:03}".encode(), np.array(s, "<u4").tobytes()) for k, s in enumerate(seqs)]
+    members = spark.createDataFrame([(7, node, 76, [7]) for node, _ in rows], "key long, node binary, n long, keys array<long>")
+    found = ordermh.links(members, spark.createDataFrame(rows, "node binary, seq binary"), **blocks)
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in ordermh.components(found).collect()}
+    want = {f"n{k:03}".encode(): (f"n{k // 2 * 2:03}" if k < 240 else "n240").encode() for k in range(300)}
+    assert {n: roots.get(n, n) for n in want} == want
+
+
+def test_op4_hot_keys_equal_all_pairs(spark, monkeypatch):
+    """Drifting families, variants of a template and short texts about one shared passage, in several blocks a key."""
+    monkeypatch.setattr(ordermh, "links", lambda *a, real=ordermh.links, **b: real(*a, **b, block_nodes=40))
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    texts = [t for _ in range(3) for t in drifting(rng, [word() for _ in range(120)], 90, 4)]
+    frame = [word() for _ in range(90)]
+    texts += [" ".join([*frame[:45], *(word() for _ in range(rng.randrange(4, 14))), *frame[45:]]) for _ in range(80)]
+    shared = " ".join(word() for _ in range(60))
+    tails = [" ".join(word() for _ in range(11)) for _ in range(40)]
+    texts += [f"{shared} {t}" for t in tails] + [f"{shared} {t} {word()} {word()}" for t in tails]
+    docs = list(enumerate(texts))
+    want, links = brute_classes(docs)
+    got = {r["doc_id"]: r["class_id"] for r in ordermh.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert links > 0 and got == want
+
+
 def test_order_matters(spark):
     rng = random.Random(2)
     parts = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
