@@ -324,12 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """One row per row of docs: id, `class_id` (the least id of its class), `class_size` (rows of the class).
-
-    Null and empty texts and texts without words are alone, each a class of its own id. Rows of one id may stand in
-    several classes if their texts differ; repeated rows share one. Null ids are members, but name a class only if it has no
-    other. An empty table gives no rows. Other columns aren't read."""
+def rooted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """(doc_id, node, n, keys, root) of every row of docs: root is the least node of its class, null for a text without words."""
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = materialize(nodes(slim), "nodes")
     some = every.where("n > 0")
@@ -341,16 +337,46 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = slim.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     seqs = materialize(sequences(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sequences")
     roots = components(links(members, seqs, least=least, small=small))
-    named = every.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    return every.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """One row per row of docs: id, `class_id` (the least id of its class), `class_size` (rows of the class).
+
+    Null and empty texts and texts without words are alone, each a class of its own id. Rows of one id may stand in
+    several classes if their texts differ; repeated rows share one. Null ids are members, but name a class only if it has no
+    other. An empty table gives no rows. Other columns aren't read."""
+    named = rooted(docs, id_col=id_col, text_col=text_col, least=least, small=small)
     sizes = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     out = named.join(materialize(sizes, "sizes"), "root", "left")  # a hot class's rows can then be split among tasks
     back = [F.nullif(c, F.lit(NULL_ID)) for c in (F.col("doc_id"), F.coalesce("class_id", "doc_id"))]
     return out.select(back[0].alias(id_col), back[1].alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that have a near-duplicate of lesser id: of each class the rows of its least id stay, one row of them
-    where rows repeat an id; rows of a null id stay if their class has no other id."""
-    found = classes(docs, id_col=id_col, **how)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+def with_node(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with `__node`, null for a text without words."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(at).cast(pa.string())):
+                piece = lowered(piece)
+                found = words(piece)
+                ids = [node_of(sequence_of(piece, found, r)) if found.first[r + 1] > found.first[r] else None for r in range(piece.rows)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(piece.lo, piece.rows).columns, pa.array(ids, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without those that have a near-duplicate of lesser id: of each class one row stays, that of its least id, and of the least
+    node where that id has several texts in it; rows of a null id stay if their class has no other id, one of them. Texts
+    without words are alone: one row of each id stays, and every row of a null id."""
+    roots = rooted(docs, id_col=id_col, text_col=text_col, **how).where("root IS NOT NULL")
+    keep = roots.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__node"))
+    own = with_node(docs, text_col).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    some = own.where("__node IS NOT NULL").join(keep, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
+    none = own.where("__node IS NULL")
+    named = none.where(F.col(id_col).isNotNull()).dropDuplicates(["__id"])
+    return some.select(docs.columns).unionByName(named.select(docs.columns)).unionByName(none.where(F.col(id_col).isNull()).select(docs.columns))

@@ -165,6 +165,14 @@ def test_op4_odd_rows(spark):
     assert ordermh.classes(frame.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_texts_without_an_id_of_their_own(spark):
+    """Several rows of a null id, and one id with two texts, one of which is a copy."""
+    docs = [(None, "first text"), (None, "second text"), (None, "Second, text"), (None, None), (None, ""), (3, "third text"), (None, "third text"), (9, "third text"), (9, "fourth text"), (9, "fourth text"), (8, ""), (8, "")]
+    kept = ordermh.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().replace(",", "")) for r in kept), key=str)
+    assert got == sorted([(None, "first text"), (None, "second text"), (None, ""), (None, ""), (3, "third text"), (9, "fourth text"), (8, "")], key=str)
+
+
 @pytest.mark.parametrize("edits", [0, 3, 8])
 def test_similarity(edits):
     rng = np.random.default_rng(edits)
