@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY, ROUNDS, WALK = "change-this-key", 8, 24
+#: Characters that one SHA-512 serves.
+BLOCK = 42
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r"(?<![A-Za-z0-9])(?:(?i:password|passwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_/+]{8,80}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
+SECRET = r"(?<![A-Za-z0-9])(?:(?i:password|passwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_/+]{8,}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
 CARD = r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
@@ -36,29 +38,36 @@ def _sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _shift(half: str, stream: str, radix: str) -> str:
-    """Each character of `half` moved within its class by its number of the stream."""
-    step = f"cast(conv(substr({stream}, 3 * j - 2, 3), 16, 10) as int)"
-    c = f"substr({half}, j, 1)"
+def _with(name: str, value: str, body: str) -> str:
+    """body with `name` standing for value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _shift(half: str, seed: str, radix: str) -> str:
+    """Each character of `half` moved within its class by its three hexadecimal digits of the stream: SHA-512 of `seed`, and of the
+    seed and a number for every further BLOCK characters."""
+    step = f"cast(conv(substr(ks[j div {BLOCK}], 3 * (j % {BLOCK}) + 1, 3), 16, 10) as int)"
     if radix == "hex":
-        moved = f"lower(hex((cast(conv({c}, 16, 10) as int) + {step}) % 16))"
+        moved = f"lower(hex((cast(conv(c, 16, 10) as int) + {step}) % 16))"
     else:
         moved = (
-            f"case when {c} between '0' and '9' then chr((ascii({c}) - 48 + {step}) % 10 + 48) "
-            f"when {c} between 'a' and 'z' then chr((ascii({c}) - 97 + {step}) % 26 + 97) "
-            f"when {c} between 'A' and 'Z' then chr((ascii({c}) - 65 + {step}) % 26 + 65) else {c} end"
+            f"case when c between '0' and '9' then chr((ascii(c) - 48 + {step}) % 10 + 48) "
+            f"when c between 'a' and 'z' then chr((ascii(c) - 97 + {step}) % 26 + 97) "
+            f"when c between 'A' and 'Z' then chr((ascii(c) - 65 + {step}) % 26 + 65) else c end"
         )
-    return f"case when length({half}) = 0 then '' else array_join(transform(sequence(1, greatest(length({half}), 1)), j -> {moved}), '') end"
+    stream = f"transform(sequence(0, (length({half}) - 1) div {BLOCK}), b -> sha2(concat({seed}, case when b = 0 then '' else concat('|', b) end), 512))"
+    joined = f"array_join(transform(split({half}, ''), (c, j) -> {moved}), '')"
+    return f"case when length({half}) = 0 then '' else {_with('ks', stream, joined)} end"
 
 
 def feistel_sql(value: str, kind: str, key: str, radix: str = "class", rounds: int = ROUNDS) -> str:
-    """SQL of the keyed permutation of `value` (an SQL expression for a string of at most 84 characters)."""
+    """SQL of the keyed permutation of `value` (an SQL expression for a string of any length)."""
     half = f"(length({value}) div 2)"
     salt = _sql_string(f"{key}|{kind}|")
-    stream = f"sha2(concat({salt}, r, '|', length(s.a) + length(s.b), '|', {{}}), 512)"
+    seed = f"concat({salt}, r, '|', length(s.a) + length(s.b), '|', {{}})"
     start = f"struct(substr({value}, 1, {half}) as a, substr({value}, {half} + 1) as b)"
-    even = f"struct({_shift('s.a', stream.format('s.b'), radix)} as a, s.b as b)"
-    odd = f"struct(s.a as a, {_shift('s.b', stream.format('s.a'), radix)} as b)"
+    even = f"struct({_shift('s.a', seed.format('s.b'), radix)} as a, s.b as b)"
+    odd = f"struct(s.a as a, {_shift('s.b', seed.format('s.a'), radix)} as b)"
     return f"aggregate(sequence(0, {rounds - 1}), {start}, (s, r) -> case when r % 2 = 0 then {even} else {odd} end, s -> concat(s.a, s.b))"
 
 
@@ -76,16 +85,17 @@ def _refill(pattern: str, digits: str) -> str:
     )
 
 
-def _with(name: str, value: str, body: str) -> str:
-    """body with `name` standing for value, which is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _card(m: str, key: str) -> str:
+    """The longest run of whole digit groups that has 13 to 19 digits and a right check digit is permuted, what is around it stays."""
     payload = feistel_sql("substr(d, 1, length(d) - 1)", "card", key)
     check = f"(10 - {_luhn_sum('q', 0)} % 10) % 10"
-    made = _with("q", payload, _refill(m, f"concat(q, {check})"))
-    return _with("d", f"translate({m}, ' -', '')", f"case when {_luhn_sum('d', 1)} % 10 = 0 then {made} end")
+    made = _with("d", "translate(v.m, ' -', '')", _with("q", payload, _refill("v.m", f"concat(q, {check})")))
+    part = "array_join(slice(g, {}, {}), '')"
+    reading = f"struct({part.format(1, 'u')} as h, {part.format('u + 1', 'size(g) - e')} as m, {part.format('u + size(g) - e + 1', 'e - u')} as z)"
+    readings = f"flatten(transform(sequence(0, size(g) - 1), e -> transform(sequence(0, e), u -> {reading})))"
+    passes = _with("d", "translate(y.m, ' -', '')", f"length(d) between 13 and 19 and {_luhn_sum('d', 1)} % 10 = 0")
+    best = f"filter({readings}, y -> case when length(y.m) > 12 then {passes} else false end)"
+    return _with("g", f"regexp_extract_all({m}, '[0-9]+[ -]?', 0)", _with("w", best, f"case when size(w) > 0 then {_with('v', 'w[0]', f'concat(v.h, {made}, v.z)')} end"))
 
 
 def _ip(m: str, key: str) -> str:
@@ -125,7 +135,7 @@ def _secret(m: str, key: str) -> str:
 
 def _email(m: str, key: str) -> str:
     local = f"substring_index({m}, '@', 1)"
-    return f"concat({feistel_sql(local, 'email', key)}, '@', {feistel_sql(f'substr(regexp_replace({m}, {_sql_string("[.][A-Za-z0-9-]+$")}, {_sql_string("")}), instr({m}, {_sql_string("@")}) + 1, 80)', 'host', key)}, regexp_extract({m}, {_sql_string('[.][A-Za-z0-9-]+$')}, 0))"
+    return f"concat({feistel_sql(local, 'email', key)}, '@', {feistel_sql(f'substr(regexp_replace({m}, {_sql_string("[.][A-Za-z0-9-]+$")}, {_sql_string("")}), instr({m}, {_sql_string("@")}) + 1)', 'host', key)}, regexp_extract({m}, {_sql_string('[.][A-Za-z0-9-]+$')}, 0))"
 
 
 def _phone(m: str, key: str) -> str:

@@ -154,6 +154,20 @@ def luhn(digits):
     return total % 10 == 0
 
 
+def test_op3_long_values_and_cards_among_digits(spark):
+    """Long secrets and hosts are replaced to their ends, and a card number is found among other groups of digits."""
+    secret, host = "0123456789abcdef" * 8, ".".join(["verylonglabel" * 4] * 3)
+    texts = [f"token={secret} end", f"mail joe@{host}.com now", f"mail joe@{host[:-1]}x.com now", "card 4111 1111 1111 1111 12/25 ok", "card 12 4111 1111 1111 1111 ok", "no 4111 1111 1111 1112 13/25"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymised(docs).orderBy("doc_id").collect()]
+    new = re.fullmatch("token=([0-9a-f]|[a-z0-9]){128} end", got[0])
+    assert new and sum(x == y for x, y in zip(got[0][-52:-4], texts[0][-52:-4], strict=True)) < 20
+    assert [len(x) for x in got] == [len(x) for x in texts] and got[1] != got[2] and host[-40:] not in got[1]
+    assert re.fullmatch("card [0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4} 12/25 ok", got[3]) and "4111 1111 1111 1111" not in got[3]
+    assert re.fullmatch("card 12 [0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4} ok", got[4]) and got[4][8:27] == got[3][5:24]
+    assert got[5] == texts[5]
+
+
 def test_op3_pseudonyms(spark):
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(PRIVATE)], "doc_id long, text string, n_private string, found2 string")
     got = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
