@@ -236,3 +236,8 @@ def test_pipeline_on_odd_rows(spark, odd, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf_dir).collect()
         stage(spark, docs.limit(0), sf_dir).collect()
+
+
+def test_op2_samples_400_documents_a_language():
+    """The sample isn't cut to fit a machine's memory."""
+    assert langid.PER_LANGUAGE == 400
