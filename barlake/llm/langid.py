@@ -6,22 +6,26 @@ hashed byte 1- to 4-grams of the lower-cased letters, each scaled by the square
 A linear machine's margin is then a sum of one weight per n-gram of the text, gathered from a table, so a text is
 scored without building its feature vector.
 
-The sample is at most about `per_language` documents of each language, drawn by hash, with short snippets of the same
-texts so that short texts are met in training. The machines are fitted by dual coordinate descent on the sample's Gram matrix.
+The sample is bounded: at most `per_language` documents of each language, those whose hashes are least, with short
+snippets of the same texts so that short texts are met in training. Between families at most `PER_FAMILY` times as many
+of each family count, evenly from its languages. Features are sparse rows in a table, and each machine is fitted in a task
+of its own by dual coordinate descent, so the driver holds the finished machines only: 64 kB each, at most MAX_MACHINES.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barlake.llm.store import materialize
 from barlake.llm.textbytes import Piece, lowered, pieces, text_of
 
 #: Language codes by family; a code that isn't listed is a family of its own.
@@ -34,7 +38,8 @@ FAMILIES = {
     "indic": ["bn", "hi", "mr", "ne", "pa", "ur"],
 }
 BITS, ORDERS = 14, (1, 2, 3, 4)
-PER_LANGUAGE, SNIPPETS = 400, (30, 120)
+PER_LANGUAGE, PER_FAMILY, SNIPPETS = 400, 2, (30, 120)
+MAX_MACHINES = 2000
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -83,44 +88,53 @@ class Model:
     def machines(self) -> list[Machine]:
         return [*self.families, *(m for ms in self.within.values() for m in ms)]
 
-    def margins(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-        """(rows by machines, n-grams of each row)."""
-        totals = np.zeros((piece.rows, len(self.weights)))
-        counts = np.zeros(piece.rows)
-        for ids, valid in gram_ids(piece):
-            counts += np.diff(np.concatenate([[0], np.cumsum(valid)])[piece.offsets])
-            for k, w in enumerate(self.weights):
-                got = w[ids]
+    def predict(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each row."""
+        piece = lowered(piece)
+        names, scores = np.full(piece.rows, UNKNOWN, object), np.zeros(piece.rows)
+        at = np.flatnonzero(has_letter(piece))
+        if not len(at) or not self.members:
+            return names, scores
+        places = list(gram_ids(piece))
+        counts = sum(np.diff(np.concatenate([[0], np.cumsum(valid)])[piece.offsets]) for _, valid in places)
+        column = {id(m): i for i, m in enumerate(self.machines)}
+
+        def margin(m: Machine) -> np.ndarray:
+            weights, total = self.weights[column[id(m)]], np.zeros(piece.rows)
+            for ids, valid in places:
+                got = weights[ids]
                 got[~valid] = 0
-                totals[:, k] += np.diff(np.concatenate([[0.0], np.cumsum(got, dtype=np.float64)])[piece.offsets])
-        return totals / np.maximum(counts, 1)[:, None], counts
-
-    def predict(self, piece: Piece) -> tuple[list[str], np.ndarray]:
-        margins, _ = self.margins(lowered(piece))
-        lettered = has_letter(piece)
-        names, scores, column = [], np.zeros(piece.rows), {id(m): i for i, m in enumerate(self.machines)}
-        for r in range(piece.rows):
-            if not lettered[r] or not self.members:
-                names.append(UNKNOWN)
-                continue
-            family, p = _vote(sorted(self.members), self.families, margins[r], column)
-            language, q = _vote(self.members[family], self.within[family], margins[r], column)
-            names.append(language)
-            scores[r] = p * q
+                total += np.diff(np.concatenate([[0.0], np.cumsum(got, dtype=np.float64)])[piece.offsets])
+            return total / np.maximum(counts, 1)
+
+        families = sorted(self.members)
+        chosen, p = _vote(families, self.families, margin, piece.rows)
+        for k, family in enumerate(families):
+            own = at[chosen[at] == k]
+            if len(own):
+                languages = self.members[family]
+                best, q = _vote(languages, self.within[family], margin, piece.rows)
+                names[own], scores[own] = np.array(languages, object)[best[own]], (p * q)[own]
         return names, scores
 
 
-def _vote(names: list[str], machines: list[Machine], margins: np.ndarray, column: dict[int, int]) -> tuple[str, float]:
-    """Most duels won; ties by the summed chances, then by name. The score is the winner's least chance in a duel."""
-    if len(names) == 1:
-        return names[0], 1.0
-    chances: dict[str, list[float]] = {n: [] for n in names}
+def _vote(names: list[str], machines: list[Machine], margin, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the place of the name that won most duels; ties by the summed chances, then by name. The score is the winner's
+    least chance in a duel."""
+    wins, chances, least = np.zeros((len(names), rows)), np.zeros((len(names), rows)), np.ones((len(names), rows))
+    place = {n: i for i, n in enumerate(names)}
     for m in machines:
-        p = float(1 / (1 + np.exp(-np.clip(m.slope * (margins[column[id(m)]] + m.bias), -30, 30))))
-        chances[m.first].append(p)
-        chances[m.second].append(1 - p)
-    best = min(names, key=lambda n: (-sum(p > 0.5 for p in chances[n]), -sum(chances[n]), n))
-    return best, min(chances[best])
+        p = 1 / (1 + np.exp(-np.clip(m.slope * (margin(m) + m.bias), -30, 30)))
+        for i, x in ((place[m.first], p), (place[m.second], 1 - p)):
+            wins[i] += x > 0.5
+            chances[i] += x
+            np.minimum(least[i], x, out=least[i])
+    best = np.zeros(rows, np.int64)
+    at = np.arange(rows)
+    for i in range(1, len(names)):
+        better = (wins[i] > wins[best, at]) | ((wins[i] == wins[best, at]) & (chances[i] > chances[best, at]))
+        best[better] = i
+    return best, least[best, at]
 
 
 def has_letter(piece: Piece) -> np.ndarray:
@@ -132,34 +146,58 @@ def has_letter(piece: Piece) -> np.ndarray:
     return found
 
 
-def _features(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
-    for piece in pieces(pa.array(texts, pa.binary()).cast(pa.string(), safe=False)):
-        row = np.repeat(np.arange(piece.rows), np.diff(piece.offsets))
-        for ids, valid in gram_ids(lowered(piece)):
-            np.add.at(out, (piece.lo + row[valid], ids[valid]), 1)
-    out /= np.maximum(out.sum(axis=1, keepdims=True), 1)
-    return out
+@dataclass
+class Sparse:
+    """Rows of (bucket, relative frequency), one after another."""
 
+    begin: np.ndarray
+    buckets: np.ndarray
+    shares: np.ndarray
 
-def _svm(gram: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> np.ndarray:
-    """Dual coordinate descent for the squared hinge: the dual variables times y."""
+
+def _features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's buckets and the share of its n-grams that fall into them."""
+    for piece in pieces(pa.array(texts, pa.binary()).cast(pa.string(), safe=False)):
+        places = [(ids, valid) for ids, valid in gram_ids(lowered(piece))]
+        for lo, hi in zip(piece.offsets[:-1], piece.offsets[1:], strict=True):
+            counts = np.bincount(np.concatenate([ids[lo:hi][valid[lo:hi]] for ids, valid in places]), minlength=1 << BITS)
+            buckets = np.flatnonzero(counts)
+            yield buckets.astype(np.int16), (counts[buckets] / max(counts.sum(), 1)).astype(np.float32)
+
+
+def examples(text: str) -> list[bytes]:
+    """A sample document and snippets of it; parts without a letter are left out."""
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+    parts = [text]
+    for size in SNIPPETS:
+        if len(text) > size:
+            begin = int(rng.integers(len(text) - size))
+            parts.append(text[begin : begin + size])
+    return [part.encode("utf-8", "replace") for part in parts if any(c.isalpha() for c in part)]
+
+
+def _svm(rows: Sparse, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias for the squared hinge, by dual coordinate descent; the bias counts as one more feature."""
     n = len(y)
-    alpha, out = np.zeros(n), np.zeros(n)
-    diagonal = gram.diagonal() + 1 / (2 * cost)
+    weights, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(n)
+    parts = [(rows.buckets[lo:hi], rows.shares[lo:hi]) for lo, hi in zip(rows.begin[:-1].tolist(), rows.begin[1:].tolist(), strict=True)]
+    diagonal = np.array([float(v @ v) + 1 + 1 / (2 * cost) for _, v in parts])
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         most = 0.0
-        for i in rng.permutation(n):
-            gradient = y[i] * out[i] - 1 + alpha[i] / (2 * cost)
+        for i in rng.permutation(n).tolist():
+            at, share = parts[i]
+            gradient = y[i] * (float(weights[at] @ share) + bias) - 1 + alpha[i] / (2 * cost)
             new = max(alpha[i] - gradient / diagonal[i], 0.0)
             if new != alpha[i]:
-                out += gram[i] * (y[i] * (new - alpha[i]))
+                step = y[i] * (new - alpha[i])
+                weights[at] += step * share
+                bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
         if most < 1e-3:
             break
-    return alpha * y
+    return weights, bias
 
 
 def _slope(margins: np.ndarray, y: np.ndarray) -> float:
@@ -172,64 +210,131 @@ def _slope(margins: np.ndarray, y: np.ndarray) -> float:
     return best
 
 
-def fit(sample: list[tuple[str, str]]) -> Model:
-    """sample: (text, language). Languages without a sample aren't learned; without any, every prediction is `und`."""
-    rng = np.random.default_rng(11)
-    texts, names = [], []
-    for text, language in sorted(sample):
-        raw = text.encode("utf-8", "replace")
-        if not any(c.isalpha() for c in text):
-            continue
-        texts.append(raw)
-        names.append(language)
-        for size in SNIPPETS:
-            if len(text) > size:
-                begin = int(rng.integers(len(text) - size))
-                part = text[begin : begin + size]
-                if any(c.isalpha() for c in part):
-                    texts.append(part.encode("utf-8", "replace"))
-                    names.append(language)
-    languages = sorted(set(names))
+def fit_machine(rows: Sparse, y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights for relative frequencies, bias and slope of one machine; y is 1 for its first name and -1 for its second."""
+    shares = rows.shares * scale[rows.buckets]
+    norms = np.add.reduceat(shares * shares, rows.begin[:-1])
+    top = max(float(np.median(norms)), 1e-12)
+    scaled = Sparse(rows.begin, rows.buckets, shares / np.sqrt(top))
+    weights, bias = _svm(scaled, y)
+    margins = np.add.reduceat(weights[scaled.buckets] * scaled.shares, scaled.begin[:-1]) + bias
+    return (weights * scale / np.sqrt(top)).astype(np.float32), bias, _slope(margins, y)
+
+
+def _pairs(languages: list[str]) -> tuple[dict[str, list[str]], list[tuple[str, str, str]]]:
+    """Languages by family, and the machines: (family, "" between families; first; second)."""
     members: dict[str, list[str]] = {}
-    for language in languages:
+    for language in sorted(languages):
         members.setdefault(family_of(language), []).append(language)
-    if not languages:
-        return Model(np.zeros((0, 1 << BITS)), [], {}, {})
-    x = _features(texts)
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
-    x *= scale
-    label = np.array(names)
-    family = np.array([family_of(n) for n in names])
-    gram = (x @ x.T).astype(np.float64)
-    top = float(np.median(gram.diagonal()))
-    gram = gram / top + 1.0  # the constant is the bias
-    weights = []
-
-    def machine(of: np.ndarray, first: str, second: str) -> Machine:
-        rows = np.flatnonzero((of == first) | (of == second))
-        y = np.where(of[rows] == first, 1.0, -1.0)
-        own = gram[np.ix_(rows, rows)]
-        dual = _svm(own, y)
-        weights.append((dual @ x[rows] / top * scale).astype(np.float32))
-        return Machine(first, second, float(dual.sum()), _slope(own @ dual, y))
-
-    families = [machine(family, a, b) for a, b in combinations(sorted(members), 2)]
-    within = {f: [machine(label, a, b) for a, b in combinations(ls, 2)] for f, ls in sorted(members.items())}
-    return Model(np.array(weights).reshape(-1, 1 << BITS), families, within, members)
+    duels = [("", a, b) for a, b in combinations(sorted(members), 2)]
+    duels += [(f, a, b) for f, names in sorted(members.items()) for a, b in combinations(names, 2)]
+    if len(duels) > MAX_MACHINES:
+        raise ValueError(f"{len(duels)} pairs of languages or families; at most {MAX_MACHINES} fit into a model")
+    return members, duels
+
+
+def _roles(members: dict[str, list[str]], duels: list[tuple[str, str, str]], per_language: int) -> list[tuple[str, int, int, int]]:
+    """(language, machine, 1 or -1, documents of the language that the machine learns from)."""
+    out = []
+    for k, (family, *names) in enumerate(duels):
+        for name, side in zip(names, (1, -1), strict=True):
+            if family:
+                out.append((name, k, side, per_language))
+            else:
+                each = -(-PER_FAMILY * per_language // len(members[name]))
+                out += [(language, k, side, min(each, per_language)) for language in members[name]]
+    return out
+
+
+def _model(members: dict[str, list[str]], duels: list[tuple[str, str, str]], fitted: dict[int, tuple[bytes, float, float]]) -> Model:
+    weights = np.array([np.frombuffer(fitted[k][0], np.float32) for k in range(len(duels))], np.float32).reshape(-1, 1 << BITS)
+    machines = [Machine(first, second, *fitted[k][1:]) for k, (_, first, second) in enumerate(duels)]
+    within: dict[str, list[Machine]] = {f: [] for f in members}
+    for (family, *_), m in zip(duels, machines, strict=True):
+        if family:
+            within[family].append(m)
+    return Model(weights, [m for (f, *_), m in zip(duels, machines, strict=True) if not f], within, members)
+
+
+FEATURES = T.StructType([T.StructField("lang", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.ShortType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
+MACHINES = T.StructType([T.StructField("machine", T.IntegerType()), T.StructField("weights", T.BinaryType()), T.StructField("bias", T.DoubleType()), T.StructField("slope", T.DoubleType())])
+
+
+def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, place, text) to FEATURES, a few megabytes at a time."""
+    for batch in batches:
+        for lang, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = list(_features(examples(text)))
+            if rows:
+                cells = [pa.array([lang] * len(rows), pa.string()), pa.array([place] * len(rows), pa.int32()), pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([b for b, _ in rows], pa.list_(pa.int16())), pa.array([s for _, s in rows], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(cells, names=FEATURES.names)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = np.zeros(1 << BITS), 0
+    for batch in batches:
+        n += batch.num_rows
+        total += np.bincount(batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), 1 << BITS)
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(lang, place, text): of each language up to `per_language` documents, those with the least hashes of id and text. Repeated rows
+    count once. A draw by the language's count comes first, so that few rows are ranked."""
+    known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    drawn = known.withColumn("h", F.xxhash64("i", "text")).join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit((1.5 * per_language + 50) * (1 << 30)) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("h", "i", "text")
+    ranked = drawn.select("lang", "h", "i", "text").distinct().withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= per_language).select("lang", "place", "text")
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about `per_language` documents of each language, drawn by a hash of id and text."""
-    known = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    counts = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}
-    if not counts:
-        return fit([])
-    draw = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for language, n in sorted(counts.items()):
-        wanted |= (F.col("l") == language) & (draw < int(min(1.0, per_language / n) * (1 << 30)))
-    rows = known.where(wanted).limit(2 * per_language * len(counts)).collect()
-    return fit([(r["t"], r["l"]) for r in rows])
+    """Fit on up to `per_language` documents of each language.
+
+    Rows with a null text or language aren't learned from, a null id is as good as another; texts without a letter teach nothing, and a
+    language with no other texts isn't learned. Ties of the hash go by id, then by text; repeated rows count once. Without any
+    row to learn from, every prediction is `und`. Other columns aren't read."""
+    spark = docs.sparkSession
+    rows = materialize(sampled(docs, id_col, text_col, lang_col, per_language).mapInArrow(_sparse_rows, FEATURES), "lang-features")
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())  # MAX_MACHINES bounds what may follow
+    members, duels = _pairs(languages)
+    if not duels:
+        return Model(np.zeros((0, 1 << BITS), np.float32), [], {f: [] for f in members}, members)
+    parts = rows.select("buckets", "shares").mapInArrow(_sums, "n long, total binary").collect()  # a row a task
+    scale = 1 / np.sqrt(sum(np.frombuffer(r["total"]) for r in parts) / sum(r["n"] for r in parts) + 1e-5)
+    roles = spark.createDataFrame(_roles(members, duels, per_language), "lang string, machine int, side int, upto int")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "descending"), ("lang", "ascending"), ("place", "ascending"), ("part", "ascending")]).combine_chunks()
+        buckets = table.column("buckets").combine_chunks()
+        own = Sparse(np.concatenate([[0], np.cumsum(table.column("sizes").to_numpy())]), buckets.flatten().to_numpy(), table.column("shares").combine_chunks().flatten().to_numpy())
+        weights, bias, slope = fit_machine(own, table.column("side").to_numpy().astype(float), scale)
+        return pa.table({"machine": pa.array([table.column("machine")[0].as_py()], pa.int32()), "weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias], "slope": [slope]})
+
+    dealt = rows.join(F.broadcast(roles), "lang").where("place <= upto").withColumn("sizes", F.size("buckets"))
+    fitted = dealt.drop("upto").groupBy("machine").applyInArrow(run, MACHINES).collect()  # 64 kB a machine
+    return _model(members, duels, {r["machine"]: (bytes(r["weights"]), r["bias"], r["slope"]) for r in fitted})
+
+
+def fit(sample: list[tuple[str, str]], per_language: int = PER_LANGUAGE) -> Model:
+    """The same fit of a small sample (text, language) in memory."""
+    rows: dict[str, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for text, language in sample:
+        place = 1 + max((p for p, *_ in rows.get(language, [])), default=0)
+        for buckets, shares in _features(examples(text)):
+            rows.setdefault(language, []).append((place, buckets, shares))
+    members, duels = _pairs(list(rows))
+    every = [x for own in rows.values() for x in own]
+    scale = 1 / np.sqrt(sum(np.bincount(b, s, 1 << BITS) for _, b, s in every) / max(len(every), 1) + 1e-5)
+    fitted = {}
+    for k in range(len(duels)):
+        roles = sorted((-side, language, upto) for language, machine, side, upto in _roles(members, duels, per_language) if machine == k)
+        own = [(-side, b, s) for side, language, upto in roles for place, b, s in rows[language] if place <= upto]
+        sparse = Sparse(np.concatenate([[0], np.cumsum([len(b) for _, b, _ in own])]), np.concatenate([b for _, b, _ in own]), np.concatenate([s for *_, s in own]))
+        weights, bias, slope = fit_machine(sparse, np.array([y for y, *_ in own], float), scale)
+        fitted[k] = (weights.tobytes(), bias, slope)
+    return _model(members, duels, fitted)
 
 
 def identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -243,12 +348,8 @@ def identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names: list[str] = []
-            scores = [np.zeros(0)]
-            for piece in pieces(text_of(batch, text_col)):
-                got, p = shared.value.predict(piece)
-                names += got
-                scores.append(p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=schema.names)
+            got = [shared.value.predict(piece) for piece in pieces(text_of(batch, text_col))]
+            names, scores = (np.concatenate([np.zeros(0, kind), *(x[k] for x in got)]) for k, kind in enumerate((object, float)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
     return base.mapInArrow(run, schema)

@@ -50,8 +50,65 @@ def test_svm_separates():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(1, 1, (60, 5)), rng.normal(-1, 1, (60, 5))])
     y = np.array([1.0] * 60 + [-1.0] * 60)
-    gram = x @ x.T + 1
-    assert (np.sign(gram @ langid._svm(gram, y)) == y).mean() > 0.95
+    rows = langid.Sparse(np.arange(0, 601, 5), np.tile(np.arange(5, dtype=np.int16), 120), x.reshape(-1))
+    weights, bias = langid._svm(rows, y)
+    assert (np.sign(x @ weights[:5] + bias) == y).mean() > 0.95
+
+
+def invented(rng, n):
+    """So many languages, each with words of its own over a shared alphabet."""
+    made = {}
+    for k in range(n):
+        syllables = ["".join(rng.choice(list("abcdefghijklmnoprstuvz"), 2)) for _ in range(25)]
+        made[f"l{k:02d}"] = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(120)]
+    return made
+
+
+def test_op2_many_languages_and_the_same_model_on_the_cluster_and_in_memory(spark):
+    rng = np.random.default_rng(2)
+    words = invented(rng, 25)
+    rows = [(i, " ".join(rng.choice(words[name], 40)), name) for i, name in enumerate(sorted(words) * 22)]
+    learn = spark.createDataFrame(rows[:400], "doc_id long, text string, lang string")
+    model = langid.train(learn.unionByName(learn.where("doc_id % 3 = 0")), per_language=8)  # repeated rows count once
+    assert len(model.weights) == 25 * 24 // 2 and not any(model.within.values())
+    sample = langid.sampled(learn, "doc_id", "text", "lang", 8).orderBy("lang", "place").collect()
+    assert max(r["place"] for r in sample) == 8 and len(sample) == 200
+    again = langid.fit([(r["text"], r["lang"]) for r in sample], 8)
+    assert np.abs(model.weights - again.weights).max() < 1e-5 and np.allclose([m.bias for m in model.families], [m.bias for m in again.families], atol=1e-6)
+    held = next(pieces(pa.array([t for _, t, _ in rows[400:]])))
+    assert (model.predict(held)[0] == [name for *_, name in rows[400:]]).mean() > 0.98
+
+
+def brute_vote(names, machines, margin):
+    chances = {n: [] for n in names}
+    for m in machines:
+        p = float(1 / (1 + np.exp(-np.clip(m.slope * (margin(m) + m.bias), -30, 30))))
+        chances[m.first].append(p)
+        chances[m.second].append(1 - p)
+    best = min(names, key=lambda n: (-sum(p > 0.5 for p in chances[n]), -sum(chances[n]), n))
+    return best, min(chances[best])
+
+
+def test_op2_predictions_equal_a_plain_vote_on_plain_counts():
+    rng = np.random.default_rng(3)
+    words = invented(rng, 3)
+    names = dict(zip(sorted(words), ("de", "en", "es"), strict=True))
+    model = langid.fit([(" ".join(rng.choice(words[k], 30)), n) for k, n in names.items() for _ in range(20)])
+    texts = [" ".join(rng.choice(words[k], 12)) + "! 12" for k in words for _ in range(5)]
+    got, scores = model.predict(next(pieces(pa.array(texts))))
+    for text, name, score in zip(texts, got, scores, strict=True):
+        buckets, shares = next(langid._features([text.encode()]))
+        margin = lambda m: float(model.weights[model.machines.index(m)][buckets] @ shares)
+        family, p = brute_vote(sorted(model.members), model.families, margin)
+        want, q = brute_vote(model.members[family], model.within[family], margin) if len(model.members[family]) > 1 else (model.members[family][0], 1.0)
+        assert name == want and abs(score - p * q) < 1e-4
+
+
+def test_op2_odd_learning_rows(spark, odd):
+    assert langid.train(odd).members  # nulls, an empty text, one without letters, a repeated row and a very long one
+    assert langid.train(odd.limit(0)).members == {}
+    with pytest.raises(ValueError):
+        langid._pairs([f"x{i}" for i in range(70)])
 
 
 def test_op7_finds_toxic_and_misspelt_words():
