@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import COMPLETE_PRIORS, COMPLETE_SHARE, COMPLETE_WINDOW, EPSILON, GLITCH_MULTIPLE, GLITCH_WINDOW, THRESHOLD, TOUCH, finite, split_artifact, touch_event, valid_bar
@@ -12,12 +12,17 @@ def by_symbol():
     return Window.partitionBy("symbol").orderBy("date")
 
 
+def glitch_suspect() -> Column:
+    """The high alone decided the touch, stands out over bar and prior close, and volume doesn't bear it out."""
+    reference = F.greatest("open", "close", F.coalesce("prev_close", F.lit(0.0)))
+    suspect = (F.col("high_return") >= THRESHOLD) & (F.col("oc_return") < THRESHOLD) & (F.col("high") >= GLITCH_MULTIPLE * reference) & finite("trailing_avg_vol") & (F.col("volume") < F.col("trailing_avg_vol"))
+    return F.coalesce(suspect, F.lit(False))
+
+
 def with_glitch(returns: DataFrame) -> DataFrame:
-    """`high_glitch_suspect`: the high alone decided the touch, stands out over bar and prior close, and volume doesn't bear it out."""
     avg = F.avg("volume").over(by_symbol().rowsBetween(-GLITCH_WINDOW, -1))
     seen = returns.withColumns({"prev_close": F.lag("close").over(by_symbol()), "trailing_avg_vol": avg})
-    suspect = (F.col("high_return") >= THRESHOLD) & (F.col("oc_return") < THRESHOLD) & (F.col("high") >= GLITCH_MULTIPLE * F.greatest("open", "close", F.coalesce("prev_close", F.lit(0.0)))) & finite("trailing_avg_vol") & (F.col("volume") < F.col("trailing_avg_vol"))
-    return seen.withColumn("high_glitch_suspect", F.coalesce(suspect, F.lit(False)))
+    return seen.withColumn("high_glitch_suspect", glitch_suspect())
 
 
 def with_returns(bars: DataFrame) -> DataFrame:

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import EPSILON, ratio
+from barlake.operators.prefix import running_before
+from barlake.sources.shared import stored
 
 BUCKETS = 10
 
 
-def reliability_table(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """rows (prob, label) in ten fixed buckets; empty buckets are there with nulls (without `by`)."""
-    by = by or []
+def day_buckets(rows: DataFrame) -> DataFrame:
+    """rows (date, prob, label) summed by day and bucket of prob: all that a calibration report needs, in at most ten rows a day.
+
+    The ten buckets are fixed. Rows without a probability or a label don't count."""
+    p, y = F.col("prob").cast("double"), F.col("label").cast("double")
     bucket = F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.floor(F.col("prob") * BUCKETS + EPSILON))).cast("int")
-    full = rows.groupBy(*by, bucket.alias("bucket")).agg(F.round(F.avg("prob") + EPSILON, 4).alias("mean_pred"), F.round(F.avg(F.col("label").cast("double")) + EPSILON, 4).alias("reach_rate"), F.count(F.lit(1)).alias("n"))
+    return rows.where("prob IS NOT NULL AND label IS NOT NULL").groupBy("date", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("hits"), F.sum(p).alias("sum_p"), F.sum(p * p).alias("sum_pp"), F.sum(p * y).alias("sum_py"))
+
+
+def reliability_of(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean prediction and reach rate of each bucket; empty buckets are there with nulls (without `by`)."""
+    by = by or []
+    full = sums.groupBy(*by, "bucket").agg(F.round(F.sum("sum_p") / F.sum("n") + EPSILON, 4).alias("mean_pred"), F.round(F.sum("hits") / F.sum("n") + EPSILON, 4).alias("reach_rate"), F.sum("n").alias("n"))
     if by:
         return full
-    every = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    every = sums.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     return every.join(full, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def reliability_table(rows: DataFrame) -> DataFrame:
+    return reliability_of(day_buckets(rows))
+
+
 def calibration_slope(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Count-weighted least squares slope of reach on prediction over occupied buckets; null for under two or no spread."""
     w, x, y = F.col("n").cast("double"), F.col("mean_pred"), F.col("reach_rate")
@@ -30,33 +44,59 @@ def calibration_slope(table: DataFrame, by: list[str] | None = None) -> DataFram
     return sums.select(*(by or []), F.when((F.col("k") >= 2) & (F.abs(down) > 1e-12), (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / down).alias("slope"))
 
 
-def brier_skill(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+def _days(sums: DataFrame, by: list[str]) -> DataFrame:
+    """A row a day: squared errors of the predictions and of the day's own base rate (hits - hits ** 2 / n)."""
+    days = sums.groupBy("date", *by).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), (F.sum("sum_pp") - 2 * F.sum("sum_py") + F.sum("hits")).alias("error"))
+    return days.withColumns({"base": F.col("hits") / F.col("n"), "own_error": F.col("hits") - F.col("hits") * F.col("hits") / F.col("n")})
+
+
+def brier_of(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Brier score against that of each day's own base rate; null skill where the reference is 0."""
-    based = rows.withColumn("own", F.avg(F.col("label").cast("double")).over(Window.partitionBy("date")))
-    scores = based.groupBy(*(by or [])).agg(F.avg((F.col("prob") - F.col("label")) ** 2).alias("brier"), F.avg((F.col("own") - F.col("label")) ** 2).alias("brier_ref"))
+    scores = _days(sums, by or []).groupBy(*(by or [])).agg((F.sum("error") / F.sum("n")).alias("brier"), (F.sum("own_error") / F.sum("n")).alias("brier_ref"))
     return scores.withColumn("bss", 1 - ratio("brier", "brier_ref"))
 
 
-def regimes(rows: DataFrame) -> DataFrame:
-    """rows with `regime`: low, mid or high by the tertile of its day's base rate; there is one row a day behind the tertiles."""
-    days = rows.groupBy("date").agg(F.avg(F.col("label").cast("double")).alias("base"))
+def brier_skill(rows: DataFrame) -> DataFrame:
+    return brier_of(day_buckets(rows))
+
+
+def regimes_of(sums: DataFrame) -> DataFrame:
+    """sums with `regime`: low, mid or high by the tertile of its day's base rate; there is one row a day behind the tertiles."""
+    days = sums.groupBy("date").agg((F.sum("hits") / F.sum("n")).alias("base"))
     cuts = days.agg(F.percentile("base", F.lit(1 / 3)).alias("lo"), F.percentile("base", F.lit(2 / 3)).alias("hi"))
     named = days.join(F.broadcast(cuts), F.lit(True)).select("date", "base", F.when(F.col("base") <= F.col("lo"), "low").when(F.col("base") > F.col("hi"), "high").otherwise("mid").alias("regime"))
-    return rows.join(F.broadcast(named), "date")
+    return sums.join(F.broadcast(named), "date")
+
+
+def regimes_report(sums: DataFrame) -> DataFrame:
+    marked = regimes_of(sums)
+    sizes = marked.groupBy("regime").agg(F.sum("n").alias("n"), F.countDistinct("date").alias("days"), F.min("base").alias("base_min"), F.max("base").alias("base_max"))
+    slopes = calibration_slope(reliability_of(marked, ["regime"]), ["regime"])
+    return sizes.join(brier_of(marked, ["regime"]).select("regime", "bss"), "regime").join(slopes, "regime", "left")
 
 
 def regime_report(rows: DataFrame) -> DataFrame:
-    marked = regimes(rows)
-    sizes = marked.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("days"), F.min("base").alias("base_min"), F.max("base").alias("base_max"))
-    slopes = calibration_slope(reliability_table(marked, ["regime"]), ["regime"])
-    return sizes.join(brier_skill(marked, ["regime"]).select("regime", "bss"), "regime").join(slopes, "regime", "left")
+    """Per regime: rows, days, span of base rates, Brier skill and slope. The rows are read once, into a table of days and buckets."""
+    return regimes_report(stored(day_buckets(rows), "day-buckets"))
 
 
 def calibration_report(rows: DataFrame) -> DataFrame:
-    """Slope, Brier skill and the table as one row with an array of buckets."""
-    table = reliability_table(rows)
-    buckets = table.agg(F.array_sort(F.collect_list(F.struct("bucket", "mean_pred", "reach_rate", "n"))).alias("buckets"))  # ten rows
-    return calibration_slope(table).join(brier_skill(rows), F.lit(True)).join(buckets, F.lit(True))
+    """Everything about all names in one row: size, Brier scores, slope, the table of buckets and the regimes as arrays."""
+    sums = stored(day_buckets(rows), "day-buckets")
+    table = reliability_of(sums)
+    buckets = table.agg(F.array_sort(F.collect_list(F.struct("bucket", "mean_pred", "reach_rate", "n"))).alias("reliability"))  # ten rows
+    regimes = regimes_report(sums).agg(F.array_sort(F.collect_list(F.struct("regime", "n", "days", "base_min", "base_max", "bss", "slope"))).alias("regimes"))  # three rows
+    size = sums.agg(F.lit("all_names_test").alias("population"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("date").alias("n_days"))
+    return size.join(brier_of(sums), F.lit(True)).join(calibration_slope(table), F.lit(True)).join(buckets, F.lit(True)).join(regimes, F.lit(True))
+
+
+def pick_calibration(picks: DataFrame, top_n: int) -> DataFrame:
+    """The same of the picks alone, in one row: size, table and slope. No skill score: after selection it measures the selection."""
+    sums = stored(day_buckets(picks), "day-buckets")
+    table = reliability_of(sums)
+    buckets = table.agg(F.array_sort(F.collect_list(F.struct("bucket", "mean_pred", "reach_rate", "n"))).alias("reliability"))  # ten rows
+    size = sums.agg(F.lit("top_n_liquid_picks").alias("population"), F.lit(top_n).alias("top_n"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("date").alias("n_days"))
+    return size.join(calibration_slope(table), F.lit(True)).join(buckets, F.lit(True))
 
 
 def expected_calibration_error(table: DataFrame) -> DataFrame:
@@ -67,13 +107,11 @@ def expected_calibration_error(table: DataFrame) -> DataFrame:
 
 
 def auc(rows: DataFrame) -> DataFrame:
-    """Area under the ROC curve from counts per distinct probability (ties count half). The running sum is over distinct probabilities
-    on a grid of 1e-4, so at most ten thousand rows."""
-    counts = rows.groupBy(F.round("prob", 4).alias("p")).agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum((1 - F.col("label")).cast("long")).alias("neg"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2.0))
-    return ranked.agg(ratio(won, F.sum("pos") * F.sum("neg")).alias("auc"))
+    """Area under the ROC curve from counts per distinct probability, unrounded; ties count half. Null where a class is missing."""
+    counts = rows.where("prob IS NOT NULL AND label IS NOT NULL").groupBy(F.col("prob").alias("p")).agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum((1 - F.col("label")).cast("long")).alias("neg"))
+    ranked = running_before(counts, "p", ["neg"])
+    won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
+    return ranked.agg(ratio(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def benchmark_metrics(rows: DataFrame, picks: DataFrame) -> DataFrame:

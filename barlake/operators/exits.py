@@ -18,7 +18,7 @@ def rule_returns(picks: DataFrame, rules=RULES) -> DataFrame:
     return exploded.withColumns({"rule": F.col("one.rule"), "worst": F.col("one.band.worst"), "best": F.col("one.band.best")}).drop("one")
 
 
-def rule_explorer(picks: DataFrame, baskets=(1, 5, 10, 20), windows=(5, 21, 252), rules=RULES) -> DataFrame:
+def rule_explorer(picks: DataFrame, baskets=(1, 5, 10, 15, 20), windows=(5, 21, 63, 126, 252), rules=RULES) -> DataFrame:
     """Basket by window by rule: compounded growth of equal-weight day returns and share of winning picks, at both ends of the band.
 
     Days with a pick whose bar is unknown are `missing`; with the trailing rule, days with a session that can't be replayed are `excluded`."""
@@ -75,16 +75,22 @@ def paper_breakeven(trades: DataFrame, baskets=(1, 5, 10, 20), steps: int = 60)
     return days.select("basket", F.size("means").cast("long").alias("days"), F.expr(f"case when {growth.format(c='0')} <= 1 then cast(0 as double) else {halve} * 10000 end").alias("breakeven_bps"))
 
 
-def halves_hold(challenger: DataFrame, champion: DataFrame, least_days: int = 4) -> DataFrame:
-    """Does a challenger beat the champion's daily precision in both halves of their shared days; inputs (target_date, precision)."""
-    shared = challenger.select("target_date", F.col("precision").alias("a")).join(champion.select("target_date", F.col("precision").alias("b")), "target_date")
-    order = Window.orderBy("target_date")  # one row a date
-    halved = shared.withColumns({"n": F.row_number().over(order), "k": F.count(F.lit(1)).over(Window.partitionBy())}).withColumn("early", F.col("n") <= F.floor(F.col("k") / 2))
+def halves_by(challengers: DataFrame, champion: DataFrame, least_days: int = 4) -> DataFrame:
+    """For each challenger (id, target_date, precision): does it beat the champion (target_date, precision) in both halves of the days that
+    they share. The middle day of an odd number belongs to the second half."""
+    shared = challengers.select("id", "target_date", F.col("precision").alias("a")).join(champion.select("target_date", F.col("precision").alias("b")), "target_date")
+    own = Window.partitionBy("id")  # one row a date
+    halved = shared.withColumns({"n": F.row_number().over(own.orderBy("target_date")), "k": F.count(F.lit(1)).over(own)}).withColumn("early", F.col("n") <= F.floor(F.col("k") / 2))
     margin = F.col("a") - F.col("b")
-    sums = halved.agg(F.count(F.lit(1)).alias("days"), F.avg(F.when(F.col("early"), margin)).alias("first_margin"), F.avg(F.when(~F.col("early"), margin)).alias("second_margin"))
+    sums = halved.groupBy("id").agg(F.count(F.lit(1)).alias("days"), F.avg(F.when(F.col("early"), margin)).alias("first_margin"), F.avg(F.when(~F.col("early"), margin)).alias("second_margin"))
     return sums.withColumn("holds", F.coalesce((F.col("days") >= least_days) & (F.col("first_margin") > EPSILON) & (F.col("second_margin") > EPSILON), F.lit(False)))
 
 
+def halves_hold(challenger: DataFrame, champion: DataFrame, least_days: int = 4) -> DataFrame:
+    """The same of one challenger (target_date, precision); no row if they share no day."""
+    return halves_by(challenger.withColumn("id", F.lit(0)), champion, least_days).drop("id")
+
+
 def valid_ledger_rows(rows: DataFrame) -> DataFrame:
     """Rank rows fit to record: finite return, known hit, and both or neither of the extremes."""
     paired = F.col("oh").isNull() == F.col("ol").isNull()

@@ -35,10 +35,15 @@ def label() -> Column:
     return F.when(F.col("next_high_return").isNull(), None).when(touch_event("next_high_return", "next_glitch"), 1).otherwise(0).cast("int")
 
 
-def feature_frame(returns: DataFrame, universe: DataFrame, start=None, end=None, min_history: int = MIN_HISTORY) -> DataFrame:
-    """Features of each (symbol, signal_date) with at least min_history bars; date bounds apply after the windows."""
+def feature_frame(returns: DataFrame, universe: DataFrame, start=None, end=None, min_history: int = MIN_HISTORY, market: DataFrame | None = None, sector: DataFrame | None = None) -> DataFrame:
+    """Features of each (symbol, signal_date) with at least min_history bars; date bounds apply after the windows.
+
+    `returns` is read once for the symbols' windows and, unless `market` and `sector` are given, once each for those: pass a table
+    (`stored`), so that bars aren't built from ticks three times."""
     known = universe.select("symbol", "market_cap", "sector")
-    rows = symbol_windows(returns).join(market_day(returns), "date").join(known, "symbol", "left").join(sector_day(returns, universe), ["date", "sector"], "left")
+    market = market_day(returns) if market is None else market
+    sector = sector_day(returns, universe) if sector is None else sector
+    rows = symbol_windows(returns).join(market, "date").join(known, "symbol", "left").join(sector, ["date", "sector"], "left")
     rows = rows.where(F.col("history_days") >= min_history)
     if start is not None:
         rows = rows.where(F.col("date") >= start)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.exprs import COMPLETE_SHARE, COMPLETE_WINDOW, EPSILON, finite, valid_bar
-from barlake.operators.bars import by_symbol, day_counts, with_glitch, with_returns, with_split_flag
+from barlake.functions.exprs import COMPLETE_SHARE, COMPLETE_WINDOW, EPSILON, GLITCH_WINDOW, finite, valid_bar
+from barlake.operators.bars import by_symbol, day_counts, glitch_suspect, with_glitch, with_returns
 
 
 def calendar(bars: DataFrame) -> DataFrame:
@@ -82,29 +82,85 @@ def repair_splits(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").applyInPandas(clean, bars.schema)
 
 
-def doctor_report(bars: DataFrame, universe: DataFrame) -> DataFrame:
-    """One row a check: its number of problems. `counted` marks those that make a store unhealthy."""
+#: Checks whose problems make a store unhealthy, in order of the report.
+COUNTED = ("gaps", "stale", "extreme", "zero_volume", "invalid", "glitch", "incomplete_days", "unpriced", "no_meta")
 
-    def count(frame: DataFrame, name: str, counted: bool = True) -> DataFrame:
-        return frame.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n_problems"), F.lit(counted).alias("counted"))
 
-    parts = [
-        count(gap_counts(bars), "gaps"), count(stale_symbols(bars), "stale"), count(invalid_bars(bars), "invalid"), count(glitch_bars(bars), "glitch"),
-        count(incomplete_days(bars), "incomplete_days"), count(extreme_bars(bars), "extreme"), count(with_split_flag(bars).where("split_artifact"), "splits"),
-        count(zero_volume_runs(bars), "zero_volume"), count(universe.select("symbol").subtract(bars.select("symbol")), "unpriced", False),
-    ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+def symbol_checks(bars: DataFrame, stale_after: int = 1, beyond: float = 0.5, run: int = 3) -> DataFrame:
+    """One row a symbol with what the checks by symbol find: missing and stale days, invalid, glitch and extreme bars, runs without
+    volume. One pass over the bars and one shuffle; a run is counted at its bar number `run`."""
+    days = calendar(bars)
+    top = days.agg(F.max("day").alias("top"))  # one row
+    every, priced = by_symbol(), Window.partitionBy("symbol", "priced").orderBy("date")
+    marked = with_returns(bars).withColumns({"priced": finite("open") & finite("high") & finite("close") & (F.col("open") > 0), "silent": F.coalesce(F.col("volume"), F.lit(0)) == 0})
+    marked = marked.join(F.broadcast(days), "date")  # one row a date
+    seen = marked.withColumns({
+        "place": F.row_number().over(every),
+        "next_day": F.lead("day").over(every),
+        "prev_close": F.lag("close").over(priced),
+        "trailing_avg_vol": F.avg("volume").over(priced.rowsBetween(-GLITCH_WINDOW, -1)),
+    })
+    seen = seen.withColumn("length", F.col("place") - F.coalesce(F.max(F.when(~F.col("silent"), F.col("place"))).over(every.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+
+    def number(condition) -> Column:
+        return F.count(F.when(condition, 1))
+
+    counted = seen.groupBy("symbol").agg(
+        F.coalesce(F.sum(F.greatest(F.col("next_day") - F.col("day") - 1, F.lit(0))), F.lit(0)).alias("n_missing"), F.max("day").alias("last_day"), number(~valid_bar()).alias("n_invalid"),
+        number(F.col("priced") & glitch_suspect()).alias("n_glitch"), number(finite("oc_return") & (F.abs("oc_return") > beyond)).alias("n_extreme"), number(F.col("silent") & (F.col("length") == run)).alias("n_runs"),
+    )
+    return counted.join(F.broadcast(top), F.lit(True)).withColumn("stale", F.col("top") - F.col("last_day") > stale_after).drop("top", "last_day")
+
+
+def doctor_report(bars: DataFrame, universe: DataFrame, meta: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """One row a check with its number of problems; `counted` marks those that make a store unhealthy, and every row has the
+    `problem_count` of these and whether the store is `ok`.
+
+    meta holds the symbols whose loaded range is known, coverage the session problems, which are reported and not counted. bars
+    is read three times: pass a table. An empty store has no problems."""
+    own = symbol_checks(bars).agg(
+        F.count(F.when(F.col("n_missing") > 0, 1)).alias("gaps"), F.count(F.when(F.col("stale"), 1)).alias("stale"), F.coalesce(F.sum("n_extreme"), F.lit(0)).alias("extreme"), F.coalesce(F.sum("n_runs"), F.lit(0)).alias("zero_volume"),
+        F.count(F.when(F.col("n_invalid") > 0, 1)).alias("invalid"), F.coalesce(F.sum("n_glitch"), F.lit(0)).alias("glitch"),
+    )
+    priced = bars.select("symbol").distinct()
+
+    def one(frame: DataFrame, name: str) -> DataFrame:
+        return frame.agg(F.count(F.lit(1)).alias(name))
+
+    rest = [one(incomplete_days(bars), "incomplete_days"), one(universe.select("symbol").subtract(priced), "unpriced"), one(priced.subtract(meta.select("symbol")), "no_meta")]
+    rest += [] if coverage is None else [one(coverage, "sessions")]
+    whole = own
+    for part in rest:
+        whole = whole.join(part, F.lit(True))  # one row each
+    checks = [*COUNTED, *([] if coverage is None else ["sessions"])]
+    total = sum((F.col(c) for c in COUNTED), F.lit(0)).cast("long")
+    listed = F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("n_problems"), F.lit(c in COUNTED).alias("counted")) for c in checks)))
+    return whole.select(listed.alias("x"), total.alias("problem_count")).select("x.*", "problem_count", (F.col("problem_count") == 0).alias("ok"))
+
+
+def doctor_diff(baseline: DataFrame, now: DataFrame, universe: DataFrame | None = None, recent_days: int = 3) -> DataFrame:
+    """What a load brought in: rows (`kind`, symbol, date or null, `severity`).
+
+    New `extreme` bars by key: `fail` if from recent_days before the baseline's newest bar on, else `warn` (a backfill). Symbols with
+    `invalid` bars that had none: `fail`. Symbols with runs of `zero_volume` that had none, and symbols of the universe still
+    `unpriced`: `warn`. With an empty baseline every extreme bar is recent."""
+    newest = baseline.agg(F.max("date").alias("top"))  # one row
+    keys = ["symbol", "date"]
+    new = extreme_bars(now).select(*keys).join(extreme_bars(baseline).select(*keys), keys, "left_anti").join(F.broadcast(newest), F.lit(True))
+    recent = F.coalesce(F.col("date") >= F.date_sub("top", recent_days), F.lit(True))
+    rows = new.select(F.lit("extreme").alias("kind"), *keys, F.when(recent, "fail").otherwise("warn").alias("severity"))
 
+    def symbols(frame: DataFrame, kind: str, severity: str) -> DataFrame:
+        return frame.select(F.lit(kind).alias("kind"), "symbol", F.lit(None).cast("date").alias("date"), F.lit(severity).alias("severity"))
 
-def doctor_diff(baseline: DataFrame, now: DataFrame, recent_days: int = 3) -> DataFrame:
-    """Problem keys (symbol, date) that are new since the baseline, as `recent` (up to recent_days before its newest bar) or `backfill`.
-    baseline and now are bars; the problems are split artifacts."""
-    newest = baseline.agg(F.max("date").alias("top"))  # one row
-    new = with_split_flag(now).where("split_artifact").select("symbol", "date").join(with_split_flag(baseline).where("split_artifact").select("symbol", "date"), ["symbol", "date"], "left_anti")
-    return new.join(F.broadcast(newest), F.lit(True)).select("symbol", "date", F.when(F.col("date") >= F.date_sub("top", recent_days), "recent").otherwise("backfill").alias("kind"))
+    for check, kind, severity in ((invalid_bars, "invalid", "fail"), (zero_volume_runs, "zero_volume", "warn")):
+        rows = rows.unionByName(symbols(check(now).select("symbol").subtract(check(baseline).select("symbol")), kind, severity))
+    return rows if universe is None else rows.unionByName(symbols(universe.select("symbol").subtract(now.select("symbol")), "unpriced", "warn"))
+
+
+def recheck_verdict(diff: DataFrame) -> DataFrame:
+    """One row: `fail` if any row of the diff is, else `warn` if there are rows, else `ok`."""
+    return diff.agg(F.count(F.when(F.col("severity") == "fail", 1)).alias("n_fail"), F.count(F.lit(1)).alias("n")).select(F.when(F.col("n_fail") > 0, "fail").when(F.col("n") > 0, "warn").otherwise("ok").alias("verdict"), "n_fail", (F.col("n") - F.col("n_fail")).alias("n_warn"))
 
 
 def ingest_gate(plan: DataFrame, outcomes: DataFrame, bars: DataFrame, *, today: str, max_failed: float = 0.05, max_age: int = 5) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from itertools import product
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.functions.exprs import EPSILON, EVENT, canonical_params
+from barlake.operators.exits import halves_by
 
 MONTHS, TOP_N = 12, 20
 LIFT_BAND, REFERENCE_SHARE = 0.1, 0.9
@@ -77,10 +80,51 @@ def family_correction(n_trials: int) -> float:
     return round(NormalDist().inv_cdf(1 - ALPHA / (2 * max(n_trials, 1))) / one, 4)
 
 
-def promotion_candidates(lifts: DataFrame, champion_lift: float, band: float, holds: DataFrame) -> DataFrame:
-    """lifts (id, lift): the best of a batch, if it beats the champion by the band and holds in both halves (holds: id)."""
-    best = lifts.orderBy(F.desc("lift"), "id").limit(1)
-    return best.where(F.col("lift") >= champion_lift + band - EPSILON).join(holds.select("id"), "id", "left_semi")
+def with_band(sized: DataFrame, n: str = "n") -> DataFrame:
+    """sized (one row a family) with the `band` of exactly its number of trials."""
+
+    def bands(sizes: pd.Series) -> pd.Series:
+        return sizes.map(promotion_band).astype("float64")
+
+    return sized.withColumn("band", F.pandas_udf(bands, T.DoubleType())(F.col(n)))
+
+
+def daily_precision(daily: DataFrame) -> DataFrame:
+    """daily (seq, target_date, hit) to (id, target_date, precision)."""
+    return daily.where("hit IS NOT NULL").groupBy(F.col("seq").alias("id"), "target_date").agg(F.avg(F.col("hit").cast("double")).alias("precision"))
+
+
+def promotion_verdicts(batches: DataFrame, champion: DataFrame, family: DataFrame, daily: DataFrame) -> DataFrame:
+    """Of each batch (`batch`, id, lift) the best run (ties: the lesser id): does it beat the champion (one row: id, lift) by the band of the
+    family (one row: n), and hold in both halves of the days that they share; `promoted` if both.
+
+    Null lifts are never best. Without a champion no row comes out."""
+    first = Window.partitionBy("batch").orderBy(F.desc("lift"), "id")
+    best = batches.where("lift IS NOT NULL").withColumn("n", F.row_number().over(first)).where("n = 1").select("batch", "id", "lift")
+    than = champion.select(F.col("id").alias("champion"), F.col("lift").alias("champion_lift")).join(with_band(family).select("band"), F.lit(True))  # one row
+    met = best.join(F.broadcast(than), F.lit(True))
+    by_day = daily_precision(daily)
+    own = by_day.join(met.select("id"), "id", "left_semi")
+    theirs = by_day.join(F.broadcast(than.select(F.col("champion").alias("id"))), "id", "left_semi").drop("id")
+    halves = halves_by(own, theirs)
+    beats = F.coalesce(F.col("lift") >= F.col("champion_lift") + F.col("band") - EPSILON, F.lit(False))
+    judged = met.join(halves.select("id", "holds"), "id", "left").withColumns({"beats": beats, "holds": F.coalesce("holds", F.lit(False))})
+    return judged.select("batch", "id", "lift", "band", "beats", "holds", (F.col("beats") & F.col("holds")).alias("promoted"))
+
+
+def load_queue(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Entries (strategy, params as JSON, note, place) of a queue file, a JSON list, and how many are malformed: no text under strategy,
+    or params that aren't an object. A file that holds no list has no entries; a missing file raises."""
+    items = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", T.ArrayType(T.StringType()))).alias("place", "item"))
+
+    def kind(name: str) -> Column:
+        return F.expr(f"schema_of_variant(try_variant_get(try_parse_json(item), '$.{name}', 'variant'))")
+
+    strategy, params = F.get_json_object("item", "$.strategy"), F.get_json_object("item", "$.params")
+    sound = F.coalesce((kind("strategy") == "STRING") & (strategy != "") & (params.isNull() | kind("params").startswith("OBJECT")), F.lit(False))
+    judged = items.withColumn("sound", sound)
+    entries = judged.where("sound").select(strategy.alias("strategy"), F.coalesce(params, F.lit("{}")).alias("params"), F.coalesce(F.get_json_object("item", "$.note"), F.lit("")).alias("note"), "place")
+    return entries, judged.where("NOT sound").count()
 
 
 def compare_verdict(a: DataFrame, b: DataFrame, band: float = LIFT_BAND) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.functions.exprs import LIQUIDITY
-from barlake.operators.calibration import auc, benchmark_metrics
+from barlake.functions.exprs import EVENT, LIQUIDITY
+from barlake.operators.calibration import auc, benchmark_metrics, calibration_report, pick_calibration
 from barlake.operators.features import FEATURES, formula_score, select_top
+from barlake.operators.ledger import compare_verdict
+from barlake.sources.shared import stored
+from barlake.sources.writers import record_experiment, replace_slice
 
 MIN_TRAIN_ROWS = 10_000
 LABEL = "did_2pct_next"
@@ -44,6 +49,16 @@ class Formula:
         return formula_score(rows)
 
 
+class Constant:
+    """The same probability for every name: what selection by symbol alone gives, to compare against."""
+
+    def fit(self, train: DataFrame) -> Constant:
+        return self
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prob", F.lit(0.5))
+
+
 class MLStrategy:
     """A Spark ML classifier on imputed features; features that are null throughout the training rows are dropped."""
 
@@ -88,7 +103,7 @@ def stochastic_gbt(n_estimators: int = 300, learning_rate: float = 0.05, max_dep
     return MLStrategy(GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, minInstancesPerNode=min_child, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), weightCol="w", seed=seed), balanced="positive")
 
 
-REGISTRY: dict[str, Callable] = {"formula": Formula, "gbt": gbt, "logreg": logreg, "stochastic_gbt": stochastic_gbt}
+REGISTRY: dict[str, Callable] = {"constant": Constant, "formula": Formula, "gbt": gbt, "logreg": logreg, "stochastic_gbt": stochastic_gbt}
 
 
 def register(name: str, factory: Callable) -> None:
@@ -120,14 +135,46 @@ def walk_forward(frame: DataFrame, name: str, months: int, min_train: int = MIN_
     return scored
 
 
-def run_benchmark(frame: DataFrame, name: str, months: int = 12, top_n: int = 20, min_train: int = MIN_TRAIN_ROWS, **params) -> DataFrame:
-    """Metrics of a strategy under walk-forward validation, in one row. The frame is read once a fold: pass a table."""
+@dataclass
+class Benchmark:
+    """What a walk-forward run found: `metrics` in one row (none if no fold ran), an outcome row per rank and day in `daily`, and the
+    calibration of all names and of the picks, a row each."""
+
+    strategy: str
+    params: dict
+    metrics: DataFrame
+    daily: DataFrame
+    calibration: DataFrame
+    pick_calibration: DataFrame
+
+
+def run_benchmark(frame: DataFrame, name: str, months: int = 12, top_n: int = 20, min_train: int = MIN_TRAIN_ROWS, **params) -> Benchmark:
+    """A strategy under walk-forward validation. The frame is read once a fold: pass a table. Scores are written once and read by all
+    reports. Folds with fewer training rows don't run; if none does, every part has no rows."""
     scored = walk_forward(frame, name, months, min_train, **params)
     if scored is None:
-        raise ValueError("no fold has enough training rows")
-    rows = scored.select(F.col("target_date").alias("date"), "symbol", "signal_date", "prob", F.col(LABEL).alias("label"), "median_vol_20")
-    metrics = benchmark_metrics(rows, select_top(rows, top_n, LIQUIDITY))
-    return metrics.join(auc(rows), F.lit(True)).withColumn("strategy", F.lit(name))
+        scored = frame.limit(0).withColumn("prob", F.lit(None).cast("double"))
+    rows = stored(scored.select(F.col("target_date").alias("date"), "symbol", "signal_date", "prob", F.col(LABEL).alias("label"), "median_vol_20", "next_oc_return", "next_high_return", "next_low_return"), "scored")
+    picks = stored(select_top(rows, top_n, LIQUIDITY), "picks")
+    metrics = benchmark_metrics(rows, picks).join(auc(rows), F.lit(True)).where("n_rows > 0").withColumn("strategy", F.lit(name))
+    daily = picks.select(F.col("date").alias("target_date"), "rank", "symbol", F.col("next_oc_return").alias("ret"), F.col("label").alias("hit"), F.col("next_high_return").alias("oh"), F.col("next_low_return").alias("ol"))
+    return Benchmark(name, {"months": months, "top_n": top_n, **({"strategy_params": params} if params else {})}, metrics, daily, calibration_report(rows), pick_calibration(picks, top_n))
+
+
+def record_benchmark(spark: SparkSession, made: Benchmark, ledger_path: str, daily_path: str, *, run_id: int, run_ts: str) -> None:
+    """Append a run to the ledger: its outcome rows, then its row with parameters, metrics and calibration as JSON."""
+    row = made.metrics.join(made.calibration.select(F.to_json(F.struct(F.expr("*"))).alias("calibration")), F.lit(True)).join(made.pick_calibration.select(F.to_json(F.struct(F.expr("*"))).alias("pick_calibration")), F.lit(True))
+    metrics = F.to_json(F.struct(*made.metrics.columns, "calibration", "pick_calibration"))
+    ledger = row.select(F.lit(run_id).cast("long").alias("id"), F.lit(run_ts).cast("timestamp").alias("run_ts"), "strategy", F.lit(json.dumps(made.params, sort_keys=True)).alias("params"), metrics.alias("metrics"), "lift", F.lit(EVENT).alias("event"))
+    record_experiment(spark, ledger_path, daily_path, ledger, made.daily.withColumn("seq", F.lit(run_id).cast("long")))
+
+
+def compare_strategies(frame: DataFrame, a: str, b: str, params_a: dict | None = None, params_b: dict | None = None, **how) -> DataFrame:
+    """Two strategies on the same folds: every metric side by side (`_a`, `_b`), and which lift wins beyond the noise band."""
+    one, two = (run_benchmark(frame, n, **how, **(p or {})).metrics for n, p in ((a, params_a), (b, params_b)))
+    verdict = compare_verdict(one, two)
+    sides = [m.select(*(F.col(c).alias(f"{c}_{side}") for c in m.columns if c != "lift")) for m, side in ((one, "a"), (two, "b"))]
+    return verdict.join(sides[0], F.lit(True)).join(sides[1], F.lit(True))  # one row each
 
 
 def predict_for(frame: DataFrame, name: str, signal_date, top_n: int = 20, **params) -> DataFrame:
@@ -137,16 +184,27 @@ def predict_for(frame: DataFrame, name: str, signal_date, top_n: int = 20, **par
     return select_top(scored, top_n, LIQUIDITY).select("signal_date", "symbol", "prob", "rank")
 
 
+def challenger_id(name: str, params: dict) -> str:
+    return f"{name}:{json.dumps(params, sort_keys=True)}"
+
+
 def shadow_predict(frame: DataFrame, roster: list[dict], signal_date, cap: int = 4, top_n: int = 20) -> tuple[DataFrame | None, list[str]]:
     """Picks of up to `cap` challengers, and what was wrong with the others. One that fails doesn't stop the rest."""
     out, wrong = None, []
     for entry in roster[:cap]:
         name, params = entry.get("strategy"), entry.get("params", {})
         try:
-            picks = predict_for(frame, name, signal_date, top_n, **params).withColumn("challenger", F.lit(f"{name}:{sorted(params.items())}"))
+            picks = predict_for(frame, name, signal_date, top_n, **params).withColumns({"challenger": F.lit(challenger_id(name, params)), "strategy": F.lit(name)})
         except (ValueError, AttributeError) as e:
             wrong.append(f"{name}: {e}")
             continue
         out = picks if out is None else out.unionByName(picks)
     return out, wrong + [f"{e.get('strategy')}: over the cap" for e in roster[cap:]]
 
+
+def run_shadow(frame: DataFrame, logged: DataFrame, roster: list[dict], signal_date, *, run_ts: Column, universe_as_of, cap: int = 4, top_n: int = 20) -> tuple[DataFrame, list[str]]:
+    """The shadow log with the day's picks of every challenger, replacing earlier ones of that day, and what was wrong."""
+    picks, wrong = shadow_predict(frame, roster, signal_date, cap, top_n)
+    if picks is None:
+        return logged, wrong
+    return replace_slice(logged, picks, ["challenger", "signal_date"], run_ts=run_ts, keep_created=False, universe_as_of=F.lit(universe_as_of).cast("date"), event=F.lit(EVENT)), wrong

@@ -78,14 +78,17 @@ def live_record(days: DataFrame) -> DataFrame:
     return live.select("days", "picks", "precision", "base_rate", ratio("precision", "base_rate").alias("lift"), (F.col("precision") - F.col("base_rate")).alias("excess"))
 
 
-def shadow_scores(days: DataFrame, by: str = "challenger") -> DataFrame:
-    """Per challenger: live and late days, and means over finite values of live days."""
+def shadow_scores(days: DataFrame, pending: DataFrame, by: str = "challenger") -> DataFrame:
+    """Per challenger: live, late and pending days (pending: challenger, signal_date), and means over finite values of live days."""
     live = ~F.col("late")
 
     def mean(c: str):
         return F.avg(F.when(live & finite(c), F.col(c))).alias(f"mean_{c}")
 
-    return days.groupBy(by).agg(F.count(F.when(live, 1)).alias("live_days"), F.count(F.when(~live, 1)).alias("late_days"), mean("precision"), mean("base_rate"), mean("lift"), F.count(F.when(live & finite("lift"), 1)).alias("lift_days"))
+    scored = days.groupBy(by).agg(F.count(F.when(live, 1)).alias("live_days"), F.count(F.when(~live, 1)).alias("late_days"), mean("precision"), mean("base_rate"), mean("lift"), F.count(F.when(live & finite("lift"), 1)).alias("lift_days"))
+    waiting = pending.groupBy(by).agg(F.count_distinct("signal_date").alias("pending_days"))
+    whole = scored.join(waiting, by, "full_outer")
+    return whole.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("live_days", "late_days", "lift_days", "pending_days")})
 
 
 def degradation_evidence(days: DataFrame, last: int = 10) -> DataFrame:

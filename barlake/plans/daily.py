@@ -9,9 +9,10 @@ from barlake.functions.exprs import EVENT, LIQUIDITY, finite, normalize_symbol,
 from barlake.operators import bars as B
 from barlake.operators import features as X
 from barlake.plans.inputs import MIN_DAYS, VALID, Users, nation_features, touch_sql
-from barlake.plans.registry import query
+from barlake.plans.registry import query, subquery
 from barlake.sources import tables as S
 from barlake.sources import universe as V
+from barlake.sources.shared import stored
 
 R = "round({0}, 6) + 0.0 AS {0}"
 
@@ -25,14 +26,32 @@ def s01(spark, d):
     return S.read_table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-REASON_SQL = f"""SELECT *, CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL THEN 'null_price' WHEN NOT ok THEN 'invalid'
-  WHEN coalesce(abs((close - open) / open) > 0.5 + 1e-9 AND prev_close > 0 AND (open / prev_close > 2 + 1e-9 OR open / prev_close < 0.5 - 1e-9), FALSE) THEN 'split_artifact' END AS reason
-  FROM (SELECT *, lag(close) OVER (PARTITION BY symbol, ok ORDER BY date) AS prev_close FROM (SELECT *, {VALID} AS ok FROM ub))"""
+#: Nations' bars with planted defects: no close, a high under the open, and a threefold open on the 17th.
+subquery(
+    "nd",
+    ["nb"],
+    """SELECT symbol, date, CASE WHEN split THEN 3 * open ELSE open END AS open, CASE WHEN split THEN 3 * greatest(open, high) WHEN k % 23 = 3 THEN open - 1 ELSE high END AS high, low, CASE WHEN k % 31 = 4 THEN NULL ELSE close END AS close, volume
+      FROM (SELECT *, CAST(symbol AS BIGINT) + day(date) AS k, CAST(symbol AS BIGINT) % 5 = 1 AND day(date) = 17 AS split FROM nb)""",
+)
+CUT = "1995-01-17"
+REASON_SQL = f"""SELECT CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL THEN 'null_price' WHEN NOT ok THEN 'invalid'
+  WHEN coalesce(abs(close / open - 1) > 0.5 + 1e-9 AND before > 0 AND (open / before > 2 + 1e-9 OR open / before < 0.5 - 1e-9), FALSE) THEN 'split_artifact' ELSE 'kept' END AS reason
+  FROM (SELECT n.*, coalesce(lag(n.close) OVER (PARTITION BY n.symbol, ok ORDER BY n.date), s.close) AS before FROM (SELECT *, coalesce({VALID}, FALSE) AS ok FROM nd WHERE date >= DATE '{CUT}') n
+    LEFT JOIN (SELECT symbol, arg_max(close, date) AS close FROM nb WHERE date < DATE '{CUT}' GROUP BY symbol) s ON s.symbol = n.symbol)"""
 
 
-@query("s02_daily_bar_rows", ["ub"], f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n_rows FROM ({REASON_SQL}) GROUP BY 1")
+@query("s02_daily_bar_rows", ["nd"], f"SELECT reason, count(*) AS n_rows FROM ({REASON_SQL}) GROUP BY 1")
 def s02(spark, d):
-    return S.bar_reasons(S.user_bars(spark, d)).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """A wide batch of all nations' bars since a day, after the bars stored before it: rows dropped by cause."""
+    bars = stored(S.nation_bars(spark, d), "bars")
+    symbols = [str(r[0]) for r in S.read_table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # the batch's symbols
+    nation = F.col("symbol").cast("long")
+    k, split = nation + F.dayofmonth("date"), (nation % 5 == 1) & (F.dayofmonth("date") == 17)
+    high = F.when(split, 3 * F.greatest("open", "high")).when(k % 23 == 3, F.col("open") - 1).otherwise(F.col("high"))
+    spoilt = bars.where(F.col("date") >= CUT).withColumns({"high": high, "close": F.when(k % 31 != 4, F.col("close")), "open": F.when(split, 3 * F.col("open")).otherwise(F.col("open"))})
+    last = V.last_bars(bars.where(F.col("date") < CUT)).select("symbol", F.col("last_date").alias("seed_date"), F.col("last_close").alias("seed_close"))
+    rows = S.long_bars(S.wide_bars(spoilt, symbols), symbols)
+    return S.bar_reasons(rows, last).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("s03_intraday_bar_rows", ["ib"], f"SELECT symbol, ts, CAST(ts AS DATE) AS date, open, high, low, close, volume FROM (SELECT * REPLACE (CAST(timezone('America/New_York', timezone('UTC', ts)) AS TIMESTAMP) AS ts) FROM ib) WHERE {VALID}")
@@ -50,22 +69,26 @@ def s04b(spark, d):
     return S.session_bars(spark, d)
 
 
-LISTING = "regexp_matches(name, '(?i)\\b({})s?\\b')".format("|".join(V.EXCLUDED_TYPES))
+SUFFIXES = [" ETF", " Warrants", " Depositary Shares", " 5.5% Senior 2030", " Acquisition Units, each of one share", " Units", " Unit Corporation", " Preferred Bank", " Preferred Stock", " Notes due 2031", " Note Bancorp", " Rights", " Wright Medical", " Funding", " Income Fund", ""]
+NAME_SQL = "p_name || list_extract([" + ", ".join(f"'{x}'" for x in SUFFIXES) + f"], CAST(p_partkey % {len(SUFFIXES)} + 1 AS INTEGER))"
+#: Which of the suffixes name listings that aren't common shares, judged by hand.
+UNCOMMON = [" ETF", " Warrants", " Depositary Shares", " 5.5% Senior 2030", " Acquisition Units, each of one share", " Units", " Preferred Stock", " Notes due 2031", " Rights", " Income Fund"]
 
 
 @query(
     "s05_build_universe",
     [],
-    f"""SELECT symbol, name, market_cap FROM (SELECT symbol, name, market_cap FROM (SELECT trim(p_brand) || CASE WHEN p_partkey % 17 = 0 THEN '^' ELSE '' END || CAST(p_partkey % 400 AS VARCHAR) AS symbol, p_name || CASE WHEN p_partkey % 7 = 0 THEN ' ETF' WHEN p_partkey % 11 = 0 THEN ' Warrants' ELSE '' END AS name,
-      TRY_CAST(replace(CASE WHEN p_partkey % 13 = 0 THEN '' ELSE CAST(p_partkey AS VARCHAR) || ',' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '.5' END, ',', '') AS DOUBLE) AS market_cap FROM part)
-      WHERE market_cap > 0 AND NOT regexp_matches(symbol, '[\\^~]') AND NOT {LISTING} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY market_cap DESC, name) = 1) ORDER BY market_cap DESC, symbol LIMIT 100""",
+    f"""SELECT symbol, name, market_cap, sector FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY market_cap DESC, name) AS n FROM (SELECT trim(p_brand) || CASE WHEN p_partkey % 17 = 0 THEN '^' ELSE '' END || CAST(p_partkey % 400 AS VARCHAR) AS symbol, {NAME_SQL} AS name, list_extract([{", ".join(f"{x in UNCOMMON}" for x in SUFFIXES)}], CAST(p_partkey % {len(SUFFIXES)} + 1 AS INTEGER)) AS uncommon,
+      CASE WHEN p_partkey % 13 <> 0 THEN CAST(CAST(p_partkey AS VARCHAR) || lpad(CAST(p_size AS VARCHAR), 3, '0') || '.5' AS DOUBLE) END AS market_cap, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS sector FROM part)
+      WHERE market_cap > 0 AND NOT contains(symbol, '^') AND NOT uncommon) WHERE n = 1 ORDER BY market_cap DESC, symbol LIMIT 100""",
 )
 def s05(spark, d):
     key = F.col("p_partkey")
     raw = S.read_table(spark, d, "part").select(
-        F.concat(F.trim("p_brand"), F.when(key % 17 == 0, "^").otherwise(""), (key % 400).cast("string")).alias("symbol"),
-        F.concat("p_name", F.when(key % 7 == 0, " ETF").when(key % 11 == 0, " Warrants").otherwise("")).alias("name"),
+        F.concat(F.lit(" "), F.trim("p_brand"), F.when(key % 17 == 0, "^").otherwise(""), (key % 400).cast("string")).alias("symbol"),
+        F.concat("p_name", F.element_at(F.array(*map(F.lit, SUFFIXES)), (key % len(SUFFIXES) + 1).cast("int"))).alias("name"),
         F.when(key % 13 == 0, "").otherwise(F.concat(key.cast("string"), F.lit(","), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(".5"))).alias("market_cap"),
+        F.when(key % 3 != 0, F.concat("p_type", F.lit(" "))).alias("sector"),
     )
     return V.build_universe(raw, 100)
 
@@ -247,7 +270,7 @@ def f03(spark, d):
 
 @query("j01_market_join", ["ur", "umarket"], "SELECT symbol, date, round(breadth, 6) + 0.0 AS breadth FROM ur JOIN umarket USING (date)")
 def j01(spark, d):
-    returns = Users(spark, d).returns
+    returns = Users(spark, d).table
     return rounded(returns.join(B.market_day(returns), "date").select("symbol", "date", "breadth"), "breadth")
 
 
@@ -260,7 +283,7 @@ def j02(spark, d):
 @query("j03_left_sector_join", ["ur", "uu", "usector"], "SELECT symbol, ur.date, round(oc_return - sector_mean_oc, 6) + 0.0 AS sector_excess FROM ur LEFT JOIN uu USING (symbol) LEFT JOIN usector s ON s.date = ur.date AND s.sector = uu.sector")
 def j03(spark, d):
     u = Users(spark, d)
-    joined = u.returns.join(u.universe.select("symbol", "sector"), "symbol", "left").join(B.sector_day(u.returns, u.universe), ["date", "sector"], "left")
+    joined = u.table.join(u.universe.select("symbol", "sector"), "symbol", "left").join(B.sector_day(u.table, u.universe), ["date", "sector"], "left")
     return joined.select("symbol", "date", six(F.col("oc_return") - F.col("sector_mean_oc")).alias("sector_excess"))
 
 

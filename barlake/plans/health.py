@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import six
 from barlake.operators import health as H
+from barlake.operators import sessions as I
 from barlake.plans.daily import PLAN_SQL, ingest_inputs
 from barlake.plans.inputs import VALID, returns_sql
 from barlake.plans.registry import query, subquery
+from barlake.plans.sessions import COVER, MINUTES, Sessions
 from barlake.sources import tables as S
 from barlake.sources import universe as V
+from barlake.sources.shared import stored
 
 #: One defect a class: missing bars, a tail cut, a high under the open, no volume, a tenfold close.
 subquery(
@@ -24,7 +27,7 @@ subquery("dcal", ["db"], "SELECT date, row_number() OVER (ORDER BY date) AS day
 GAPS = "SELECT s.symbol, count(*) AS n_missing, min(c.date) AS first_missing, max(c.date) AS last_missing FROM (SELECT symbol, min(date) AS f, max(date) AS l FROM db GROUP BY 1) s JOIN dcal c ON c.date > s.f AND c.date < s.l LEFT JOIN db b ON b.symbol = s.symbol AND b.date = c.date WHERE b.symbol IS NULL GROUP BY 1"
 STALE = "SELECT symbol, last_date, count(*) AS days_behind FROM (SELECT symbol, max(date) AS last_date FROM db GROUP BY 1) JOIN dcal ON date > last_date GROUP BY 1, 2 HAVING count(*) > 1"
 INVALID = f"SELECT symbol, count(*) AS n_invalid, min(date) AS first_date, max(date) AS last_date FROM db WHERE NOT coalesce({VALID}, FALSE) GROUP BY 1"
-GLITCH = f"SELECT symbol, date, high, close, prev_close FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM ({returns_sql('db').replace('WHERE ' + VALID, 'WHERE isfinite(open) AND isfinite(high) AND isfinite(close) AND open > 0')})) WHERE high_glitch_suspect"
+GLITCH = f"SELECT symbol, date, high, close, prev_close FROM ({returns_sql('db', 'isfinite(open) AND isfinite(high) AND isfinite(close) AND open > 0')}) WHERE high_glitch_suspect"
 INCOMPLETE = f"SELECT date, raw_count, bar_count, trailing_median, raw_count / trailing_median AS ratio FROM (SELECT date, raw_count, bar_count, CAST(median(raw_count) OVER (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS DOUBLE) AS trailing_median FROM (SELECT date, count(*) AS raw_count, count(CASE WHEN {VALID} THEN 1 END) AS bar_count FROM db GROUP BY date)) WHERE raw_count < 0.9 * trailing_median - 1e-9"
 EXTREME = "SELECT symbol, date, open, close, (close - open) / open AS oc_return FROM db WHERE open <> 0 AND abs((close - open) / open) > 0.5"
 SPLITS = "SELECT symbol, date FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM {}) WHERE abs((close - open) / nullif(open, 0)) > 0.5 + 1e-9 AND prev_close > 0 AND (open / prev_close > 2 + 1e-9 OR open / prev_close < 0.5 - 1e-9)"
@@ -39,18 +42,43 @@ def defective(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a16_gap_counts", ["db", "dcal"], GAPS)
-@query("j06_range_join_rewritten", ["db", "dcal"], GAPS)
-@query("j08_anti_join", ["db", "dcal"], GAPS)
 def a16(spark, d):
     return H.gap_counts(defective(spark, d))
 
 
+@query("j06_range_join_rewritten", ["db", "dcal"], "SELECT b.symbol, b.date, count(c.date) AS days_without FROM (SELECT symbol, date, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS following FROM db) b JOIN dcal c ON c.date > b.date AND c.date < b.following GROUP BY 1, 2")
+def j06(spark, d):
+    """Calendar days strictly between consecutive bars, by the difference of their numbers."""
+    bars = stored(defective(spark, d), "bars")
+    numbered = bars.join(F.broadcast(H.calendar(bars)), "date")  # one row a date
+    ahead = F.lead("day").over(Window.partitionBy("symbol").orderBy("day"))
+    return numbered.select("symbol", "date", (ahead - F.col("day") - 1).cast("long").alias("days_without")).where("days_without > 0")
+
+
+@query("j08_anti_join", ["db", "dcal"], "SELECT symbol, date FROM (SELECT DISTINCT symbol FROM db) CROSS JOIN dcal WHERE (symbol, date) NOT IN (SELECT (symbol, date) FROM db)")
+def j08(spark, d):
+    """The days on which a symbol has no bar at all: its days subtracted from the calendar, as an anti join."""
+    bars = stored(defective(spark, d), "bars")
+    days = bars.select("date").distinct().agg(F.array_sort(F.collect_set("date")).alias("dates"))  # one row: the calendar
+    every = bars.select("symbol").distinct().join(F.broadcast(days), F.lit(True)).select("symbol", F.explode("dates").alias("date"))
+    return every.join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
+
+
 @query("a17_stale_symbols", ["db", "dcal"], STALE)
-@query("j07_dates_after_last_bar", ["db", "dcal"], STALE)
 def a17(spark, d):
     return H.stale_symbols(defective(spark, d))
 
 
+@query("j07_dates_after_last_bar", ["db", "dcal"], "SELECT symbol, date FROM dcal JOIN (SELECT symbol, max(date) AS last_date FROM db GROUP BY 1) ON date > last_date")
+def j07(spark, d):
+    """Every trading day after a symbol's last bar: the calendar's tail from its number on."""
+    bars = stored(defective(spark, d), "bars")
+    days = bars.select("date").distinct().agg(F.array_sort(F.collect_set("date")).alias("dates"))  # one row: the calendar
+    last = bars.groupBy("symbol").agg(F.max("date").alias("last_date")).join(F.broadcast(days), F.lit(True))
+    at = F.array_position("dates", F.col("last_date")).cast("int")
+    return last.select("symbol", F.explode(F.slice("dates", at + 1, F.size("dates") - at)).alias("date"))
+
+
 @query("a18_invalid_bars", ["db"], INVALID)
 def a18(spark, d):
     return H.invalid_bars(defective(spark, d))
@@ -76,28 +104,73 @@ def a22(spark, d):
     return H.zero_volume_runs(defective(spark, d))
 
 
-@query("a23_repair_splits")
+FLAGGED = "coalesce(abs(x.close / nullif(x.open, 0) - 1) > 0.5 + 1e-9 AND l[i - 1].close > 0 AND (x.open / l[i - 1].close > 2 + 1e-9 OR x.open / l[i - 1].close < 0.5 - 1e-9), FALSE)"
+REPAIR = f"""SELECT symbol, unnest(l, recursive := true) FROM (SELECT symbol, arg_max(l, pass) AS l FROM (
+  WITH RECURSIVE passes AS (SELECT symbol, list(struct_pack(date := date, open := open, high := high, low := low, close := close, volume := volume) ORDER BY date) AS l, 0 AS pass FROM db GROUP BY symbol
+    UNION ALL SELECT symbol, kept, pass + 1 FROM (SELECT symbol, l, pass, list_filter(l, lambda x, i: i = 1 OR NOT {FLAGGED}) AS kept FROM passes) WHERE len(kept) < len(l)) SELECT * FROM passes) GROUP BY symbol)"""
+
+
+@query("a23_repair_splits", ["db"], REPAIR)
 def a23(spark, d):
     return H.repair_splits(defective(spark, d))
 
 
-COUNTED = {"gaps": GAPS, "stale": STALE, "invalid": INVALID, "glitch": GLITCH, "incomplete_days": INCOMPLETE, "extreme": EXTREME, "splits": SPLITS.format("db"), "zero_volume": ZERO}
-REPORT = " UNION ALL ".join([f"SELECT '{k}' AS check, count(*) AS n_problems, TRUE AS counted FROM ({v})" for k, v in COUNTED.items()] + ["SELECT 'unpriced' AS check, count(*) AS n_problems, FALSE AS counted FROM (SELECT symbol FROM uu EXCEPT SELECT symbol FROM db)"])
+#: Symbols whose loaded range is known, and a record of sessions with holes, for the report.
+META = "SELECT DISTINCT symbol FROM db WHERE CAST(symbol AS BIGINT) % 7 <> 0"
+COUNTED = {"gaps": GAPS, "stale": STALE, "extreme": EXTREME, "zero_volume": ZERO, "invalid": INVALID, "glitch": GLITCH, "incomplete_days": INCOMPLETE, "unpriced": "SELECT symbol FROM uu EXCEPT SELECT symbol FROM db", "no_meta": f"SELECT symbol FROM db EXCEPT ({META})"}
+CHECKS = " UNION ALL ".join([f"SELECT '{k}' AS check, count(*) AS n_problems, TRUE AS counted FROM ({v})" for k, v in COUNTED.items()] + [f"SELECT 'sessions', count(*), FALSE FROM ({COVER}) WHERE truncated OR thin"])
+REPORT = f"SELECT *, CAST(sum(n_problems) FILTER (counted) OVER () AS BIGINT) AS problem_count, sum(n_problems) FILTER (counted) OVER () = 0 AS ok FROM ({CHECKS})"
+
 
+def report_inputs(spark, d):
+    bars = stored(defective(spark, d), "bars")
+    meta = bars.where(F.col("symbol").cast("long") % 7 != 0).select("symbol").distinct()
+    return bars, S.user_universe(spark, d), meta
 
-@query("a24_doctor_report", ["db", "dcal", "uu"], REPORT)
-@query("u04_concat_checks", ["db", "dcal", "uu"], REPORT)
+
+@query("a24_doctor_report", ["db", "dcal", "uu", "ibh"], REPORT)
 def a24(spark, d):
-    return H.doctor_report(defective(spark, d), S.user_universe(spark, d))
+    sessions = I.coverage_problems(I.session_coverage(Sessions(spark, d).holed, bar_minutes=MINUTES, close_minutes=1440))
+    return H.doctor_report(*report_inputs(spark, d), sessions)
+
+
+@query("u04_concat_checks", ["db"], f"SELECT 'extreme' AS check, symbol, date AS first_date FROM ({EXTREME}) UNION ALL SELECT 'invalid', symbol, first_date FROM ({INVALID}) UNION ALL SELECT 'zero_volume', symbol, first_date FROM ({ZERO})")
+def u04(spark, d):
+    """Problems of several checks in one table."""
+    bars = stored(defective(spark, d), "bars")
+    parts = {"extreme": H.extreme_bars(bars).withColumnRenamed("date", "first_date"), "invalid": H.invalid_bars(bars), "zero_volume": H.zero_volume_runs(bars)}
+    listed = [frame.select(F.lit(name).alias("check"), "symbol", "first_date") for name, frame in parts.items()]
+    return listed[0].unionByName(listed[1]).unionByName(listed[2])
+
+
+EARLIER = "(SELECT * FROM db WHERE date <= DATE '2024-01-20' AND CAST(symbol AS BIGINT) % 9 <> 4)"
+DIFF = " UNION ALL ".join([
+    f"SELECT 'extreme' AS kind, symbol, date, CASE WHEN date >= (SELECT max(date) FROM {EARLIER}) - 3 THEN 'fail' ELSE 'warn' END AS severity FROM ({EXTREME}) WHERE (symbol, date) NOT IN (SELECT (symbol, date) FROM ({EXTREME.replace('FROM db', f'FROM {EARLIER} e')}))",
+    f"SELECT 'invalid', symbol, NULL, 'fail' FROM (SELECT symbol FROM ({INVALID}) EXCEPT SELECT symbol FROM ({INVALID.replace('FROM db', f'FROM {EARLIER} e')}))",
+    f"SELECT 'zero_volume', symbol, NULL, 'warn' FROM (SELECT symbol FROM ({ZERO}) EXCEPT SELECT symbol FROM ({ZERO.replace('FROM db', f'FROM {EARLIER} e')}))",
+    "SELECT 'unpriced', symbol, NULL, 'warn' FROM (SELECT symbol FROM uu EXCEPT SELECT symbol FROM db)",
+])
 
 
-DIFF = f"SELECT n.symbol, n.date, CASE WHEN n.date >= (SELECT max(date) FROM ub) - 3 THEN 'recent' ELSE 'backfill' END AS kind FROM ({SPLITS.format('db')}) n ANTI JOIN ({SPLITS.format('ub')}) o ON n.symbol = o.symbol AND n.date = o.date"
+def before_and_after(spark, d):
+    now = stored(defective(spark, d), "bars")
+    return now.where((F.col("date") <= "2024-01-20") & (F.col("symbol").cast("long") % 9 != 4)), now
 
 
-@query("a25_doctor_diff", ["db", "ub"], DIFF)
-@query("u05_key_difference", ["db", "ub"], DIFF)
+@query("a25_doctor_diff", ["db", "uu"], DIFF)
 def a25(spark, d):
-    return H.doctor_diff(S.user_bars(spark, d), defective(spark, d))
+    return H.doctor_diff(*before_and_after(spark, d), S.user_universe(spark, d))
+
+
+@query("a25b_recheck_verdict", ["db", "uu"], f"SELECT CASE WHEN n_fail > 0 THEN 'fail' WHEN n_warn > 0 THEN 'warn' ELSE 'ok' END AS verdict, n_fail, n_warn FROM (SELECT count(*) FILTER (severity = 'fail') AS n_fail, count(*) FILTER (severity = 'warn') AS n_warn FROM ({DIFF}))")
+def a25b(spark, d):
+    return H.recheck_verdict(H.doctor_diff(*before_and_after(spark, d), S.user_universe(spark, d)))
+
+
+@query("u05_key_difference", ["db"], f"SELECT symbol, date FROM db EXCEPT SELECT symbol, date FROM {EARLIER} e")
+def u05(spark, d):
+    before, now = before_and_after(spark, d)
+    return now.select("symbol", "date").join(before.select("symbol", "date"), ["symbol", "date"], "left_anti")
 
 
 GATE = f""", plan AS ({PLAN_SQL}), lb AS (SELECT symbol, max(date) AS last_date FROM ub WHERE CAST(symbol AS BIGINT) % 5 <> 0 OR date < DATE '2024-01-15' GROUP BY symbol),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.exprs import EVENT, six
+from barlake.functions.exprs import EVENT, canonical_params, six
 from barlake.operators import exits as X
 from barlake.operators import ledger as L
 from barlake.plans.daily import rounded
@@ -14,11 +14,14 @@ from barlake.plans.registry import query, subquery
 from barlake.plans.scoring import outcomes
 from barlake.sources import tables as S
 from barlake.sources import writers as W
+from barlake.sources.shared import fresh_path, stored
 
 PARAMS_SQL = """CASE WHEN o_orderkey % 37 = 0 THEN '{broken' ELSE '{"months": ' || CASE WHEN o_orderkey % 3 = 0 THEN '6' ELSE '12' END || ', "top_n": ' || CASE WHEN o_orderkey % 5 = 0 THEN '10' ELSE '20' END
   || CASE WHEN o_orderkey % 2 = 0 THEN ', "strategy_params": {"depth": ' || CAST(o_custkey % 3 AS VARCHAR) || CASE WHEN o_orderkey % 4 = 0 THEN '.0' ELSE '' END || ', "alpha": 1}' ELSE '' END || '}' END"""
 subquery("ledger", [], f"SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS run_ts, 's' || CAST(o_custkey % 4 AS VARCHAR) AS strategy, {PARAMS_SQL} AS params, round(o_totalprice / 100000, 4) AS lift, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE '{EVENT}' END AS event FROM orders")
 subquery("ledger_daily", [], "SELECT l_orderkey AS seq, CAST(l_shipdate AS DATE) AS target_date, CAST(l_linenumber AS INTEGER) AS rank FROM lineitem")
+#: Outcome rows on days that runs share.
+subquery("ledger_hits", [], "SELECT l_orderkey AS seq, DATE '2024-01-01' + CAST(l_linenumber AS INTEGER) AS target_date, CAST(l_quantity AS INTEGER) % 3 AS hit FROM lineitem")
 STANDARD = f"event = '{EVENT}' AND params NOT LIKE '{{broken%' AND params LIKE '%\"months\": 12,%' AND (params LIKE '%\"top_n\": 20}}%' OR params LIKE '%\"top_n\": 20,%')"
 PLAIN = "params NOT LIKE '%strategy_params%'"
 CANON = "'alpha=1,depth=' || CAST(o_custkey % 3 AS VARCHAR)"
@@ -35,7 +38,7 @@ def ledger(spark, d) -> DataFrame:
 def s07(spark, d):
     """Through a written table: partitions before the 15th aren't touched."""
     bars = S.user_bars(spark, d).select("symbol", "date", "open", "close")
-    path = W.scratch_path(spark, "prices")
+    path = fresh_path(spark, "prices")
     bars.where(F.dayofmonth("date") <= 20).write.partitionBy("date").parquet(path)
     new = bars.where((F.dayofmonth("date") >= 15) & ((F.dayofmonth("date") <= 20) | (F.col("symbol").cast("long") % 2 == 0))).withColumn("close", F.round(F.col("close") * 1.01, 6))
     merged = W.upsert_table(spark, path, new, ["symbol", "date"], "date")
@@ -43,11 +46,14 @@ def s07(spark, d):
 
 
 
-@query("s08_replace_slice", ["log"], "SELECT signal_date, symbol, rank, CASE WHEN day(signal_date) % 2 = 0 THEN min(created_ts) OVER (PARTITION BY signal_date) ELSE created_ts END AS created_ts FROM log WHERE day(signal_date) % 2 = 1 OR rank <= 10")
+@query("s08_replace_slice", ["log", "uu"], f"SELECT signal_date, symbol, rank, CASE WHEN day(signal_date) % 2 = 0 THEN min(created_ts) OVER (PARTITION BY signal_date) ELSE created_ts END AS created_ts, CASE WHEN day(signal_date) % 2 = 0 THEN (SELECT max(as_of) FROM uu) ELSE DATE '2023-12-01' END AS universe_as_of, CASE WHEN day(signal_date) % 2 = 0 THEN '{EVENT}' ELSE event END AS event FROM log WHERE day(signal_date) % 2 = 1 OR rank <= 10")
 def s08(spark, d):
-    log = Users(spark, d).log
+    u = Users(spark, d)
+    log = u.log.withColumn("universe_as_of", F.lit("2023-12-01").cast("date"))
     new = log.where((F.dayofmonth("signal_date") % 2 == 0) & (F.col("rank") <= 10))
-    return W.replace_slice(log, new, ["strategy", "signal_date"], run_ts=F.lit("2030-01-01").cast("timestamp")).select("signal_date", "symbol", "rank", "created_ts")
+    as_of = u.universe.agg(F.max("as_of")).first()[0]
+    made = W.replace_slice(log, new, ["strategy", "signal_date"], run_ts=F.lit("2030-01-01").cast("timestamp"), universe_as_of=F.lit(as_of), event=F.lit(EVENT))
+    return made.select("signal_date", "symbol", "rank", "created_ts", "universe_as_of", "event")
 
 
 @query("s09_replace_shadow_slice", ["log"], "SELECT signal_date, symbol, rank, CASE WHEN day(signal_date) % 2 = 0 THEN TIMESTAMP '2030-01-01' ELSE created_ts END AS created_ts FROM log WHERE day(signal_date) % 2 = 1 OR rank <= 10")
@@ -66,9 +72,16 @@ def s10(spark, d):
 
 @query("s11_record_experiment", ["outcomes"], "SELECT target_date, symbol, rank, hit, round(oc_return, 6) + 0.0 AS ret FROM outcomes WHERE rank % 4 <> 1 AND rank % 5 <> 2")
 def s11(spark, d):
-    """Rows that may be recorded: some lack an extreme, some the hit."""
+    """Rows that may be recorded (some lack an extreme, some the hit), through the written ledger; rows of a run that was never
+    committed aren't read."""
     rows = outcomes(Users(spark, d)).select("target_date", "symbol", "rank", F.when(F.col("rank") % 5 != 2, F.col("hit")).alias("hit"), F.col("oc_return").alias("ret"), F.when(F.col("rank") % 4 != 1, F.col("high_return")).alias("oh"), F.col("low_return").alias("ol"))
-    return rounded(X.valid_ledger_rows(rows).select("target_date", "symbol", "rank", "hit", "ret"), "ret")
+    sound = stored(X.valid_ledger_rows(rows), "daily")
+    ledger, daily = fresh_path(spark, "ledger"), fresh_path(spark, "ledger-daily")
+    row = spark.range(1, 2).select("id", F.lit("formula").alias("strategy"))
+    W.record_experiment(spark, ledger, daily, row, sound.withColumn("seq", F.lit(1).cast("long")))
+    sound.withColumn("seq", F.lit(2).cast("long")).write.mode("append").parquet(daily)  # a crash before the ledger row
+    committed = W.recorded_experiments(spark, ledger, daily)[1]
+    return rounded(committed.select("target_date", "symbol", "rank", "hit", "ret"), "ret")
 
 
 @query("s18_list_experiments", ["ledger"], "SELECT id, run_ts, strategy FROM ledger ORDER BY run_ts DESC, id DESC LIMIT 30")
@@ -82,17 +95,19 @@ def s19(spark, d):
     return Users(spark, d).log.agg(F.count_distinct(F.when(touch, F.col("signal_date"))).alias("touch_days"), F.min(F.when(touch, F.col("signal_date"))).alias("first_touch"), F.count_distinct(F.when(~touch, F.col("signal_date"))).alias("archived_days"))
 
 
-PICKED = "SELECT symbol FROM log WHERE rank <= 5 AND signal_date >= DATE '2024-01-20' UNION SELECT symbol FROM outcomes WHERE rank <= 3 AND target_date >= DATE '2024-01-15'"
-
-
-@query("s20_picked_symbols", ["log", "outcomes"], PICKED)
-@query("u03_union_distinct", ["log", "outcomes"], PICKED)
+@query("s20_picked_symbols", ["log", "outcomes"], "SELECT symbol FROM log WHERE rank <= 5 AND signal_date >= DATE '2024-01-20' UNION SELECT symbol FROM outcomes WHERE rank <= 3 AND target_date >= DATE '2024-01-15'")
 def s20(spark, d):
     u = Users(spark, d)
     logged = u.log.where((F.col("rank") <= 5) & (F.col("signal_date") >= "2024-01-20")).select("symbol")
     return logged.union(outcomes(u).where((F.col("rank") <= 3) & (F.col("target_date") >= "2024-01-15")).select("symbol")).distinct()
 
 
+@query("u03_union_distinct", ["log", "uu"], "SELECT symbol FROM log UNION SELECT symbol FROM uu WHERE market_cap > 5000")
+def u03(spark, d):
+    u = Users(spark, d)
+    return u.log.select("symbol").union(u.universe.where("market_cap > 5000").select("symbol")).distinct()
+
+
 @query("k04_latest_standard_experiment", ["ledger"], f"SELECT strategy, id, lift FROM ledger WHERE {STANDARD} AND {PLAIN} QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY run_ts DESC, id DESC) = 1")
 def k04(spark, d):
     return L.latest_standard_experiment(ledger(spark, d)).select("strategy", "id", "lift")
@@ -118,11 +133,18 @@ DONE = f"SELECT DISTINCT strategy, CASE WHEN params LIKE '%strategy_params%' THE
 
 
 @query("a38b_recorded_configs", ["ledger"], DONE)
-@query("canonical_params", ["ledger"], DONE)
 def a38b(spark, d):
     return L.recorded_configs(ledger(spark, d))
 
 
+@query("canonical_params", [], "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_linenumber = 4 THEN NULL ELSE 'a=' || CAST(l_linenumber AS VARCHAR) || ',b=' || CAST(l_suppkey AS VARCHAR) END AS params_key FROM lineitem")
+def canonical(spark, d):
+    """Keys out of order, whole numbers written as decimals, and malformed JSON."""
+    line = F.col("l_linenumber").cast("string")
+    texts = F.when(F.col("l_linenumber") == 4, '{"a": ').otherwise(F.concat(F.lit('{"b": '), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".0").otherwise(""), F.lit(', "a": '), line, F.lit("}")))
+    return S.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), canonical_params(texts).alias("params_key"))
+
+
 SPACE = {"s1": {"depth": [0, 1, 2, 3], "alpha": [1, 2]}, "s2": {"depth": [1.0, 5.0], "alpha": [1]}}
 GRID_SQL = "SELECT 's1' AS strategy, '{\"alpha\": ' || a || ', \"depth\": ' || b || '}' AS params, CAST((a - 1) * 4 + b AS INTEGER) AS place, 'alpha=' || a || ',depth=' || b AS k FROM (VALUES (1), (2)) x(a), (VALUES (0), (1), (2), (3)) y(b) UNION ALL SELECT 's2', '{\"alpha\": 1, \"depth\": ' || b || '.0}', CAST(8 + CASE WHEN b = 5 THEN 1 ELSE 0 END AS INTEGER), 'alpha=1,depth=' || b FROM (VALUES (1), (5)) y(b)"
 
@@ -143,23 +165,54 @@ def m12(spark, d):
     return L.pending_configs(known(spark, d), ledger(spark, d), 6)
 
 
-BANDS = [(n, L.promotion_band(n), L.family_correction(n)) for n in (1, 4, 24, 64, 200)]
+@query("m12b_queue_entries", [], "SELECT 's' || CAST(o_orderkey % 3 AS VARCHAR) AS strategy, '{\"depth\":' || CAST(o_orderkey AS VARCHAR) || '}' AS params, count(*) OVER (PARTITION BY o_orderkey % 5 < 3) AS n_entries, (SELECT count(*) FROM orders WHERE o_custkey < 40 AND o_orderkey % 5 >= 3) AS n_malformed FROM orders WHERE o_custkey < 40 AND o_orderkey % 5 < 3")
+def m12b(spark, d):
+    """A queue file of some customers' orders; some entries have no strategy, some a list for params."""
+    key = F.col("o_orderkey")
+    own = F.concat(F.lit('"strategy": "s'), (key % 3).cast("string"), F.lit('", "params": '))
+    item = F.when(key % 5 == 3, F.lit('{"strategy": 7, "params": {}}')).when(key % 5 == 4, F.concat(F.lit("{"), own, F.lit("[1]}"))).otherwise(F.concat(F.lit("{"), own, F.lit('{"depth": '), key.cast("string"), F.lit('}, "note": "x"}')))
+    path = fresh_path(spark, "queue")
+    S.read_table(spark, d, "orders").where("o_custkey < 40").select(item.alias("i")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("i"), ","), F.lit("]")).alias("value")).write.text(path)
+    entries, malformed = L.load_queue(spark, path)
+    return entries.select("strategy", "params", F.lit(entries.count()).cast("long").alias("n_entries"), F.lit(malformed).cast("long").alias("n_malformed"))
 
 
-@query("m13_promotion_band", ["ledger"], f"SELECT strategy, n, CAST(band AS DOUBLE) AS band FROM (SELECT strategy, count(*) AS n FROM ledger WHERE {STANDARD} GROUP BY 1), (SELECT * FROM (VALUES {', '.join(f'({n}, {b})' for n, b, _ in BANDS)}) b(tier, band)) WHERE tier = (SELECT max(k) FROM (VALUES {', '.join(f'({n})' for n, _, _ in BANDS)}) t(k) WHERE k <= n)")
+#: The inverse normal distribution's lower tail as a quotient of polynomials (fixed values; good to nine digits), for families of two and more.
+TAIL = "sqrt(-2 * ln(0.05 / (2 * n)))"
+QUANTILE = (
+    "-(((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838e+00) * q - 2.549732539343734e+00) * q + 4.374664141464968e+00) * q + 2.938163982698783e+00)"
+    " / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996e+00) * q + 3.754408661907416e+00) * q + 1)"
+)
+
+
+def band_sql(sized: str) -> str:
+    return f"SELECT *, greatest(0.27, round(({QUANTILE}) * 0.08, 4)) AS band FROM (SELECT *, {TAIL} AS q FROM ({sized}))"
+
+
+@query("m13_promotion_band", ["ledger"], f"SELECT strategy, n, CAST(band AS DOUBLE) AS band FROM ({band_sql(f'SELECT strategy, count(*) AS n FROM ledger WHERE {STANDARD} GROUP BY 1')})")
 def m13(spark, d):
-    """Each strategy's band at the greatest tabled family size up to its own."""
-    sized = L.standard(ledger(spark, d)).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
-    band = F.lit(None).cast("double")
-    for n, b, _ in BANDS:
-        band = F.when(F.col("n") >= n, F.lit(b)).otherwise(band)
-    return sized.withColumn("band", band)
+    """Each strategy's band for exactly the runs that the ledger has of it."""
+    return L.with_band(L.standard(ledger(spark, d)).groupBy("strategy").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("m14_promotion_candidates", ["ledger"], f"SELECT id, lift FROM (SELECT id, lift FROM ledger WHERE {STANDARD} ORDER BY lift DESC, id LIMIT 1) WHERE lift >= 1.0 + {L.promotion_band(24)} - 1e-9 AND id % 2 >= 0")
+@query(
+    "m14_promotion_candidates",
+    ["ledger", "ledger_hits"],
+    f"""SELECT batch, id, lift, band, beats, holds, beats AND holds AS promoted FROM (SELECT b.batch, b.id, b.lift, CAST(f.band AS DOUBLE) AS band, b.lift - c.lift > f.band - 1.0000001e-9 AS beats, coalesce(h.holds, FALSE) AS holds FROM
+      (SELECT strategy || '-' || CAST(year(run_ts) AS VARCHAR) AS batch, id, lift FROM ledger WHERE {STANDARD} AND strategy <> 's0' QUALIFY row_number() OVER (PARTITION BY batch ORDER BY lift DESC, id) = 1) b,
+      (SELECT id, lift FROM ledger WHERE {STANDARD} AND {PLAIN} AND strategy = 's0' ORDER BY run_ts DESC, id DESC LIMIT 1) c,
+      ({band_sql(f'SELECT count(*) AS n FROM ledger WHERE {STANDARD}')}) f
+      LEFT JOIN (SELECT mine, days >= 4 AND early > 0 AND late > 0 AS holds FROM (SELECT mine, count(*) AS days, avg(gap) FILTER (place <= days_shared // 2) AS early, avg(gap) FILTER (place > days_shared // 2) AS late FROM
+        (SELECT x.seq AS mine, x.p - y.p AS gap, row_number() OVER (PARTITION BY x.seq ORDER BY x.target_date) AS place, count(*) OVER (PARTITION BY x.seq) AS days_shared FROM (SELECT seq, target_date, avg(hit) AS p FROM ledger_hits GROUP BY ALL) x
+          JOIN (SELECT seq, target_date, avg(hit) AS p FROM ledger_hits GROUP BY ALL) y ON y.target_date = x.target_date AND y.seq = (SELECT id FROM ledger WHERE {STANDARD} AND {PLAIN} AND strategy = 's0' ORDER BY run_ts DESC, id DESC LIMIT 1)) GROUP BY 1)) h ON h.mine = b.id)""",
+)
 def m14(spark, d):
-    batch = L.standard(ledger(spark, d))
-    return L.promotion_candidates(batch.select("id", "lift"), 1.0, L.promotion_band(24), batch.select("id"))
+    """The best run of each strategy and year against the newest default run of one strategy."""
+    runs = L.standard(ledger(spark, d))
+    champion = L.latest_standard_experiment(runs.where("strategy = 's0'")).select("id", "lift")
+    batches = runs.where("strategy <> 's0'").select(F.concat("strategy", F.lit("-"), F.year("run_ts").cast("string")).alias("batch"), "id", "lift")
+    daily = S.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("l_linenumber")).alias("target_date"), (F.col("l_quantity").cast("int") % 3).alias("hit"))
+    return L.promotion_verdicts(batches, champion, runs.agg(F.count(F.lit(1)).alias("n")), daily)
 
 
 @query("m10_compare_verdict", ["ledger"], f"SELECT lift_a, lift_b, CASE WHEN lift_a IS NULL OR lift_b IS NULL THEN 'undecided' WHEN lift_a = lift_b THEN 'tie' WHEN abs(lift_a - lift_b) < 0.1 - 1e-9 THEN 'within_noise' WHEN lift_a > lift_b THEN 'a' ELSE 'b' END AS verdict FROM (SELECT round(avg(lift), 6) + 0.0 AS lift_a FROM ledger WHERE {STANDARD} AND strategy = 's1'), (SELECT round(avg(lift), 6) + 0.0 AS lift_b FROM ledger WHERE {STANDARD} AND strategy = 's2')")

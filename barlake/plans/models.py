@@ -8,16 +8,19 @@ from barlake.operators import ml as M
 from barlake.plans.daily import rounded
 from barlake.plans.inputs import nation_features
 from barlake.plans.registry import query, subquery
-from barlake.sources.writers import scratch_path
+from barlake.sources import writers as W
+from barlake.sources.shared import fresh_path, stored
 
-MONTHS = 3
+MONTHS, TOP_N = 12, 20
+#: Small tables fill no fold: then the benchmarks have no rows.
+RUNS = "(SELECT * FROM folds WHERE (SELECT count(*) FROM nlab WHERE target_date < month_start) >= 10000)"
 subquery("nlab", ["nfeat"], "SELECT * FROM nfeat WHERE did_2pct_next IS NOT NULL")
 subquery("folds", ["nlab"], f"SELECT month_start, last_day(month_start) AS month_end FROM (SELECT DISTINCT CAST(date_trunc('month', target_date) AS DATE) AS month_start FROM nlab) ORDER BY 1 DESC LIMIT {MONTHS}")
 
 
 def history(spark, d):
     """The feature frame as a table, since every fold reads it."""
-    path = scratch_path(spark, "features")
+    path = fresh_path(spark, "features")
     nation_features(spark, d).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -31,9 +34,9 @@ def m01(spark, d):
     return M.month_folds(nation_features(spark, d).where("did_2pct_next IS NOT NULL"), MONTHS)
 
 
-@query("m02_walk_forward_split", ["folds", "nlab"], "SELECT month_start, month_end, count(CASE WHEN target_date < month_start THEN 1 END) AS n_train, count(CASE WHEN target_date BETWEEN month_start AND month_end THEN 1 END) AS n_test, count(CASE WHEN target_date < month_start THEN 1 END) >= 1000 AND count(CASE WHEN target_date BETWEEN month_start AND month_end THEN 1 END) > 0 AS runs FROM folds, nlab GROUP BY 1, 2")
+@query("m02_walk_forward_split", ["folds", "nlab"], "SELECT month_start, month_end, count(CASE WHEN target_date < month_start THEN 1 END) AS n_train, count(CASE WHEN target_date BETWEEN month_start AND month_end THEN 1 END) AS n_test, count(CASE WHEN target_date < month_start THEN 1 END) >= 10000 AND count(CASE WHEN target_date BETWEEN month_start AND month_end THEN 1 END) > 0 AS runs FROM folds, nlab GROUP BY 1, 2")
 def m02(spark, d):
-    return M.walk_forward_split(nation_features(spark, d), MONTHS, 1000)
+    return M.walk_forward_split(nation_features(spark, d), MONTHS)
 
 
 @query("m03_strategy_registry")
@@ -51,28 +54,51 @@ def _fit(name, **params):
     return run
 
 
-query("m04_gbt_strategy")(_fit("gbt", max_iter=20))
+query("m04_gbt_strategy")(_fit("gbt"))
 query("m05_logreg_strategy")(_fit("logreg"))
-query("m06_stochastic_gbt_strategy")(_fit("stochastic_gbt", n_estimators=20))
+query("m06_stochastic_gbt_strategy")(_fit("stochastic_gbt"))
 
 
 @query("m07_run_benchmark")
 def m07(spark, d):
-    return M.run_benchmark(history(spark, d), "logreg", months=MONTHS, top_n=5, min_train=1000)
+    """A logistic regression benchmarked and recorded; the ledger row as readers find it."""
+    ledger, daily = fresh_path(spark, "ledger"), fresh_path(spark, "ledger-daily")
+    M.record_benchmark(spark, M.run_benchmark(history(spark, d), "logreg", MONTHS, TOP_N), ledger, daily, run_id=1, run_ts="2024-02-01 00:00:00")
+    runs, rows = W.recorded_experiments(spark, ledger, daily)
+    counts = rows.groupBy(F.col("seq").alias("id")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("target_date").alias("n_days"))
+    return runs.join(counts, "id")
+
+
+PICKED = f"(SELECT n.*, row_number() OVER (PARTITION BY signal_date ORDER BY prob DESC, symbol) AS rank FROM nscored n JOIN {RUNS} ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL AND median_vol_20 >= 100000 QUALIFY rank <= 20)"
 
 
 @query(
     "m07b_run_benchmark_formula",
-    ["folds", "nscored"],
-    """SELECT round(p_n, 6) + 0.0 AS precision_at_n, days, round(base, 6) + 0.0 AS base_rate, n_rows, round(p_n / base, 6) + 0.0 AS lift FROM
-      (SELECT avg(a) AS p_n, count(*) AS days FROM (SELECT target_date, avg(did_2pct_next) AS a FROM (SELECT n.* FROM nscored n JOIN folds ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL AND median_vol_20 >= 100000 QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY prob DESC, symbol) <= 5) GROUP BY 1)),
-      (SELECT avg(did_2pct_next) AS base, count(*) AS n_rows FROM nscored JOIN folds ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL)""",
+    ["folds", "nscored", "nlab"],
+    f"""SELECT round(p_n, 6) + 0.0 AS precision_at_n, days, round(base, 6) + 0.0 AS base_rate, n_rows, round(p_n / base, 6) + 0.0 AS lift FROM
+      (SELECT avg(a) AS p_n, count(*) AS days FROM (SELECT target_date, avg(did_2pct_next) AS a FROM {PICKED} GROUP BY 1)),
+      (SELECT avg(did_2pct_next) AS base, count(*) AS n_rows FROM nscored JOIN {RUNS} ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL) WHERE n_rows > 0""",
 )
 def m07b(spark, d):
-    made = M.run_benchmark(history(spark, d), "formula", months=MONTHS, top_n=5, min_train=1)
+    made = M.run_benchmark(history(spark, d), "formula", MONTHS, TOP_N).metrics
     return rounded(made.select("precision_at_n", "days", "base_rate", "n_rows", "lift"), "precision_at_n", "base_rate", "lift")
 
 
+@query("m07c_benchmark_outcomes", ["folds", "nscored", "nlab"], f"SELECT target_date, CAST(rank AS INTEGER) AS rank, symbol, did_2pct_next AS hit, round(next_oc_return, 6) + 0.0 AS ret, round(next_high_return, 6) + 0.0 AS oh, round(next_low_return, 6) + 0.0 AS ol FROM {PICKED}")
+def m07c(spark, d):
+    return rounded(M.run_benchmark(history(spark, d), "formula", MONTHS, TOP_N).daily, "ret", "oh", "ol")
+
+
+LIFTS = ", ".join(f"(SELECT avg(a) / max(base) AS lift_{side} FROM (SELECT target_date, avg(did_2pct_next) AS a FROM {PICKED.replace('20)', '5)') if side == 'a' else PICKED.replace('prob DESC, ', '').replace('20)', '5)')} GROUP BY 1), (SELECT avg(did_2pct_next) AS base FROM nscored JOIN {RUNS} ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL))" for side in "ab")
+
+
+@query("m10b_compare_strategies", ["folds", "nscored", "nlab"], f"SELECT round(lift_a, 6) + 0.0 AS lift_a, round(lift_b, 6) + 0.0 AS lift_b, CASE WHEN abs(lift_a - lift_b) < 0.1 - 1e-9 THEN 'within_noise' WHEN lift_a > lift_b THEN 'a' ELSE 'b' END AS verdict FROM {LIFTS} WHERE lift_a IS NOT NULL")
+def m10b(spark, d):
+    """The formula against a constant, five names a day on the same folds."""
+    made = M.compare_strategies(history(spark, d), "formula", "constant", months=MONTHS, top_n=5)
+    return rounded(made.select("lift_a", "lift_b", "verdict"), "lift_a", "lift_b")
+
+
 @query("m08_predict_for", ["nscored"], "SELECT signal_date, symbol, prob, CAST(row_number() OVER (ORDER BY prob DESC, symbol) AS INTEGER) AS rank FROM nscored WHERE signal_date = (SELECT max(signal_date) FROM nscored WHERE did_2pct_next IS NOT NULL) AND median_vol_20 >= 100000 ORDER BY rank LIMIT 10")
 def m08(spark, d):
     frame = history(spark, d)
@@ -81,6 +107,11 @@ def m08(spark, d):
 
 @query("m15_shadow_predict")
 def m15(spark, d):
+    """Challengers' picks in the shadow log; a second run of the day replaces the first."""
     frame = history(spark, d)
     roster = [{"strategy": "formula"}, {"strategy": "logreg", "params": {"reg": 0.01}}, {"strategy": "nonesuch"}]
-    return rounded(M.shadow_predict(frame, roster, last_day_of(frame), top_n=5)[0], "prob")
+    day = last_day_of(frame)
+    logged = spark.createDataFrame([], "signal_date date, symbol string, prob double, rank int, challenger string, strategy string, created_ts timestamp, universe_as_of date, event string")
+    for hour in (9, 10):
+        logged = stored(M.run_shadow(frame, logged, roster, day, run_ts=F.lit(f"2030-01-01 {hour:02d}:00:00").cast("timestamp"), universe_as_of="2024-01-01", top_n=5)[0], "shadow")
+    return rounded(logged, "prob")

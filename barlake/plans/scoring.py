@@ -37,15 +37,19 @@ def probabilities(spark, d) -> DataFrame:
     return X.formula_score(nation_features(spark, d)).where("did_2pct_next IS NOT NULL").select(F.col("target_date").alias("date"), "symbol", "prob", F.col("did_2pct_next").alias("label"), "median_vol_20", "signal_date")
 
 
-DAYS = f"SELECT signal_date, target_date, n_scored, hits, late, {R.format('precision')}, {R.format('base_rate')}, {R.format('lift')} FROM days"
-
-
-@query("a07_score_days", ["days"], DAYS)
-@query("j05_three_way_join", ["days"], DAYS)
+@query("a07_score_days", ["days"], f"SELECT signal_date, target_date, n_scored, hits, late, {R.format('precision')}, {R.format('base_rate')}, {R.format('lift')} FROM days")
 def a07(spark, d):
     return rounded(days(Users(spark, d)), "precision", "base_rate", "lift")
 
 
+@query("j05_three_way_join", ["touchlog", "resolved", "ur"], "SELECT symbol, signal_date, target_date, rank, round(close, 6) + 0.0 AS close FROM touchlog JOIN resolved USING (signal_date) JOIN (SELECT symbol, date AS target_date, close FROM ur) USING (symbol, target_date)")
+def j05(spark, d):
+    """Predictions, the day that they resolve to, and that day's bar."""
+    u = Users(spark, d)
+    picks = P.resolved_log(u.log, u.complete)
+    return rounded(picks.join(u.returns.select("symbol", F.col("date").alias("target_date"), "close"), ["symbol", "target_date"]).select("symbol", "signal_date", "target_date", "rank", "close"), "close")
+
+
 @query("a07b_pending_days", ["touchlog", "resolved"], "SELECT DISTINCT signal_date FROM touchlog WHERE signal_date NOT IN (SELECT signal_date FROM resolved)")
 def a07b(spark, d):
     u = Users(spark, d)
@@ -92,10 +96,17 @@ def a14(spark, d):
     return rounded(P.live_record(days(Users(spark, d))), "precision", "base_rate", "lift", "excess")
 
 
-@query("a15_shadow_scores", ["days"], "SELECT challenger, count(CASE WHEN NOT late THEN 1 END) AS live_days, count(CASE WHEN late THEN 1 END) AS late_days, round(avg(CASE WHEN NOT late THEN precision END), 6) + 0.0 AS mean_precision, round(avg(CASE WHEN NOT late THEN base_rate END), 6) + 0.0 AS mean_base_rate, round(avg(CASE WHEN NOT late THEN lift END), 6) + 0.0 AS mean_lift, count(CASE WHEN NOT late AND lift IS NOT NULL THEN 1 END) AS lift_days FROM (SELECT *, 'c' || CAST(day(signal_date) % 3 AS VARCHAR) AS challenger FROM days) GROUP BY 1")
+CHALLENGER = "'c' || CAST(day(signal_date) % 3 AS VARCHAR) AS challenger"
+
+
+@query("a15_shadow_scores", ["days", "touchlog", "resolved"], f"""SELECT challenger, coalesce(live_days, 0) AS live_days, coalesce(late_days, 0) AS late_days, coalesce(pending_days, 0) AS pending_days, coalesce(lift_days, 0) AS lift_days, {R.format('mean_precision')}, {R.format('mean_base_rate')}, {R.format('mean_lift')} FROM
+  (SELECT {CHALLENGER}, count(*) FILTER (NOT late) AS live_days, count(*) FILTER (late) AS late_days, avg(precision) FILTER (NOT late) AS mean_precision, avg(base_rate) FILTER (NOT late) AS mean_base_rate, avg(lift) FILTER (NOT late) AS mean_lift, count(lift) FILTER (NOT late) AS lift_days FROM days GROUP BY 1)
+  FULL JOIN (SELECT {CHALLENGER}, count(DISTINCT signal_date) AS pending_days FROM touchlog WHERE signal_date NOT IN (SELECT signal_date FROM resolved) GROUP BY 1) USING (challenger)""")
 def a15(spark, d):
-    marked = days(Users(spark, d)).withColumn("challenger", F.concat(F.lit("c"), (F.dayofmonth("signal_date") % 3).cast("string")))
-    return rounded(P.shadow_scores(marked), "mean_precision", "mean_base_rate", "mean_lift")
+    u = Users(spark, d)
+    name = F.concat(F.lit("c"), (F.dayofmonth("signal_date") % 3).cast("string"))
+    marked, waiting = (x.withColumn("challenger", name) for x in (days(u), P.pending_days(u.log, u.complete)))
+    return rounded(P.shadow_scores(marked, waiting), "mean_precision", "mean_base_rate", "mean_lift")
 
 
 @query("a29_reliability_table", ["nbucket"], "SELECT CAST(k AS INTEGER) AS bucket, mean_pred, reach_rate, coalesce(n, 0) AS n FROM range(10) t(k) LEFT JOIN nbucket ON bucket = k")
@@ -123,10 +134,18 @@ def a32(spark, d):
     return rounded(C.regime_report(probabilities(spark, d)), "base_min", "base_max", "bss", "slope")
 
 
-@query("a33_calibration_report", ["nbucket", "regimed"], f"SELECT round(slope, 6) + 0.0 AS slope, {R.format('bss')}, n_buckets FROM (SELECT {SLOPE} AS slope, count(*) AS n_buckets FROM nbucket), (SELECT {BRIER} FROM regimed)")
+@query("a33_calibration_report", ["nbucket", "regimed"], f"SELECT n, n_days, round(slope, 6) + 0.0 AS slope, {R.format('brier')}, {R.format('bss')}, n_buckets, regimes FROM (SELECT {SLOPE} AS slope, count(*) AS n_buckets FROM nbucket), (SELECT count(*) AS n, count(DISTINCT date) AS n_days, {BRIER} FROM regimed), (SELECT string_agg(regime || ':' || CAST(k AS VARCHAR), ',' ORDER BY regime) AS regimes FROM (SELECT regime, count(*) AS k FROM regimed GROUP BY 1))")
 def a33(spark, d):
     report = C.calibration_report(probabilities(spark, d))
-    return rounded(report.select("slope", "bss", F.size(F.filter("buckets", lambda b: b["n"] > 0)).cast("long").alias("n_buckets")), "slope", "bss")
+    filled = F.size(F.filter("reliability", lambda b: b["n"] > 0)).cast("long").alias("n_buckets")
+    regimes = F.array_join(F.transform("regimes", lambda r: F.concat(r["regime"], F.lit(":"), r["n"].cast("string"))), ",").alias("regimes")
+    return rounded(report.select("n", "n_days", "slope", "brier", "bss", filled, regimes), "slope", "brier", "bss")
+
+
+@query("a33b_pick_calibration", ["probs"], f"""SELECT n, n_days, round(slope, 6) + 0.0 AS slope FROM (SELECT {SLOPE} AS slope, CAST(sum(n) AS BIGINT) AS n FROM (SELECT least(9, floor(prob * 10 + 1e-9)) AS bucket, round(avg(prob) + 1e-9, 4) AS mean_pred, round(avg(label) + 1e-9, 4) AS reach_rate, count(*) AS n FROM picked GROUP BY 1)), (SELECT count(DISTINCT date) AS n_days FROM picked)""".replace("picked", f"(SELECT * FROM probs WHERE median_vol_20 >= {LIQUIDITY} QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY prob DESC, symbol) <= 10)"))
+def a33b(spark, d):
+    picks = X.select_top(probabilities(spark, d), 10, LIQUIDITY)
+    return rounded(C.pick_calibration(picks, 10).select("n", "n_days", "slope"), "slope")
 
 
 @query(
@@ -138,9 +157,14 @@ def a34(spark, d):
     return rounded(C.expected_calibration_error(C.reliability_table(probabilities(spark, d))), "ece")
 
 
-@query("a35_auc", ["probs"], "SELECT round(sum(pos * (under + neg / 2)) / (sum(pos) * sum(neg)), 6) + 0.0 AS auc FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM (SELECT prob, sum(label) AS pos, sum(1 - label) AS neg FROM probs GROUP BY 1))")
+#: The sum of the positives' mid-ranks, of a score that is hardly ever tied.
+RANKS = "SELECT label, rank() OVER (ORDER BY raw) + (count(*) OVER (PARTITION BY raw) - 1) / 2 AS mid FROM (SELECT label, prob + close_pos * 1e-6 AS raw FROM (SELECT p.*, f.close_pos FROM probs p JOIN nfeat f USING (symbol, signal_date)) WHERE close_pos IS NOT NULL)"
+
+
+@query("a35_auc", ["probs", "nfeat"], f"SELECT round((sum(mid) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) + 0.0 AS auc FROM ({RANKS})")
 def a35(spark, d):
-    return rounded(C.auc(probabilities(spark, d)), "auc")
+    scored = X.formula_score(nation_features(spark, d)).where("did_2pct_next IS NOT NULL AND close_pos IS NOT NULL")
+    return rounded(C.auc(scored.select((F.col("prob") + F.col("close_pos") * 1e-6).alias("prob"), F.col("did_2pct_next").alias("label"))), "auc")
 
 
 @query(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from functools import cached_property
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from barlake.operators import bars as B
 from barlake.operators import exits as X
@@ -14,6 +15,8 @@ from barlake.plans.inputs import Users, bars_sql, touch_sql
 from barlake.plans.registry import query, subquery
 from barlake.plans.scoring import outcomes
 from barlake.sources import tables as S
+from barlake.sources import writers as W
+from barlake.sources.shared import fresh_path, stored
 
 MINUTES, OPEN = 60, 0
 SLOT = "CAST(floor(date_diff('second', CAST(date AS TIMESTAMP), ts) / 3600) AS BIGINT)"
@@ -58,23 +61,37 @@ subquery(
       (SELECT *, greatest(max(high) OVER (PARTITION BY symbol, date ORDER BY ts ROWS UNBOUNDED PRECEDING), d_open) * (1 - 0.01) AS trigger, coalesce(lead(open) OVER (PARTITION BY symbol, date ORDER BY ts), close) AS after FROM
         (SELECT i.*, d.open AS d_open, {SLOT.replace('date AS', 'i.date AS').replace(', ts)', ', i.ts)')} AS slot FROM ib i JOIN tr d ON d.symbol = i.symbol AND d.date = i.date JOIN iagree g ON g.symbol = i.symbol AND g.date = i.date AND g.agrees)) GROUP BY 1, 2, 3) WHERE f = 0 AND n = l + 1""",
 )
-#: Picks with session knowledge by rule: a verdict, a measured fill and a trailing exit for some.
+#: Event types as picks, those of the day's greatest volume first, with what their sessions know.
 subquery(
     "epicks",
-    ["outcomes"],
-    """SELECT target_date, symbol, rank, late, hit, low_return AS ol, oc_return AS oc, hit = 1 AS filled, CASE WHEN CAST(symbol AS BIGINT) % 3 = 0 THEN NULL ELSE CAST(CAST(symbol AS BIGINT) % 3 AS INTEGER) END AS seq,
-      CASE WHEN CAST(symbol AS BIGINT) % 4 = 1 THEN -0.008 WHEN CAST(symbol AS BIGINT) % 4 = 2 THEN -0.013 END AS fill, CASE WHEN CAST(symbol AS BIGINT) % 5 <> 2 THEN oc_return / 2 END AS trail FROM outcomes""",
+    ["tr", "order60", "fills60", "trails"],
+    f"""SELECT p.date AS target_date, p.symbol, rank, CAST(hit AS INTEGER) AS hit, low_return AS ol, oc_return AS oc, hit AS filled, seq, fill, trail FROM (SELECT *, {touch_sql()} AS hit, CAST(row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS INTEGER) AS rank FROM tr) p
+      LEFT JOIN order60 o ON o.symbol = p.symbol AND o.date = p.date LEFT JOIN fills60 f ON f.symbol = p.symbol AND f.date = p.date LEFT JOIN trails t ON t.symbol = p.symbol AND t.date = p.date""",
 )
 
 
 class Sessions:
+    """Days, hours and half hours of event types, each a table: what is asked of them reads them more than once."""
+
     def __init__(self, spark, d):
-        self.daily = S.type_days(spark, d)
-        self.returns = B.daily_returns(self.daily)
-        self.bars = S.session_bars(spark, d)
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return stored(B.daily_returns(S.type_days(self.spark, self.d)), "type-days")
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return stored(S.session_bars(self.spark, self.d), "hours")
+
+    @cached_property
+    def half_hours(self) -> DataFrame:
+        return stored(S.session_bars(self.spark, self.d, 30), "half-hours")
+
+    @property
+    def holed(self) -> DataFrame:
         hour, day = F.hour("ts"), F.dayofmonth("date")
-        self.holed = self.bars.where(~((day % 4 == 1) & (hour == 2)) & ~((day == 7) & (hour > 12)))
-        self.half_hours = S.session_bars(spark, d, 30)
+        return self.bars.where(~((day % 4 == 1) & (hour == 2)) & ~((day == 7) & (hour > 12)))
 
     def order(self, bars: DataFrame, minutes: int) -> DataFrame:
         return I.trigger_order(self.returns, self.returns, bars, bar_minutes=minutes, open_minutes=OPEN)
@@ -84,11 +101,14 @@ class Sessions:
 
 
 def exit_picks(spark, d) -> DataFrame:
-    k = F.col("symbol").cast("long")
-    return outcomes(Users(spark, d)).select(
-        "target_date", "symbol", "rank", "late", "hit", F.col("low_return").alias("ol"), F.col("oc_return").alias("oc"), (F.col("hit") == 1).alias("filled"),
-        F.when(k % 3 != 0, (k % 3).cast("int")).alias("seq"), F.when(k % 4 == 1, -0.008).when(k % 4 == 2, -0.013).alias("fill"), F.when(k % 5 != 2, F.col("oc_return") / 2).alias("trail"),
-    )
+    """Event types as picks, those of the day's greatest volume first, with what their sessions know."""
+    s = Sessions(spark, d)
+    nth = Window.partitionBy("target_date").orderBy(F.desc("volume"), "symbol")
+    hit = B.touch_event()
+    named = s.returns.withColumnRenamed("date", "target_date")
+    picks = named.select("target_date", "symbol", F.row_number().over(nth).alias("rank"), hit.cast("int").alias("hit"), F.col("low_return").alias("ol"), F.col("oc_return").alias("oc"), hit.alias("filled"))
+    trails = I.trailing_exits(s.returns, s.bars, bar_minutes=MINUTES, open_minutes=OPEN)
+    return stored(I.attach_outcomes(picks, s.order(s.holed, 60), s.fills(s.holed, 60), trails), "picks")
 
 
 @query("a27_session_agreement", ["iagree"], "SELECT symbol, date, n_bars, s_open, agrees FROM iagree")
@@ -101,37 +121,58 @@ COVER = "SELECT interval, date, n_bars, symbols, last_minute, trailing_median, l
 
 
 @query("a28_session_coverage", ["ibh"], COVER)
-@query("w09_interval_median", ["ibh"], COVER)
 def a28(spark, d):
     return I.session_coverage(Sessions(spark, d).holed, bar_minutes=MINUTES, close_minutes=1440)
 
 
+@query("w09_interval_median", ["ibh"], "SELECT interval, date, symbols, (SELECT median(n) FROM (SELECT e.date, count(DISTINCT e.symbol) AS n FROM ibh e WHERE e.interval = c.interval AND e.date < c.date GROUP BY 1 ORDER BY 1 DESC LIMIT 5)) AS trailing_median FROM (SELECT interval, date, count(DISTINCT symbol) AS symbols FROM ibh GROUP BY 1, 2) c")
+def w09(spark, d):
+    return I.session_coverage(Sessions(spark, d).holed, bar_minutes=MINUTES, close_minutes=1440).select("interval", "date", "symbols", "trailing_median")
+
+
 @query("a28b_coverage_problems", ["ibh"], f"SELECT * FROM ({COVER}) WHERE truncated OR thin")
 def a28b(spark, d):
     return I.coverage_problems(I.session_coverage(Sessions(spark, d).holed, bar_minutes=MINUTES, close_minutes=1440))
 
 
-ORDER = "SELECT symbol, date, reason, CAST(seq AS INTEGER) AS seq FROM order60"
-
-
-@query("e02_trigger_order", ["order60"], ORDER)
-@query("j11_decorrelated_counts", ["order60"], ORDER)
-@query("j12_left_joins", ["order60"], ORDER)
+@query("e02_trigger_order", ["order60"], "SELECT symbol, date, reason, CAST(seq AS INTEGER) AS seq FROM order60")
 def e02(spark, d):
     s = Sessions(spark, d)
     return s.order(s.holed, 60)
 
 
-BEST = "SELECT symbol, date, reason, CAST(seq AS INTEGER) AS seq, layer FROM orderbest"
+@query("j11_decorrelated_counts", ["ibh"], "SELECT symbol, date, ts, (SELECT count(DISTINCT hour(e.ts)) FROM ibh e WHERE e.symbol = b.symbol AND e.date = b.date AND e.ts <= b.ts) AS slots_so_far FROM ibh b")
+def j11(spark, d):
+    """For every bar the slots of its session up to it: a running count of first occurrences for a correlated subquery."""
+    slotted = Sessions(spark, d).holed.withColumn("slot", F.hour("ts"))
+    first = F.row_number().over(Window.partitionBy("symbol", "date", "slot").orderBy("ts")) == 1
+    so_far = F.sum(F.when(first, 1).otherwise(0)).over(Window.partitionBy("symbol", "date").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0))
+    return slotted.select("symbol", "date", "ts", so_far.cast("long").alias("slots_so_far"))
 
 
-@query("e03_trigger_order_best", ["orderbest"], BEST)
-@query("j14_layered_resolve", ["orderbest"], BEST)
+@query("j12_left_joins", ["tr", "ib30"], "SELECT t.symbol, t.date, CASE WHEN g.n IS NULL THEN 'no_intraday' WHEN abs(g.s_high - t.high) <= 0.001 * t.open AND abs(g.s_low - t.low) <= 0.001 * t.open THEN 'agrees' ELSE 'disagrees' END AS state FROM tr t LEFT JOIN (SELECT symbol, date, count(*) AS n, max(high) AS s_high, min(low) AS s_low FROM ib30 WHERE day(date) % 3 <> 0 AND NOT (day(date) = 7 AND hour(ts) > 12) GROUP BY 1, 2) g USING (symbol, date)")
+def j12(spark, d):
+    """No sessions at all is told from sessions that disagree."""
+    s, day = Sessions(spark, d), F.dayofmonth("date")
+    agree = I.session_agreement(s.returns, s.half_hours.where((day % 3 != 0) & ~((day == 7) & (F.hour("ts") > 12))))
+    state = F.when(F.col("agrees").isNull(), "no_intraday").when(F.col("agrees"), "agrees").otherwise("disagrees")
+    return s.returns.select("symbol", "date").join(agree, ["symbol", "date"], "left").select("symbol", "date", state.alias("state"))
+
+
+@query("e03_trigger_order_best", ["orderbest"], "SELECT symbol, date, reason, CAST(seq AS INTEGER) AS seq, layer FROM orderbest")
 def e03(spark, d):
     s = Sessions(spark, d)
     return I.best_of([s.order(s.half_hours, 30), s.order(s.holed, 60)], F.col("seq").isNotNull())
 
 
+@query("j14_layered_resolve", ["order30", "order60"], "SELECT symbol, date, reason FROM order60 WHERE (symbol, date) NOT IN (SELECT (symbol, date) FROM order30 WHERE seq IS NOT NULL)")
+def j14(spark, d):
+    """What the finer layer left open, by an anti join on what it resolved."""
+    s = Sessions(spark, d)
+    done = s.order(s.half_hours, 30).where("seq IS NOT NULL").select("symbol", "date")
+    return s.order(s.holed, 60).join(done, ["symbol", "date"], "left_anti").select("symbol", "date", "reason")
+
+
 @query("e04_stop_fills", ["fills60"], f"SELECT symbol, date, {R.format('fill')} FROM fills60")
 def e04(spark, d):
     s = Sessions(spark, d)
@@ -154,17 +195,24 @@ VALIDATION = "SELECT count(CASE WHEN a.seq IS NOT NULL AND b.seq IS NOT NULL THE
 
 
 @query("e07_order_validation", ["order60", "order30"], VALIDATION)
-@query("j13_full_outer_merge", ["order60", "order30"], VALIDATION)
 def e07(spark, d):
     s = Sessions(spark, d)
     return I.order_validation(s.order(s.holed, 60), s.order(s.half_hours, 30))
 
 
+@query("j13_full_outer_merge", ["ibh", "ib30"], "SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.date, b.date) AS date, a.n AS hours, b.n AS half_hours FROM (SELECT symbol, date, count(*) AS n FROM ibh WHERE day(date) % 3 <> 0 GROUP BY 1, 2) a FULL JOIN (SELECT symbol, date, count(*) AS n FROM ib30 WHERE day(date) % 4 <> 0 GROUP BY 1, 2) b ON a.symbol = b.symbol AND a.date = b.date")
+def j13(spark, d):
+    """Sessions of either record, with their bars in both."""
+    s, day = Sessions(spark, d), F.dayofmonth("date")
+    hours = s.holed.where(day % 3 != 0).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("hours"))
+    halves = s.half_hours.where(day % 4 != 0).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("half_hours"))
+    return hours.join(halves, ["symbol", "date"], "full_outer")
+
+
 ATTACH = f"SELECT symbol, target_date, hit, CAST(seq AS INTEGER) AS seq, {R.format('fill')}, {R.format('trail')} FROM (SELECT symbol, date AS target_date, CASE WHEN {touch_sql()} THEN 1 ELSE 0 END AS hit FROM tr) p LEFT JOIN (SELECT symbol AS s, date AS d, seq FROM order60) o ON o.s = symbol AND o.d = target_date LEFT JOIN (SELECT symbol AS s, date AS d, fill FROM fills60) f ON f.s = symbol AND f.d = target_date LEFT JOIN (SELECT symbol AS s, date AS d, trail FROM trails) t ON t.s = symbol AND t.d = target_date"
 
 
 @query("e08_attach_outcomes", ["tr", "order60", "fills60", "trails"], ATTACH)
-@query("j15_outcome_attach", ["tr", "order60", "fills60", "trails"], ATTACH)
 def e08(spark, d):
     s = Sessions(spark, d)
     picks = s.returns.select("symbol", F.col("date").alias("target_date"), F.when(B.touch_event(), 1).otherwise(0).alias("hit"))
@@ -172,6 +220,15 @@ def e08(spark, d):
     return rounded(I.attach_outcomes(picks, s.order(s.holed, 60), s.fills(s.holed, 60), trails), "fill", "trail")
 
 
+@query("j15_outcome_attach", ["tr", "trails"], f"SELECT t.symbol, t.date AS target_date, {R.format('trail')} FROM tr t LEFT JOIN trails x ON x.symbol = t.symbol AND x.date = t.date")
+def j15(spark, d):
+    """A side that repeats every key adds no row to the picks."""
+    s = Sessions(spark, d)
+    trails = I.trailing_exits(s.returns, s.bars, bar_minutes=MINUTES, open_minutes=OPEN)
+    none = s.returns.select("symbol", "date", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("double").alias("fill"))
+    return rounded(I.attach_outcomes(s.returns.select("symbol", F.col("date").alias("target_date")), none, none, trails.unionByName(trails)).select("symbol", "target_date", "trail"), "trail")
+
+
 @query("j10_both_intervals", ["ib", "ib30"], "SELECT DISTINCT symbol, date FROM ib a WHERE hour(ts) < 20 AND EXISTS (SELECT 1 FROM ib30 b WHERE b.symbol = a.symbol AND b.date = a.date AND hour(b.ts) > 21)")
 def j10(spark, d):
     s = Sessions(spark, d)
@@ -199,16 +256,19 @@ def e01(spark, d):
 @query(
     "a42_rule_explorer",
     ["epicks"],
-    f"""SELECT rule, n, w, days, clean, missing, excluded, {R.format('growth_worst')}, {R.format('growth_best')}, picks, amb, res, stopped, meas, round(wins_w / nullif(picks, 0), 6) + 0.0 AS win_worst, round(wins_b / nullif(picks, 0), 6) + 0.0 AS win_best FROM
+    f"""SELECT rule, n, w, days, clean, missing, excluded, round(ln(CASE WHEN growth_worst > 0 THEN growth_worst END), 6) + 0.0 AS log_growth_worst, round(ln(CASE WHEN growth_best > 0 THEN growth_best END), 6) + 0.0 AS log_growth_best, picks, amb, res, stopped, meas, round(wins_w / nullif(picks, 0), 6) + 0.0 AS win_worst, round(wins_b / nullif(picks, 0), 6) + 0.0 AS win_best FROM
       (SELECT rule, n, w, count(*) AS days, count(CASE WHEN ok THEN 1 END) AS clean, count(CASE WHEN missing THEN 1 END) AS missing, count(CASE WHEN NOT missing AND unknown THEN 1 END) AS excluded, product(CASE WHEN ok THEN 1 + worst END) AS growth_worst, product(CASE WHEN ok THEN 1 + best END) AS growth_best,
         {', '.join(f'CAST(coalesce(sum(CASE WHEN ok THEN {c} END), 0) AS BIGINT) AS {c}' for c in ('picks', 'wins_w', 'wins_b', 'amb', 'res', 'stopped', 'meas'))} FROM
         (SELECT *, NOT missing AND NOT unknown AS ok FROM (SELECT rule, n, target_date, avg(worst) AS worst, avg(best) AS best, count(*) AS picks, count(CASE WHEN worst > 0 THEN 1 END) AS wins_w, count(CASE WHEN best > 0 THEN 1 END) AS wins_b, count(CASE WHEN {BOTH} THEN 1 END) AS amb, count(CASE WHEN {BOTH} AND seq IS NOT NULL THEN 1 END) AS res,
           count(CASE WHEN ol <= -0.01 + 1e-9 THEN 1 END) AS stopped, count(CASE WHEN ol <= -0.01 + 1e-9 AND fill IS NOT NULL THEN 1 END) AS meas, bool_or(ol IS NULL OR oc IS NULL) AS missing, bool_or(worst IS NULL) AS unknown
-          FROM (SELECT *, row_number() OVER (PARTITION BY target_date, rule ORDER BY rank, symbol) AS place FROM ({RULED})), (VALUES (1), (5), (10), (20)) b(n) WHERE place <= n GROUP BY 1, 2, 3))
-        JOIN (SELECT target_date, row_number() OVER (ORDER BY target_date DESC) AS age FROM (SELECT DISTINCT target_date FROM epicks)) USING (target_date), (VALUES (5), (21), (252)) v(w) WHERE age <= w GROUP BY 1, 2, 3)""",
+          FROM (SELECT *, row_number() OVER (PARTITION BY target_date, rule ORDER BY rank, symbol) AS place FROM ({RULED})), (VALUES (1), (5), (10), (15), (20)) b(n) WHERE place <= n GROUP BY 1, 2, 3))
+        JOIN (SELECT target_date, row_number() OVER (ORDER BY target_date DESC) AS age FROM (SELECT DISTINCT target_date FROM epicks)) USING (target_date), (VALUES (5), (21), (63), (126), (252)) v(w) WHERE age <= w GROUP BY 1, 2, 3)""",
 )
 def a42(spark, d):
-    return rounded(X.rule_explorer(exit_picks(spark, d)), "growth_worst", "growth_best", "win_worst", "win_best")
+    """Growth as its logarithm: the test bars move by tens of percent a day."""
+    cells = X.rule_explorer(exit_picks(spark, d))
+    logs = {f"log_{c}": F.log(F.when(F.col(c) > 0, F.col(c))) for c in ("growth_worst", "growth_best")}
+    return rounded(cells.withColumns(logs).drop("growth_worst", "growth_best"), *logs, "win_worst", "win_best")
 
 
 PAPER = "SELECT target_date, symbol, rank, 'limit_2pct' AS rule, CASE WHEN hit = 1 THEN 0.02 ELSE oc_return END AS gross_return, CASE WHEN hit = 1 THEN 'limit' ELSE 'close' END AS exit_reason, count(*) OVER (PARTITION BY target_date) AS n_avail FROM outcomes WHERE NOT late"
@@ -216,9 +276,15 @@ PAPER = "SELECT target_date, symbol, rank, 'limit_2pct' AS rule, CASE WHEN hit =
 
 @query("e10_paper_record", ["outcomes"], f"SELECT target_date, symbol, rank, rule, {R.format('gross_return')}, exit_reason, n_avail FROM ({PAPER}) WHERE DATE '2024-01-31' - target_date BETWEEN 0 AND 5 AND target_date NOT IN (SELECT target_date FROM outcomes WHERE day(target_date) = 29)")
 def e10(spark, d):
+    """Through the written ledger: a day recorded twice is there once."""
     found = outcomes(Users(spark, d))
     recorded = found.where(F.dayofmonth("target_date") == 29).select("target_date")
-    return rounded(X.paper_record(found, recorded, today="2024-01-31"), "gross_return")
+    new = X.paper_record(found, recorded, today="2024-01-31")
+    path = fresh_path(spark, "paper")
+    for stamp in ("2024-01-31", "2024-02-01"):
+        written = W.record_paper(spark, path, new, "formula", F.lit(stamp).cast("timestamp"))
+    columns = ["target_date", "symbol", "rank", "rule", "gross_return", "exit_reason", "n_avail"]
+    return rounded(written.where("recorded_ts = '2024-02-01'").select(F.to_date("target_date").alias("target_date"), *columns[1:]), "gross_return")
 
 
 def trades(spark, d) -> DataFrame:
@@ -235,7 +301,14 @@ def a39(spark, d):
     return rounded(X.paper_report(trades(spark, d)), "growth", "win_rate", "mean", "sd", "t")
 
 
-@query("a40_paper_breakeven")
+#: The bisection as a recursion of 60 steps over the daily means of each basket.
+BREAKEVEN = f"""WITH RECURSIVE means AS (SELECT basket, list(day) AS days FROM (SELECT basket, target_date, avg(gross_return) AS day FROM ({PAPER}), (VALUES (1), (5), (10), (20)) b(basket) WHERE rank <= basket GROUP BY 1, 2) GROUP BY 1),
+  halved AS (SELECT basket, days, 0 AS step, 0.0::DOUBLE AS lo, 0.05::DOUBLE AS hi FROM means UNION ALL
+    SELECT basket, days, step + 1, CASE WHEN grows THEN (lo + hi) / 2 ELSE lo END, CASE WHEN grows THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, list_product(list_transform(days, lambda r: 1 + r - (lo + hi) / 2)) > 1 AS grows FROM halved) WHERE step < 60)
+  SELECT basket, CAST(len(days) AS BIGINT) AS days, round(CASE WHEN list_product(list_transform(days, lambda r: 1 + r)) <= 1 THEN 0 ELSE (lo + hi) / 2 * 10000 END, 6) + 0.0 AS breakeven_bps FROM halved WHERE step = 60"""
+
+
+@query("a40_paper_breakeven", ["outcomes"], f"SELECT * FROM ({BREAKEVEN})")
 def a40(spark, d):
     return rounded(X.paper_breakeven(trades(spark, d)), "breakeven_bps")
 

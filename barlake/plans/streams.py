@@ -9,7 +9,7 @@ from barlake.plans.inputs import touch_sql
 from barlake.plans.registry import query
 from barlake.plans.sessions import Sessions
 from barlake.sources import tables as S
-from barlake.sources.writers import scratch_path
+from barlake.sources.shared import fresh_path
 from barlake.streaming import bars as T
 
 CLOSED = "SELECT symbol, ts, open, high, low, close, volume FROM ib WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
@@ -27,7 +27,7 @@ def t01(spark, d):
 @query("t02_stream_upsert", ["ib"], f"SELECT symbol, ts, date, open, close FROM (SELECT *, CAST(ts AS DATE) AS date FROM ({CLOSED})) UNION ALL SELECT symbol, ts, date, 0.0, 0.0 FROM ib WHERE day(date) <= 3 AND ts NOT IN (SELECT ts FROM ({CLOSED}))")
 def t02(spark, d):
     """A table with partial bars of the first days, healed by the stream."""
-    path = scratch_path(spark, "bars")
+    path = fresh_path(spark, "bars")
     partial = S.session_bars(spark, d).where(F.dayofmonth("date") <= 3).select("symbol", "ts", "date", F.lit(0.0).alias("open"), F.lit(0.0).alias("close"))
     partial.write.partitionBy("date").parquet(path)
     bars = T.stream_bars(stream(spark, d)).select("symbol", "ts", F.to_date("ts").alias("date"), "open", "close")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.exprs import finite, split_artifact, valid_bar
+from barlake.functions.exprs import split_artifact, valid_bar
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,18 +64,23 @@ def type_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(events, [F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")], ["ts", "event_id"])
 
 
+def wide_bars(bars: DataFrame, symbols: list[str]) -> DataFrame:
+    """One row a date with columns <symbol>_open .. <symbol>_volume: the shape in which providers send a batch of symbols."""
+    fields = ("open", "high", "low", "close", "volume")
+    return bars.groupBy("date").pivot("symbol", symbols).agg(*(F.first(f).alias(f) for f in fields))
+
+
 def long_bars(wide: DataFrame, symbols: list[str]) -> DataFrame:
-    """(date, <symbol>_open .. <symbol>_volume) columns to one row per symbol and date."""
+    """(date, <symbol>_open .. <symbol>_volume) columns to one row per symbol and date. A symbol's row is there if any of its fields is."""
     fields = ("open", "high", "low", "close", "volume")
     each = [F.struct(F.lit(s).alias("symbol"), *(F.col(f"{s}_{f}").cast("double").alias(f) for f in fields)) for s in symbols]
-    return wide.select("date", F.explode(F.array(*each)).alias("bar")).select("bar.symbol", "date", *(f"bar.{f}" for f in fields))
+    rows = wide.select("date", F.explode(F.array(*each)).alias("bar")).select("bar.symbol", "date", *(f"bar.{f}" for f in fields))
+    return rows.where(F.coalesce(*fields).isNotNull())
 
 
 def bar_reasons(bars: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """bars with `reason`: null (kept), `null_price`, `invalid` or `split_artifact`. seeds: (symbol, seed_date, seed_close), the last stored
     bars, which stand before a symbol's first bar if strictly earlier."""
-    from pyspark.sql import Window
-
     priced = bars.withColumn("ok", valid_bar()).withColumn("no_price", F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull())
     w = Window.partitionBy("symbol", "ok").orderBy("date")
     before = priced.withColumn("prev_close", F.lag("close").over(w))
@@ -90,6 +95,3 @@ def exchange_local(bars: DataFrame, zone: str = "America/New_York") -> DataFrame
     local = bars.withColumn("ts", F.from_utc_timestamp("ts", zone))
     return local.withColumn("date", F.to_date("ts")).where(valid_bar()).withColumn("volume", F.coalesce("volume", F.lit(0).cast("long")))
 
-
-def finite_bars(bars: DataFrame) -> DataFrame:
-    return bars.where(finite("open") & finite("close"))

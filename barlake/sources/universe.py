@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of listing that aren't common shares (whole words, also in the plural).
-EXCLUDED_TYPES = ["warrant", "right", "unit", "preferred", "etf", "etn", "fund", "note", "debenture"]
+from barlake.functions.exprs import finite
+
+#: Lower-case names of listings that aren't common shares.
+EXCLUDED_NAMES = [r"\betfs?\b", r"\bfunds?\b", r"\bwarrants?\b", r"\brights?\b", r"\bunits?(?:,| each\b| consisting\b|$)", r"\bpreferred (?:stock|shares?)\b", r"\bdepositary\b", r"\bnotes? due\b", "%"]
 DORMANT_DAYS = 30
 
 
 def build_universe(rows: DataFrame, top_n: int = 3000) -> DataFrame:
-    """(symbol, name, market_cap as text with commas) to the top_n common shares by value; the largest cap of a symbol counts.
+    """(symbol, name, market_cap as text with commas[, sector]) to the top_n common shares by value; the largest cap of a symbol counts,
+    then the lesser name.
 
-    Empty, unreadable and non-positive caps, symbols with ^ or ~, and names of excluded kinds are dropped."""
+    Texts are trimmed. Empty, unreadable and non-positive caps, symbols with ^ or ~, and names of excluded listings are dropped; a
+    null name is kept. A missing sector is an empty text."""
     cap = F.expr("try_cast(nullif(replace(market_cap, ',', ''), '') AS DOUBLE)")
-    kinds = r"(?i)\b(" + "|".join(EXCLUDED_TYPES) + r")s?\b"
-    good = rows.withColumn("market_cap", cap).where((F.col("market_cap") > 0) & ~F.col("symbol").rlike(r"[\^~]") & ~F.coalesce(F.col("name").rlike(kinds), F.lit(False)))
-    best = Window.partitionBy("symbol").orderBy(F.desc("market_cap"), "name")
+    sector = F.coalesce(F.trim("sector"), F.lit("")) if "sector" in rows.columns else F.lit("")
+    tidy = rows.select(F.trim("symbol").alias("symbol"), F.trim("name").alias("name"), cap.alias("market_cap"), sector.alias("sector"))
+    listed = F.coalesce(F.lower("name").rlike("|".join(EXCLUDED_NAMES)), F.lit(False))
+    good = tidy.where(finite("market_cap") & (F.col("market_cap") > 0) & ~F.col("symbol").rlike(r"[\^~]") & ~listed)
+    best = Window.partitionBy("symbol").orderBy(F.desc("market_cap"), "name", "sector")
     one = good.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     return one.orderBy(F.desc("market_cap"), "symbol").limit(top_n)
 

@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.operators.exits import valid_ledger_rows
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barlake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from barlake.sources.shared import fresh_path, remove
 
 
 def upsert_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both; of a key the new one counts."""
+    """Rows of both, one a key: the new one counts. Of several new rows of a key the one whose other columns are greatest counts, in
+    the order of the columns (nulls least), whatever order they come in; existing rows likewise."""
+    order = [F.desc("__new"), *(F.desc(c) for c in existing.columns if c not in keys)]
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    newest = Window.partitionBy(*keys).orderBy(F.desc("__new"))
-    return both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "__new")
+    return both.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n", "__new")
+
+
+def overwrite_partitions(spark: SparkSession, path: str, rows: DataFrame, partition: list[str]) -> None:
+    """Replace the partitions of the table at path that rows hold. The rows are staged first, since a plan can't overwrite what it reads;
+    the stage is removed afterwards, and also if the write fails."""
+    stage = fresh_path(spark, "stage")
+    try:
+        rows.write.parquet(stage)
+        spark.read.schema(rows.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+    finally:
+        remove(spark, stage)
 
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str) -> DataFrame:
     """Merge new rows into the table at path, which is partitioned by a column of the key. Only partitions that new rows touch
-    are read and rewritten; the merged rows are staged beside the table first, since a plan can't overwrite what it reads."""
+    are read and rewritten."""
     touched = new.select(partition).distinct()
     old = spark.read.parquet(path).join(F.broadcast(touched), partition, "left_semi")  # a row a partition
-    stage = f"{path}_stage_{uuid.uuid4().hex}"
-    upsert_by_key(old.select(*new.columns), new, keys).write.parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    overwrite_partitions(spark, path, upsert_by_key(old.select(*new.columns), new, keys), [partition])
     return spark.read.parquet(path)
 
 
@@ -58,3 +60,16 @@ def record_experiment(spark: SparkSession, ledger_path: str, daily_path: str, ro
         raise ValueError("daily rows with an unknown hit, a non-finite return, or one extreme without the other")
     daily.write.mode("append").parquet(daily_path)
     row.write.mode("append").parquet(ledger_path)
+
+
+def recorded_experiments(spark: SparkSession, ledger_path: str, daily_path: str) -> tuple[DataFrame, DataFrame]:
+    """Ledger and daily rows as readers see them: daily rows without a ledger row were never committed."""
+    ledger = spark.read.parquet(ledger_path)
+    return ledger, spark.read.parquet(daily_path).join(ledger.select(F.col("id").alias("seq")), "seq", "left_semi")
+
+
+def record_paper(spark: SparkSession, path: str, trades: DataFrame, strategy: str, recorded_ts: Column) -> DataFrame:
+    """Write forward trades as slices of (strategy, rule, target_date): a day recorded again is replaced, others stay."""
+    keys = ["strategy", "rule", "target_date"]
+    overwrite_partitions(spark, path, trades.withColumns({"strategy": F.lit(strategy), "recorded_ts": recorded_ts}), keys)
+    return spark.read.parquet(path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import THRESHOLD, touch_event
-from barlake.sources.writers import scratch_path, upsert_table
+from barlake.sources.shared import fresh_path
+from barlake.sources.writers import upsert_table
 
 
 def event_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def stream_bars(events: DataFrame, key: str = "event_type", width: str = "60 min
 def drain(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Run a stream over what is there now into a Parquet table, and read it."""
     spark = stream.sparkSession
-    path = path or scratch_path(spark, "stream")
+    path = path or fresh_path(spark, "stream")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}_log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 

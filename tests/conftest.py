@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -17,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "3g")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="barlake-test-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from barlake.functions import exprs as E
 from barlake.operators import bars as B
+from barlake.operators import calibration as C
 from barlake.operators import exits as X
 from barlake.operators import features as FE
 from barlake.operators import health as H
 from barlake.operators import ledger as L
 from barlake.operators import ml as M
 from barlake.operators import sessions as I
+from barlake.sources import shared
+from barlake.sources import tables as S
 from barlake.sources import universe as V
 from barlake.sources import writers as W
 
@@ -181,7 +184,7 @@ def test_breakeven_leaves_growth_one(spark):
 
 
 def test_upsert_is_idempotent_and_leaves_other_partitions(spark):
-    path = W.scratch_path(spark, "t")
+    path = shared.fresh_path(spark, "t")
     old = spark.createDataFrame([("A", "d1", 1.0), ("B", "d1", 1.0), ("A", "d2", 1.0)], "symbol string, day string, v double")
     old.write.partitionBy("day").parquet(path)
     new = spark.createDataFrame([("A", "d1", 2.0), ("C", "d1", 3.0)], "symbol string, day string, v double")
@@ -191,7 +194,7 @@ def test_upsert_is_idempotent_and_leaves_other_partitions(spark):
 
 
 def test_record_experiment_refuses_unfit_rows(spark):
-    a, b = W.scratch_path(spark, "ledger"), W.scratch_path(spark, "daily")
+    a, b = shared.fresh_path(spark, "ledger"), shared.fresh_path(spark, "daily")
     schema = "seq long, target_date date, rank int, ret double, hit int, oh double, ol double"
     row = spark.createDataFrame([(1, "s")], "id long, strategy string")
     good = spark.createDataFrame([(1, DAY, 1, 0.01, 1, 0.02, -0.01), (1, DAY, 2, 0.0, 0, None, None)], schema)
@@ -205,7 +208,7 @@ def test_record_experiment_refuses_unfit_rows(spark):
 def test_universe_rules(spark):
     rows = [("AAPL", "Apple Inc. Common Stock", "3,000.5"), ("AAPL", "Apple", "1"), ("X^A", "X", "9"), ("Y~", "Y", "9"), ("W", "W Corp Warrants", "9"), ("E", "Some ETF", "9"), ("N", "Notewell Inc", "7"), ("Z", "Z", ""), ("Q", "Q", "0"), ("B", "B", "oops")]
     got = [tuple(r) for r in V.build_universe(spark.createDataFrame(rows, "symbol string, name string, market_cap string"), 5).collect()]
-    assert got == [("AAPL", "Apple Inc. Common Stock", 3000.5), ("N", "Notewell Inc", 7.0)]
+    assert got == [("AAPL", "Apple Inc. Common Stock", 3000.5, ""), ("N", "Notewell Inc", 7.0, "")]
 
 
 def test_canonical_params(spark):
@@ -252,3 +255,104 @@ def test_folds_train_on_earlier_targets_only(spark):
     frame = spark.createDataFrame(rows, "symbol string, signal_date date, target_date date, did_2pct_next int")
     got = [tuple(r) for r in M.walk_forward_split(frame, 2, 3).orderBy("month_start").collect()]
     assert got == [(dt.date(2026, 3, 1), dt.date(2026, 3, 31), 2, 1, False), (dt.date(2026, 4, 1), dt.date(2026, 4, 30), 3, 1, True)]
+
+
+def test_listing_rules_keep_companies_and_drop_listings(spark):
+    kept = ["Preferred Bank Common Stock", "Unit Corporation", "First Note Bancorp", "Wright Medical Group N.V.", "BrightSphere Investment Group", "MidCap Funding Corp", None]
+    dropped = ["Foo Inc Depositary Shares", "Foo 5.5% Senior 2030", "Acme Acquisition Corp Units, each consisting of one share", "Acme Units", "Bar Capital Rights", "Baz Global Fund", "Foo Preferred Stock", "Foo Notes due 2031", "Foo ETFs", "X Warrants"]
+    rows = spark.createDataFrame([(f"S{i} ", n, "2,000.5", None) for i, n in enumerate(kept + dropped)] + [("S0", "Copy", "1", "x"), ("A^B", "x", "1", "x"), ("NIL", "x", "n/a", "x")], "symbol string, name string, market_cap string, sector string")
+    got = V.build_universe(rows, 100).collect()
+    assert {(r["symbol"], r["name"]) for r in got} == {(f"S{i}", n) for i, n in enumerate(kept)}
+    assert all(r["market_cap"] == 2000.5 and r["sector"] == "" for r in got)
+    assert V.build_universe(rows.limit(0).drop("sector"), 5).count() == 0
+
+
+def test_auc_of_scores_that_differ_by_little(spark):
+    split = spark.createDataFrame([(0.5 + i * 1e-9, int(i >= 1000)) for i in range(2000)], "prob double, label int")
+    assert C.auc(split).first()["auc"] == 1.0
+    rng = random.Random(8)
+    rows = [(rng.choice([0.1, 0.2, 0.2 + 1e-12, 0.7]), rng.randrange(2)) for _ in range(300)]
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(C.auc(spark.createDataFrame([*rows, (None, 1), (0.3, None)], "prob double, label int")).first()["auc"] - want) < 1e-12
+    assert C.auc(split.where("label = 1")).first()["auc"] is None and C.auc(split.limit(0)).first()["auc"] is None
+
+
+def test_report_in_one_pass_counts_what_each_check_finds(spark):
+    rng = random.Random(3)
+    rows = []
+    for s in "ABCDEF":
+        for k in range(45):
+            if rng.random() < 0.1 or (s == "F" and k > 40):
+                continue
+            o = 100.0 * rng.choice([1, 1, 1, 1.4])
+            c = o * rng.choice([1, 1.01, 0.99, 2.0])
+            h = max(o, c) * rng.choice([1, 1.3]) if rng.random() > 0.05 else o * 0.5
+            rows.append(bar(s, k, o if rng.random() > 0.04 else float("nan"), h, min(o, c), c, rng.choice([0, 0, 0, None, 1000, 10])))
+    bars = spark.createDataFrame(rows, BARS)
+    universe = spark.createDataFrame([(s,) for s in "ABXY"], "symbol string")
+    meta = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    got = {r["check"]: r for r in H.doctor_report(bars, universe, meta, bars.limit(3)).collect()}
+    each = {"gaps": H.gap_counts, "stale": H.stale_symbols, "extreme": H.extreme_bars, "zero_volume": H.zero_volume_runs, "invalid": H.invalid_bars, "glitch": H.glitch_bars, "incomplete_days": H.incomplete_days}
+    assert {c: got[c]["n_problems"] for c in each} == {c: f(bars).count() for c, f in each.items()}
+    assert got["glitch"]["n_problems"] > 0 and got["zero_volume"]["n_problems"] > 0
+    assert (got["unpriced"]["n_problems"], got["no_meta"]["n_problems"], got["sessions"]["n_problems"]) == (2, 4, 3)
+    assert got["gaps"]["problem_count"] == sum(r["n_problems"] for r in got.values() if r["counted"]) and not got["gaps"]["ok"]
+    calm = spark.createDataFrame([bar("A", k, 100.0, 101.0, 99.0, 100.5) for k in range(5)], BARS)
+    assert all(r["ok"] for r in H.doctor_report(calm, meta.limit(1), meta).collect())
+    assert all(r["ok"] for r in H.doctor_report(calm.limit(0), meta.limit(0), meta).collect())
+
+
+def test_recheck_fails_on_recent_corruption_only(spark):
+    old = [bar("A", k, 100.0) for k in range(20)] + [bar("B", 2, 100.0, c=190.0), bar("Z", 1, 100.0)]
+    base = spark.createDataFrame(old, BARS)
+    add = lambda *rows: H.recheck_verdict(H.doctor_diff(base, spark.createDataFrame([*old, *rows], BARS))).first()
+    assert add()["verdict"] == "ok"
+    assert tuple(add(bar("B", 3, 100.0, c=190.0))) == ("warn", 0, 1)
+    assert tuple(add(bar("B", 17, 100.0, c=190.0), bar("B", 3, 100.0, c=190.0))) == ("fail", 1, 1)
+    assert add(bar("Z", 2, 100.0, 90.0))["verdict"] == "fail"
+    assert add(*(bar("Z", k, 100.0, v=0) for k in (5, 6, 7)))["verdict"] == "warn"
+
+
+def test_wide_batches_become_rows_and_seeds_come_strictly_before(spark):
+    rows = [bar("A", 5, 300.0, c=100.0), bar("A", 6, 100.0), bar("B", 5, 300.0, c=100.0), bar("C", 5, 100.0, 50.0)]
+    wide = S.wide_bars(spark.createDataFrame(rows, BARS), ["A", "B", "C", "D"])
+    back = S.long_bars(wide, ["A", "B", "C", "D"])
+    assert sorted(back.collect()) == sorted(spark.createDataFrame(rows, BARS).collect())
+    seeds = spark.createDataFrame([("A", DAY + dt.timedelta(days=4), 100.0), ("B", DAY + dt.timedelta(days=5), 100.0)], "symbol string, seed_date date, seed_close double")
+    got = {(r["symbol"], (r["date"] - DAY).days): r["reason"] for r in S.bar_reasons(back, seeds).collect()}
+    assert got == {("A", 5): "split_artifact", ("A", 6): None, ("B", 5): None, ("C", 5): "invalid"}
+
+
+def test_queue_file_counts_malformed_entries(spark, tmp_path):
+    path = tmp_path / "queue.json"
+    path.write_text('[{"strategy": "a", "params": {"x": [1, {"y": null}]}, "note": "n"}, {"strategy": "b"}, {"strategy": ""}, {"strategy": 3}, {"params": {}}, {"strategy": "c", "params": [1]}, "text", 7]')
+    entries, malformed = L.load_queue(spark, str(path))
+    assert [tuple(r) for r in entries.orderBy("place").collect()] == [("a", '{"x":[1,{"y":null}]}', "n", 0), ("b", "{}", "", 1)] and malformed == 6
+    path.write_text('{"strategy": "a"}')
+    entries, malformed = L.load_queue(spark, str(path))
+    assert entries.count() == 0
+
+
+def test_upsert_of_repeated_new_keys_is_the_same_in_any_order(spark):
+    old = spark.createDataFrame([("A", 1, 1.0)], "symbol string, day int, v double")
+    new = [("A", 1, 2.0), ("A", 1, 5.0), ("A", 1, None), ("B", 1, 3.0)]
+    for rows in (new, new[::-1]):
+        got = W.upsert_by_key(old, spark.createDataFrame(rows, old.schema), ["symbol", "day"]).collect()
+        assert sorted(map(tuple, got)) == [("A", 1, 5.0), ("B", 1, 3.0)]
+
+
+def test_halves_per_challenger(spark):
+    days = [(i, DAY + dt.timedelta(days=k), p) for i, ps in {1: [1, 1, 1, 1, 1], 2: [1, 1, 0, 0, 0], 3: [1, 1, 1]}.items() for k, p in enumerate(ps)]
+    champion = [(DAY + dt.timedelta(days=k), 0.5) for k in range(5)]
+    got = X.halves_by(spark.createDataFrame(days, "id int, target_date date, precision double"), spark.createDataFrame(champion, "target_date date, precision double"))
+    assert {r["id"]: r["holds"] for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("X", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Elsewhere)
