@@ -343,7 +343,7 @@ def test_upsert_of_repeated_new_keys_is_the_same_in_any_order(spark):
 
 
 def test_halves_per_challenger(spark):
-    days = [(i, DAY + dt.timedelta(days=k), p) for i, ps in {1: [1, 1, 1, 1, 1], 2: [1, 1, 0, 0, 0], 3: [1, 1, 1]}.items() for k, p in enumerate(ps)]
+    days = [(i, DAY + dt.timedelta(days=k), p) for i, ps in {1: [1.0] * 5, 2: [1.0, 1.0, 0.0, 0.0, 0.0], 3: [1.0] * 3}.items() for k, p in enumerate(ps)]
     champion = [(DAY + dt.timedelta(days=k), 0.5) for k in range(5)]
     got = X.halves_by(spark.createDataFrame(days, "id int, target_date date, precision double"), spark.createDataFrame(champion, "target_date date, precision double"))
     assert {r["id"]: r["holds"] for r in got.collect()} == {1: True, 2: False, 3: False}
