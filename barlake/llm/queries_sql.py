@@ -17,15 +17,15 @@ FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.do
 """
 
 OP6 = r"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+WITH sized AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     strlen(coalesce(text, '')) - (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))) AS solid,
     length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>!]', '', 'g')) AS marks FROM documents),
-keyed AS (SELECT doc_id, source, CAST(size AS BIGINT) AS size, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / (0.1 + 0.9 * (1 - marks / greatest(solid, 1))) AS key FROM sized),
+keyed AS (SELECT doc_id, source, text_md5, CAST(size AS BIGINT) AS size, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_md5), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / (0.1 + 0.9 * (1 - marks / greatest(solid, 1))) AS key FROM sized),
 sources AS (SELECT *, list_extract([5.0, 2.0, 1.0], CAST((r - 1) % 3 + 1 AS INTEGER))::DOUBLE AS w, 2.0::DOUBLE * s AS cap FROM (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM keyed GROUP BY source)),
 tried AS (SELECT *, cap / w AS level, (1.5::DOUBLE * sum(s) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM sources),
 water AS (SELECT max(lam) AS water FROM tried WHERE level = (SELECT min(level) FROM tried WHERE lam <= level * (1 + 1e-12))),
 targets AS (SELECT source, s, r, least(cap, water * w) AS target, CASE WHEN s > 0 THEN floor(least(cap, water * w) / s + 1e-9) ELSE 0 END AS epochs FROM tried, water),
-placed AS (SELECT doc_id, size, s, target, epochs, target - epochs * s AS rest, coalesce(sum(size) OVER (PARTITION BY r ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+placed AS (SELECT doc_id, size, s, target, epochs, target - epochs * s AS rest, coalesce(sum(size) OVER (PARTITION BY r ORDER BY key, doc_id NULLS FIRST, text_md5 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, s AS source_size, target, CAST(size * (epochs + CASE WHEN epochs < 2 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed
 """
 

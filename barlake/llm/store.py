@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from barlake.session import ship_package
-
-_LOCAL: dict[str, str] = {}
+from barlake.sources import shared
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, a single machine) a temporary one."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset on a single machine, and an error on a cluster."""
     ship_package(spark)
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="barlake-shared-", dir=os.environ.get("TMPDIR"))
-    return _LOCAL[app]
+    return shared.shared_dir(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    ship_package(spark)
+    return shared.fresh_path(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -34,9 +24,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     depend on what a single executor holds."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more. The caller has written all that stands on them."""
+    for table in tables:
+        shared.remove(table.sparkSession, table.stored_at)
 
 
 def row_count_tasks(rows: int, per_task: int, spark: SparkSession) -> int:
     """Tasks for so many rows: at least the session's shuffle partitions, more where a task would get over per_task."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task), 1)
+    return shared.tasks_for(rows, per_task, spark)
