@@ -1,14 +1,19 @@
 """Benchmark decontamination by winnowing.
 
 A window of `span` words is fingerprinted by the least of the hashes of its k-grams (winnowing: one least hash per
-sliding window of span - k + 1 k-grams). Two equal windows have equal fingerprints, so looking up the fingerprints
-of a document's windows among those of the benchmark finds every shared passage of `span` words or more. Each hit
-is then extended over the whole window, word for word, and overlapping windows give the full shared span. Items of
-fewer words than `span` are one window of their own length, fingerprinted whole.
-
-The benchmark is the stated query set. It is taken in blocks of at most `block_bytes` of text: each block's index
-is broadcast (its size is bounded by the block, whatever the benchmark's size) and the documents pass by all blocks
-in one narrow pass, without a shuffle. Work for a document doesn't depend on any other document, so no key is hot.
+sliding window of span - k + 1 k-grams), so equal windows have equal fingerprints and every shared passage of `span`
+words or more has a window whose fingerprint the benchmark has too. Items of fewer words than `span` are one window of their
+own length, fingerprinted whole.
+
+1. The benchmark's windows become a table (fingerprint, length, digest of the window's words, item).
+2. Documents are read once. A window stays a candidate if its fingerprint is set in a bitmap of the benchmark's
+   fingerprints; the bitmap has a fixed size (BITS), so a large benchmark lets more candidates through and loses none.
+3. Candidates are joined with the table on fingerprint, length and digest: what is left are the occurrences. The table is
+   broadcast if it was counted to be small; else both sides are dealt by the digest and a salt, so that a passage which
+   a third of the documents share is spread over tasks.
+4. Hits are extended: windows of a document that overlap or touch make one shared span.
+
+Documents without a candidate aren't shuffled.
 """
 
 from __future__ import annotations
@@ -18,63 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.llm.textbytes import Piece, grams, lowered, mix, pieces, text_of, words
+from barlake.llm.store import materialize
+from barlake.llm.textbytes import Piece, grams, lowered, pieces, text_of, words
 
-SPAN, K, BLOCK_BYTES = 10, 5, 32 << 20
-_BITS = 20
+SPAN, K = 10, 5
+#: The bitmap's size (8 MB), windows of the benchmark up to which its table is broadcast (some 60 bytes each), parts of a hot digest.
+BITS, BROADCAST_WINDOWS, SALTS = 26, 1_000_000, 16
 
 SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
-_SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-
-
-class Fingerprints:
-    """Index of one block of benchmark texts."""
-
-    def __init__(self, items: list[tuple[str, str]], span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
-        self.lengths: set[int] = set()
-        marks: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            piece = lowered(Piece(0, 1, raw, np.array([0, len(raw)])))
-            found = words(piece)
-            n = len(found.starts)
-            if not n:
-                continue
-            length = min(n, span)
-            self.lengths.add(length)
-            prints, fulls = _prints(found.hashes, length, span, k), grams(found.hashes, length)
-            marks.setdefault(length, []).append(prints)
-            for i, full in enumerate(fulls.tolist()):
-                text_window = _window(piece.data, found, i, length)
-                self.windows.setdefault(full, {}).setdefault(text_window, set()).add(item)
-        self.marks = {length: np.unique(np.concatenate(parts)) for length, parts in marks.items()}
-        self.maps = {}
-        for length, known in self.marks.items():
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[(known & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-            self.maps[length] = bitmap
-
-    def candidates(self, hashes: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
-        """Positions of windows of this length whose fingerprint some item window has."""
-        if len(hashes) < length:
-            return np.zeros(0, np.int64)
-        prints = _prints(hashes, length, self.span, self.k)
-        hit = self.maps[length][(prints & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
-        hit &= row[: len(prints)] == row[length - 1 :]
-        at = np.flatnonzero(hit)
-        known, wanted = self.marks[length], prints[at]
-        place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return at[known[place] == wanted]
+_WINDOWS = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("digest", T.BinaryType())]))
+_WINDOW = pa.struct([("at", pa.int64()), ("n", pa.int32()), ("print", pa.int64()), ("digest", pa.binary())])
 
 
 def _prints(hashes: np.ndarray, length: int, span: int, k: int) -> np.ndarray:
-    if length < span:
+    """The fingerprint of each window of `length` words, of words one after another; rows are not looked at."""
+    if length < span or len(hashes) < span:
         return grams(hashes, length)
     least = grams(hashes, k)
     n = len(hashes) - span + 1
@@ -84,96 +51,140 @@ def _prints(hashes: np.ndarray, length: int, span: int, k: int) -> np.ndarray:
     return out
 
 
-def _window(data: np.ndarray, found, at: int, length: int) -> bytes:
-    return b" ".join(data[found.starts[j] : found.ends[j]].tobytes() for j in range(at, at + length))
-
-
-def _scan(index: Fingerprints, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-    """For each row: its number of words, the hit spans [lo, hi) in words, and the items hit."""
-    for piece in pieces(column):
-        piece = lowered(piece)
-        found = words(piece)
-        row = found.row
-        spans: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set[str]] = {}
-        for length in sorted(index.lengths):
-            at = index.candidates(found.hashes, row, length)
-            if not len(at):
-                continue
-            full = found.hashes[at].copy()
-            for j in range(1, length):
-                full *= np.uint64(0x9FB21C651E98DF25)
-                full += found.hashes[at + j]
-            for i, h in zip(at.tolist(), mix(full).tolist(), strict=True):
-                known = index.windows.get(h)
-                hit = known and known.get(_window(piece.data, found, i, length))
-                if hit:
-                    r = int(row[i])
-                    lo = i - int(found.first[r])
-                    own = spans.setdefault(r, [])
-                    own.append((lo, lo + length))
-                    items.setdefault(r, set()).update(hit)
-        for r, n in enumerate(found.counts.tolist()):
-            yield n, merged(spans.get(r, [])), items.get(r, set())
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(lo, hi) for lo, hi in out]
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes) * (2 if total > block_bytes else 1))
-    for block in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block)
-        yield [(r["item"], r["text"]) for r in part.collect()]
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
-    """docs with three more columns: `n_words` long, `hit_spans` array of [lo, hi) in words, `hit_items` sorted array
-    of item ids as strings. Columns of these names that docs already has are replaced.
+def _digest(data: np.ndarray, found, at: int, length: int) -> bytes:
+    """Of the window's words: equal windows have equal digests, and others don't."""
+    inner = b" ".join(data[lo:hi].tobytes() for lo, hi in zip(found.starts[at : at + length], found.ends[at : at + length], strict=True))
+    return hashlib.blake2b(inner, digest_size=16).digest()
+
+
+class Bitmap:
+    """Which fingerprints, by their last bits, the benchmark has."""
+
+    def __init__(self, places: np.ndarray, words_: np.ndarray, bits: int):
+        self.mask, self.bits = np.uint64((1 << bits) - 1), np.zeros(1 << max(bits - 6, 0), np.uint64)
+        self.bits[places] = words_.view(np.uint64)
+
+    def has(self, prints: np.ndarray) -> np.ndarray:
+        low = prints & self.mask
+        return (self.bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _windows(piece: Piece, found, lengths: list[int], span: int, k: int, known: Bitmap | None) -> tuple[np.ndarray, list[bytes]]:
+    """Windows of these lengths that `known` lets through: rows of (row, place in words, length, fingerprint), and their digests."""
+    row, parts = found.row, []
+    for length in lengths:
+        prints = _prints(found.hashes, length, span, k)
+        hit = row[: len(prints)] == row[length - 1 :][: len(prints)] if len(prints) else np.zeros(0, bool)
+        if known is not None:
+            hit &= known.has(prints)
+        at = np.flatnonzero(hit)
+        parts.append(np.column_stack([row[at], at, np.full(len(at), length), prints[at].view(np.int64)]))
+    every = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    return every, [_digest(piece.data, found, int(at), int(n)) for _, at, n, _ in every]
+
+
+INDEX = T.StructType([T.StructField("print", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("item", T.StringType())])
 
-    Null and empty texts have no words and no hits; an item without words is never hit; repeated rows and tied
-    fingerprints are each reported; an empty benchmark hits nothing."""
-    out = docs.drop("n_words", "hit_spans", "hit_items").withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Fingerprints(items, span, k))
-        out = out.mapInArrow(_pass(index, text_col), out.schema)
-    return out if keep_text else out.drop(text_col)
 
+def window_index(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
+    """The benchmark's windows as a table, each once an item. Null and empty texts and texts without words have none; an item
+    without an id counts, and has a null `item`."""
 
-def _pass(index, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_scan(index.value, text_of(batch, text_col)))
+            for piece in pieces(batch.column(1)):
+                piece = lowered(piece)
+                found = words(piece)
+                for r in range(piece.rows):
+                    n = min(int(found.counts[r]), span)
+                    if n:
+                        lo, hi = int(found.first[r]), int(found.first[r + 1])
+                        prints = _prints(found.hashes[lo:hi], n, span, k).view(np.int64)
+                        digests = [_digest(piece.data, found, at, n) for at in range(lo, hi - n + 1)]
+                        item = batch.column(0)[piece.lo + r].as_py()
+                        yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array([n] * len(prints), pa.int32()), pa.array(digests, pa.binary()), pa.array([item] * len(prints), pa.string())], names=INDEX.names)
+
+    slim = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return materialize(slim.mapInArrow(run, INDEX).distinct(), "windows")
+
+
+def _bitmap(index: DataFrame, bits: int) -> Bitmap:
+    """At most 2 ** (bits - 6) numbers come to the driver, whatever the benchmark's size."""
+    low = f"(print & {(1 << bits) - 1}L)"
+    marked = index.select(F.expr(f"shiftright({low}, 6)").alias("place"), F.expr(f"shiftleft(1L, cast({low} & 63L as int))").alias("bit"))
+    table = marked.groupBy("place").agg(F.bit_or("bit").alias("word")).toArrow()
+    return Bitmap(table.column("place").to_numpy(), table.column("word").to_numpy(), bits)
+
+
+def _scanned(docs: DataFrame, index: DataFrame, text_col: str, span: int, k: int, bits: int, keep_text: bool) -> DataFrame:
+    """docs as a table with `n_words`, a tag for each row and its candidate windows."""
+    base = docs.drop("n_words", "hit_spans", "hit_items")
+    kept = [f for f in base.schema.fields if keep_text or f.name != text_col]
+    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("__windows", _WINDOWS)])
+    lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # at most `span`
+    known = docs.sparkSession.sparkContext.broadcast(_bitmap(index, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, offsets, cells = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], []
+            for piece in pieces(text_of(batch, text_col).cast(pa.string())):
+                piece = lowered(piece)
+                found = words(piece)
+                every, digests = _windows(piece, found, lengths, span, k, known.value)
+                counts.append(found.counts)
+                offsets.append(np.cumsum(np.bincount(every[:, 0], minlength=piece.rows)) + offsets[-1][-1])
+                at = every[:, 1] - found.first[every[:, 0]]
+                cells.append(pa.StructArray.from_arrays([pa.array(at), pa.array(every[:, 2].astype(np.int32)), pa.array(every[:, 3]), pa.array(digests, pa.binary())], fields=list(_WINDOW)))
+            inner = pa.concat_arrays(cells) if cells else pa.array([], _WINDOW)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), inner)
             names = batch.schema.names
-            before = {name: batch.column(names.index(name)).to_pylist() for name in ("hit_spans", "hit_items")}
-            spans = [merged([*((x["lo"], x["hi"]) for x in old), *new]) if new else [(x["lo"], x["hi"]) for x in old] for old, (_, new, _) in zip(before["hit_spans"], rows, strict=True)]
-            items = [sorted({*old, *new}) for old, (_, _, new) in zip(before["hit_items"], rows, strict=True)]
-            new = {"n_words": pa.array([n for n, _, _ in rows], pa.int64()), "hit_spans": pa.array([[{"lo": lo, "hi": hi} for lo, hi in x] for x in spans], _SPANS), "hit_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(name, batch.column(i)) for i, name in enumerate(names)], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(f.name)) for f in kept), pa.array(np.concatenate(counts)), lists], names=schema.names)
+
+    return materialize(base.mapInArrow(run, schema).withColumn("__tag", F.monotonically_increasing_id()), "scanned")
+
+
+def occurrences(candidates: DataFrame, index: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(__tag, at, n, item) of candidate windows (__tag, at, n, print, digest) that the benchmark has."""
+    on = ["print", "n", "digest"]
+    if index.count() <= broadcast_windows:
+        return candidates.join(F.broadcast(index), on).select("__tag", "at", "n", "item")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = candidates.withColumn("salt", F.pmod(F.xxhash64("__tag", "at"), F.lit(SALTS)).cast("int"))
+    return dealt.join(index.withColumn("salt", salts), [*on, "salt"]).select("__tag", "at", "n", "item")
 
-    return run
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, bits: int = BITS, broadcast_windows: int = BROADCAST_WINDOWS, keep_text: bool = True) -> DataFrame:
+    """docs with three more columns: `n_words` long, `hit_spans` array of [lo, hi) in words, `hit_items` sorted array
+    of item ids as strings. Columns of these names that docs already has are replaced.
+
+    Null and empty texts have no words and no hits; an item without words is never hit, one without an id makes spans but isn't
+    named; repeated rows are each reported and tied fingerprints each looked up; very long texts are taken whole. An empty
+    benchmark hits nothing, an empty table gives no rows."""
+    index = window_index(benchmark, item_col=item_col, text_col=item_text_col, span=span, k=k)
+    scanned = _scanned(docs, index, text_col, span, k, bits, keep_text)
+    names = [c for c in scanned.columns if not c.startswith("__")]
+    found = scanned.where("size(__windows) > 0").select("__tag", F.explode("__windows").alias("w")).select("__tag", "w.*")
+    hits = materialize(occurrences(found, index, broadcast_windows), "hits")
+    order = Window.partitionBy("__tag").orderBy("at", "n")  # a document's windows
+    spans = hits.select("__tag", "at", "n").distinct().withColumn("before", F.max(F.col("at") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    islands = spans.withColumn("island", F.sum(F.when(F.col("before") >= F.col("at"), 0).otherwise(1)).over(order)).groupBy("__tag", "island").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("n")).alias("hi"))
+    merged = islands.groupBy("__tag").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("hit_spans"))
+    named = hits.groupBy("__tag").agg(F.sort_array(F.collect_set("item")).alias("hit_items"))
+    none = {"hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")}
+    clean = scanned.where("size(__windows) = 0").withColumns(none)
+    some = scanned.where("size(__windows) > 0").join(merged.join(named, "__tag"), "__tag", "left").withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
+    return clean.select(*names, *none).unionByName(some.select(*names, *none))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: words, hit words, items hit and a checksum of their ids."""
+    """One row per document: words, hit words, items hit and a checksum of their ids. Contaminated is what has a hit word."""
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, x: total + x["hi"] - x["lo"])
     return found.select(
         F.col(id_col),
         "n_words",
-        F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, x: total + x["hi"] - x["lo"]).alias("n_hit"),
+        n_hit.alias("n_hit"),
         F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("hit_items") > 0).alias("contaminated"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
     )
-
-
-def sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

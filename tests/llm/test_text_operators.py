@@ -90,7 +90,7 @@ def brute_overlap(text, items, span=10):
             if length and tuple(words[i : i + length]) in windows:
                 hit |= set(range(i, i + length))
                 found.add(str(item))
-    return len(words), len(hit), len(found), decontam.sha(list(found)), bool(hit)
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
 def test_op5_equals_brute_force(spark, sf_dir):
@@ -102,14 +102,30 @@ def test_op5_equals_brute_force(spark, sf_dir):
         assert got[doc["doc_id"]] == brute_overlap(doc["text"], items)
 
 
-def test_op5_short_items_blocks_and_odd_rows(spark, odd):
+def test_op5_short_items_joins_and_odd_rows(spark, odd):
     items = [(1, "one TWO"), (2, None), (3, ""), (4, "Three"), (10, "same long line here the same long line here other x"), (7, " ".join(["word"] * 12))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontam.BLOCK_BYTES, 40):
-        got = decontam.digest(decontam.overlaps(odd, bench, block_bytes=block)).collect()
+    for how in ({}, {"broadcast_windows": 0}, {"bits": 6}):  # by broadcast, by a salted shuffle, and with a bitmap that lets nearly all through
+        got = decontam.digest(decontam.overlaps(odd, bench, **how)).collect()
         assert sorted(tuple(r)[1:] for r in got) == sorted(brute_overlap(d[1], items) for d in ODD)
     assert decontam.overlaps(odd, bench.limit(0)).where("size(hit_items) > 0").count() == 0
     assert decontam.overlaps(odd.limit(0), bench).count() == 0
+    whole = decontam.overlaps(odd, bench)
+    assert whole.columns == [*(c for c in odd.columns if c != "n_words"), "n_words", "hit_spans", "hit_items"]
+
+
+def test_op5_items_without_an_id_count(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "a b c d e f g h i")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d e f g h i j"), (None, "a b c d e f g h i j k")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.digest(decontam.overlaps(docs, bench)).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (10, 0, True) and not got[2]["contaminated"]
+
+
+def test_op5_spans_are_extended_over_overlapping_windows(spark):
+    shared = [f"s{i}" for i in range(40)]
+    text = " ".join(["p", "q", *shared[:25], "r", *shared[25:40]])
+    got = decontam.overlaps(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([("b", " ".join(shared)), ("a", " ".join(shared[30:]))], "item_id string, text string")).first()
+    assert [tuple(x) for x in got["hit_spans"]] == [(2, 27), (28, 43)] and got["hit_items"] == ["a", "b"]
 
 
 def test_op6_targets_and_taken(spark, sf_dir):
@@ -150,6 +166,28 @@ def test_op6_odd_rows(spark, odd):
     assert mixing.mixed(odd.limit(0)).count() == 0
 
 
+def test_op6_rows_without_ids_agree_in_any_order(spark):
+    sized = [(None, " ".join(f"w{n}{j}" for j in range(n)), "s", n % 3) for n in range(3, 60)] + [(7, "same text", "s", 1)] * 9 + [(7, "same text", "s", 2)] * 5
+    runs = []
+    for rows_ in (sized, sized[::-1]):
+        docs = spark.createDataFrame(rows_, "doc_id long, text string, source string, extra int").repartition(5)
+        plan = sorted((r["size"], r["taken"]) for r in mixing.mixed(docs).collect())
+        emitted = Counter(map(tuple, mixing.mix_documents(docs).collect()))
+        target, total = mixing.mixed(docs).first()["target"], sum(n * len(row[1].split()) for row, n in emitted.items())
+        assert sum(t for _, t in plan) == total and abs(total - target) <= 60
+        runs.append((plan, emitted))
+    assert runs[0] == runs[1] and {row for row in runs[0][1]} == set(sized)  # 150 %: each row once at least
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+    odd_names = docs.withColumns({"size": F.lit("x"), "key": F.lit(1), "target": F.lit(None).cast("int")})
+    assert mixing.mix_documents(odd_names).columns == odd_names.columns and mixing.mix_documents(odd_names).count() == sum(runs[0][1].values())
+
+
+def test_op6_weights_may_be_given(spark):
+    docs = spark.createDataFrame([(i, "five words in every text", "s", 1.0 if i < 300 else None) for i in range(600)], "doc_id long, text string, source string, worth double")
+    taken = [r["doc_id"] for r in mixing.mixed(docs, volume=0.4, quality_col="worth").where("taken > 0").collect()]
+    assert len(taken) == 240 and max(taken) < 300
+
+
 def test_op6_prefers_quality(spark):
     clean = [(i, "good words here now " * 5, "s") for i in range(400)]
     marked = [(400 + i, "## $$ %% && " * 5, "s") for i in range(400)]
