@@ -1,39 +1,67 @@
 """Personal data replaced by format-preserving pseudonyms, in DataFrame functions only.
 
-One pattern finds candidates: e-mail addresses, card numbers, IPv4 addresses, phone numbers, social security numbers, dates
-and secrets. A candidate is replaced only if it is valid: card numbers by their check digit, addresses by their octets,
-social security numbers by their ranges, dates by the calendar.
+One pattern finds candidates: e-mail addresses, secrets, dates, social security numbers, IBANs, phone numbers, IPv4 and IPv6
+addresses and card numbers. A candidate is replaced only if it is valid: card numbers and IBANs by their check digits,
+addresses by their groups, phone numbers by their length, social security numbers by their ranges, dates by the calendar.
 
 The pseudonym is made by a Feistel network over the two halves of the value's characters. In each round a keyed hash of
 one half gives a number for every character of the other half, which is added to it within its class: digits stay
 digits, lower and upper case letters stay so, all else stands. So the result has the same format, distinct values get
-distinct pseudonyms, and equal values get equal ones in every document. Card numbers are permuted without their check
-digit, which is computed anew; IPv4 addresses as 8 and dates (days since 1900-01-01, 2**16 of them) as 4 hexadecimal
-digits; social security numbers are permuted again until they are valid ones (cycle walking).
+distinct pseudonyms, and equal values get equal ones in every document. Card numbers and IBANs are permuted without
+their check digits, which are computed anew; IP addresses as hexadecimal digits; dates (days since 1900-01-01, 2**16 of
+them) as 4 such digits; social security numbers are permuted again until they are valid ones (cycle walking).
 
-The key is a parameter and must be kept secret: whoever has it can undo the pseudonyms.
+Secrets of any length are replaced whole: after a naming word with = or :, letters, digits and `_ / + = ~ . -` up to a blank,
+a quote or another mark. Left as they are: values without a form listed here, such as names, street addresses, secrets that
+no word announces, national phone numbers other than of 3-3-4 digits, dates with month names or two-digit years.
+
+The key is a parameter without a default; `key_of` takes it from the session's settings. Whoever has it can undo the
+pseudonyms. Plans hold one salt a kind, derived from it by HMAC-SHA-256 and beginning with `salt-`, so that
+spark.sql.redaction.string.regex can blot them out of logs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import hmac
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY, ROUNDS, WALK = "change-this-key", 8, 24
+ROUNDS, WALK = 8, 24
 #: Characters that one SHA-512 serves.
 BLOCK = 42
+KEY_SETTING = "spark.barlake.pseudonym.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r"(?<![A-Za-z0-9])(?:(?i:password|passwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_/+]{8,}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
+SECRET = r"(?<![A-Za-z0-9])(?:(?i:password|passwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_/+=~.-]{7,}[A-Za-z0-9_/+=~-]|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))"
 CARD = r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+IPV6 = r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+ABROAD = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-DATE = r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9][./][0-3][0-9][./](?:19|20)[0-9]{2})(?![0-9])"
-KINDS = {"email": EMAIL, "secret": SECRET, "date": DATE, "ssn": SSN, "phone": PHONE, "ip": IPV4, "card": CARD}
+DATE = r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[01]?[0-9]-[0-3]?[0-9]|[0-3]?[0-9][./][0-3]?[0-9][./](?:19|20)[0-9]{2})(?![0-9])"
+KINDS = {"email": EMAIL, "secret": SECRET, "date": DATE, "ssn": SSN, "iban": IBAN, "phone": PHONE, "phone_abroad": ABROAD, "ip": IPV4, "ipv6": IPV6, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key in spark.barlake.pseudonym.key. Where that is unset a random one is drawn and set for the session: its pseudonyms are linked
+    with one another, but with no other session's."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def salt_of(key: str, kind: str) -> str:
+    return f"salt-{hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()}|"
+
+
 def _sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -63,7 +91,7 @@ def _shift(half: str, seed: str, radix: str) -> str:
 def feistel_sql(value: str, kind: str, key: str, radix: str = "class", rounds: int = ROUNDS) -> str:
     """SQL of the keyed permutation of `value` (an SQL expression for a string of any length)."""
     half = f"(length({value}) div 2)"
-    salt = _sql_string(f"{key}|{kind}|")
+    salt = _sql_string(salt_of(key, kind))
     seed = f"concat({salt}, r, '|', length(s.a) + length(s.b), '|', {{}})"
     start = f"struct(substr({value}, 1, {half}) as a, substr({value}, {half} + 1) as b)"
     even = f"struct({_shift('s.a', seed.format('s.b'), radix)} as a, s.b as b)"
@@ -85,6 +113,46 @@ def _refill(pattern: str, digits: str) -> str:
     )
 
 
+def _refill_all(pattern: str, chars: str) -> str:
+    """The pattern's letters and digits replaced in order by those of `chars`."""
+    one = f"substr({pattern}, i, 1)"
+    return (
+        f"aggregate(sequence(1, length({pattern})), struct('' as t, 1 as k), (s, i) -> case when {one} rlike '[0-9A-Za-z]' "
+        f"then struct(concat(s.t, substr({chars}, s.k, 1)) as t, s.k + 1 as k) else struct(concat(s.t, {one}) as t, s.k as k) end, s -> s.t)"
+    )
+
+
+def _mod97(text: str) -> str:
+    return f"aggregate(split({text}, ''), 0, (t, c) -> case when c between '0' and '9' then (t * 10 + ascii(c) - 48) % 97 when c between 'A' and 'Z' then (t * 100 + ascii(c) - 55) % 97 else t end)"
+
+
+def _iban(m: str, key: str) -> str:
+    """Country stays, the account is permuted, the check digits are computed anew."""
+    valid = f"length(d) between 15 and 34 and {_mod97('concat(substr(d, 5), substr(d, 1, 4))')} = 1"
+    check = f"lpad(cast(98 - {_mod97(_sql_concat('q', 'substr(d, 1, 2)', _sql_string('00')))} as string), 2, '0')"
+    made = _with("q", feistel_sql("substr(d, 5)", "iban", key), _refill_all(m, f"concat(substr(d, 1, 2), {check}, q)"))
+    return _with("d", f"replace({m}, ' ', '')", f"case when {valid} then {made} end")
+
+
+def _sql_concat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+def _ipv6(m: str, key: str) -> str:
+    """Hexadecimal digits are permuted, in lower case; where groups are left out, they stay so."""
+    groups = f"size(filter(split({m}, ':'), g -> g <> ''))"
+    made = _with("q", feistel_sql("d", "ipv6", key, "hex"), _refill_all(m, "q"))
+    return _with("d", f"lower(replace({m}, ':', ''))", f"case when {m} rlike '[0-9]' and ({groups} = 8 or ({m} like '%::%' and {groups} < 8)) then {made} end")
+
+
+def _abroad(m: str, key: str) -> str:
+    """The country code (its first two digits if nothing sets it off) stays, the rest of 7 to 13 digits is permuted."""
+    code = f"coalesce(nullif(regexp_extract({m}, {_sql_string('^[+][0-9]{1,3}(?=[ .(-])')}, 0), ''), substr({m}, 1, 3))"
+    rest = f"substr({m}, length(p) + 1)"
+    made = _with("q", feistel_sql("d", "phone", key), _refill(rest, "q"))
+    return _with("p", code, _with("d", f"regexp_replace({rest}, '[^0-9]', '')", f"case when length(d) between 7 and 13 then concat(p, {made}) end"))
+
+
 def _card(m: str, key: str) -> str:
     """The longest run of whole digit groups that has 13 to 19 digits and a right check digit is permuted, what is around it stays."""
     payload = feistel_sql("substr(d, 1, length(d) - 1)", "card", key)
@@ -120,10 +188,13 @@ def _date(m: str, key: str) -> str:
         hexed = f"lpad(lower(hex({days})), 4, '0')"
         return _with("h", feistel_sql(hexed, "date", key, "hex"), f"date_format(date_add(date '1900-01-01', cast(conv(h, 16, 10) as int)), '{style}')")
 
+    two, short = "[0-9]{2}", "[0-9]{1,2}"
     arms = []
-    for style, shape in (("yyyy-MM-dd", "____-__-__"), ("dd.MM.yyyy", "__.__.____"), ("dd/MM/yyyy", "__/__/____"), ("MM/dd/yyyy", "__/__/____"), ("MM.dd.yyyy", "__.__.____")):
+    for style in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "MM.dd.yyyy", "yyyy-M-d", "d.M.yyyy", "d/M/yyyy", "M/d/yyyy", "M.d.yyyy"):
+        digits = two if "MM" in style else short
+        shape = "[0-9]{4}" + f"-{digits}-{digits}" if style[0] == "y" else digits + f"[{style[2 if 'MM' in style else 1]}]" + digits + f"[{style[2 if 'MM' in style else 1]}]" + "[0-9]{4}"
         parsed = f"try_to_date({m}, '{style}')"
-        arms.append(f"when {m} like '{shape}' and {parsed} is not null and {parsed} between date '1900-01-01' and date '2079-06-05' then {through(style)}")
+        arms.append(f"when {m} rlike '^{shape}$' and {parsed} is not null and {parsed} between date '1900-01-01' and date '2079-06-05' then {through(style)}")
     return f"case {' '.join(arms)} end"
 
 
@@ -148,21 +219,24 @@ def _phone(m: str, key: str) -> str:
 
 def _replacement(key: str) -> str:
     """SQL: array of struct(kind, new) of the candidates in `found`; new is null where a candidate isn't valid."""
-    makers = {"email": _email, "secret": _secret, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
+    makers = {"email": _email, "secret": _secret, "date": _date, "ssn": _ssn, "iban": _iban, "phone": _phone, "phone_abroad": _abroad, "ip": _ip, "ipv6": _ipv6, "card": _card}
     whole = {kind: _sql_string(f"^(?:{pattern})$") for kind, pattern in KINDS.items()}
     kinds = " ".join(f"when m rlike {whole[k]} then '{k}'" for k in KINDS)
     news = " ".join(f"when x.kind = '{k}' then {make('x.m', key)}" for k, make in makers.items())
     return f"transform(transform(found, m -> struct(m as m, case {kinds} end as kind)), x -> struct(x.kind as kind, x.m as old, case {news} end as new))"
 
 
-def pseudonymised(docs: DataFrame, *, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text pseudonymised, and `n_private` (values replaced) and `private_kinds` (their kinds, sorted, repeats kept);
     columns of these names are replaced.
 
     A null text stays null and an empty one empty, both with nothing replaced; repeated values in one text or in several
-    get the same pseudonym; an empty table gives no rows. Other columns pass through."""
+    get the same pseudonym; very long texts are taken whole; an empty table gives no rows. Other columns pass through. An
+    empty key is refused."""
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col).cast("string")
-    some = text.rlike("[0-9@]|[sS][eE][cC][rR][eE][tT]|[pP][aA][sS][sS][wW]|[tT][oO][kK][eE][nN]|[kK][eE][yY]")
+    some = text.rlike("[0-9@:]|[sS][eE][cC][rR][eE][tT]|[pP][aA][sS][sS][wW]|[tT][oO][kK][eE][nN]|[kK][eE][yY]")
     kept = [c for c in docs.columns if c not in ("n_private", "private_kinds")]
     found = docs.select(*kept, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("found"))
     swapped = found.withColumn("swaps", F.when(F.size("found") > 0, F.expr(_replacement(key))))

@@ -35,7 +35,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.key_of(spark))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

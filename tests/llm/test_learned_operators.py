@@ -1,5 +1,7 @@
 """Learned operators by held-out accuracy, pseudonyms by their guarantees, the pipeline by its stages' rules."""
 
+import hashlib
+import hmac
 import re
 import zlib
 from collections import Counter
@@ -216,7 +218,7 @@ def test_op3_long_values_and_cards_among_digits(spark):
     secret, host = "0123456789abcdef" * 8, ".".join(["verylonglabel" * 4] * 3)
     texts = [f"token={secret} end", f"mail joe@{host}.com now", f"mail joe@{host[:-1]}x.com now", "card 4111 1111 1111 1111 12/25 ok", "card 12 4111 1111 1111 1111 ok", "no 4111 1111 1111 1112 13/25"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r["text"] for r in pii.pseudonymised(docs).orderBy("doc_id").collect()]
+    got = [r["text"] for r in pii.pseudonymised(docs, key="k").orderBy("doc_id").collect()]
     new = re.fullmatch("token=([0-9a-f]|[a-z0-9]){128} end", got[0])
     assert new and sum(x == y for x, y in zip(got[0][-52:-4], texts[0][-52:-4], strict=True)) < 20
     assert [len(x) for x in got] == [len(x) for x in texts] and got[1] != got[2] and host[-40:] not in got[1]
@@ -227,7 +229,7 @@ def test_op3_long_values_and_cards_among_digits(spark):
 
 def test_op3_pseudonyms(spark):
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(PRIVATE)], "doc_id long, text string, n_private string, found2 string")
-    got = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymised(docs, key="k").collect()}
     first = got[0]["text"]
     for value in ("bob.42", "mail8.example", "42.144.35.254", "4041894974608795", "4041 8949 7460 8795", "988) 555"):
         assert value not in first
@@ -243,10 +245,87 @@ def test_op3_pseudonyms(spark):
     assert (got[3]["text"], got[4]["text"], got[5]["text"]) == (None, "", "nothing here")
     mail = re.search(r"\S+@\S+(?=,)", first)[0]
     assert mail in got[6]["text"] and re.search(r"ip (\S+)\.", first)[1] in got[6]["text"]
-    assert pii.pseudonymised(docs.limit(0)).count() == 0
+    assert pii.pseudonymised(docs.limit(0), key="k").count() == 0
     assert pii.pseudonymised(docs, key="other").where("doc_id = 0").first()["text"] != first
 
 
+def plain_shift(half, seed, radix):
+    stream = "".join(hashlib.sha512((seed + ("" if b == 0 else f"|{b}")).encode()).hexdigest()[:126] for b in range(len(half) // 42 + 1))
+    out = []
+    for j, c in enumerate(half):
+        step = int(stream[3 * j : 3 * j + 3], 16)
+        if radix == "hex":
+            out.append(f"{(int(c, 16) + step) % 16:x}")
+        else:
+            first, size = next(((f, n) for f, n in (("0", 10), ("a", 26), ("A", 26)) if f <= c < chr(ord(f) + n)), (None, 0))
+            out.append(chr((ord(c) - ord(first) + step) % size + ord(first)) if first else c)
+    return "".join(out)
+
+
+def plain_feistel(value, kind, key, radix="class"):
+    """The same network in plain Python."""
+    salt = "salt-" + hmac.new(key.encode(), kind.encode(), "sha256").hexdigest() + "|"
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+    for r in range(8):
+        if r % 2 == 0:
+            a = plain_shift(a, f"{salt}{r}|{len(value)}|{b}", radix)
+        else:
+            b = plain_shift(b, f"{salt}{r}|{len(value)}|{a}", radix)
+    return a + b
+
+
+def test_op3_equals_a_plain_feistel_network(spark):
+    rng = np.random.default_rng(4)
+    values = ["".join(rng.choice(list("abcXYZ0189-_."), int(n))) for n in rng.integers(1, 300, 60)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.expr(pii.feistel_sql("v", "secret", "key 1")).alias("p")).collect()
+    assert len(got) == 60 and all(r["p"] == plain_feistel(r["v"], "secret", "key 1") for r in got)
+    hexed = spark.createDataFrame([(v,) for v in ("00ff", "2a0c", "c0a80101")], "v string").select("v", F.expr(pii.feistel_sql("v", "ip", "k", "hex")).alias("p")).collect()
+    assert all(r["p"] == plain_feistel(r["v"], "ip", "k", "hex") for r in hexed)
+
+
+def iban_ok(text):
+    compact = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+
+
+def test_op3_more_formats(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    texts = [
+        f"api_key={jwt}. Next", "secret: sk-live-abcdEFGH12345678 end", "token=" + "x1Y-" * 125 + " end", "call +49 30 1234567 or +44 (20) 7946 0958, +493012345678 now", "+1 (988) 555-2485",
+        "iban DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 ok, bad DE88 3704 0044 0532 0130 00", "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334, fe80::1ff:fe23:4567:890a, std::vector 12:30:45", "on 1985-3-7 or 3/17/1985 or 7.3.1985, not 1985-13-7", "ratio 3:1, +5 points, 1+1 2021",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.pseudonymised(docs, key="k").orderBy("doc_id").collect()
+    got, kinds = [r["text"] for r in rows], [r["private_kinds"] for r in rows]
+    old_parts, new_parts = (x.removeprefix("api_key=").removesuffix(". Next").split(".") for x in (texts[0], got[0]))
+    assert got[0].endswith(". Next") and [len(x) for x in new_parts] == [len(x) for x in old_parts] and not set(new_parts) & set(old_parts)
+    assert got[0] == f"api_key={plain_feistel(jwt, 'secret', 'k')}. Next"
+    assert re.fullmatch("secret: [a-z]{2}-[a-z]{4}-[a-z]{4}[A-Z]{4}[0-9]{8} end", got[1]) and "12345678" not in got[1]
+    assert got[2] == f"token={plain_feistel('x1Y-' * 125, 'secret', 'k')} end"
+    assert re.fullmatch(r"call \+49 \d\d \d{7} or \+44 \(\d\d\) \d{4} \d{4}, \+49\d{10} now", got[3]) and kinds[3] == ["phone_abroad"] * 3 and "1234567" not in got[3]
+    assert kinds[4] == ["phone"] and got[4] != texts[4]
+    one, two = re.fullmatch("iban (.{27}), (.{22}) ok, bad DE88 3704 0044 0532 0130 00", got[5]).groups()
+    assert iban_ok(one) and iban_ok(two) and one[:2] == "DE" and re.fullmatch("GB[0-9]{2}[A-Z]{4}[0-9]{14}", two) and one not in texts[5] and two not in texts[5]
+    assert re.fullmatch("host ([0-9a-f]{4}:){7}[0-9a-f]{4}, [0-9a-f]{4}::[0-9a-f]{3}:([0-9a-f]{4}:){2}[0-9a-f]{4}, std::vector 12:30:45", got[6]) and kinds[6] == ["ipv6", "ipv6"]
+    assert kinds[7] == ["date"] * 3 and got[7].endswith("not 1985-13-7") and "1985-3-7" not in got[7].removesuffix("not 1985-13-7")
+    same = pii.pseudonymised(spark.createDataFrame([(1, "1985-03-07 07.03.1985 1985-3-7")], "doc_id long, text string"), key="k").first()["text"].split()
+    y, m, d = map(int, same[0].split("-"))
+    assert same[1] == f"{d:02d}.{m:02d}.{y}" and same[2] == f"{y}-{m}-{d}"
+    assert got[8] == texts[8]
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs, key="")
+
+
+def test_op3_key_comes_from_the_session_and_not_into_plans(spark):
+    spark.conf.set(pii.KEY_SETTING, "very secret key")
+    assert pii.key_of(spark) == "very secret key"
+    docs = spark.createDataFrame([(1, "ip 1.2.3.4")], "doc_id long, text string")
+    plan = pii.pseudonymised(docs, key=pii.key_of(spark))._jdf.queryExecution().toString()
+    assert "very secret key" not in plan and "salt-" in plan
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 64
+
+
 def test_op3_is_a_permutation(spark):
     """All three-digit values map to all three-digit values, one to one."""
     frame = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
@@ -258,7 +337,7 @@ def test_op3_is_a_permutation(spark):
 
 def test_op3_leaves_clean_documents(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
-    got = pii.pseudonymised(docs).join(docs.withColumnRenamed("text", "old"), "doc_id")
+    got = pii.pseudonymised(docs, key="k").join(docs.withColumnRenamed("text", "old"), "doc_id")
     assert got.where("n_private = 0 AND text <> old").count() == 0
     left = got.where(F.col("text").rlike(r"@mail[0-9]\.example\.com"))
     assert left.count() == 0 and got.where("n_private > 0").count() > 0
