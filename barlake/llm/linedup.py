@@ -2,12 +2,16 @@
 
 The state of a corpus is three tables:
 
-- references (key, doc_id): one row for each document row that holds a line of that key,
+- references (key, doc_id, part): one row for each document row that holds a line of that key; part is the CRC-32 of the row's
+  text, so that rows without an id, or of one id, don't gather in one group,
 - counts (key, shard, refs, first_doc, last_doc): the exact reference count of each key, with its least and greatest id,
 - filters (shard, filter): per shard a cuckoo filter of the keys that two or more documents hold.
 
 Keys are dealt to shards by hash. A line is looked up in its shard's filter first; only lines that the filter knows
-are joined to the exact counts, so false positives cost a lookup and never a line. Inserting documents adds
+are joined to the exact counts, so false positives cost a lookup and never a line. The filters are broadcast while their
+summed bytes, which are counted, stay under BROADCAST_BYTES; beyond, references meet the filter of their shard in groups of shard
+and salt of about GROUP_ROWS rows. Keys with more than a HEAVY_PARTS-th of all references, of which there are fewer than
+HEAVY_PARTS, are joined by broadcast, so that no task gets all lines of a key. Inserting documents adds
 references, raises counts and inserts keys that came to be shared; deleting documents takes references away, lowers
 counts, and deletes from the filters the keys that are no longer shared, which a cuckoo filter (unlike a Bloom filter)
 permits. Deduplicating after a deletion gives what deduplicating without those documents would have given.
@@ -31,8 +35,9 @@ from barlake.llm.store import materialize
 from barlake.llm.textbytes import mix, text_of
 
 MIN_POINTS = 10
-#: Keys a shard's filter is meant for, and filter bytes up to which all filters go to every task.
+#: Keys a shard's filter is meant for, filter bytes up to which all filters go to every task; see above.
 KEYS_PER_SHARD, BROADCAST_BYTES = 100_000, 64 << 20
+GROUP_ROWS, HEAVY_PARTS = 500_000, 10_000
 _STRIP = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands for a null id: after all others.
@@ -123,11 +128,15 @@ def line_key(line: bytes) -> bytes | None:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-REFERENCES = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc_id", T.LongType())])
+REFERENCES = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("part", T.LongType())])
+
+
+def _part(text_col: str):
+    return F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
 
 
 def line_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc_id) once for each row of docs and key that its lines hold."""
+    """(key, doc_id, part) once for each row of docs and key that its lines hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,12 +147,12 @@ def line_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 own.discard(None)
                 keys += own
                 counts.append(len(own))
-            ids = np.repeat(batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False), counts)
-            whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+            ids, parts = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), counts) for c in ("doc_id", "part"))
+            whole = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(parts, pa.int64())], names=REFERENCES.names)
             for lo in range(0, whole.num_rows, 10_000):
                 yield whole.slice(lo, 10_000)
 
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), _part(text_col).alias("part"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, REFERENCES)
 
 
@@ -166,6 +175,8 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
+        """The state of a corpus. Null and empty texts hold no key; rows of one id, and rows without one, count as one document; a row
+        that repeats is one reference more. An empty table makes an empty state. Other columns aren't read."""
         references = materialize(line_references(docs, id_col, text_col), "references")
         counts = materialize(cls._counted(references), "counts")
         shared = counts.where("first_doc < last_doc").count()
@@ -175,11 +186,16 @@ class LineIndex:
         return cls(references, counts, filters, shards)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
+        """The state with these documents. One whose id is there already takes its place; rows without an id are added to those
+        without. Odd rows are as in `build`."""
         new = materialize(line_references(docs, id_col, text_col), "references")
-        return self._changed(self.references.unionByName(new), new.select("key").distinct())
+        ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+        old = self.references.join(ids, "doc_id", "left_semi")
+        touched = new.select("key").unionByName(old.select("key")).distinct()
+        return self._changed(materialize(self.references.join(ids, "doc_id", "left_anti").unionByName(new), "references"), touched)
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """Take the documents of these ids out of the state."""
+        """The state without the documents of these ids; ids that it doesn't have change nothing, a null one stands for all rows without."""
         ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id")).distinct()
         touched = self.references.join(ids, "doc_id", "left_semi").select("key").distinct()
         return self._changed(materialize(self.references.join(ids, "doc_id", "left_anti"), "references"), touched)
@@ -196,15 +212,28 @@ class LineIndex:
         rebuilt = counts.where("first_doc < last_doc").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build_filter, "shard int, filter binary")
         return LineIndex(references, counts, materialize(filters.where("filter IS NOT NULL").unionByName(rebuilt), "filters"), self.shards)
 
-    def dropped(self) -> DataFrame:
-        """(doc_id, key) of lines that a document loses, since a lesser id holds the key."""
+    def known(self, broadcast_bytes: int = BROADCAST_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
+        """The references whose keys the filters know."""
         bytes_ = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        known = self.references.select("key", "doc_id")
-        if bytes_ <= BROADCAST_BYTES:  # else all references meet the exact counts
-            filters = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
-            known = self._sharded(known, self.shards).mapInArrow(_known(known.sparkSession.sparkContext.broadcast(filters)), REFERENCES)
-        shared = self.counts.where("first_doc < last_doc").select("key", "first_doc")
-        return known.join(shared, "key").where("first_doc < doc_id").select("doc_id", "key")
+        rows = self._sharded(self.references.select(*REFERENCES.names), self.shards)
+        if bytes_ <= broadcast_bytes:
+            filters = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}  # broadcast_bytes at most
+            return rows.mapInArrow(_known(rows.sparkSession.sparkContext.broadcast(filters)), REFERENCES)
+        salts = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("salts"))  # a row a shard
+        salts = materialize(salts.join(self.filters, "shard"), "salts")
+        dealt = rows.join(F.broadcast(salts.select("shard", "salts")), "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "part", "key"), F.col("salts")).cast("int"))
+        filters = salts.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        return dealt.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(_known_in_group, REFERENCES)
+
+    def dropped(self, broadcast_bytes: int = BROADCAST_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
+        """(doc_id, part, key) of lines that a document loses, since a lesser id holds the key."""
+        known = materialize(self.known(broadcast_bytes, group_rows), "known")
+        shared = self.counts.where("first_doc < last_doc").select("key", "refs", "first_doc")
+        total = self.counts.agg(F.sum("refs")).first()[0] or 0
+        heavy = materialize(shared.where(F.col("refs") > max(total // HEAVY_PARTS, 1)).select("key", "first_doc"), "heavy")  # under HEAVY_PARTS rows
+        light = shared.where(F.col("refs") <= max(total // HEAVY_PARTS, 1)).select("key", "first_doc")
+        both = known.join(F.broadcast(heavy), "key").unionByName(known.join(F.broadcast(heavy.select("key")), "key", "left_anti").join(light, "key"))
+        return both.where("first_doc < doc_id").select("doc_id", "part", "key")
 
 
 def _build_filter(rows: pd.DataFrame) -> pd.DataFrame:
@@ -233,27 +262,37 @@ def _known(filters):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shards = batch.column(2).to_numpy()
+            shards = batch.column(batch.schema.get_field_index("shard")).to_numpy()
             hashes = key_hashes(batch.column(0).to_pylist())
             hit = np.zeros(batch.num_rows, bool)
             for shard, filled in own.items():
                 at = np.flatnonzero(shards == shard)
                 hit[at] = filled.contains(hashes[at])
-            yield batch.select([0, 1]).filter(pa.array(hit))
+            yield batch.select(REFERENCES.names).filter(pa.array(hit))
 
     return run
 
 
-def deduplicated(docs: DataFrame, index: LineIndex | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _known_in_group(rows: pa.Table, filters: pa.Table) -> pa.Table:
+    """Rows of one shard and salt that the shard's filter knows."""
+    rows = rows.select(REFERENCES.names)
+    if not rows.num_rows or not filters.num_rows:
+        return rows.slice(0, 0)
+    return rows.filter(pa.array(CuckooFilter.of_bytes(filters.column("filter")[0].as_py()).contains(key_hashes(rows.column("key").to_pylist()))))
+
+
+def deduplicated(docs: DataFrame, index: LineIndex | None = None, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with its text freed of lines that a document of lesser id in the index holds, and `n_lines` (before), `n_dropped`.
 
     Keys are lines stripped of ASCII white space at both ends, with A-Z in lower case; keys under 10 code points are left
     alone. A null or empty text is one empty line and stays empty (null becomes empty). Rows of one id are one
-    document: none of them loses a line to another. A null id stands after all others. An empty table gives no rows."""
+    document: none of them loses a line to another. A null id stands after all others. Very long texts are taken whole, an empty
+    table gives no rows, and other columns pass through. `how` goes to `LineIndex.dropped`."""
     index = index or LineIndex.build(docs, id_col=id_col, text_col=text_col)
-    lost = index.dropped().groupBy("doc_id").agg(F.collect_set("key").alias("__lost")).withColumnRenamed("doc_id", "__id")
+    lost = index.dropped(**how).groupBy(F.col("doc_id").alias("__id"), F.col("part").alias("__part")).agg(F.collect_set("key").alias("__lost"))
     base = docs.drop("n_lines", "n_dropped").withColumn(text_col, F.col(text_col).cast("string"))
-    joined = base.join(lost, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("__id"), "left").drop("__id")
+    own = base.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__part": _part(text_col)})
+    joined = own.join(lost, ["__id", "__part"], "left").drop("__id", "__part")
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

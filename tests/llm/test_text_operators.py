@@ -246,6 +246,23 @@ def test_op8_deleting_undoes_inserting(spark, sf_dir):
     assert result(without_first, late) == result(linedup.LineIndex.build(late), late)
 
 
+def test_op8_same_result_by_shard_groups_and_for_rows_without_ids(spark, sf_dir, monkeypatch):
+    common = "a line that every document has"
+    made = [(None, f"{common}\nonly in {i} and nowhere else") for i in range(40)] + [(i, f"{common} \nshared by pairs {i // 2}\n{'x' * (i % 15)}") for i in range(60)] + [(3, common), (3, common), (None, f"{common}\nonly in 5 and nowhere else"), (8, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = sorted(map(str, brute_lines(made)))
+    for heavy in (linedup.HEAVY_PARTS, 1, 20):
+        monkeypatch.setattr(linedup, "HEAVY_PARTS", heavy)
+        index = linedup.LineIndex.build(docs, keys_per_shard=4)
+        assert index.shards > 3
+        for how in ({}, {"broadcast_bytes": 0, "group_rows": 7}):
+            got = linedup.deduplicated(docs, index, **how).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256)).collect()
+            assert sorted(str(tuple(r)) for r in got) == want
+    again = index.insert(docs.where("doc_id = 5")).insert(docs.where("doc_id % 2 = 0"))
+    assert sorted(map(tuple, again.counts.collect())) == sorted(map(tuple, index.counts.collect()))
+    assert index.delete(docs.where("doc_id > 1000")).references.count() == index.references.count()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
