@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier on averaged subword embeddings.
 
-A word is the bag of its character n-grams with word bounds, and of itself; each n-gram has a hashed embedding. A
-passage (a stretch of `WINDOW` words) is the average of its n-grams' embeddings and goes into a linear softmax of two classes. A
+A word is the bag of its character n-grams with word bounds, and of the whole word; each of these has a hashed embedding. A
+passage (a stretch of `window` words, or the whole text) is the average of its embeddings and goes into a linear softmax of two classes. A
 text's score is that of its most toxic passage, so that a few words count alike in short and in long texts. Embeddings
 and softmax are trained jointly in numpy by Adam: each step picks a text's currently most toxic passage and learns from
 its label. A misspelt word that was never seen shares most of its n-grams with the word that was.
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.llm.textbytes import WORD, Piece, lowered, pieces, text_of
+from barlake.llm.textbytes import WORD, Piece, lowered, pieces, range_hashes, text_of
 
-BITS, SIZES, WINDOW, STRIDE = 18, (3, 4, 5, 6), 8, 4
+BITS, SIZES, WINDOW = 18, (3, 4, 5, 6), 8
 DIMENSIONS, STEPS, BATCH, RATE = 8, 600, 64, 0.05
 MAX_LABELLED = 3_000
 TOXIC_AT = 0.7
@@ -60,6 +60,8 @@ def subwords(piece: Piece) -> Grams:
         h ^= h >> np.uint32(15)
         buckets.append(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.int32))
         owners.append(np.repeat(np.arange(len(begins)), counts))
+    buckets.append((range_hashes(data, begins, ends) >> np.uint64(64 - BITS)).astype(np.int32))  # the word itself
+    owners.append(np.arange(len(begins)))
     return Grams(np.concatenate(buckets), np.concatenate(owners), first_word)
 
 
@@ -69,44 +71,48 @@ def word_sums(grams: Grams, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(grams.word, table[grams.buckets], n), np.bincount(grams.word, minlength=n)
 
 
-def window_bounds(first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, end) of each passage: WINDOW words every STRIDE; a shorter text is one passage."""
+def window_bounds(first_word: np.ndarray, window: int | None = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, end) of each passage: `window` words every half window; a shorter text is one passage, and so is every
+    text if window is None."""
     counts = np.diff(first_word)
-    per_row = np.where(counts == 0, 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)))
+    window = window or max(int(counts.max(initial=1)), 1)
+    stride = max(window // 2, 1)
+    per_row = np.where(counts == 0, 0, 1 + np.maximum(0, -(-(counts - window) // stride)))
     row = np.repeat(np.arange(len(counts)), per_row)
     number = np.arange(per_row.sum()) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-    begin = np.repeat(first_word[:-1], per_row) + number * STRIDE
-    return row, begin, np.minimum(begin + WINDOW, np.repeat(first_word[1:], per_row))
+    begin = np.repeat(first_word[:-1], per_row) + number * stride
+    return row, begin, np.minimum(begin + window, np.repeat(first_word[1:], per_row))
 
 
 @dataclass
 class Model:
     table: np.ndarray  # log odds of each n-gram bucket
     bias: float
+    window: int | None = WINDOW
 
     def odds(self, piece: Piece) -> np.ndarray:
         """Log odds of each row; a text without words has those of an empty bag."""
         grams = subwords(piece)
         sums, counts = (np.concatenate([[0], np.cumsum(x)]) for x in word_sums(grams, self.table))
-        row, begin, end = window_bounds(grams.first_word)
+        row, begin, end = window_bounds(grams.first_word, self.window)
         average = (sums[end] - sums[begin]) / np.maximum(counts[end] - counts[begin], 1)
         out = np.full(piece.rows, -np.inf)
         np.maximum.at(out, row, average)
         return np.where(np.isinf(out), min(self.bias, 0.0), out + self.bias)
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """sample: (text, 1 if toxic else 0). Without both classes every score is the one class's (0.5 without rows)."""
+def fit(sample: list[tuple[str, int]], window: int | None = WINDOW) -> Model:
+    """sample: (text, 1 if toxic else 0); passages of `window` words, or whole texts where it is None. Without both classes every score is the one class's (0.5 without rows)."""
     sample = sorted(s for s in sample if s[0])
     y = np.array([label for _, label in sample], float)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
+        return Model(np.zeros(1 << BITS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0), window)
     rng = np.random.default_rng(3)
     bags = []
     for piece in pieces(pa.array([t for t, _ in sample], pa.string()), 1):
         grams = subwords(piece)
         order = np.argsort(grams.word, kind="stable")
-        bags.append((grams.buckets[order], np.concatenate([[0], np.cumsum(np.bincount(grams.word, minlength=int(grams.first_word[-1])))]), *window_bounds(grams.first_word)[1:]))
+        bags.append((grams.buckets[order], np.concatenate([[0], np.cumsum(np.bincount(grams.word, minlength=int(grams.first_word[-1])))]), *window_bounds(grams.first_word, window)[1:]))
     size = 1 << BITS
     e = rng.normal(0, 0.1, (size, DIMENSIONS)).astype(np.float32)
     u = rng.normal(0, 0.5, (2, DIMENSIONS)).astype(np.float32)
@@ -151,17 +157,20 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         m_e[touched] += 0.1 * (grad - m_e[touched])
         v_e[touched] += 0.001 * (grad * grad - v_e[touched])
         e[touched] -= rate * (m_e[touched] / (1 - 0.9**age)) / (np.sqrt(v_e[touched] / (1 - 0.999**age)) + 1e-8)
-    return Model((e @ (u[1] - u[0])).astype(np.float32), float(b[1] - b[0]))
+    return Model((e @ (u[1] - u[0])).astype(np.float32), float(b[1] - b[0]), window)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on at most `max_labelled` labelled documents, half of them toxic if there are as many: those whose ids hash least."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, window: int | None = WINDOW) -> Model:
+    """Fit on at most `max_labelled` labelled documents, half of them toxic if there are as many: those whose ids hash least.
+
+    Null ids and labels teach nothing, a null text is an empty one; where an id is labelled or stored more than once, the rows beyond
+    twice `max_labelled` are left out in order of label and text. Other columns aren't read; empty tables give even scores."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna()
     half = max_labelled // 2
     chosen = known.where("__label = 1").orderBy(F.xxhash64("__id"), "__id").limit(half).unionByName(known.where("__label <> 1").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled - half))
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    rows = slim.join(F.broadcast(chosen), "__id").select("text", "__label").limit(2 * max_labelled).collect()  # bounded by max_labelled
-    return fit([(r["text"] or "", int(r["__label"] == 1)) for r in rows])
+    rows = slim.join(F.broadcast(chosen), "__id").select("text", "__label").orderBy("__label", "text").limit(2 * max_labelled).collect()  # bounded by max_labelled
+    return fit([(r["text"] or "", int(r["__label"] == 1)) for r in rows], window)
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
