@@ -164,8 +164,3 @@ def lowered(piece: Piece) -> Piece:
 
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
-
-
-def small_batches(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)

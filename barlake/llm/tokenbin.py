@@ -8,21 +8,25 @@ A data file holds one record a document, in ascending order of id:
     check    4 bytes: masked CRC-32 of the payload
 
 A masked checksum is the CRC rotated right by 15 bits plus 0xA282EAD8, so that a checksum stored inside other
-checksummed data is harmless. The index file beside it holds, for each record, 8 bytes offset of the record and 8 bytes
-of its payload's length, so that a reader can fetch records in any shuffled order without a scan. The manifest, a small
-table in the shared folder, names the files in order with their counts.
-
-A task writes one file under a name of its own attempt and moves it into place when it is whole, so a lost executor
-leaves no half file and a second attempt replaces the first with equal bytes.
+checksummed data is harmless. The index file beside it holds, for each record, 32 bytes, little-endian: the record's offset,
+its payload's length, the document's id (signed) and 1, or 0 for both where it has no id. So a reader can fetch records
+in any shuffled order, or by id, without a scan. The manifest, a small table in the shared folder, names the files in order with
+their counts.
+
+Each attempt at a task writes files under a name of its own, and nothing is moved or replaced. The manifest's rows are committed
+by Spark, one attempt a task, so it names whole files of the attempts that count; what a lost executor leaves is named by
+no manifest and goes with the folder.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 from struct import pack
 from unicodedata import is_normalized
 
@@ -31,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +46,7 @@ from barlake.llm.textbytes import text_of
 MASK_DELTA = 0xA282EAD8
 END_ID = 2
 ROWS_PER_FILE = 50_000
+ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("id", "<i8"), ("known", "<u8")])
 #: Entries a worker keeps of chunk -> ids and of word -> ids in each of two generations (some 150 bytes an entry).
 CACHE_CHUNKS, CACHE_WORDS = 500_000, 300_000
 FLUSH_BYTES = 4 << 20
@@ -148,13 +154,13 @@ class ChunkIds(dict):
 _LOADED: dict[tuple[str, int], ChunkIds] = {}
 
 
-def _chunk_ids(path: str, width: int) -> ChunkIds:
+def _chunk_ids(name: str, shipped: Broadcast, width: int) -> ChunkIds:
     """One tokenizer a worker process, kept over its tasks."""
-    if (path, width) not in _LOADED:
+    if (name, width) not in _LOADED:
         from tokenizers import Tokenizer
 
-        _LOADED[path, width] = ChunkIds(Tokenizer.from_file(path), width)
-    return _LOADED[path, width]
+        _LOADED[name, width] = ChunkIds(Tokenizer.from_buffer(shipped.value), width)
+    return _LOADED[name, width]
 
 
 def encode(text: bytes, ids: ChunkIds) -> bytes:
@@ -171,94 +177,81 @@ MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, vocabulary: int | None = None, path: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Tokenise every whole text, write data and index files to `path` (a new folder in the shared one) and return the manifest.
 
-    `tokenizer_path` is a tokenizer file that every executor can open. Rows are dealt by range of id, nulls first; rows
-    of one id follow one another in order of their text. A null or empty text is a record of the end id alone. An
-    empty table gives files without records. Ids take 2 bytes where the vocabulary fits, else 4."""
+    `tokenizer_path` is a tokenizer file on the driver (a few megabytes), which is broadcast. Rows are dealt by range of id,
+    nulls first; rows of one id, or of none, follow one another by a hash of their text and are dealt among tasks too. Ids are
+    read as longs. A null or empty text is a record of the end id alone, and a repeated row is a record each time. An empty table
+    gives files without records. Other columns aren't read. Ids of tokens take 2 bytes where the vocabulary fits, else 4."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
-    path = path or fresh_path(spark, "tokens")
+    root = (path or fresh_path(spark, "tokens")).rstrip("/")
+    model = Path(tokenizer_path).read_bytes()
     if vocabulary is None:
-        from tokenizers import Tokenizer
-
-        vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
+        vocabulary = Tokenizer.from_buffer(model).get_vocab_size(with_added_tokens=True)
     width = 2 if max(vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4
-    dtype = f"<u{width}"
-    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
+    end = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
+    name, shipped = hashlib.sha256(model).hexdigest(), spark.sparkContext.broadcast(model)
     tasks = row_count_tasks(docs.count(), rows_per_file, spark)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("tag"))
+    types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, ids = context.partitionId(), _chunk_ids(tokenizer_path, width)
-        store, folder = _place(path)
-        store.create_dir(folder, recursive=True)
-        name, attempt = f"{folder}/part-{part:06d}", f"attempt-{context.taskAttemptId()}"
+        part, ids = context.partitionId(), _chunk_ids(name, shipped, width)
+        own = f"{root}/part-{part:06d}-attempt-{context.taskAttemptId()}"
+        store, file = _place(own)
+        store.create_dir(file.rpartition("/")[0], recursive=True)
         records = tokens = at = 0
-        with store.open_output_stream(f"{name}.data.{attempt}") as data, store.open_output_stream(f"{name}.index.{attempt}") as index:
-            held, places = io.BytesIO(), io.BytesIO()
+        with store.open_output_stream(f"{file}.data") as data, store.open_output_stream(f"{file}.index") as index:
+            held = io.BytesIO()
             for batch in batches:
+                lengths = []
                 for text in pc.cast(text_of(batch), pa.binary()).to_pylist():
                     payload = encode(text or b"", ids) + end
                     held.write(frame(payload))
-                    places.write(struct.pack("<QQ", at, len(payload)))
-                    at += len(payload) + 16
-                    records += 1
-                    tokens += len(payload) // width
+                    lengths.append(len(payload))
                     if held.tell() >= FLUSH_BYTES:
                         data.write(held.getvalue())
                         held.seek(0)
                         held.truncate()
+                entries = np.zeros(len(lengths), ENTRY)
+                entries["length"] = lengths
+                steps = np.cumsum(entries["length"] + np.uint64(16))
+                entries["offset"] = at + steps - entries["length"] - 16
+                entries["known"] = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                entries["id"] = batch.column(0).fill_null(0).to_numpy()
+                index.write(entries.tobytes())
+                at += int(steps[-1]) if lengths else 0
+                records += len(lengths)
+                tokens += sum(lengths) // width
             data.write(held.getvalue())
-            index.write(places.getvalue())
-        for kind in ("data", "index"):
-            store.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
-        root = path.rstrip("/")
-        values = [part, f"{root}/part-{part:06d}.data", f"{root}/part-{part:06d}.index", width, records, tokens]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=MANIFEST.names)
-
-    order = ["doc_id", "text"]
-    keyed = slim.repartitionByRange(tasks, "doc_id").sortWithinPartitions(*order)
-    with_ids = keyed.mapInArrow(_with_ids(run, path), MANIFEST)
-    return materialize(with_ids, "manifest")
-
+        values = (part, f"{own}.data", f"{own}.index", width, records, tokens)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=MANIFEST.names)
 
-def _with_ids(write, path: str):
-    """Beside each data file, the ids of its records as a column, so that readers can name them."""
+    order = ["doc_id", "text_hash", "tag"]
+    return materialize(slim.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, MANIFEST), "manifest")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Array] = []
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept.append(batch.column(0))
-                yield batch
 
-        context = TaskContext.get()
-        done = list(write(seen()))
-        store, folder = _place(path)
-        name = f"{folder}/part-{context.partitionId():06d}.ids"
-        ids = pa.chunked_array(kept, type=kept[0].type if kept else pa.int64())
-        with store.open_output_stream(f"{name}.attempt-{context.taskAttemptId()}") as out, pa.ipc.new_stream(out, pa.schema([("doc_id", ids.type)])) as stream:
-            stream.write_table(pa.table({"doc_id": ids}))
-        store.move(f"{name}.attempt-{context.taskAttemptId()}", name)
-        yield from done
-
-    return run
+def read_index(index_path: str) -> np.ndarray:
+    """A file's index as an array with the fields of ENTRY."""
+    store, index = _place(index_path)
+    with store.open_input_file(index) as f:
+        return np.frombuffer(f.read(), ENTRY)
 
 
-def read_records(data_path: str, index_path: str) -> Iterator[bytes]:
-    """Payloads of one file in order, each record found by the index and verified. The file is read in stretches."""
+def read_records(data_path: str, places: np.ndarray) -> Iterator[bytes]:
+    """Payloads of one file in the order of its index, each verified. The file is read in stretches."""
     store, data = _place(data_path)
-    with store.open_input_file(_place(index_path)[1]) as f:
-        places = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
+    begins, ends = places["offset"].astype(np.int64), (places["offset"] + places["length"]).astype(np.int64) + 16
     with store.open_input_file(data) as f:
         lo = 0
         while lo < len(places):
-            begin = int(places[lo, 0])
-            hi = max(lo + 1, int(np.searchsorted(places[:, 0], begin + FLUSH_BYTES)))
-            end = int(places[hi - 1, 0] + places[hi - 1, 1]) + 16
+            begin = int(begins[lo])
+            hi = max(lo + 1, int(np.searchsorted(begins, begin + FLUSH_BYTES)))
             f.seek(begin)
-            block = memoryview(f.read(end - begin))
-            for offset, n in places[lo:hi].tolist():
+            block = memoryview(f.read(int(ends[hi - 1]) - begin))
+            for offset, n in zip(begins[lo:hi].tolist(), places["length"][lo:hi].tolist(), strict=True):
                 payload = unframe(block, offset - begin)
                 if len(payload) != n:
                     raise ValueError(f"index and file disagree at {offset} of {data_path}")
@@ -270,37 +263,33 @@ def read_record(data_path: str, index_path: str, record: int) -> bytes:
     """One payload by its number, with two short reads: shuffled reading."""
     store, data = _place(data_path)
     with store.open_input_file(_place(index_path)[1]) as f:
-        f.seek(16 * record)
-        offset, n = struct.unpack("<QQ", f.read(16))
+        f.seek(ENTRY.itemsize * record)
+        place = np.frombuffer(f.read(ENTRY.itemsize), ENTRY)[0]
     with store.open_input_file(data) as f:
-        f.seek(offset)
-        return unframe(f.read(n + 16))
+        f.seek(int(place["offset"]))
+        return unframe(f.read(int(place["length"]) + 16))
 
 
 def token_digest(manifest: DataFrame) -> DataFrame:
     """Read the files back: a row per record with `doc_id`, `start`, `n_tokens`, `ids_crc32`, and where it lies (`data_path`,
-    `record`). A task reads one file."""
+    `index_path`, `record`). A task reads one file. A manifest without records gives no rows."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     spark: SparkSession = manifest.sparkSession
     n = max(1, manifest.count())
     tasks = max(1, min(n, 10 * spark.sparkContext.defaultParallelism))
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("doc_id", "start", "n_tokens", "ids_crc32")] + [T.StructField("data_path", T.StringType()), T.StructField("record", T.LongType())])
+    longs = ("doc_id", "start", "n_tokens", "ids_crc32")
+    schema = T.StructType([*(T.StructField(x, T.LongType()) for x in longs), *(T.StructField(x, T.StringType()) for x in ("data_path", "index_path")), T.StructField("record", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sizes, crcs = [], []
-                for payload in read_records(row["data_path"], row["index_path"]):
-                    ids = np.frombuffer(payload, f"<u{row['width']}").astype("<u4")
-                    sizes.append(len(ids))
-                    crcs.append(zlib.crc32(ids.tobytes()))
-                store, data = _place(row["data_path"])
-                with store.open_input_file(data.removesuffix(".data") + ".ids") as f:
-                    doc_ids = pa.ipc.open_stream(f.read()).read_all().column(0).combine_chunks()
-                counts = np.array(sizes, np.int64)
-                starts = row["base"] + np.cumsum(counts) - counts
-                whole = pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()) if not isinstance(doc_ids, pa.ChunkedArray) else pa.concat_arrays(doc_ids.chunks).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(counts), pa.array(crcs, pa.int64()), pa.array([row["data_path"]] * len(counts), pa.string()), pa.array(np.arange(len(counts)))], names=schema.names)
+                places = read_index(row["index_path"])
+                crcs = [zlib.crc32(np.frombuffer(payload, f"<u{row['width']}").astype("<u4").tobytes()) for payload in read_records(row["data_path"], places)]
+                counts = places["length"].astype(np.int64) // row["width"]
+                ids = pa.array(places["id"].copy(), mask=places["known"] == 0)
+                paths = [pa.array([row[c]] * len(places), pa.string()) for c in ("data_path", "index_path")]
+                whole = pa.RecordBatch.from_arrays([ids, pa.array(row["base"] + np.cumsum(counts) - counts), pa.array(counts), pa.array(crcs, pa.int64()), *paths, pa.array(np.arange(len(places)))], names=schema.names)
                 for lo in range(0, whole.num_rows, 10_000):
                     yield whole.slice(lo, 10_000)
 

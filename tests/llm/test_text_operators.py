@@ -66,11 +66,27 @@ def test_op1_odd_texts_and_shuffled_reads(spark, odd):
     for doc in ODD:
         ids = [*tokenizer.encode(doc[1] or "", add_special_tokens=False).ids, 2]
         row = by_id[doc[0]]
-        payload = tokenbin.read_record(row["data_path"], row["data_path"].replace(".data", ".index"), row["record"])
+        payload = tokenbin.read_record(row["data_path"], row["index_path"], row["record"])
         assert np.frombuffer(payload, "<u2").tolist() == ids
     assert [r["start"] for r in sorted(digest, key=lambda r: (r["doc_id"] or -1, r["start"]))][0] == 0
 
 
+def test_op1_rows_without_ids_are_dealt_and_repeats_are_records(spark):
+    """A third of the rows without an id, and one row many times: no file holds a whole group, and ids ascend over the files."""
+    data = [(None, f"text {i}") for i in range(40)] + [(7, "again")] * 40 + [(i, f"own {i}") for i in range(40)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    manifest = tokenbin.write_tokens(frame, public_tokenizers.path("word_bpe_49k.json"), rows_per_file=15)
+    files = manifest.orderBy("part").collect()
+    assert sum(f["n_records"] for f in files) == len(data) and max(f["n_records"] for f in files) < 40
+    ids = [i for f in files for i in tokenbin.read_index(f["index_path"]).tolist()]
+    assert [known for *_, known in ids] == [0] * 40 + [1] * 80
+    named = [i for *_, i, known in ids if known]
+    assert named == sorted(named)
+    got = sorted(tokenbin.token_digest(manifest).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    assert tokenbin.token_digest(tokenbin.write_tokens(frame.limit(0), public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
 def test_op1_damage_is_found():
     whole = tokenbin.frame(b"abcdef")
     assert tokenbin.unframe(whole) == b"abcdef"
