@@ -11,8 +11,11 @@ more of them is edited or moved. Documents at 0.8 or more are linked, and linked
    SKETCHES keys differ with a chance under 1e-4.
 3. Nodes that share a key are candidates, and none is left out. A key of up to SMALL nodes pairs all of them. In a key of
    more nodes, each is first paired with a leader, the node that shares its keys with most others and so stands near the
-   middle of its group. Then the key's nodes are dealt into salted blocks, and every two blocks meet in one task: a pair is
-   passed over only if its nodes are linked already, through others, or their shingles overlap too little for the threshold.
+   middle of its group. Nodes of keys that this doesn't join into one are then matched by their rarest shingles: two texts
+   at the threshold share one of the first n - ceil(0.8 n) + 1 of their n shingles in any order that is the same for all
+   texts, and here the rarest stand first. So a group is those who share such a shingle, whatever the key's size; in it one node of
+   each part is paired with one leader first, and then those are that are still apart, unless their lengths or the places of
+   the shingle leave too little to share.
 4. Candidates are verified exactly: longest common subsequence within the diagonal band that the threshold allows, bit-parallel.
 5. Classes are the connected components of the links (least-label hooking on shared tables, never on the driver).
 """
@@ -33,8 +36,8 @@ from barlake.llm.textbytes import Piece, grams, lowered, mix, pieces, text_of, w
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKE, SMALL = 14, 3, 16
-#: Nodes and shingles of a block of a hot key.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
+#: Bits of a shingle's hash under which shingles are counted for the order by rarity: a table of 4 MB, whatever the input.
+RARITY_BITS = 20
 #: Stands for a null id: after all others.
 NULL_ID = (1 << 63) - 1
 
@@ -232,74 +235,118 @@ def _of_length(x: str, y: str, least: float):
 LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def _block_links(least: float):
-    """Links among nodes of two blocks of a key, or of one block with itself: as many as join what is similar. Takes rows (key, i, j, block,
-    node, comp, keys, seq); nodes of one comp are linked already. A pair is judged under the first key that it shares."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-        names = table.column("node").to_pylist()
-        comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1]
-        keys = np.array(table.column("keys").to_pylist(), np.int64)
-        block = table.column("block").to_numpy()
-        seqs = [_shingled(x.as_py()) for x in table.column("seq")]
-        size = np.array([len(x) for x in seqs])
-        begin = np.concatenate([[0], np.cumsum(size)])
-        own = labelled(np.concatenate(seqs), np.repeat(np.arange(len(seqs)), size))
-        ids = np.unique(own, return_inverse=True)[1]
-        held = np.zeros(len(own), bool)
-        out: list[tuple[bytes, bytes]] = []
-        place = np.arange(len(names))
-        for a in np.flatnonzero(block == i):
-            others = np.flatnonzero((comp != comp[a]) & ((block == j) if i != j else (place > a)) & (np.minimum(size, size[a]) >= least * np.maximum(size, size[a])))
-            if not len(others):
-                continue
-            first = (keys[others] == keys[a]).argmax(axis=1)
-            others = others[keys[a][first] == key]
-            if not len(others):
-                continue
-            held[ids[begin[a] : begin[a + 1]]] = True
-            at = np.repeat(begin[others] - np.concatenate([[0], np.cumsum(size[others])[:-1]]), size[others]) + np.arange(size[others].sum())
-            most = np.add.reduceat(held[ids[at]].astype(np.int64), np.concatenate([[0], np.cumsum(size[others])[:-1]]))
-            held[ids[begin[a] : begin[a + 1]]] = False
-            near = most >= least * (size[a] + size[others] - most)
-            for b in others[near][np.argsort(-most[near], kind="stable")]:
-                if comp[a] != comp[b] and similarity(seqs[a], seqs[b], least) >= least:
-                    out.append((min(names[a], names[b]), max(names[a], names[b])))
-                    comp[comp == comp[b]] = comp[a]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
-
-    return run
-
-
-def links(members: DataFrame, seqs: DataFrame, *, least: float = SIMILARITY, small: int = SMALL, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Verified pairs among nodes that share a key, enough of them to connect all that are similar. members: (key, node, n, keys)."""
+PREFIXES = T.StructType([T.StructField("token", T.LongType()), T.StructField("place", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("comp", T.BinaryType()), T.StructField("n", T.LongType())])
+
+
+def _numbered(seq: bytes) -> np.ndarray:
+    """A text's shingles, each hashed with its occurrence number."""
+    own = _shingled(seq)
+    return labelled(own, np.zeros(len(own), np.int64))
+
+
+def rarities(texts: DataFrame, bits: int = RARITY_BITS) -> np.ndarray:
+    """How many shingles of texts (seq) begin with each pattern of `bits` bits: counted in tasks, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for seq in batch.column(0):
+                counts += np.bincount((_numbered(seq.as_py()) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        held = np.flatnonzero(counts)
+        for lo in range(0, len(held), 100_000):
+            some = held[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "count"])
+
+    sums = texts.select("seq").mapInArrow(run, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # 2 ** bits rows at most
+    out = np.zeros(1 << bits, np.int64)
+    out[sums.column("bucket").to_numpy()] = sums.column("count").to_numpy()
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+
+
+def prefixes(texts: DataFrame, least: float = SIMILARITY, bits: int = RARITY_BITS) -> DataFrame:
+    """The rarest shingles of each row of texts (node, comp, seq), as many as surely hold one in common with any text at `least`:
+    rows of `token`, its `place` in the text's order, node, comp, and n (shingles of the text)."""
+    counts = texts.sparkSession.sparkContext.broadcast(rarities(texts, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flushed() -> pa.RecordBatch:
+            sizes = [len(f) for f in firsts]
+            of = np.repeat(np.arange(len(firsts)), sizes)
+            places = np.concatenate([np.arange(k) for k in sizes])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(places), *(pa.array(x, pa.binary()).take(pa.array(of)) for x in (nodes, comps)), pa.array(np.array(whole)[of])], names=PREFIXES.names)
+
+        for batch in batches:
+            nodes, comps, whole, firsts = [], [], [], []
+            for node, comp, seq in zip(*batch.columns, strict=True):
+                own = _numbered(seq.as_py())
+                n = len(own)
+                firsts.append(own[np.lexsort((own, counts.value[(own >> np.uint64(64 - bits)).astype(np.int64)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]])
+                nodes.append(node.as_py())
+                comps.append(comp.as_py())
+                whole.append(n)
+                if n > 50_000 or len(firsts) >= 1000:
+                    yield flushed()
+                    nodes, comps, whole, firsts = [], [], [], []
+            if firsts:
+                yield flushed()
+
+    return texts.select("node", "comp", "seq").mapInArrow(run, PREFIXES)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows of the tokens that several parts share."""
+    several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return materialize(rows.join(several, "token"), "apart")
+
+
+def rare_links(texts: DataFrame, seqs: DataFrame, least: float = SIMILARITY, bits: int = RARITY_BITS) -> DataFrame:
+    """Links between parts (comp) of texts (node, comp, seq), enough of them to join all that are similar."""
+    rows = _apart(materialize(prefixes(texts, least, bits), "prefixes"))
+    # one node of each part under a token meets one leader
+    reps = rows.groupBy("token", "comp").agg(F.min(F.struct(F.xxhash64("node", "token").alias("h"), "node", "n")).alias("rep"))
+    reps = materialize(reps.select("token", "comp", "rep.*"), "parts")
+    heads = reps.groupBy("token").agg(F.min(F.struct("h", "node", "n", "comp")).alias("head"))
+    met = reps.join(heads, "token").where((F.col("comp") != F.col("head.comp")) & _of_length("n", "head.n", least))
+    met = materialize(met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "met")
+    found = materialize(verified(met, seqs, least), "links")
+    # parts that these links join are one from now on
+    ends = [texts.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
+    joined = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    rows = rows.join(joined.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    rows = _apart(rows)
+    one, two = (rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("place", "node", "comp", "n"))) for x in "ab")
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # shingles in common if this is the first of them
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _of_length("n_a", "n_b", least) & (most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-6)
+    pairs = one.join(two, "token").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return found.unionByName(materialize(verified(pairs.join(met, ["a", "b"], "left_anti"), seqs, least), "links"))
+
+
+def links(members: DataFrame, seqs: DataFrame, *, least: float = SIMILARITY, small: int = SMALL, rarity_bits: int = RARITY_BITS) -> DataFrame:
+    """Verified pairs among nodes that share a key, enough of them to connect all that are similar. members: (key, node, n)."""
 
     def all_pairs(rows: DataFrame) -> DataFrame:
         one, two = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na")), rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
         return one.join(two, "key").where((F.col("a") < F.col("b")) & _of_length("na", "nb", least)).select("a", "b")
 
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    sized = materialize(members.join(materialize(counts, "counts"), "key"), "sized")  # a hot key's rows can be split
+    sized = materialize(members.select("key", "node", "n").join(materialize(counts, "counts"), "key"), "sized")  # a hot key's rows can be split
     found = materialize(verified(all_pairs(sized.where(F.col("count") <= small)).distinct(), seqs, least), "links")
     hot = sized.where(F.col("count") > small)
     if hot.limit(1).count() == 0:
         return found
     # a node that shares its keys with many is near the middle of its group: the best leader
     known = hot.groupBy("node").agg(F.sum("count").alias("shared"))
-    pool = materialize(hot.select("key", "node", "n", "keys").join(known, "node"), "pool")
+    pool = materialize(hot.select("key", "node", "n").join(known, "node"), "pool")
     best = F.min(F.struct((-F.col("shared")).alias("s"), F.xxhash64("node", "key").alias("h"), F.col("node"), F.col("n"))).alias("best")
     leaders = materialize(pool.groupBy("key").agg(best).select("key", F.col("best.node").alias("leader"), F.col("best.n").alias("nl")), "leaders")
     stars = pool.join(leaders, "key").where((F.col("node") != F.col("leader")) & _of_length("nl", "n", least)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     found = found.unionByName(materialize(verified(stars.distinct().join(found, ["a", "b"], "left_anti"), seqs, least), "links"))
-    linked = pool.join(components(found), "node", "left").select("key", "node", "n", "keys", F.coalesce("root", "node").alias("comp"))
-    linked = materialize(linked, "linked")
-    wide = linked.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    wide = materialize(wide.select("key", F.ceil(F.greatest(F.col("count") / block_nodes, F.col("total") / block_shingles)).cast("int").alias("blocks")), "wide")
-    dealt = linked.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(seqs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "keys", "seq")
-    return found.unionByName(materialize(dealt.groupBy("key", "i", "j").applyInArrow(_block_links(least), LINKS), "links"))
+    linked = materialize(pool.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")), "linked")
+    wide = linked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    texts = materialize(linked.join(wide, "key").select("node", "comp").distinct().join(seqs, "node"), "open")
+    if texts.limit(1).count() == 0:
+        return found
+    return found.unionByName(rare_links(texts, seqs, least, rarity_bits))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -330,9 +377,9 @@ def rooted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     every = materialize(nodes(slim), "nodes")
     some = every.where("n > 0")
     distinct = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    keyed = distinct.select("node", "n", "keys", F.explode("keys").alias("key"))
+    keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = materialize(keyed.join(shared, "key"), "members").select("key", "node", "n", "keys")
+    members = materialize(keyed.join(shared, "key"), "members").select("key", "node", "n")
     wanted = distinct.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
     texts = slim.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     seqs = materialize(sequences(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sequences")

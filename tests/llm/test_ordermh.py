@@ -109,8 +109,8 @@ def drifting(rng, base, n, step):
     return [" ".join(w) for w in made]
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block_nodes": 40}])
-def test_op4_one_hot_key_links_every_family(spark, blocks):
+@pytest.mark.parametrize("order", [{}, {"rarity_bits": 1}])
+def test_op4_one_hot_key_links_every_family(spark, order):
     """120 pairs of similar texts and a chain of 60, all under one key and with nobody near most of them."""
     rng = random.Random(6)
     word = lambda: rng.randrange(2**32)
@@ -123,16 +123,17 @@ def test_op4_one_hot_key_links_every_family(spark, blocks):
         chain = [*chain[4:], *(word() for _ in range(4))]
         seqs.append(chain)
     rows = [(f"n{k:03}".encode(), np.array(s, "<u4").tobytes()) for k, s in enumerate(seqs)]
-    members = spark.createDataFrame([(7, node, 76, [7]) for node, _ in rows], "key long, node binary, n long, keys array<long>")
-    found = ordermh.links(members, spark.createDataFrame(rows, "node binary, seq binary"), **blocks)
+    members = spark.createDataFrame([(7, node, 76) for node, _ in rows], "key long, node binary, n long")
+    found = ordermh.links(members, spark.createDataFrame(rows, "node binary, seq binary"), **order)
     roots = {bytes(r["node"]): bytes(r["root"]) for r in ordermh.components(found).collect()}
     want = {f"n{k:03}".encode(): (f"n{k // 2 * 2:03}" if k < 240 else "n240").encode() for k in range(300)}
     assert {n: roots.get(n, n) for n in want} == want
 
 
-def test_op4_hot_keys_equal_all_pairs(spark, monkeypatch):
-    """Drifting families, variants of a template and short texts about one shared passage, in several blocks a key."""
-    monkeypatch.setattr(ordermh, "links", lambda *a, real=ordermh.links, **b: real(*a, **b, block_nodes=40))
+@pytest.mark.parametrize("bits", [ordermh.RARITY_BITS, 1])
+def test_op4_hot_keys_equal_all_pairs(spark, monkeypatch, bits):
+    """Drifting families, variants of a template and short texts about one shared passage; also with no knowledge of what is rare."""
+    monkeypatch.setattr(ordermh, "links", lambda *a, real=ordermh.links, **b: real(*a, **b, rarity_bits=bits))
     rng = random.Random(5)
     word = lambda: f"v{rng.randrange(10**6)}"
     texts = [t for _ in range(3) for t in drifting(rng, [word() for _ in range(120)], 90, 4)]
@@ -147,6 +148,30 @@ def test_op4_hot_keys_equal_all_pairs(spark, monkeypatch):
     assert links > 0 and got == want
 
 
+def test_op4_prefixes_meet_wherever_texts_are_similar(spark):
+    """Pairs on both sides of the threshold, with shingles that repeat: those at it share a token, and so do the pairs found."""
+    rng = random.Random(9)
+    seqs = []
+    for _ in range(60):
+        one = [rng.randrange(40) for _ in range(rng.randrange(1, 60))]
+        two = [w if rng.random() > 0.015 else rng.randrange(10**6) for w in one]
+        seqs += [one, two[: len(two) - rng.randrange(0, 3)] or one]
+    rows = [(f"n{k:03}".encode(), f"n{k:03}".encode(), np.array(q, "<u4").tobytes()) for k, q in enumerate(seqs)]
+    texts = spark.createDataFrame(rows, "node binary, comp binary, seq binary")
+    held = {}
+    for r in ordermh.prefixes(texts).collect():
+        held.setdefault(bytes(r["node"]), set()).add(r["token"])
+    own = {node: ordermh._shingled(seq) for node, _, seq in rows}
+    similar = [(a, b) for a, _, _ in rows for b, _, _ in rows if a < b and ordermh.similarity(own[a], own[b]) >= 0.8]
+    assert len(similar) > 20 and all(held[a] & held[b] for a, b in similar)
+    roots = {bytes(r["node"]): bytes(r["root"]) for r in ordermh.components(ordermh.rare_links(texts, texts.select("node", "seq"))).collect()}
+    want = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a, b in similar:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {n: roots.get(n, n) for n in want} == want
+
+
 def test_order_matters(spark):
     rng = random.Random(2)
     parts = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
