@@ -173,6 +173,24 @@ def test_op10_counts_and_verdicts(spark):
     assert sum(k == bool(q) for k, q in judged) / len(judged) > 0.95
 
 
+def test_op10_tells_long_lines_apart(spark):
+    """Lines that any polynomial hash modulo 2 ** 64 takes for equal: letters by the parity of a place's bits, and the same swapped."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    text = "\n".join([one, two, one + " x", two + " y", one])
+    got = quality.judged(spark.createDataFrame([(1, text)], "doc_id long, text string"), quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))).first()
+    assert tuple(got[c] for c in quality.COUNTS) == brute_counts(text) and got["n_dup_lines"] == 1
+
+
+def test_op10_learns_alike_in_any_order(spark):
+    docs = spark.createDataFrame([(1, f"text {i} " * i) for i in range(1, 40)] + [(2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, quality int")
+    one, two = (quality.train(docs.orderBy(how).repartition(3), labels, max_labelled=5) for how in (F.asc("text"), F.desc("text")))
+    x = np.random.default_rng(0).random((50, len(quality.FEATURES)))
+    assert (one.raw(x) == two.raw(x)).all()
+    assert (quality.train(docs.limit(0), labels).score(x) > 0.9).all()
+
+
 def test_op10_held_out_and_monotone():
     rng = np.random.default_rng(1)
     x = rng.random((600, 3))
