@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import decontam, langid, linedup, mixing, ordermh, pii, quality, sharding, tokenbin, toxicity
+from barlake.llm import decontam, langid, linedup, mixing, ordermh, pii, quality, sharding, simhash, tokenbin, toxicity
 from barlake.llm.queries_sql import ORACLES
 from barlake.session import ship_package
 
@@ -73,8 +73,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, trees).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_language_id, op3_private_pseudonyms, op4_order_minhash, op5_decontamination, op6_source_mix, op7_toxicity, op8_line_dedup, op9_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_binary, op2_language_id, op3_private_pseudonyms, op4_order_minhash, op5_decontamination, op6_source_mix, op7_toxicity, op8_line_dedup, op9_sharding, op10_quality_rules, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
