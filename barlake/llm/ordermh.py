@@ -355,7 +355,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars: each node hooks its greater neighbours, then its lesser ones, to the least it
     knows, until nothing changes. Grouping is pre-aggregated, and a hub's edges are spread by the join's skew handling."""
     edges = materialize(edges.select("a", "b").distinct(), "edges")
-    last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -365,10 +364,10 @@ def components(edges: DataFrame) -> DataFrame:
         lesser = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lesser, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct()
         edges = materialize(small, "small")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
+        # done when each node has one root and no root has another
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("held")), F.struct(F.col("b").alias("v"), F.lit(0).alias("held")))).alias("e")).select("e.*")
+        if not ends.groupBy("v").agg(F.sum("held").alias("roots"), F.min("held").alias("held")).where("roots > 1 OR (roots = 1 AND held = 0)").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = state
 
 
 def rooted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, small: int = SMALL) -> DataFrame:

@@ -8,11 +8,12 @@ Fingerprints that differ in at most DISTANCE = 3 bits are linked.
    differing bits at most one lies in one of the segments. So two linked fingerprints agree in a segment, or in a segment
    with one bit made a wildcard. The 2 + 64 signatures of a fingerprint are written (mask, bits under the mask). Wildcard signatures are
    made of the distinct segments and not of the fingerprints, so that a signature has at most two owners.
-3. Fingerprints with a common signature form a bucket. In one of up to SMALL fingerprints all pairs are compared. In a larger
-   one each is compared with the one that most documents have, and if that doesn't join the bucket, what is left of it is cut
-   again, the open 32 bits in two segments of 16, and once more, the open 16 bits with as many wildcards as are left:
-   all fingerprints of such a bucket differ in at most three bits, so they are joined without a comparison. The work of a
-   fingerprint is bounded at every step, however large a bucket is, and no link between parts is left out.
+3. Fingerprints with a common signature form a bucket. Each is compared with that of the bucket which most documents have, and
+   what this links is one part from then on. Where all but SMALL of a bucket's fingerprints are in one part, pairs of different parts are
+   compared, at most SMALL times its size. What is left is cut again, the open 32 bits in two segments of 16, and where that isn't
+   enough, once more: the open 16 bits with as many wildcards as are left. All fingerprints under such a signature differ in
+   at most three bits, so they are joined without a comparison. So the work of a fingerprint is bounded at every step,
+   however large a bucket is, and no link between parts is left out.
 4. Classes are the connected components of the links.
 """
 
@@ -33,7 +34,7 @@ from barlake.llm.store import materialize
 from barlake.llm.textbytes import NONSPACE, Piece, lowered, pieces, text_of, words
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
-#: Fingerprints up to which all pairs of a bucket are compared.
+#: Fingerprints outside a bucket's largest part up to which pairs between parts are compared.
 SMALL = 32
 #: Shingles hashed at a time.
 BLOCK = 1 << 16
@@ -102,31 +103,52 @@ def _masks(masks: list[int]) -> Column:
     return F.array(*(F.lit(_signed(m)).cast("long") for m in masks))
 
 
-def _bucketed(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (mask, key, fp, docs) of buckets of up to `small` fingerprints, and of larger ones."""
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets (mask, key) that several fingerprints share."""
     counts = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    sized = materialize(rows.join(counts, ["mask", "key"]), "buckets")  # a large bucket's rows can be split among tasks
-    return sized.where(F.col("count") <= small), sized.where(F.col("count") > small)
+    return materialize(rows.join(counts.select("mask", "key"), ["mask", "key"]), "buckets")  # a large bucket's rows can be split among tasks
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    one, two = (rows.select("mask", "key", F.col("fp").alias(x)) for x in "ab")
-    return one.join(two, ["mask", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b").distinct()
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
 
 def _starred(rows: DataFrame) -> DataFrame:
     """Links of each fingerprint of a bucket with the one that most documents have."""
     heads = rows.groupBy("mask", "key").agg(F.max_by("fp", F.struct("docs", "fp")).alias("head"))
-    met = rows.join(heads, ["mask", "key"]).where((F.col("fp") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= DISTANCE))
-    return met.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
+    met = rows.join(heads, ["mask", "key"]).where((F.col("fp") != F.col("head")) & _near("fp", "head"))
+    return materialize(met.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct(), "links")
 
 
-def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows, with their part, of the buckets that several parts share."""
-    parts = materialize(components(found).select(F.col("node").alias("fp"), F.col("root").alias("part")), "parts")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Links between the parts of each bucket."""
+    one, two = (rows.select("mask", "key", F.col("fp").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+    met = one.join(two, ["mask", "key"]).where((F.col("part_a") < F.col("part_b")) & _near("a", "b"))
+    return materialize(met.select("a", "b").distinct(), "links")
+
+
+def _joined(parts: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(fp, part) of the fingerprints that have links, after the links (a, b) of fingerprints, or of parts, in addition to those before."""
+    if parts is None:
+        return materialize(components(found).select(F.col("node").alias("fp"), F.col("root").alias("part")), "parts")
+    ends = [parts.select(F.col("fp").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab"]
+    between = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    between = materialize(between.where("a <> b").distinct(), "between")
+    if between.limit(1).count() == 0:
+        return parts
+    roots = materialize(components(between), "roots")
+    moved = parts.join(roots.withColumnRenamed("node", "part"), "part", "left").select("fp", F.coalesce("root", "part").alias("part"))
+    alone = roots.select(F.col("node").alias("fp"), F.col("root").alias("part")).join(parts, "fp", "left_anti")
+    return materialize(moved.unionByName(alone), "parts")
+
+
+def _open(rows: DataFrame, parts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Rows, with their part, of the buckets that several parts share: those of which all but `small` fingerprints are in one part, and others."""
     named = materialize(rows.drop("part").join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp")), "named")
-    wide = named.groupBy("mask", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("mask", "key")
-    return materialize(named.join(wide, ["mask", "key"]), "open")
+    held = named.groupBy("mask", "key", "part").agg(F.count(F.lit(1)).alias("n"))
+    wide = held.groupBy("mask", "key").agg((F.sum("n") - F.max("n")).alias("beside")).where("beside > 0")
+    rows = materialize(named.join(wide, ["mask", "key"]), "open")
+    return rows.where(F.col("beside") <= small), rows.where(F.col("beside") > small)
 
 
 def segment_buckets(distinct: DataFrame) -> DataFrame:
@@ -167,29 +189,25 @@ def _last(rows: DataFrame) -> DataFrame:
     return more.select(mask.alias("mask"), F.col("fp").bitwiseAND(mask).alias("key"), "part")
 
 
-def links(distinct: DataFrame, *, small: int = SMALL) -> DataFrame:
-    """Links (a, b), a < b, among distinct fingerprints (fp, docs), enough of them to join all that differ in at most three bits."""
-    few, many = _bucketed(segment_buckets(distinct), small)
-    found = materialize(_pairs(few), "links")
+def parts_of(distinct: DataFrame, *, small: int = SMALL) -> DataFrame:
+    """(fp, part) of those distinct fingerprints (fp, docs) that are linked with others: the least fingerprint reachable."""
+    rows = _sized(segment_buckets(distinct))
+    parts = _joined(None, _starred(rows))
+    few, many = _open(rows, parts, small)
+    parts = _joined(parts, _pairs(few))
     if many.limit(1).count() == 0:
-        return found
-    found = found.unionByName(materialize(_starred(many), "links"))
-    rows = _open(many, found)
-    if rows.limit(1).count() == 0:
-        return found
-    few, many = _bucketed(materialize(_deeper(rows), "deeper"), small)
-    found = found.unionByName(materialize(_pairs(few), "links"))
+        return parts
+    rows = _sized(_deeper(many))
+    parts = _joined(parts, _starred(rows))
+    few, many = _open(rows, parts, small)
+    parts = _joined(parts, _pairs(few))
     if many.limit(1).count() == 0:
-        return found
-    found = found.unionByName(materialize(_starred(many), "links"))
-    rows = _open(many, found)
-    if rows.limit(1).count() == 0:
-        return found
+        return parts
     # all that share three wildcards are linked, so each part is joined with the least
-    last = materialize(_last(rows).groupBy("mask", "key", "part").agg(F.count(F.lit(1)).alias("count")), "wildcards")
+    last = materialize(_last(many).groupBy("mask", "key", "part").agg(F.count(F.lit(1)).alias("count")), "wildcards")
     least = last.groupBy("mask", "key").agg(F.min("part").alias("a"))
-    joined = last.join(least, ["mask", "key"]).where("a < part").select("a", F.col("part").alias("b")).distinct()
-    return found.unionByName(materialize(joined, "links"))
+    found = last.join(least, ["mask", "key"]).where("a < part").select("a", F.col("part").alias("b")).distinct()
+    return _joined(parts, materialize(found, "links"))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
@@ -201,8 +219,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = materialize(fingerprinted(slim).select("doc_id", F.col("fingerprint").alias("fp")), "fingerprints")
     distinct = materialize(every.groupBy("fp").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct.select("fp", "docs"), small=small))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    parts = parts_of(distinct.select("fp", "docs"), small=small)
+    rooted = distinct.join(parts.withColumnRenamed("part", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = materialize(rooted.join(named, "root").select("fp", "docs", "component_id"), "components")
     bound = max(1, int(every.count() * HEAVY_SHARE))
