@@ -22,7 +22,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
-    return decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).where("size(hit_items) = 0").select(*docs.columns)
+    return decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).where("size(hit_spans) = 0").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
