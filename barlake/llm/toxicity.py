@@ -163,14 +163,17 @@ def fit(sample: list[tuple[str, int]], window: int | None = WINDOW) -> Model:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, window: int | None = WINDOW) -> Model:
     """Fit on at most `max_labelled` labelled documents, half of them toxic if there are as many: those whose ids hash least.
 
-    Null ids and labels teach nothing, a null text is an empty one; where an id is labelled or stored more than once, the rows beyond
-    twice `max_labelled` are left out in order of label and text. Other columns aren't read; empty tables give even scores."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropna()
+    Null ids and labels teach nothing, a null text is an empty one. An id counts once, however often it is labelled or stored: one whose
+    labels disagree teaches nothing, and of several texts of an id that of the least digest is taken. So copies of rows, and their
+    order, don't change the model. Other columns aren't read; empty tables give even scores."""
+    known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col).cast("int") == 1).cast("int").alias("__label")).dropna()
+    known = known.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("most")).where("__label = most").drop("most")
     half = max_labelled // 2
     chosen = known.where("__label = 1").orderBy(F.xxhash64("__id"), "__id").limit(half).unionByName(known.where("__label <> 1").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled - half))
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    rows = slim.join(F.broadcast(chosen), "__id").select("text", "__label").orderBy("__label", "text").limit(2 * max_labelled).collect()  # bounded by max_labelled
-    return fit([(r["text"] or "", int(r["__label"] == 1)) for r in rows], window)
+    text = F.coalesce("text", F.lit(""))
+    rows = slim.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min_by(text, F.sha2(text.cast("binary"), 256)).alias("text")).select("text", "__label").collect()  # max_labelled rows
+    return fit([(r["text"], r["__label"]) for r in rows], window)
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
