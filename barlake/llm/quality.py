@@ -181,10 +181,12 @@ STATISTICS = T.StructType([*_COUNT_FIELDS, *(T.StructField(n, T.DoubleType()) fo
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Trees:
     """Trees that score quality, from at most `max_labelled` labelled documents: those whose ids have the least hashes.
 
-    Null ids and labels teach nothing, a null text is an empty one; where an id is labelled or stored more than once, the rows beyond
-    twice `max_labelled` are left out in order of label and statistics. Other columns aren't read; without rows, or with
-    labels of one class only, the trees score that class's share, or 1."""
+    Null ids and labels teach nothing, a null text is an empty one. An id counts once, however often it is labelled or stored: one whose
+    labels disagree teaches nothing, and of several texts of an id that of the least digest is taken. So copies of rows, and their
+    order, don't change the trees. Other columns aren't read; without rows, or with labels of one class only, the trees
+    score that class's share, or 1."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label")).dropna()
+    known = known.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("most")).where("__label = most").drop("most")
     sample = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))  # bounded by max_labelled
     schema = T.StructType([T.StructField("label", T.DoubleType()), *(T.StructField(n, T.DoubleType()) for n in FEATURES)])
 
@@ -195,7 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.concatenate(parts).T)], names=schema.names)
 
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    rows = slim.join(sample, "__id").select("__label", "text").mapInArrow(run, schema).orderBy(*schema.names).limit(2 * max_labelled).toPandas()  # bounded by max_labelled
+    text = F.coalesce("text", F.lit(""))
+    one = slim.join(sample, "__id").groupBy("__id", "__label").agg(F.min_by(text, F.sha2(text.cast("binary"), 256)).alias("text"))
+    rows = one.select("__label", "text").mapInArrow(run, schema).orderBy(*schema.names).toPandas()  # max_labelled rows
     return fit(rows[FEATURES].to_numpy(), rows["label"].to_numpy(), monotone=[MONOTONE.get(n, 0) for n in FEATURES])
 
 
