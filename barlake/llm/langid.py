@@ -280,10 +280,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
     """(lang, place, text): of each language up to `per_language` documents, those with the least hashes of id and text. Repeated rows
-    count once. A draw by the language's count comes first, so that few rows are ranked."""
+    count once. A draw by the language's count of different rows comes first, so that few rows are ranked."""
     known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
-    drawn = known.withColumn("h", F.xxhash64("i", "text")).join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit((1.5 * per_language + 50) * (1 << 30)) / F.col("n"))
+    known = known.withColumn("h", F.xxhash64("i", "text"))
+    counts = known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    drawn = known.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit((1.5 * per_language + 50) * (1 << 30)) / F.col("n"))
     order = Window.partitionBy("lang").orderBy("h", "i", "text")
     ranked = drawn.select("lang", "h", "i", "text").distinct().withColumn("place", F.row_number().over(order))
     return ranked.where(F.col("place") <= per_language).select("lang", "place", "text")
