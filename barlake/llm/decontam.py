@@ -161,9 +161,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     Null and empty texts have no words and no hits; an item without words is never hit, one without an id makes spans but isn't
     named; repeated rows are each reported and tied fingerprints each looked up; very long texts are taken whole. An empty
     benchmark hits nothing, an empty table gives no rows."""
+    own = {c: f"given{c}" for c in docs.columns if c in ("__tag", "__windows")}
+    docs = docs.withColumnsRenamed(own)
     index = window_index(benchmark, item_col=item_col, text_col=item_text_col, span=span, k=k)
     scanned = _scanned(docs, index, text_col, span, k, bits, keep_text)
-    names = [c for c in scanned.columns if not c.startswith("__")]
+    names = [c for c in scanned.columns if c not in ("__tag", "__windows")]
     found = scanned.where("size(__windows) > 0").select("__tag", F.explode("__windows").alias("w")).select("__tag", "w.*")
     hits = materialize(occurrences(found, index, broadcast_windows), "hits")
     order = Window.partitionBy("__tag").orderBy("at", "n")  # a document's windows
@@ -174,7 +176,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     none = {"hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")}
     clean = scanned.where("size(__windows) = 0").withColumns(none)
     some = scanned.where("size(__windows) > 0").join(merged.join(named, "__tag"), "__tag", "left").withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
-    return clean.select(*names, *none).unionByName(some.select(*names, *none))
+    return clean.select(*names, *none).unionByName(some.select(*names, *none)).withColumnsRenamed({given: c for c, given in own.items()})
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
