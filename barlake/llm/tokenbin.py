@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import re
 import struct
 import zlib
@@ -88,6 +89,27 @@ def unframe(data: bytes | memoryview, offset: int = 0) -> bytes:
     return payload
 
 
+#: Parts of a tokenizer file for which ids can be found chunk by chunk: fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_chunks(model: bytes) -> bool:
+    """Does this tokenizer file drop white space, merge nothing across it and spell Latin words as ChunkIds does? Any other file's
+    texts are encoded whole."""
+    parts = json.loads(model)
+    plain = all(parts.get(k) is None for k in ("truncation", "padding")) and parts.get("normalizer") == NORMALIZER and parts.get("pre_tokenizer") == PRE_TOKENIZER
+    marked = all(t["content"].startswith("<") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in parts.get("added_tokens", []))
+    merges = parts["model"]
+    return plain and marked and merges["type"] == "BPE" and not merges.get("dropout")
+
+
 class ChunkIds(dict):
     """chunk of bytes between ASCII white space -> its ids as bytes.
 
@@ -151,20 +173,31 @@ class ChunkIds(dict):
         return found
 
 
-_LOADED: dict[tuple[str, int], ChunkIds] = {}
+class WholeIds:
+    """Ids of whole texts by any tokenizer."""
+
+    def __init__(self, tokenizer, width: int):
+        self.tokenizer, self.width = tokenizer, width
+
+    def of(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+
+_LOADED: dict[tuple[str, int], ChunkIds | WholeIds] = {}
 
 
-def _chunk_ids(name: str, shipped: Broadcast, width: int) -> ChunkIds:
+def _chunk_ids(name: str, shipped: Broadcast, width: int) -> ChunkIds | WholeIds:
     """One tokenizer a worker process, kept over its tasks."""
     if (name, width) not in _LOADED:
         from tokenizers import Tokenizer
 
-        _LOADED[name, width] = ChunkIds(Tokenizer.from_buffer(shipped.value), width)
+        kind = ChunkIds if by_chunks(shipped.value) else WholeIds
+        _LOADED[name, width] = kind(Tokenizer.from_buffer(shipped.value), width)
     return _LOADED[name, width]
 
 
-def encode(text: bytes, ids: ChunkIds) -> bytes:
-    return b"".join(map(ids.__getitem__, text.split()))
+def encode(text: bytes, ids: ChunkIds | WholeIds) -> bytes:
+    return ids.of(text) if isinstance(ids, WholeIds) else b"".join(map(ids.__getitem__, text.split()))
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
