@@ -106,8 +106,8 @@ def shards_of(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_
     id, nulls first. More shards than groups leave the last shards empty; an empty table gives no rows. Columns of
     docs besides id and text aren't read, whatever their names."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
-    ordered = running_totals(materialize(slim, "sizes"), ["text_key", "doc_id"], ["size"])
+    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), F.monotonically_increasing_id().alias("tag"))
+    ordered = running_totals(materialize(slim, "sizes"), ["text_key", "doc_id", "tag"], ["size"])  # the tag deals rows of one text and id among tasks
     total = ordered.agg(F.sum("size")).first()[0] or 0
     groups = materialize(ordered.groupBy("text_key").agg(F.min("before_size").alias("start"), F.sum("size").alias("size")).drop("text_key"), "groups")
     cuts = _cuts(groups, total, shards) if total else []
