@@ -69,11 +69,33 @@ def normalize_symbol(c: str | Column) -> Column:
     return F.translate(F.trim(col(c)), "/.", "--")
 
 
+#: A JSON text's tokens: a string, a number, or any other character.
+_TOKEN = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+\-]*|[^"])"""
+
+
 def canonical_params(c: str | Column) -> Column:
-    """Identity of a JSON parameter object: keys sorted, 200.0 equal to 200; null for malformed JSON."""
-    entries = F.map_entries(F.from_json(col(c), "map<string,string>"))
-    tidy = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.regexp_replace(e["value"], r"\.0+$", "")))
-    return F.array_join(F.array_sort(tidy), ",")
+    """Identity of a JSON parameter object, at any depth: keys sorted, a whole number the same however it is written (200, 200.0, 2e2), all else
+    by type and value, so that the text "200.0" isn't the number 200. Null for malformed JSON, a repeated key, and what isn't an object.
+
+    A variant writes its keys in order and decimals without trailing zeros; what is left to do are numbers with an exponent."""
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(col(c))), F.lit(_TOKEN), 1)
+
+    def plain(token: Column) -> Column:
+        value = token.try_cast("double")
+        whole = F.when((value == F.floor(value)) & (F.abs(value) < 1e37), value.try_cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+        number = F.when(token.rlike("^-?[0-9]+$"), token).otherwise(whole)
+        return F.when(token.rlike("^-?[0-9]"), number).when(token == ",", ", ").when(token == ":", ": ").otherwise(token)
+
+    text = F.array_join(F.transform(tokens, plain), "")
+    return F.when(text.startswith("{"), text)
+
+
+def tail_quantile(p: str) -> Column:
+    """The standard normal z that is exceeded with the chance in the SQL expression p (at most 0.1): Newton steps on the logarithm of the tail,
+    whose ratio to the density is a continued fraction."""
+    ratio_ = "(1 / aggregate(sequence(120, 1, -1), z, (d, k) -> z + k / d))"
+    gap = f"(ln({ratio_}) - 0.9189385332046727D - z * z / 2 - ln({p}))"
+    return F.expr(f"aggregate(sequence(1, 12), sqrt(-2 * ln({p})), (z, i) -> z + {gap} * {ratio_})")
 
 
 def exit_rule(rule: str, ol: str | Column = "ol", oc: str | Column = "oc", filled: str | Column = "filled", seq: str | Column = "seq", fill: str | Column = "fill", trail: str | Column = "trail") -> Column:

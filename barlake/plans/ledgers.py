@@ -24,7 +24,7 @@ subquery("ledger_daily", [], "SELECT l_orderkey AS seq, CAST(l_shipdate AS DATE)
 subquery("ledger_hits", [], "SELECT l_orderkey AS seq, DATE '2024-01-01' + CAST(l_linenumber AS INTEGER) AS target_date, CAST(l_quantity AS INTEGER) % 3 AS hit FROM lineitem")
 STANDARD = f"event = '{EVENT}' AND params NOT LIKE '{{broken%' AND params LIKE '%\"months\": 12,%' AND (params LIKE '%\"top_n\": 20}}%' OR params LIKE '%\"top_n\": 20,%')"
 PLAIN = "params NOT LIKE '%strategy_params%'"
-CANON = "'alpha=1,depth=' || CAST(o_custkey % 3 AS VARCHAR)"
+CANON = """'{"alpha": 1, "depth": ' || CAST(o_custkey % 3 AS VARCHAR) || '}'"""
 
 
 def ledger(spark, d) -> DataFrame:
@@ -89,6 +89,24 @@ def s18(spark, d):
     return ledger(spark, d).orderBy(F.desc("run_ts"), F.desc("id")).limit(30).select("id", "run_ts", "strategy")
 
 
+SHADOW = "'c' || CAST(CAST(symbol AS BIGINT) % 3 AS VARCHAR)"
+
+
+@query("s19b_shadow_challengers", ["log"], f"SELECT {SHADOW} AS challenger, strategy, '{{}}' AS params, count(DISTINCT CASE WHEN event = '{EVENT}' THEN signal_date END) AS touch_days, min(CASE WHEN event = '{EVENT}' THEN signal_date END) AS first_touch, max(CASE WHEN event = '{EVENT}' THEN signal_date END) AS last_touch FROM log GROUP BY ALL")
+def s19b(spark, d):
+    return L.shadow_challengers(shadow_log(spark, d))
+
+
+@query("s19c_shadow_signal_dates", ["log"], f"SELECT DISTINCT {SHADOW} AS challenger, signal_date FROM log WHERE event = '{EVENT}'")
+def s19c(spark, d):
+    return L.shadow_signal_dates(shadow_log(spark, d))
+
+
+def shadow_log(spark, d) -> DataFrame:
+    """The users' predictions as those of three challengers."""
+    return Users(spark, d).log.withColumns({"challenger": F.concat(F.lit("c"), (F.col("symbol").cast("long") % 3).cast("string")), "params": F.lit("{}")})
+
+
 @query("s19_distinct_logs", ["log"], f"SELECT count(DISTINCT CASE WHEN event = '{EVENT}' THEN signal_date END) AS touch_days, min(CASE WHEN event = '{EVENT}' THEN signal_date END) AS first_touch, count(DISTINCT CASE WHEN event IS DISTINCT FROM '{EVENT}' THEN signal_date END) AS archived_days FROM log")
 def s19(spark, d):
     touch = F.col("event").eqNullSafe(F.lit(EVENT))
@@ -129,7 +147,7 @@ def a38(spark, d):
     return L.standard(ledger(spark, d)).groupBy("strategy").agg(F.count(F.lit(1)).alias("family_size"))
 
 
-DONE = f"SELECT DISTINCT strategy, CASE WHEN params LIKE '%strategy_params%' THEN {CANON} ELSE '' END AS params_key FROM (SELECT l.*, o_custkey FROM ledger l JOIN orders ON o_orderkey = id) WHERE {STANDARD}"
+DONE = f"SELECT DISTINCT strategy, CASE WHEN params LIKE '%strategy_params%' THEN {CANON} ELSE '{{}}' END AS params_key FROM (SELECT l.*, o_custkey FROM ledger l JOIN orders ON o_orderkey = id) WHERE {STANDARD}"
 
 
 @query("a38b_recorded_configs", ["ledger"], DONE)
@@ -137,16 +155,23 @@ def a38b(spark, d):
     return L.recorded_configs(ledger(spark, d))
 
 
-@query("canonical_params", [], "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_linenumber = 4 THEN NULL ELSE 'a=' || CAST(l_linenumber AS VARCHAR) || ',b=' || CAST(l_suppkey AS VARCHAR) END AS params_key FROM lineitem")
+#: What the lines' parameters mean, written in order; the texts below write it in other ways.
+MEANT = """'{"a": {"x": ' || CASE WHEN l_linenumber % 3 = 0 THEN '"' || l_linenumber || '.0"' ELSE CAST(l_linenumber AS VARCHAR) END || ', "y": [' || l_suppkey || ', 0.5, {"k": null, "z": true}]}, "b": ' || l_suppkey || '}'"""
+
+
+@query("canonical_params", [], f"SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_linenumber = 4 THEN NULL ELSE {MEANT} END AS params_key FROM lineitem")
 def canonical(spark, d):
-    """Keys out of order, whole numbers written as decimals, and malformed JSON."""
-    line = F.col("l_linenumber").cast("string")
-    texts = F.when(F.col("l_linenumber") == 4, '{"a": ').otherwise(F.concat(F.lit('{"b": '), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".0").otherwise(""), F.lit(', "a": '), line, F.lit("}")))
+    """Nested parameters with keys out of order, numbers written in three ways, texts that look like numbers, and malformed JSON."""
+    line, supplier = F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")
+    number = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit('"'), line, F.lit('.0"'))).when(F.col("l_linenumber") % 3 == 1, F.concat(line, F.lit(".0"))).otherwise(F.concat(line, F.lit("0e-1")))
+    shown = F.when(F.col("l_linenumber") % 2 == 0, F.concat(supplier, F.lit(".00"))).otherwise(supplier)
+    whole = F.concat(F.lit('{"b" : '), shown, F.lit(',"a":{"y":['), supplier, F.lit('e0, 5e-1,{"z":true,"k":null}],  "x":'), number, F.lit("}}"))
+    texts = F.when(F.col("l_linenumber") == 4, '{"a": ').otherwise(whole)
     return S.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), canonical_params(texts).alias("params_key"))
 
 
 SPACE = {"s1": {"depth": [0, 1, 2, 3], "alpha": [1, 2]}, "s2": {"depth": [1.0, 5.0], "alpha": [1]}}
-GRID_SQL = "SELECT 's1' AS strategy, '{\"alpha\": ' || a || ', \"depth\": ' || b || '}' AS params, CAST((a - 1) * 4 + b AS INTEGER) AS place, 'alpha=' || a || ',depth=' || b AS k FROM (VALUES (1), (2)) x(a), (VALUES (0), (1), (2), (3)) y(b) UNION ALL SELECT 's2', '{\"alpha\": 1, \"depth\": ' || b || '.0}', CAST(8 + CASE WHEN b = 5 THEN 1 ELSE 0 END AS INTEGER), 'alpha=1,depth=' || b FROM (VALUES (1), (5)) y(b)"
+GRID_SQL = "SELECT 's1' AS strategy, '{\"alpha\": ' || a || ', \"depth\": ' || b || '}' AS params, CAST((a - 1) * 4 + b AS INTEGER) AS place, '{\"alpha\": ' || a || ', \"depth\": ' || b || '}' AS k FROM (VALUES (1), (2)) x(a), (VALUES (0), (1), (2), (3)) y(b) UNION ALL SELECT 's2', '{\"alpha\": 1, \"depth\": ' || b || '.0}', CAST(8 + CASE WHEN b = 5 THEN 1 ELSE 0 END AS INTEGER), '{\"alpha\": 1, \"depth\": ' || b || '}' FROM (VALUES (1), (5)) y(b)"
 
 
 def known(spark, d) -> DataFrame:
@@ -160,23 +185,41 @@ def m11(spark, d):
     return known(spark, d).join(runs, "strategy", "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0).cast("long")))
 
 
-@query("m12_pending_configs", ["ledger"], f"SELECT strategy, params, place FROM ({GRID_SQL}) g WHERE (strategy, k) NOT IN (SELECT (strategy, params_key) FROM ({DONE})) ORDER BY place LIMIT 6")
+#: A queue of what customers ordered: the strategies that the ledger knows, a depth, some of it recorded and some asked for twice.
+QUEUED_SQL = """SELECT 's' || CAST(c_custkey % 4 AS VARCHAR) AS strategy, '{"depth": ' || CAST(c_custkey % 5 AS VARCHAR) || CASE WHEN c_custkey % 2 = 0 THEN '.0' ELSE '' END || ', "alpha": 1}' AS params, CAST(c_custkey AS INTEGER) AS place,
+  '{"alpha": 1, "depth": ' || CAST(c_custkey % 5 AS VARCHAR) || '}' AS k FROM customer"""
+BUDGET = 11
+
+
+@query(
+    "m12_pending_configs",
+    ["ledger"],
+    f"""SELECT strategy, params, place, origin FROM (SELECT *, 'queue' AS origin FROM ({QUEUED_SQL}) UNION ALL SELECT *, 'grid' FROM ({GRID_SQL})) g WHERE (strategy, k) NOT IN (SELECT (strategy, params_key) FROM ({DONE}))
+      QUALIFY row_number() OVER (PARTITION BY strategy, k ORDER BY origin DESC, place) = 1 ORDER BY origin DESC, place LIMIT {BUDGET}""",
+)
 def m12(spark, d):
-    return L.pending_configs(known(spark, d), ledger(spark, d), 6)
+    """All customers' orders as a queue, then the grid up to the budget."""
+    key = F.col("c_custkey")
+    params = F.concat(F.lit('{"depth": '), (key % 5).cast("string"), F.when(key % 2 == 0, ".0").otherwise(""), F.lit(', "alpha": 1}'))
+    queue = S.read_table(spark, d, "customer").select(F.concat(F.lit("s"), (key % 4).cast("string")).alias("strategy"), params.alias("params"), key.cast("int").alias("place"))
+    return L.pending_configs(queue, known(spark, d), ledger(spark, d), BUDGET)
 
 
-@query("m12b_queue_entries", [], "SELECT 's' || CAST(o_orderkey % 3 AS VARCHAR) AS strategy, '{\"depth\":' || CAST(o_orderkey AS VARCHAR) || '}' AS params, count(*) OVER (PARTITION BY o_orderkey % 5 < 3) AS n_entries, (SELECT count(*) FROM orders WHERE o_custkey < 40 AND o_orderkey % 5 >= 3) AS n_malformed FROM orders WHERE o_custkey < 40 AND o_orderkey % 5 < 3")
+@query("m12b_queue_entries", [], "SELECT 's' || CAST(o_orderkey % 3 AS VARCHAR) AS strategy, '{\"depth\":' || CAST(o_orderkey AS VARCHAR) || '}' AS params, count(*) OVER () AS n_entries, (SELECT count(*) FROM orders WHERE o_orderkey % 5 >= 3) AS n_malformed FROM orders WHERE o_orderkey % 5 < 3")
 def m12b(spark, d):
-    """A queue file of some customers' orders; some entries have no strategy, some a list for params."""
+    """All orders as a queue in several files, a customer's orders in one list; some entries have no strategy, some a list for params."""
     key = F.col("o_orderkey")
     own = F.concat(F.lit('"strategy": "s'), (key % 3).cast("string"), F.lit('", "params": '))
     item = F.when(key % 5 == 3, F.lit('{"strategy": 7, "params": {}}')).when(key % 5 == 4, F.concat(F.lit("{"), own, F.lit("[1]}"))).otherwise(F.concat(F.lit("{"), own, F.lit('{"depth": '), key.cast("string"), F.lit('}, "note": "x"}')))
     path = fresh_path(spark, "queue")
-    S.read_table(spark, d, "orders").where("o_custkey < 40").select(item.alias("i")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("i"), ","), F.lit("]")).alias("value")).write.text(path)
+    lists = S.read_table(spark, d, "orders").groupBy((F.col("o_custkey") % QUEUE_FILES).alias("file"), "o_custkey").agg(F.array_join(F.collect_list(item), ",").alias("some"))
+    lists.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("some"), ","), F.lit("]")).alias("value")).write.partitionBy("file").text(path)
     entries, malformed = L.load_queue(spark, path)
     return entries.select("strategy", "params", F.lit(entries.count()).cast("long").alias("n_entries"), F.lit(malformed).cast("long").alias("n_malformed"))
 
 
+QUEUE_FILES = 64
+
 #: The inverse normal distribution's lower tail as a quotient of polynomials (fixed values; good to nine digits), for families of two and more.
 TAIL = "sqrt(-2 * ln(0.05 / (2 * n)))"
 QUANTILE = (
@@ -195,6 +238,16 @@ def m13(spark, d):
     return L.with_band(L.standard(ledger(spark, d)).groupBy("strategy").agg(F.count(F.lit(1)).alias("n")))
 
 
+CORRECTION_SQL = f"SELECT *, round(z / 1.959963984540054, 4) AS correction FROM (SELECT *, CASE WHEN n = 1 THEN 1.959963984540054 ELSE ({QUANTILE}) END AS z FROM (SELECT *, {TAIL} AS q FROM {{}}))"
+
+
+@query("m13b_forward_margin", ["ledger"], f"SELECT strategy, month, n, correction, round(0.25 * correction, 4) AS forward_margin FROM ({CORRECTION_SQL.format(f'(SELECT strategy, CAST(month(run_ts) AS INTEGER) AS month, count(*) AS n FROM ledger WHERE {STANDARD} GROUP BY 1, 2)')})")
+def m13b(spark, d):
+    """By how much a margin of 0.25 widens where the best of a strategy's runs of a month is chosen."""
+    families = L.standard(ledger(spark, d)).groupBy("strategy", F.month("run_ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return L.with_forward_margin(families.withColumn("single", F.lit(0.25)), "single").drop("single")
+
+
 @query(
     "m14_promotion_candidates",
     ["ledger", "ledger_hits"],
