@@ -60,19 +60,22 @@ class Constant:
 
 
 class MLStrategy:
-    """A Spark ML classifier on imputed features; features that are null throughout the training rows are dropped."""
+    """A Spark ML classifier on imputed features. Features that are null throughout the training rows are dropped, and features with some nulls get
+    an indicator; with `keep_empty` there are no indicators and empty features stay, as constants."""
 
-    def __init__(self, classifier, scale: bool = False, balanced: str | None = None):
-        self.classifier, self.scale, self.balanced = classifier, scale, balanced
+    def __init__(self, classifier, scale: bool = False, balanced: str | None = None, keep_empty: bool = False):
+        self.classifier, self.scale, self.balanced, self.keep_empty = classifier, scale, balanced, keep_empty
 
     def fit(self, train: DataFrame) -> MLStrategy:
         filled = train.agg(*(F.count(c).alias(c) for c in FEATURES), F.avg(F.col(LABEL).cast("double")).alias("share"), F.count(F.lit(1)).alias("n")).first()
         self.used = [c for c in FEATURES if filled[c]]
-        self.gaps = [c for c in self.used if filled[c] < filled["n"]]
-        if not self.used:
+        self.gaps = [] if self.keep_empty else [c for c in self.used if filled[c] < filled["n"]]
+        self.empty = [c for c in FEATURES if not filled[c]] if self.keep_empty else []
+        if not self.used and not self.empty:
             raise ValueError("no feature has a value in the training rows")
         share = filled["share"]
-        stages = [Imputer(strategy="median", inputCols=self.used, outputCols=[f"{c}_f" for c in self.used]), VectorAssembler(inputCols=[*(f"{c}_f" for c in self.used), *(f"{c}_gap" for c in self.gaps)], outputCol="raw")]
+        stages = [Imputer(strategy="median", inputCols=self.used, outputCols=[f"{c}_f" for c in self.used])] if self.used else []
+        stages.append(VectorAssembler(inputCols=[*(f"{c}_f" for c in [*self.used, *self.empty]), *(f"{c}_gap" for c in self.gaps)], outputCol="raw"))
         if self.scale:
             stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
         else:
@@ -85,6 +88,7 @@ class MLStrategy:
 
     def _prepared(self, rows: DataFrame) -> DataFrame:
         cast = {c: F.col(c).cast("double") for c in self.used}
+        cast |= {f"{c}_f": F.lit(0.0) for c in self.empty}
         return rows.withColumns({**cast, **{f"{c}_gap": F.col(c).isNull().cast("double") for c in self.gaps}})
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def gbt(max_iter: int = 150, learning_rate: float = 0.1, max_depth: int = 5, see
 
 
 def logreg(max_iter: int = 1000, reg: float = 1e-4) -> MLStrategy:
-    return MLStrategy(LogisticRegression(maxIter=max_iter, regParam=reg, standardization=False, weightCol="w"), scale=True, balanced="both")
+    return MLStrategy(LogisticRegression(maxIter=max_iter, regParam=reg, standardization=False, weightCol="w"), scale=True, balanced="both", keep_empty=True)
 
 
 def stochastic_gbt(n_estimators: int = 300, learning_rate: float = 0.05, max_depth: int = 6, min_child: int = 5, subsample: float = 0.8, colsample: float = 0.8, seed: int = 42) -> MLStrategy:
@@ -178,33 +182,53 @@ def compare_strategies(frame: DataFrame, a: str, b: str, params_a: dict | None =
 
 
 def predict_for(frame: DataFrame, name: str, signal_date, top_n: int = 20, **params) -> DataFrame:
-    """Ranked picks of a signal date, by a model of target dates up to it."""
-    train = frame.where(F.col(LABEL).isNotNull() & (F.col("target_date") <= signal_date))
-    scored = strategy(name, **params).fit(train).score(frame.where(F.col("signal_date") == signal_date))
+    """Ranked picks of a signal date, by a model of target dates up to it. A date without rows, and one before which nothing is labelled,
+    raises. The frame is read several times: pass a table."""
+    train, rows = frame.where(F.col(LABEL).isNotNull() & (F.col("target_date") <= signal_date)), frame.where(F.col("signal_date") == signal_date)
+    if rows.isEmpty():
+        raise ValueError(f"no feature rows for signal date {signal_date}")
+    if train.isEmpty():
+        raise ValueError(f"no labelled history before {signal_date} to train on")
+    scored = strategy(name, **params).fit(train).score(rows)
     return select_top(scored, top_n, LIQUIDITY).select("signal_date", "symbol", "prob", "rank")
 
 
-def challenger_id(name: str, params: dict) -> str:
-    return f"{name}:{json.dumps(params, sort_keys=True)}"
+def predict_and_log(frame: DataFrame, logged: DataFrame, name: str, signal_date, *, run_ts: Column, universe_as_of, top_n: int = 20, **params) -> DataFrame:
+    """The prediction log (strategy, signal_date, ...) with the picks of a date in place of earlier ones, which keep the time at which the date was
+    first logged."""
+    picks = predict_for(frame, name, signal_date, top_n, **params).withColumn("strategy", F.lit(name))
+    return replace_slice(logged, picks, ["strategy", "signal_date"], run_ts=run_ts, universe_as_of=F.lit(universe_as_of).cast("date"), event=F.lit(EVENT))
 
 
-def shadow_predict(frame: DataFrame, roster: list[dict], signal_date, cap: int = 4, top_n: int = 20) -> tuple[DataFrame | None, list[str]]:
-    """Picks of up to `cap` challengers, and what was wrong with the others. One that fails doesn't stop the rest."""
-    out, wrong = None, []
-    for entry in roster[:cap]:
-        name, params = entry.get("strategy"), entry.get("params", {})
+def shadow_predict(frame: DataFrame, roster: DataFrame, signal_date, top_n: int = 20) -> tuple[DataFrame | None, DataFrame]:
+    """Picks of the roster's kept challengers, and the roster with what became of each: `status` is `ran`, `failed`, `malformed` or `dropped`, and
+    `problem` says why a fit failed.
+
+    A challenger's fit and its first action are one attempt: whatever goes wrong in it, in Python or in the JVM, fails that challenger alone. The driver
+    loops over the kept entries, of which the roster's cap bounds the number."""
+    out, made = None, []
+    for entry in roster.where("status = 'kept'").orderBy("place").collect():
         try:
-            picks = predict_for(frame, name, signal_date, top_n, **params).withColumns({"challenger": F.lit(challenger_id(name, params)), "strategy": F.lit(name)})
-        except (ValueError, AttributeError) as e:
-            wrong.append(f"{name}: {e}")
+            picks = predict_for(frame, entry["strategy"], signal_date, top_n, **json.loads(entry["params"]))
+            picks = stored(picks.select(F.lit(entry["challenger"]).alias("challenger"), F.lit(entry["strategy"]).alias("strategy"), F.lit(entry["params"]).alias("params"), *picks.columns), "challenger")
+        except Exception as e:  # noqa: BLE001
+            made.append((entry["place"], "failed", f"{type(e).__name__}: {e}".splitlines()[0]))
             continue
+        made.append((entry["place"], "ran", None))
         out = picks if out is None else out.unionByName(picks)
-    return out, wrong + [f"{e.get('strategy')}: over the cap" for e in roster[cap:]]
+    became = F.broadcast(roster.sparkSession.createDataFrame(made, "place int, became string, problem string"))  # at most the cap
+    return out, roster.join(became, "place", "left").withColumn("status", F.coalesce("became", "status")).drop("became")
+
+
+def shadow_report(roster: DataFrame) -> DataFrame:
+    """One row: how many entries were rostered (sound), and how many of these ran, failed or were dropped; malformed ones apart."""
+    counts = {s: F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("ran", "failed", "dropped", "malformed")}
+    return roster.agg(F.count(F.when(F.col("status") != "malformed", 1)).alias("rostered"), *counts.values())
 
 
-def run_shadow(frame: DataFrame, logged: DataFrame, roster: list[dict], signal_date, *, run_ts: Column, universe_as_of, cap: int = 4, top_n: int = 20) -> tuple[DataFrame, list[str]]:
-    """The shadow log with the day's picks of every challenger, replacing earlier ones of that day, and what was wrong."""
-    picks, wrong = shadow_predict(frame, roster, signal_date, cap, top_n)
+def run_shadow(frame: DataFrame, logged: DataFrame, roster: DataFrame, signal_date, *, run_ts: Column, universe_as_of, top_n: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The shadow log with the day's picks of every challenger, replacing earlier ones of that day, and the roster with what became of each."""
+    picks, became = shadow_predict(frame, roster, signal_date, top_n)
     if picks is None:
-        return logged, wrong
-    return replace_slice(logged, picks, ["challenger", "signal_date"], run_ts=run_ts, keep_created=False, universe_as_of=F.lit(universe_as_of).cast("date"), event=F.lit(EVENT)), wrong
+        return logged, became
+    return replace_slice(logged, picks, ["challenger", "signal_date"], run_ts=run_ts, keep_created=False, universe_as_of=F.lit(universe_as_of).cast("date"), event=F.lit(EVENT)), became

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlake.operators import ml as M
+from barlake.operators.ledger import load_roster
 from barlake.plans.daily import rounded
 from barlake.plans.inputs import nation_features
 from barlake.plans.registry import query, subquery
+from barlake.sources import tables as S
 from barlake.sources import writers as W
 from barlake.sources.shared import fresh_path, stored
 
@@ -105,13 +107,47 @@ def m08(spark, d):
     return M.predict_for(frame, "formula", last_day_of(frame), 10)
 
 
-@query("m15_shadow_predict")
-def m15(spark, d):
-    """Challengers' picks in the shadow log; a second run of the day replaces the first."""
-    frame = history(spark, d)
-    roster = [{"strategy": "formula"}, {"strategy": "logreg", "params": {"reg": 0.01}}, {"strategy": "nonesuch"}]
-    day = last_day_of(frame)
-    logged = spark.createDataFrame([], "signal_date date, symbol string, prob double, rank int, challenger string, strategy string, created_ts timestamp, universe_as_of date, event string")
+#: A roster of the nations: sound entries, unknown names, parameters that a fit can't take, and malformed ones before and among them.
+ROSTER_SQL = """SELECT n_nationkey AS place, CASE n_nationkey WHEN 0 THEN 'malformed' WHEN 1 THEN 'ran' WHEN 2 THEN 'failed' WHEN 3 THEN 'malformed' WHEN 4 THEN 'failed' WHEN 5 THEN 'ran' ELSE 'dropped' END AS status,
+  CASE WHEN n_nationkey IN (0, 3) THEN NULL ELSE CASE n_nationkey WHEN 1 THEN 'formula {}' WHEN 2 THEN 'nonesuch {}' WHEN 4 THEN 'logreg {"reg": -1}' WHEN 5 THEN 'logreg {"max_iter": 200, "reg": 0.01}' ELSE 'formula {"n": ' || CAST(n_nationkey AS VARCHAR) || '}' END END AS challenger FROM nation"""
+
+
+def shadowed(spark, d):
+    """Challengers' picks in the shadow log, run twice for a day, and what became of the roster's entries."""
+    frame, key = history(spark, d), F.col("n_nationkey")
+    item = (
+        F.when(key == 0, '{"strategy": 7}').when(key == 1, '{"strategy": "formula", "note": "first"}').when(key == 2, '{"strategy": "nonesuch"}').when(key == 3, '"logreg"')
+        .when(key == 4, '{"strategy": "logreg", "params": {"reg": -1.0}}').when(key == 5, '{"params": {"reg": 1e-2, "max_iter": 200.0}, "strategy": "logreg"}')
+        .otherwise(F.concat(F.lit('{"strategy": "formula", "params": {"n": '), key.cast("string"), F.lit("}}")))
+    )
+    path = fresh_path(spark, "roster")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("i")))), lambda x: x["i"])  # the nations, one roster
+    S.read_table(spark, d, "nation").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("value")).write.text(path)
+    roster, day = stored(load_roster(spark, path, 4), "roster"), last_day_of(frame)
+    logged = spark.createDataFrame([], "challenger string, strategy string, params string, signal_date date, symbol string, prob double, rank int, created_ts timestamp, universe_as_of date, event string")
     for hour in (9, 10):
-        logged = stored(M.run_shadow(frame, logged, roster, day, run_ts=F.lit(f"2030-01-01 {hour:02d}:00:00").cast("timestamp"), universe_as_of="2024-01-01", top_n=5)[0], "shadow")
-    return rounded(logged, "prob")
+        logged, became = M.run_shadow(frame, logged, roster, day, run_ts=F.lit(f"2030-01-01 {hour:02d}:00:00").cast("timestamp"), universe_as_of="2024-01-01", top_n=5)
+        logged = stored(logged, "shadow")
+    return logged, became
+
+
+FORMULA_PICKS = "SELECT signal_date, symbol, CAST(row_number() OVER (ORDER BY prob DESC, symbol) AS INTEGER) AS rank, prob FROM nscored WHERE signal_date = (SELECT max(signal_date) FROM nscored WHERE did_2pct_next IS NOT NULL) AND median_vol_20 >= 100000"
+
+
+@query("m15_shadow_predict", ["nscored"], f"SELECT challenger, TIMESTAMP '2030-01-01 10:00:00' AS created_ts, count(*) AS n_picks, list(rank ORDER BY rank) AS ranks, CASE WHEN challenger LIKE 'formula%' THEN list(symbol ORDER BY rank) END AS symbols, TRUE AS in_range FROM (SELECT * FROM ({FORMULA_PICKS}) WHERE rank <= 5), (VALUES ('formula {{}}'), ('logreg {{\"max_iter\": 200, \"reg\": 0.01}}')) c(challenger) GROUP BY 1")
+def m15(spark, d):
+    """A digest of the shadow log: of the formula every pick, of a fitted model the ranks and the range of its probabilities."""
+    logged, _ = shadowed(spark, d)
+    picks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda x: x["symbol"])
+    sums = logged.groupBy("challenger", "created_ts").agg(F.count(F.lit(1)).alias("n_picks"), F.array_sort(F.collect_list("rank")).alias("ranks"), picks.alias("symbols"), F.min(F.col("prob").between(0, 1)).alias("in_range"))
+    return sums.withColumn("symbols", F.when(F.col("challenger").startswith("formula"), F.col("symbols")))
+
+
+@query("m15b_shadow_roster", [], ROSTER_SQL)
+def m15b(spark, d):
+    return shadowed(spark, d)[1].select("place", "status", "challenger")
+
+
+@query("m15c_shadow_report", [], f"SELECT count(*) FILTER (status <> 'malformed') AS rostered, count(*) FILTER (status = 'ran') AS ran, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'dropped') AS dropped, count(*) FILTER (status = 'malformed') AS malformed FROM ({ROSTER_SQL})")
+def m15c(spark, d):
+    return M.shadow_report(shadowed(spark, d)[1])
