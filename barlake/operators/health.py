@@ -6,20 +6,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.exprs import COMPLETE_SHARE, COMPLETE_WINDOW, EPSILON, GLITCH_WINDOW, finite, valid_bar
+from barlake.functions.exprs import COMPLETE_PRIORS, COMPLETE_SHARE, COMPLETE_WINDOW, EPSILON, GLITCH_WINDOW, finite, valid_bar
 from barlake.operators.bars import by_symbol, day_counts, glitch_suspect, with_glitch, with_returns
+from barlake.sources.shared import stored
+
+
+def day_numbers(counts: DataFrame) -> DataFrame:
+    """Counts of a date's bars (date, raw_count, bar_count) as a calendar: `day` is the number of trading dates, those with a valid bar, up to a date; one
+    row a date."""
+    return counts.select("date", "bar_count", F.count(F.when(F.col("bar_count") > 0, 1)).over(Window.orderBy("date")).alias("day"))
 
 
 def calendar(bars: DataFrame) -> DataFrame:
-    """Trading dates with their number; one row a date."""
-    return bars.select("date").distinct().withColumn("day", F.row_number().over(Window.orderBy("date")))
+    return day_numbers(day_counts(bars))
 
 
 def gap_counts(bars: DataFrame) -> DataFrame:
-    """Calendar dates missing between a symbol's first and last bar. No range join: consecutive bars whose calendar numbers differ by more
+    """Trading dates without a valid bar between a symbol's first and last valid one. No range join: consecutive bars whose calendar numbers differ by more
     than one have the dates between them missing."""
-    days = calendar(bars)
-    numbered = bars.select("symbol", "date").distinct().join(F.broadcast(days), "date")
+    days = calendar(bars).where("bar_count > 0").select("date", "day")
+    numbered = bars.where(valid_bar()).select("symbol", "date").distinct().join(F.broadcast(days), "date")
     steps = numbered.withColumns({"next_day": F.lead("day").over(Window.partitionBy("symbol").orderBy("day"))}).where("next_day > day + 1")
     first, last = days.select(F.col("day").alias("f"), F.col("date").alias("first_missing")), days.select(F.col("day").alias("l"), F.col("date").alias("last_missing"))
     spans = steps.groupBy("symbol").agg(F.sum(F.col("next_day") - F.col("day") - 1).cast("long").alias("n_missing"), F.min(F.col("day") + 1).alias("f"), F.max(F.col("next_day") - 1).alias("l"))
@@ -27,7 +33,7 @@ def gap_counts(bars: DataFrame) -> DataFrame:
 
 
 def stale_symbols(bars: DataFrame, more_than: int = 1) -> DataFrame:
-    """Symbols whose last bar lies more than so many trading days behind the newest."""
+    """Symbols after whose last bar, valid or not, more than so many trading dates follow."""
     days = calendar(bars)
     last = bars.groupBy("symbol").agg(F.max("date").alias("date")).join(F.broadcast(days), "date")
     newest = days.agg(F.max("day").alias("top"))  # one row
@@ -39,20 +45,31 @@ def invalid_bars(bars: DataFrame) -> DataFrame:
 
 
 def glitch_bars(bars: DataFrame) -> DataFrame:
-    """The glitch guard over raw bars: an invalid bar before counts as a reference here."""
-    priced = bars.where(finite("open") & finite("high") & finite("close") & (F.col("open") > 0))
-    return with_glitch(with_returns(priced)).where("high_glitch_suspect").select("symbol", "date", "high", "close", "prev_close")
+    """The glitch guard over raw bars, worst first: the bar before and the volumes before are those of all bars, whatever is wrong with them; of those that
+    then count, the prices must be finite and the open above 0."""
+    seen = with_glitch(with_returns(bars)).where(priced() & F.col("high_glitch_suspect"))
+    return seen.select("symbol", "date", "high_return", "oc_return", "volume", "trailing_avg_vol", "prev_close").orderBy(F.desc("high_return"), "symbol", "date")
+
+
+def priced() -> Column:
+    return finite("open") & finite("high") & finite("close") & (F.col("open") > 0)
+
+
+def short_days(counts: DataFrame) -> DataFrame:
+    """Of day counts (one row a date) those dates whose raw count is short of the median of the up to 20 dates before; five must stand before."""
+    before = Window.orderBy("date").rowsBetween(-COMPLETE_WINDOW, -1)
+    judged = counts.withColumns({"trailing_median": F.percentile("raw_count", F.lit(0.5)).over(before), "prior_days": F.count(F.lit(1)).over(before)})
+    short = judged.where((F.col("prior_days") >= COMPLETE_PRIORS) & (F.col("raw_count") < COMPLETE_SHARE * F.col("trailing_median") - EPSILON)).drop("prior_days")
+    return short.withColumn("ratio", F.try_divide(F.col("raw_count").cast("double"), F.col("trailing_median")))
 
 
 def incomplete_days(bars: DataFrame) -> DataFrame:
-    counts = day_counts(bars)
-    before = Window.orderBy("date").rowsBetween(-COMPLETE_WINDOW, -1)  # one row a date
-    judged = counts.withColumn("trailing_median", F.percentile("raw_count", F.lit(0.5)).over(before))
-    return judged.where(F.col("raw_count") < COMPLETE_SHARE * F.col("trailing_median") - EPSILON).withColumn("ratio", F.try_divide(F.col("raw_count").cast("double"), F.col("trailing_median")))
+    return short_days(day_counts(bars))
 
 
 def extreme_bars(bars: DataFrame, beyond: float = 0.5) -> DataFrame:
-    moved = with_returns(bars)
+    """Valid bars that moved by more than `beyond` in a day, greatest move first."""
+    moved = with_returns(bars.where(valid_bar()))
     return moved.where(finite("oc_return") & (F.abs("oc_return") > beyond)).select("symbol", "date", "open", "close", "oc_return").orderBy(F.desc(F.abs("oc_return")), "symbol", "date")
 
 
@@ -86,28 +103,29 @@ def repair_splits(bars: DataFrame) -> DataFrame:
 COUNTED = ("gaps", "stale", "extreme", "zero_volume", "invalid", "glitch", "incomplete_days", "unpriced", "no_meta")
 
 
-def symbol_checks(bars: DataFrame, stale_after: int = 1, beyond: float = 0.5, run: int = 3) -> DataFrame:
+def symbol_checks(bars: DataFrame, counts: DataFrame, stale_after: int = 1, beyond: float = 0.5, run: int = 3) -> DataFrame:
     """One row a symbol with what the checks by symbol find: missing and stale days, invalid, glitch and extreme bars, runs without
-    volume. One pass over the bars and one shuffle; a run is counted at its bar number `run`."""
-    days = calendar(bars)
+    volume. One pass over the bars and one shuffle; a run is counted at its bar number `run`. counts are the bars' day counts."""
+    days = day_numbers(counts)
     top = days.agg(F.max("day").alias("top"))  # one row
-    every, priced = by_symbol(), Window.partitionBy("symbol", "priced").orderBy("date")
-    marked = with_returns(bars).withColumns({"priced": finite("open") & finite("high") & finite("close") & (F.col("open") > 0), "silent": F.coalesce(F.col("volume"), F.lit(0)) == 0})
-    marked = marked.join(F.broadcast(days), "date")  # one row a date
+    every, sound = by_symbol(), Window.partitionBy("symbol", "sound").orderBy("date")
+    marked = with_returns(bars).withColumns({"sound": valid_bar(), "silent": F.coalesce(F.col("volume"), F.lit(0)) == 0})
+    marked = marked.join(F.broadcast(days.select("date", "day")), "date")  # one row a date
     seen = marked.withColumns({
         "place": F.row_number().over(every),
-        "next_day": F.lead("day").over(every),
-        "prev_close": F.lag("close").over(priced),
-        "trailing_avg_vol": F.avg("volume").over(priced.rowsBetween(-GLITCH_WINDOW, -1)),
+        "next_day": F.lead("day").over(sound),
+        "prev_close": F.lag("close").over(every),
+        "trailing_avg_vol": F.avg("volume").over(every.rowsBetween(-GLITCH_WINDOW, -1)),
     })
     seen = seen.withColumn("length", F.col("place") - F.coalesce(F.max(F.when(~F.col("silent"), F.col("place"))).over(every.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
     def number(condition) -> Column:
         return F.count(F.when(condition, 1))
 
+    missing = F.when(F.col("sound"), F.greatest(F.col("next_day") - F.col("day") - 1, F.lit(0)))
     counted = seen.groupBy("symbol").agg(
-        F.coalesce(F.sum(F.greatest(F.col("next_day") - F.col("day") - 1, F.lit(0))), F.lit(0)).alias("n_missing"), F.max("day").alias("last_day"), number(~valid_bar()).alias("n_invalid"),
-        number(F.col("priced") & glitch_suspect()).alias("n_glitch"), number(finite("oc_return") & (F.abs("oc_return") > beyond)).alias("n_extreme"), number(F.col("silent") & (F.col("length") == run)).alias("n_runs"),
+        F.coalesce(F.sum(missing), F.lit(0)).alias("n_missing"), F.max("day").alias("last_day"), number(~F.col("sound")).alias("n_invalid"),
+        number(priced() & glitch_suspect()).alias("n_glitch"), number(F.col("sound") & finite("oc_return") & (F.abs("oc_return") > beyond)).alias("n_extreme"), number(F.col("silent") & (F.col("length") == run)).alias("n_runs"),
     )
     return counted.join(F.broadcast(top), F.lit(True)).withColumn("stale", F.col("top") - F.col("last_day") > stale_after).drop("top", "last_day")
 
@@ -117,17 +135,19 @@ def doctor_report(bars: DataFrame, universe: DataFrame, meta: DataFrame, coverag
     `problem_count` of these and whether the store is `ok`.
 
     meta holds the symbols whose loaded range is known, coverage the session problems, which are reported and not counted. bars
-    is read three times: pass a table. An empty store has no problems."""
-    own = symbol_checks(bars).agg(
+    is read twice, by date and by symbol: pass a table. An empty store has no problems. A row a date and a row a symbol are written."""
+    counts = stored(day_counts(bars), "day-counts")
+    each = stored(symbol_checks(bars, counts), "symbol-checks")
+    own = each.agg(
         F.count(F.when(F.col("n_missing") > 0, 1)).alias("gaps"), F.count(F.when(F.col("stale"), 1)).alias("stale"), F.coalesce(F.sum("n_extreme"), F.lit(0)).alias("extreme"), F.coalesce(F.sum("n_runs"), F.lit(0)).alias("zero_volume"),
         F.count(F.when(F.col("n_invalid") > 0, 1)).alias("invalid"), F.coalesce(F.sum("n_glitch"), F.lit(0)).alias("glitch"),
     )
-    priced = bars.select("symbol").distinct()
+    known = each.select("symbol")
 
     def one(frame: DataFrame, name: str) -> DataFrame:
         return frame.agg(F.count(F.lit(1)).alias(name))
 
-    rest = [one(incomplete_days(bars), "incomplete_days"), one(universe.select("symbol").subtract(priced), "unpriced"), one(priced.subtract(meta.select("symbol")), "no_meta")]
+    rest = [one(short_days(counts), "incomplete_days"), one(universe.select("symbol").subtract(known), "unpriced"), one(known.subtract(meta.select("symbol")), "no_meta")]
     rest += [] if coverage is None else [one(coverage, "sessions")]
     whole = own
     for part in rest:

@@ -9,27 +9,35 @@ from barlake.functions.exprs import six
 from barlake.operators import health as H
 from barlake.operators import sessions as I
 from barlake.plans.daily import PLAN_SQL, ingest_inputs
-from barlake.plans.inputs import VALID, returns_sql
+from barlake.plans.inputs import VALID
 from barlake.plans.registry import query, subquery
 from barlake.plans.sessions import COVER, MINUTES, Sessions
 from barlake.sources import tables as S
 from barlake.sources import universe as V
 from barlake.sources.shared import stored
 
-#: One defect a class: missing bars, a tail cut, a high under the open, no volume, a tenfold close.
+#: One defect a class: missing bars, a tail cut, a high under the open, no volume, a tenfold close, no close and little volume before a spike, a day on which no
+#: bar is valid, and thin days among the first five and later.
 subquery(
     "db",
     ["ub"],
-    """SELECT symbol, date, open, CASE WHEN k % 23 = 3 THEN open - 1 ELSE high END AS high, low, CASE WHEN k % 29 = 4 THEN close * 10 ELSE close END AS close, CASE WHEN s % 9 = 2 AND day(date) BETWEEN 5 AND 9 THEN 0 ELSE volume END AS volume
-      FROM (SELECT *, CAST(symbol AS BIGINT) AS s, CAST(symbol AS BIGINT) + day(date) AS k FROM ub) WHERE NOT (s % 4 = 1 AND day(date) % 6 = 3) AND NOT (s % 10 = 7 AND day(date) > 20)""",
+    """SELECT symbol, date, open, CASE WHEN k % 23 = 3 OR day(date) = 17 THEN open - 1 WHEN k % 6 = 2 THEN 2 * greatest(open, high) ELSE high END AS high, low, CASE WHEN k % 6 = 1 THEN NULL WHEN k % 29 = 4 THEN close * 10 ELSE close END AS close, CASE WHEN s % 9 = 2 AND day(date) BETWEEN 5 AND 9 THEN 0 WHEN k % 6 = 2 THEN 1000 ELSE volume END AS volume
+      FROM (SELECT *, CAST(symbol AS BIGINT) AS s, CAST(symbol AS BIGINT) + day(date) AS k FROM ub) WHERE NOT (s % 4 = 1 AND day(date) % 6 = 3) AND NOT (s % 10 = 7 AND day(date) > 20) AND NOT (s % 3 <> 0 AND day(date) IN (3, 22))""",
 )
 subquery("dcal", ["db"], "SELECT date, row_number() OVER (ORDER BY date) AS day FROM (SELECT DISTINCT date FROM db)")
-GAPS = "SELECT s.symbol, count(*) AS n_missing, min(c.date) AS first_missing, max(c.date) AS last_missing FROM (SELECT symbol, min(date) AS f, max(date) AS l FROM db GROUP BY 1) s JOIN dcal c ON c.date > s.f AND c.date < s.l LEFT JOIN db b ON b.symbol = s.symbol AND b.date = c.date WHERE b.symbol IS NULL GROUP BY 1"
-STALE = "SELECT symbol, last_date, count(*) AS days_behind FROM (SELECT symbol, max(date) AS last_date FROM db GROUP BY 1) JOIN dcal ON date > last_date GROUP BY 1, 2 HAVING count(*) > 1"
+#: Trading dates: those with a valid bar.
+subquery("tcal", ["db"], f"SELECT DISTINCT date FROM db WHERE {VALID}")
+GAPS = f"SELECT s.symbol, count(*) AS n_missing, min(c.date) AS first_missing, max(c.date) AS last_missing FROM (SELECT symbol, min(date) AS f, max(date) AS l FROM db WHERE {VALID} GROUP BY 1) s JOIN tcal c ON c.date > s.f AND c.date < s.l LEFT JOIN (SELECT symbol, date FROM db WHERE {VALID}) b ON b.symbol = s.symbol AND b.date = c.date WHERE b.symbol IS NULL GROUP BY 1"
+STALE = "SELECT symbol, last_date, count(c.date) AS days_behind FROM (SELECT symbol, max(date) AS last_date FROM db GROUP BY 1) l LEFT JOIN tcal c ON c.date > l.last_date GROUP BY 1, 2 HAVING count(c.date) > 1"
 INVALID = f"SELECT symbol, count(*) AS n_invalid, min(date) AS first_date, max(date) AS last_date FROM db WHERE NOT coalesce({VALID}, FALSE) GROUP BY 1"
-GLITCH = f"SELECT symbol, date, high, close, prev_close FROM ({returns_sql('db', 'isfinite(open) AND isfinite(high) AND isfinite(close) AND open > 0')}) WHERE high_glitch_suspect"
-INCOMPLETE = f"SELECT date, raw_count, bar_count, trailing_median, raw_count / trailing_median AS ratio FROM (SELECT date, raw_count, bar_count, CAST(median(raw_count) OVER (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS DOUBLE) AS trailing_median FROM (SELECT date, count(*) AS raw_count, count(CASE WHEN {VALID} THEN 1 END) AS bar_count FROM db GROUP BY date)) WHERE raw_count < 0.9 * trailing_median - 1e-9"
-EXTREME = "SELECT symbol, date, open, close, (close - open) / open AS oc_return FROM db WHERE open <> 0 AND abs((close - open) / open) > 0.5"
+#: Positions over all bars; the bars before a bar are joined by position, and what is judged is filtered after that.
+DBK = "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM db)"
+GLITCH = f"""SELECT b.symbol, b.date, (b.high - b.open) / b.open AS high_return, (b.close - b.open) / b.open AS oc_return, b.volume, q.mean_volume AS trailing_avg_vol, p.close AS prev_close FROM {DBK} b LEFT JOIN {DBK} p ON p.symbol = b.symbol AND p.k = b.k - 1
+  JOIN (SELECT y.symbol, y.k, sum(z.volume) / count(z.volume) AS mean_volume FROM {DBK} y JOIN {DBK} z ON z.symbol = y.symbol AND y.k - z.k BETWEEN 1 AND 20 GROUP BY ALL) q ON q.symbol = b.symbol AND q.k = b.k
+  WHERE b.open > 0 AND isfinite(b.open) AND isfinite(b.close) AND isfinite(b.high) AND (b.high - b.open) / b.open >= 0.02 AND (b.close - b.open) / b.open < 0.02 AND b.volume < q.mean_volume AND b.high >= 1.15 * b.open AND b.high >= 1.15 * b.close AND (p.close IS NULL OR b.high >= 1.15 * p.close)"""
+INCOMPLETE = f"""SELECT d.date, d.raw_count, d.bar_count, CAST(median(e.raw_count) AS DOUBLE) AS trailing_median, d.raw_count / median(e.raw_count) AS ratio FROM (SELECT *, row_number() OVER (ORDER BY date) AS k FROM (SELECT date, count(*) AS raw_count, count(CASE WHEN {VALID} THEN 1 END) AS bar_count FROM db GROUP BY date)) d
+  JOIN (SELECT row_number() OVER (ORDER BY date) AS k, raw_count FROM (SELECT date, count(*) AS raw_count FROM db GROUP BY date)) e ON d.k - e.k BETWEEN 1 AND 20 GROUP BY d.date, d.raw_count, d.bar_count HAVING count(e.k) >= 5 AND d.raw_count < 0.9 * median(e.raw_count) - 1e-9"""
+EXTREME = f"SELECT symbol, date, open, close, (close - open) / open AS oc_return FROM db WHERE {VALID} AND abs((close - open) / open) > 0.5"
 SPLITS = "SELECT symbol, date FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM {}) WHERE abs((close - open) / nullif(open, 0)) > 0.5 + 1e-9 AND prev_close > 0 AND (open / prev_close > 2 + 1e-9 OR open / prev_close < 0.5 - 1e-9)"
 ZERO = "SELECT symbol, n_bars, first_date, last_date FROM (SELECT symbol, grp, count(*) AS n_bars, min(date) AS first_date, max(date) AS last_date FROM (SELECT *, n - row_number() OVER (PARTITION BY symbol, z ORDER BY date) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n, coalesce(volume, 0) = 0 AS z FROM db)) WHERE z GROUP BY 1, 2) WHERE n_bars >= 3"
 
@@ -37,11 +45,11 @@ ZERO = "SELECT symbol, n_bars, first_date, last_date FROM (SELECT symbol, grp, c
 def defective(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, day = F.col("symbol").cast("long"), F.dayofmonth("date")
     k = s + day
-    kept = S.user_bars(spark, sf_dir).where(~((s % 4 == 1) & (day % 6 == 3)) & ~((s % 10 == 7) & (day > 20)))
-    return kept.withColumns({"high": F.when(k % 23 == 3, F.col("open") - 1).otherwise(F.col("high")), "close": F.when(k % 29 == 4, F.col("close") * 10).otherwise(F.col("close")), "volume": F.when((s % 9 == 2) & day.between(5, 9), F.lit(0).cast("long")).otherwise(F.col("volume"))})
+    kept = S.user_bars(spark, sf_dir).where(~((s % 4 == 1) & (day % 6 == 3)) & ~((s % 10 == 7) & (day > 20)) & ~((s % 3 != 0) & day.isin(3, 22)))
+    return kept.withColumns({"high": F.when((k % 23 == 3) | (day == 17), F.col("open") - 1).when(k % 6 == 2, 2 * F.greatest("open", "high")).otherwise(F.col("high")), "close": F.when(k % 6 == 1, None).when(k % 29 == 4, F.col("close") * 10).otherwise(F.col("close")), "volume": F.when((s % 9 == 2) & day.between(5, 9), F.lit(0).cast("long")).when(k % 6 == 2, F.lit(1000).cast("long")).otherwise(F.col("volume"))})
 
 
-@query("a16_gap_counts", ["db", "dcal"], GAPS)
+@query("a16_gap_counts", ["db", "tcal"], GAPS)
 def a16(spark, d):
     return H.gap_counts(defective(spark, d))
 
@@ -50,7 +58,8 @@ def a16(spark, d):
 def j06(spark, d):
     """Calendar days strictly between consecutive bars, by the difference of their numbers."""
     bars = stored(defective(spark, d), "bars")
-    numbered = bars.join(F.broadcast(H.calendar(bars)), "date")  # one row a date
+    days = bars.select("date").distinct().withColumn("day", F.row_number().over(Window.orderBy("date")))  # one row a date
+    numbered = bars.join(F.broadcast(days), "date")
     ahead = F.lead("day").over(Window.partitionBy("symbol").orderBy("day"))
     return numbered.select("symbol", "date", (ahead - F.col("day") - 1).cast("long").alias("days_without")).where("days_without > 0")
 
@@ -64,7 +73,7 @@ def j08(spark, d):
     return every.join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
 
 
-@query("a17_stale_symbols", ["db", "dcal"], STALE)
+@query("a17_stale_symbols", ["db", "tcal"], STALE)
 def a17(spark, d):
     return H.stale_symbols(defective(spark, d))
 
@@ -84,9 +93,9 @@ def a18(spark, d):
     return H.invalid_bars(defective(spark, d))
 
 
-@query("a19_glitch_bars", ["db"], GLITCH)
+@query("a19_glitch_bars", ["db"], f"SELECT symbol, date, round(high_return, 6) + 0.0 AS high_return, round(oc_return, 6) + 0.0 AS oc_return, volume, round(trailing_avg_vol, 6) + 0.0 AS trailing_avg_vol, prev_close FROM ({GLITCH})")
 def a19(spark, d):
-    return H.glitch_bars(defective(spark, d))
+    return H.glitch_bars(defective(spark, d)).withColumns({c: six(F.col(c)) for c in ("high_return", "oc_return", "trailing_avg_vol")})
 
 
 @query("a20_incomplete_days", ["db"], f"SELECT date, raw_count, bar_count, trailing_median, round(ratio, 6) + 0.0 AS ratio FROM ({INCOMPLETE})")
@@ -128,7 +137,7 @@ def report_inputs(spark, d):
     return bars, S.user_universe(spark, d), meta
 
 
-@query("a24_doctor_report", ["db", "dcal", "uu", "ibh"], REPORT)
+@query("a24_doctor_report", ["db", "tcal", "uu", "ibh"], REPORT)
 def a24(spark, d):
     sessions = I.coverage_problems(I.session_coverage(Sessions(spark, d).holed, bar_minutes=MINUTES, close_minutes=1440))
     return H.doctor_report(*report_inputs(spark, d), sessions)
