@@ -55,21 +55,28 @@ def paper_record(outcomes: DataFrame, recorded: DataFrame, *, today: str, max_ag
     return new.select("target_date", "symbol", "rank", F.lit("limit_2pct").alias("rule"), F.when(filled, 0.02).otherwise(F.col("oc_return")).alias("gross_return"), F.when(filled, "limit").otherwise("close").alias("exit_reason"), F.count(F.lit(1)).over(per).alias("n_avail"))
 
 
+def first_traded(trades: DataFrame, baskets) -> DataFrame:
+    """trades once for each `basket` that they belong to: the first so many of a day that traded, by rank, then symbol. A pick that didn't trade
+    leaves its place to the next."""
+    order = [c for c in ("rank", "symbol") if c in trades.columns]
+    place = F.row_number().over(Window.partitionBy("target_date").orderBy(*order))
+    return trades.withColumn("place", place).withColumn("basket", F.explode(F.array(*map(F.lit, baskets)))).where("place <= basket").drop("place")
+
+
 def paper_report(trades: DataFrame, basket: int = 20, costs_bps=COSTS_BPS) -> DataFrame:
-    """Growth, win rate, mean, deviation and t of the first `basket` ranks at each cost level."""
+    """Growth of a day's first `basket` picks that traded, the share of days that gain, and mean, deviation and t of a day, at each cost level."""
     cost = F.explode(F.array(*map(F.lit, costs_bps)))
-    net = trades.where(F.col("rank") <= basket).withColumn("cost_bps", cost).withColumn("net", F.col("gross_return") - F.col("cost_bps") / 10_000)
-    daily = net.groupBy("cost_bps", "target_date").agg(F.avg("net").alias("day"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("net") > 0, 1)).alias("wins"))
-    sums = daily.groupBy("cost_bps").agg(F.product(1 + F.col("day")).alias("growth"), F.count(F.lit(1)).alias("days"), F.sum("n").alias("trades"), ratio(F.sum("wins"), F.sum("n")).alias("win_rate"), F.avg("day").alias("mean"), F.stddev_samp("day").alias("sd"))
+    net = first_traded(trades, [basket]).withColumn("cost_bps", cost).withColumn("net", F.col("gross_return") - F.col("cost_bps") / 10_000)
+    daily = net.groupBy("cost_bps", "target_date").agg(F.avg("net").alias("day"), F.count(F.lit(1)).alias("n"))
+    sums = daily.groupBy("cost_bps").agg(F.product(1 + F.col("day")).alias("growth"), F.count(F.lit(1)).alias("days"), F.sum("n").alias("trades"), ratio(F.count(F.when(F.col("day") > 0, 1)), F.count(F.lit(1))).alias("day_win_rate"), F.avg("day").alias("mean"), F.stddev_samp("day").alias("sd"))
     return sums.withColumn("t", ratio(F.col("mean") * F.sqrt("days"), "sd"))
 
 
 def paper_breakeven(trades: DataFrame, baskets=(1, 5, 10, 20), steps: int = 60) -> DataFrame:
-    """Cost in basis points at which a basket's growth is 1, by bisection on [0, 5 %]; 0 if it doesn't grow without cost.
+    """Cost in basis points at which the growth of a day's first `basket` picks that traded is 1, by bisection on [0, 5 %]; 0 if it doesn't grow without cost.
 
     Growth depends on the daily means alone: one row a basket with an array of a value a day."""
-    sized = trades.withColumn("basket", F.explode(F.array(*map(F.lit, baskets)))).where("rank <= basket")
-    days = sized.groupBy("basket", "target_date").agg(F.avg("gross_return").alias("day")).groupBy("basket").agg(F.sort_array(F.collect_list("day")).alias("means"))
+    days = first_traded(trades, baskets).groupBy("basket", "target_date").agg(F.avg("gross_return").alias("day")).groupBy("basket").agg(F.sort_array(F.collect_list("day")).alias("means"))
     growth = "aggregate(means, cast(1 as double), (g, r) -> g * (1 + r - {c}))"
     halve = f"aggregate(sequence(1, {steps}), struct(cast(0 as double) as lo, cast(0.05 as double) as hi), (s, i) -> case when {growth.format(c='(s.lo + s.hi) / 2')} > 1 then struct((s.lo + s.hi) / 2 as lo, s.hi as hi) else struct(s.lo as lo, (s.lo + s.hi) / 2 as hi) end, s -> (s.lo + s.hi) / 2)"
     return days.select("basket", F.size("means").cast("long").alias("days"), F.expr(f"case when {growth.format(c='0')} <= 1 then cast(0 as double) else {halve} * 10000 end").alias("breakeven_bps"))

@@ -15,6 +15,7 @@ def running_before(df: DataFrame, order: str, values: list[str], rows_per_task:
 
     Rows are dealt by range and written once, so that both readings below see the same parts; sums run within a part and are shifted
     by the totals of the parts before, of which there is one row a task. An empty table gives no rows."""
+    df = stored(df, "counted")  # computed once, for the count and for the ranges
     parts = tasks_for(df.count(), rows_per_task, df.sparkSession)
     dealt = stored(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()), "dealt")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part

@@ -59,7 +59,7 @@ def precision_at_1(performance: DataFrame) -> DataFrame:
 
 
 def _pooled(days: DataFrame) -> DataFrame:
-    return days.agg(F.count(F.lit(1)).alias("days"), F.sum("n_scored").alias("picks"), ratio(F.sum("hits"), F.sum("n_scored")).alias("precision"), ratio(F.sum(F.col("base_rate") * F.col("n_scored")), F.sum("n_scored")).alias("base_rate"), F.count(F.when(F.col("lift") < 1, 1)).alias("days_below_1"))
+    return days.agg(F.count(F.lit(1)).alias("days"), F.sum("n_scored").alias("picks"), ratio(F.sum("hits"), F.sum("n_scored")).alias("precision"), ratio(F.sum(F.col("base_rate") * F.col("n_scored")), F.sum("n_scored")).alias("base_rate"), F.count(F.when(F.col("lift") < 1 - EPSILON, 1)).alias("days_below_1"))
 
 
 def in_window(days: DataFrame, window: int = DEGRADATION_WINDOW) -> DataFrame:
@@ -68,9 +68,15 @@ def in_window(days: DataFrame, window: int = DEGRADATION_WINDOW) -> DataFrame:
 
 
 def degradation_verdict(days: DataFrame, window: int = DEGRADATION_WINDOW) -> DataFrame:
-    """Degraded if the pooled precision of the last live days is below their pick-weighted base rate; armed only with a full window."""
-    excess = F.col("precision") - F.col("base_rate")
-    return _pooled(in_window(days, window)).select("days", "picks", "precision", "base_rate", excess.alias("excess"), "days_below_1", (F.col("days") >= window).alias("armed"), F.coalesce((F.col("days") >= window) & (excess < -EPSILON), F.lit(False)).alias("degraded"))
+    """Degraded if the pooled precision of the last `window` live days is below their pick-weighted base rate. Armed only with so many live days: before
+    that the pooled figures are null, and nothing is degraded. Live days without a lift are `excluded`; `days_below_1` counts days of the window (before
+    arming: of all live days) whose lift is under 1."""
+    live = days.where(~F.col("late"))
+    counts = live.agg(F.count("lift").alias("live_days"), F.count(F.when(F.col("lift").isNull(), 1)).alias("excluded"))
+    excess, armed = F.col("precision") - F.col("base_rate"), F.col("live_days") >= window
+    both = _pooled(in_window(days, window)).join(counts, F.lit(True))  # one row each
+    pooled = {c: F.when(armed, F.col(c)) for c in ("precision", "base_rate")}
+    return both.select("live_days", "excluded", F.coalesce("picks", F.lit(0)).alias("picks"), *(c.alias(name) for name, c in pooled.items()), F.when(armed, excess).alias("excess"), "days_below_1", armed.alias("armed"), F.coalesce(armed & (excess < -EPSILON), F.lit(False)).alias("degraded"))
 
 
 def live_record(days: DataFrame) -> DataFrame:

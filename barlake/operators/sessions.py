@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.exprs import LIMIT_FIRST, STOP_FIRST, STOP_TOUCH, TOUCH, finite, slot, touch_event
+from barlake.functions.exprs import LIMIT_FIRST, STOP_FIRST, STOP_TOUCH, TOUCH, finite, six, slot, touch_event
 
 AGREE_WITHIN = 0.001
 KEYS = ["symbol", "date"]
@@ -142,6 +142,38 @@ def both_intervals(bars: DataFrame, a: str, b: str) -> DataFrame:
     return per.where("a AND b").select(*KEYS)
 
 
-def pick_days(picks: DataFrame) -> DataFrame:
-    """One row a target day with its picks as an array in rank order (at most a basket a day)."""
-    return picks.groupBy("target_date").agg(F.max("late").alias("late"), F.array_sort(F.collect_list(F.struct("rank", "symbol", "oc_return", "hit"))).alias("picks"))
+def attach_coverage(attached: DataFrame) -> DataFrame:
+    """How far attached picks (`ol`, `filled`, `seq`, `fill`, `trail`) are known, in one row: picks and their sessions, sessions that touched both triggers and those whose
+    order is known, measured stop fills with their first and last day, replayed sessions, and days that a pick without a replay excludes."""
+    both = F.col("filled") & (F.col("ol") <= STOP_TOUCH)
+    filled_on = F.when(F.col("fill").isNotNull(), F.col("target_date"))
+    per = attached.groupBy("target_date", "symbol").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(c, 1)).alias(name) for name, c in (("both", both), ("seq", F.col("seq").isNotNull()), ("fills", F.col("fill").isNotNull()), ("trails", F.col("trail").isNotNull()))), F.min(filled_on).alias("lo"), F.max(filled_on).alias("hi"))
+    days = per.groupBy("target_date").agg(*(F.sum(c).alias(c) for c in ("n", "both", "seq", "fills", "trails")), F.count(F.lit(1)).alias("pairs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return days.agg(
+        F.sum("n").alias("picks"), F.sum("pairs").alias("pairs"), F.sum("both").alias("both_touched"), F.sum("seq").alias("ordered"), F.sum("fills").alias("filled"), F.min("lo").alias("first_fill"), F.max("hi").alias("last_fill"),
+        F.sum("trails").alias("replayed"), F.count(F.when(F.col("trails") < F.col("n"), 1)).alias("days_not_replayed"),
+    )
+
+
+def pick_days(picks: DataFrame, base: DataFrame) -> DataFrame:
+    """One row a target day: `d`, its `base` rate (null where base (target_date, base_rate) has none), whether any pick is `late`, and its picks in rank order (at most
+    a basket a day) as structs of rank, oh, ol, oc, hit, seq, fill and trail. Returns have six places and are null where not finite."""
+
+    def number(c: str):
+        return F.when(finite(c), six(F.col(c))).alias(c)
+
+    pick = F.struct("rank", number("oh"), number("ol"), number("oc"), F.col("hit").cast("int").alias("hit"), F.col("seq").cast("int").alias("seq"), number("fill"), number("trail"))
+    days = picks.groupBy(F.col("target_date").alias("d")).agg(F.max("late").alias("late"), F.array_sort(F.collect_list(pick)).alias("picks"))
+    rates = F.broadcast(base.select(F.col("target_date").alias("d"), six(F.col("base_rate")).alias("base")))  # one row a date
+    return days.join(rates, "d", "left").select("d", "base", "late", "picks")
+
+
+def nested_coverage(days: DataFrame) -> DataFrame:
+    """Nested days with counts over their picks: whose order, stop fill and replay are known, whose returns are not, and hits."""
+
+    def number(test) -> Column:
+        return F.size(F.filter("picks", test)).cast("long")
+
+    counts = {"ordered": lambda p: p["seq"].isNotNull(), "filled": lambda p: p["fill"].isNotNull(), "replayed": lambda p: p["trail"].isNotNull(), "unknown": lambda p: p["ol"].isNull() | p["oc"].isNull()}
+    hits = F.aggregate("picks", F.lit(0).cast("long"), lambda total, p: total + p["hit"])
+    return days.withColumns({name: number(test) for name, test in counts.items()}).withColumn("hits", hits)

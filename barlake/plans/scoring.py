@@ -13,6 +13,7 @@ from barlake.operators import scoring as P
 from barlake.plans.daily import R, rounded
 from barlake.plans.inputs import LATE, Users, nation_features
 from barlake.plans.registry import query, subquery
+from barlake.sources.shared import stored
 
 subquery("days", ["outcomes", "ubase"], "SELECT signal_date, target_date, n_scored, hits, precision, late, base_rate, precision / nullif(base_rate, 0) AS lift FROM (SELECT signal_date, target_date, count(*) AS n_scored, CAST(sum(hit) AS BIGINT) AS hits, avg(hit) AS precision, bool_or(late) AS late FROM outcomes GROUP BY 1, 2) LEFT JOIN ubase ON date = target_date")
 subquery("perf", ["outcomes"], "SELECT target_date, first(symbol ORDER BY rank, symbol, signal_date) AS top1_symbol, min(rank) AS top1_rank, first(oc_return ORDER BY rank, symbol, signal_date) AS top1_return, first(hit ORDER BY rank, symbol, signal_date) AS top1_hit, avg(oc_return) AS topn_return, CAST(sum(hit) AS BIGINT) AS topn_hits, count(*) AS n_avail, bool_or(late) AS late FROM outcomes GROUP BY 1")
@@ -86,11 +87,29 @@ def a12(spark, d):
 POOL = "count(*) AS days, CAST(sum(n_scored) AS BIGINT) AS picks, sum(hits) / sum(n_scored) AS precision, sum(base_rate * n_scored) / sum(n_scored) AS base_rate, count(CASE WHEN lift < 1 THEN 1 END) AS days_below_1"
 
 
-@query("a13_degradation_verdict", ["inwin"], f"SELECT days, picks, {R.format('precision')}, {R.format('base_rate')}, round(precision - base_rate, 6) + 0.0 AS excess, days_below_1, days >= 5 AS armed, coalesce(days >= 5 AND precision - base_rate < -1e-9, FALSE) AS degraded FROM (SELECT {POOL} FROM inwin)")
+def verdict_sql(days: str) -> str:
+    """The verdict of a days table, from its live days numbered from the newest."""
+    return f"""SELECT count(*) FILTER (lift IS NOT NULL) AS live_days, count(*) FILTER (lift IS NULL) AS excluded, CAST(coalesce(sum(n_scored) FILTER (k <= 5), 0) AS BIGINT) AS picks, CASE WHEN count(lift) >= 5 THEN sum(hits) FILTER (k <= 5) / sum(n_scored) FILTER (k <= 5) END AS precision,
+      CASE WHEN count(lift) >= 5 THEN sum(base_rate * n_scored) FILTER (k <= 5) / sum(n_scored) FILTER (k <= 5) END AS base_rate, count(*) FILTER (k <= 5 AND lift < 1 - 1e-9) AS days_below_1
+      FROM (SELECT *, CASE WHEN lift IS NOT NULL THEN row_number() OVER (PARTITION BY lift IS NULL ORDER BY target_date DESC, signal_date DESC) END AS k FROM ({days}) WHERE NOT late)"""
+
+
+VERDICT = f"SELECT {{}} live_days, excluded, picks, {R.format('precision')}, {R.format('base_rate')}, round(precision - base_rate, 6) + 0.0 AS excess, days_below_1, live_days >= 5 AS armed, coalesce(live_days >= 5 AND precision - base_rate < -1e-9, FALSE) AS degraded FROM ({{}})"
+
+
+@query("a13_degradation_verdict", ["days"], VERDICT.format("", verdict_sql("SELECT * FROM days")))
 def a13(spark, d):
     return rounded(P.degradation_verdict(days(Users(spark, d))), "precision", "base_rate", "excess")
 
 
+@query("a13b_degradation_unarmed", ["days"], " UNION ALL ".join(VERDICT.format(f"{n} AS upto,", verdict_sql(f"SELECT * REPLACE (CASE WHEN day(target_date) % 3 = 0 THEN NULL ELSE lift END AS lift) FROM days WHERE day(target_date) <= {n}")) for n in (4, 8, 31)))
+def a13b(spark, d):
+    """The verdict as it stood on some days, with a third of the days without a lift: first not armed, then armed."""
+    scored = stored(days(Users(spark, d)), "days").withColumn("lift", F.when(F.dayofmonth("target_date") % 3 != 0, F.col("lift")))
+    made = [P.degradation_verdict(scored.where(F.dayofmonth("target_date") <= n)).withColumn("upto", F.lit(n)) for n in (4, 8, 31)]
+    return rounded(made[0].unionByName(made[1]).unionByName(made[2]), "precision", "base_rate", "excess")
+
+
 @query("a14_live_record", ["days"], f"SELECT days, picks, {R.format('precision')}, {R.format('base_rate')}, round(precision / base_rate, 6) + 0.0 AS lift, round(precision - base_rate, 6) + 0.0 AS excess FROM (SELECT {POOL} FROM days WHERE NOT late AND base_rate IS NOT NULL)")
 def a14(spark, d):
     return rounded(P.live_record(days(Users(spark, d))), "precision", "base_rate", "lift", "excess")

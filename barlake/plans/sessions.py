@@ -235,10 +235,49 @@ def j10(spark, d):
     return I.both_intervals(s.bars.where(F.hour("ts") < 20).unionByName(s.half_hours.where(F.hour("ts") > 21)), "60m", "30m")
 
 
-@query("e09_pick_days_nested", ["outcomes"], "SELECT target_date, late, len(picks) AS n_picks, picks[1].symbol AS first_symbol, picks[-1].rank AS last_rank FROM (SELECT target_date, bool_or(late) AS late, list(struct_pack(rank := rank, symbol := symbol) ORDER BY rank, symbol) AS picks FROM outcomes GROUP BY 1)")
+@query(
+    "e08b_attach_coverage",
+    ["epicks"],
+    """SELECT count(*) AS picks, count(DISTINCT (symbol, target_date)) AS pairs, count(*) FILTER (filled AND ol <= -0.01 + 1e-9) AS both_touched, count(seq) AS ordered, count(fill) AS filled, min(target_date) FILTER (fill IS NOT NULL) AS first_fill, max(target_date) FILTER (fill IS NOT NULL) AS last_fill,
+      count(trail) AS replayed, (SELECT count(*) FROM (SELECT 1 FROM epicks GROUP BY target_date HAVING bool_or(trail IS NULL))) AS days_not_replayed FROM epicks""",
+)
+def e08b(spark, d):
+    return I.attach_coverage(exit_picks(spark, d))
+
+
+#: Days with their picks as lists of structs, null where not finite; every third day's base rate is unknown.
+NESTED = """SELECT target_date AS d, CASE WHEN day(target_date) % 3 <> 0 THEN round(avg(hit), 6) END AS base, day(target_date) % 5 = 0 AS late,
+  list(struct_pack(rank := rank, oh := round(oh, 6) + 0.0, ol := round(ol, 6) + 0.0, oc := round(oc, 6) + 0.0, hit := hit, seq := CAST(seq AS INTEGER), fill := round(fill, 6) + 0.0, trail := round(trail, 6) + 0.0) ORDER BY rank) AS picks
+  FROM (SELECT e.*, r.high_return AS oh FROM epicks e JOIN tr r ON r.symbol = e.symbol AND r.date = e.target_date) GROUP BY target_date"""
+NUMBERS = ("oh", "ol", "oc", "fill", "trail")
+
+
+def nested_days(spark, d) -> DataFrame:
+    picks = exit_picks(spark, d)
+    oh = Sessions(spark, d).returns.select("symbol", F.col("date").alias("target_date"), F.col("high_return").alias("oh"))
+    dated = picks.join(oh, ["symbol", "target_date"]).withColumn("late", F.dayofmonth("target_date") % 5 == 0)
+    base = picks.where(F.dayofmonth("target_date") % 3 != 0).groupBy("target_date").agg(F.avg("hit").alias("base_rate"))
+    return I.pick_days(dated, base)
+
+
+PICK_TEXT = " || ';' || ".join(f"coalesce(CAST({'p.' + c if c in ('rank', 'hit', 'seq') else f'CAST(round(p.{c} * 1000000) AS BIGINT)'} AS VARCHAR), '-')" for c in ("rank", "oh", "ol", "oc", "hit", "seq", "fill", "trail"))
+
+
+@query("e09_pick_days_nested", ["epicks", "tr"], f"SELECT d, CAST(round(base * 1000000) AS BIGINT) AS base, late, len(picks) AS n_picks, array_to_string(list_transform(picks, lambda p: {PICK_TEXT}), ',') AS picks FROM ({NESTED})")
 def e09(spark, d):
-    nested = I.pick_days(outcomes(Users(spark, d)))
-    return nested.select("target_date", "late", F.size("picks").cast("long").alias("n_picks"), F.col("picks")[0]["symbol"].alias("first_symbol"), F.element_at("picks", -1)["rank"].alias("last_rank"))
+    """Every field of every pick of the nested days, spelled out: returns in millionths, nulls as dashes."""
+
+    def spelled(p):
+        fields = [F.round(p[c] * 1_000_000).cast("long") if c in NUMBERS else p[c] for c in ("rank", "oh", "ol", "oc", "hit", "seq", "fill", "trail")]
+        return F.concat_ws(";", *(F.coalesce(f.cast("string"), F.lit("-")) for f in fields))
+
+    return nested_days(spark, d).select("d", F.round(F.col("base") * 1_000_000).cast("long").alias("base"), "late", F.size("picks").cast("long").alias("n_picks"), F.array_join(F.transform("picks", spelled), ",").alias("picks"))
+
+
+@query("e09b_nested_day_coverage", ["epicks", "tr"], f"SELECT d, len(list_filter(picks, lambda p: p.seq IS NOT NULL)) AS ordered, len(list_filter(picks, lambda p: p.fill IS NOT NULL)) AS filled, len(list_filter(picks, lambda p: p.trail IS NOT NULL)) AS replayed, len(list_filter(picks, lambda p: p.ol IS NULL OR p.oc IS NULL)) AS unknown, list_sum(list_transform(picks, lambda p: p.hit)) AS hits FROM ({NESTED})")
+def e09b(spark, d):
+    """Coverage counted on the nested days alone."""
+    return I.nested_coverage(nested_days(spark, d)).select("d", "ordered", "filled", "replayed", "unknown", "hits")
 
 
 FILL = "least(coalesce(fill, -0.01), -0.01)"
@@ -291,18 +330,25 @@ def trades(spark, d) -> DataFrame:
     return X.paper_record(outcomes(Users(spark, d)), outcomes(Users(spark, d)).limit(0), today="2024-03-01", max_age=400)
 
 
+#: A trade belongs to a basket if fewer trades than that stand before it on its day: a count, not a window.
+BASKETS = f"""SELECT x.*, basket FROM (SELECT x.*, (SELECT count(*) FROM ({PAPER}) y WHERE y.target_date = x.target_date AND (y.rank < x.rank OR (y.rank = x.rank AND y.symbol < x.symbol))) AS ahead FROM ({PAPER}) x) x, (VALUES (1), (5), (10), (20)) b(basket) WHERE ahead < basket"""
+
+
 @query(
     "a39_paper_report",
     ["outcomes"],
-    f"""SELECT cost_bps, {R.format('growth')}, days, trades, {R.format('win_rate')}, {R.format('mean')}, {R.format('sd')}, round(mean * sqrt(days) / nullif(sd, 0), 6) + 0.0 AS t FROM (SELECT cost_bps, product(1 + day) AS growth, count(*) AS days, CAST(sum(n) AS BIGINT) AS trades, sum(wins) / sum(n) AS win_rate, avg(day) AS mean, stddev_samp(day) AS sd FROM
-      (SELECT cost_bps, target_date, avg(gross_return - cost_bps / 10000) AS day, count(*) AS n, count(CASE WHEN gross_return - cost_bps / 10000 > 0 THEN 1 END) AS wins FROM ({PAPER}), (VALUES (0), (5), (10), (20), (40)) c(cost_bps) WHERE rank <= 20 GROUP BY 1, 2) GROUP BY 1)""",
+    f"""SELECT CAST(basket AS INTEGER) AS basket, cost_bps, {R.format('growth')}, days, trades, {R.format('day_win_rate')}, {R.format('mean')}, {R.format('sd')}, round(mean * sqrt(days) / nullif(sd, 0), 6) + 0.0 AS t FROM (SELECT basket, cost_bps, product(1 + day) AS growth, count(*) AS days, CAST(sum(n) AS BIGINT) AS trades, avg(CAST(day > 0 AS INTEGER)) AS day_win_rate, avg(day) AS mean, stddev_samp(day) AS sd FROM
+      (SELECT basket, cost_bps, target_date, avg(gross_return - cost_bps / 10000) AS day, count(*) AS n FROM ({BASKETS}), (VALUES (0), (5), (10), (20), (40)) c(cost_bps) WHERE basket IN (5, 20) GROUP BY 1, 2, 3) GROUP BY 1, 2)""",
 )
 def a39(spark, d):
-    return rounded(X.paper_report(trades(spark, d)), "growth", "win_rate", "mean", "sd", "t")
+    """A small basket, in which picks that didn't trade leave their places to others, and the whole one."""
+    made = stored(trades(spark, d), "trades")
+    small, whole = (X.paper_report(made, n).withColumn("basket", F.lit(n)) for n in (5, 20))
+    return rounded(small.unionByName(whole), "growth", "day_win_rate", "mean", "sd", "t")
 
 
 #: The bisection as a recursion of 60 steps over the daily means of each basket.
-BREAKEVEN = f"""WITH RECURSIVE means AS (SELECT basket, list(day) AS days FROM (SELECT basket, target_date, avg(gross_return) AS day FROM ({PAPER}), (VALUES (1), (5), (10), (20)) b(basket) WHERE rank <= basket GROUP BY 1, 2) GROUP BY 1),
+BREAKEVEN = f"""WITH RECURSIVE means AS (SELECT basket, list(day) AS days FROM (SELECT basket, target_date, avg(gross_return) AS day FROM ({BASKETS}) GROUP BY 1, 2) GROUP BY 1),
   halved AS (SELECT basket, days, 0 AS step, 0.0::DOUBLE AS lo, 0.05::DOUBLE AS hi FROM means UNION ALL
     SELECT basket, days, step + 1, CASE WHEN grows THEN (lo + hi) / 2 ELSE lo END, CASE WHEN grows THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, list_product(list_transform(days, lambda r: 1 + r - (lo + hi) / 2)) > 1 AS grows FROM halved) WHERE step < 60)
   SELECT basket, CAST(len(days) AS BIGINT) AS days, round(CASE WHEN list_product(list_transform(days, lambda r: 1 + r)) <= 1 THEN 0 ELSE (lo + hi) / 2 * 10000 END, 6) + 0.0 AS breakeven_bps FROM halved WHERE step = 60"""
