@@ -12,7 +12,7 @@ from barlake.plans.inputs import MIN_DAYS, VALID, Users, nation_features, touch_
 from barlake.plans.registry import query, subquery
 from barlake.sources import tables as S
 from barlake.sources import universe as V
-from barlake.sources.shared import stored
+from barlake.sources.shared import fresh_path, stored
 
 R = "round({0}, 6) + 0.0 AS {0}"
 
@@ -40,9 +40,8 @@ REASON_SQL = f"""SELECT CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR
     LEFT JOIN (SELECT symbol, arg_max(close, date) AS close FROM nb WHERE date < DATE '{CUT}' GROUP BY symbol) s ON s.symbol = n.symbol)"""
 
 
-@query("s02_daily_bar_rows", ["nd"], f"SELECT reason, count(*) AS n_rows FROM ({REASON_SQL}) GROUP BY 1")
-def s02(spark, d):
-    """A wide batch of all nations' bars since a day, after the bars stored before it: rows dropped by cause."""
+def judged_batch(spark, d) -> DataFrame:
+    """A wide batch of all nations' bars since a day, after the bars stored before it, with what each row is dropped for."""
     bars = stored(S.nation_bars(spark, d), "bars")
     symbols = [str(r[0]) for r in S.read_table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # the batch's symbols
     nation = F.col("symbol").cast("long")
@@ -50,8 +49,23 @@ def s02(spark, d):
     high = F.when(split, 3 * F.greatest("open", "high")).when(k % 23 == 3, F.col("open") - 1).otherwise(F.col("high"))
     spoilt = bars.where(F.col("date") >= CUT).withColumns({"high": high, "close": F.when(k % 31 != 4, F.col("close")), "open": F.when(split, 3 * F.col("open")).otherwise(F.col("open"))})
     last = V.last_bars(bars.where(F.col("date") < CUT)).select("symbol", F.col("last_date").alias("seed_date"), F.col("last_close").alias("seed_close"))
-    rows = S.long_bars(S.wide_bars(spoilt, symbols), symbols)
-    return S.bar_reasons(rows, last).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return S.bar_reasons(S.long_bars(S.wide_bars(spoilt, symbols), symbols), last)
+
+
+@query("s02_daily_bar_rows", ["nd"], f"SELECT reason, count(*) AS n_rows FROM ({REASON_SQL}) GROUP BY 1")
+def s02(spark, d):
+    """Rows of the batch by what drops them."""
+    return judged_batch(spark, d).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("s02b_daily_bar_write", ["nd"], f"SELECT r.reason, count(x.reason) AS n_observed, CASE WHEN r.reason = 'kept' THEN count(x.reason) ELSE 0 END AS n_written FROM (VALUES ('kept'), ('null_price'), ('invalid'), ('split_artifact')) r(reason) LEFT JOIN ({REASON_SQL}) x ON x.reason = r.reason GROUP BY r.reason")
+def s02b(spark, d):
+    """What the writing job counted of each cause, and the rows that are there after it."""
+    path = fresh_path(spark, "daily")
+    seen = S.write_daily_bars(judged_batch(spark, d), path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))  # one row
+    rows = spark.createDataFrame(sorted(seen.items()), "reason string, n_observed long")
+    return rows.join(written, F.lit(True)).select("reason", "n_observed", F.when(F.col("reason") == "kept", F.col("n")).otherwise(0).alias("n_written"))
 
 
 @query("s03_intraday_bar_rows", ["ib"], f"SELECT symbol, ts, CAST(ts AS DATE) AS date, open, high, low, close, volume FROM (SELECT * REPLACE (CAST(timezone('America/New_York', timezone('UTC', ts)) AS TIMESTAMP) AS ts) FROM ib) WHERE {VALID}")

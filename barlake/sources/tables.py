@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import split_artifact, valid_bar
@@ -90,6 +90,19 @@ def bar_reasons(bars: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return before.withColumn("reason", reason).drop("ok", "no_price", "prev_close")
 
 
+REASONS = ("null_price", "invalid", "split_artifact")
+
+
+def write_daily_bars(judged: DataFrame, path: str) -> dict[str, int]:
+    """Write the kept rows of `bar_reasons` and return how many were kept and how many each cause dropped: all counted while the one job that
+    writes them passes over the rows."""
+    watch = Observation()
+    counts = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]
+    watched = judged.observe(watch, F.count(F.when(F.col("reason").isNull(), 1)).alias("kept"), *counts)
+    watched.where("reason IS NULL").drop("reason").write.parquet(path)
+    return watch.get
+
+
 def exchange_local(bars: DataFrame, zone: str = "America/New_York") -> DataFrame:
     """Bars of UTC `ts` with the exchange's naive time, the session's date, valid prices only, and 0 for an unknown volume."""
     local = bars.withColumn("ts", F.from_utc_timestamp("ts", zone))

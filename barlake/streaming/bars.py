@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.exprs import THRESHOLD, touch_event
-from barlake.sources.shared import fresh_path
+from barlake.sources.shared import fresh_path, tasks_for
 from barlake.sources.writers import upsert_table
 
 
@@ -37,6 +38,34 @@ def drain(stream: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def arriving(ticks: DataFrame, batch: str, path: str, ticks_per_file: int = 2_000_000) -> DataFrame:
+    """ticks as a stream in which those of each value of the column `batch` arrive together, in its order: what a late feed looks like to the jobs below.
+
+    The ticks of a value are written as so many files, after those of lesser values, and as many files make a trigger. The values are few: the driver
+    writes them one after another."""
+    spark = ticks.sparkSession
+    sizes = {r[0]: r[1] for r in ticks.groupBy(batch).agg(F.count(F.lit(1))).collect()}
+    files = -(-max(sizes.values(), default=1) // ticks_per_file)
+    for value in sorted(sizes):
+        part = ticks.where(F.col(batch) == value).drop(batch)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+    own = ticks.drop(batch).schema
+    return spark.readStream.schema(own).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drain_counted(stream: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
+    """`drain`, and how many rows the watermark dropped as too late. Spark counts them where it keeps state, after the partial aggregation of a
+    trigger: the late ticks of a task, key and window are one."""
+    spark = stream.sparkSession
+    path = path or fresh_path(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}_log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise StreamingQueryException(str(query.exception()))
+    dropped = sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
+    return spark.read.schema(stream.schema).parquet(path), dropped
+
+
 def stream_upsert(bars: DataFrame, table: str, keys: list[str], partition: str) -> None:
     """Merge a stream of bars into a keyed table: a bar that is sent again replaces the one before."""
     spark = bars.sparkSession

@@ -214,7 +214,7 @@ def test_universe_rules(spark):
 def test_canonical_params(spark):
     rows = spark.createDataFrame([('{"b": 200, "a": 1.5}',), ('{"a": 1.5, "b": 200.0}',), ("{oops",), ("{}",)], "p string")
     got = [r[0] for r in rows.select(E.canonical_params("p")).collect()]
-    assert got[0] == got[1] == "a=1.5,b=200" and got[2] is None and got[3] == ""
+    assert got[0] == got[1] == '{"a": 1.5, "b": 200}' and got[2] is None and got[3] == "{}"
 
 
 def test_bands_grow_with_the_family():
