@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from barlake.sources.shared import stored
 from barlake.sources.writers import record_experiment, replace_slice
 
 MIN_TRAIN_ROWS = 10_000
+#: Training rows a task of a boosting round, of which there are many short ones.
+ROWS_PER_TASK = 100_000
 LABEL = "did_2pct_next"
 
 
@@ -66,7 +71,8 @@ class MLStrategy:
     def __init__(self, classifier, scale: bool = False, balanced: str | None = None, keep_empty: bool = False):
         self.classifier, self.scale, self.balanced, self.keep_empty = classifier, scale, balanced, keep_empty
 
-    def fit(self, train: DataFrame) -> MLStrategy:
+    def _plan(self, train: DataFrame) -> tuple[list, DataFrame]:
+        """What the features go through before the classifier, and the training rows with their `label` and weight `w`."""
         filled = train.agg(*(F.count(c).alias(c) for c in FEATURES), F.avg(F.col(LABEL).cast("double")).alias("share"), F.count(F.lit(1)).alias("n")).first()
         self.used = [c for c in FEATURES if filled[c]]
         self.gaps = [] if self.keep_empty else [c for c in self.used if filled[c] < filled["n"]]
@@ -82,7 +88,10 @@ class MLStrategy:
             stages[-1].setOutputCol("features")
         y = F.col(LABEL) == 1
         weight = {"both": F.when(y, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)), "positive": F.when(y, (1 - share) / max(share, 1e-9)).otherwise(1.0)}.get(self.balanced, F.lit(1.0))
-        rows = self._prepared(train).withColumns({"label": F.col(LABEL).cast("double"), "w": weight.cast("double")})
+        return stages, self._prepared(train).withColumns({"label": F.col(LABEL).cast("double"), "w": weight.cast("double")})
+
+    def fit(self, train: DataFrame) -> MLStrategy:
+        stages, rows = self._plan(train)
         self.model = Pipeline(stages=[*stages, self.classifier.copy()]).fit(rows)
         return self
 
@@ -95,6 +104,56 @@ class MLStrategy:
         return self.model.transform(self._prepared(rows)).withColumn("prob", vector_to_array("probability")[1]).select(*rows.columns, "prob")
 
 
+class StochasticTrees(MLStrategy):
+    """Boosting with a draw of rows and a draw of columns a tree.
+
+    Spark's own boosting draws columns at every node. Here a tree is fitted with the columns that it may not use held at 0, so that it can't split
+    on them. Its target is the Newton step g / h of the logistic loss with weight h, so its leaves are sums of g over sums of h. Rows are drawn by a hash of
+    symbol, date and tree. Margins so far are kept by the executors and written every `written` trees, which bounds the plan and what a lost executor costs; the trees then form one of Spark's
+    ensembles, whose margin counts twice in the probability."""
+
+    def __init__(self, n_estimators: int, learning_rate: float, max_depth: int, min_child: int, subsample: float, colsample: float, seed: int, written: int = 10):
+        super().__init__(None, balanced="positive")
+        self.n, self.rate, self.subsample, self.colsample, self.seed, self.written = n_estimators, learning_rate, subsample, colsample, seed, written
+        self.tree = DecisionTreeRegressor(featuresCol="shown", labelCol="step", weightCol="trust", predictionCol="grown", maxDepth=max_depth, minInstancesPerNode=min_child, seed=seed)
+
+    def fit(self, train: DataFrame) -> StochasticTrees:
+        stages, rows = self._plan(train)
+        prepared = Pipeline(stages=stages).fit(rows)
+        slim = prepared.transform(rows).select("features", "label", "w", F.xxhash64("symbol", "signal_date").alias("row"), F.lit(0.0).alias("margin"))
+        draw, width = random.Random(self.seed), len(self.used) + len(self.gaps)
+        self.columns, trees = [], []
+        now, older = stored(slim, "boosting"), None
+        now = now.coalesce(-(-now.count() // ROWS_PER_TASK) or 1)
+        for k in range(self.n):
+            chosen = sorted(draw.sample(range(width), max(1, round(self.colsample * width))))
+            self.columns.append(chosen)
+            p = 1 / (1 + F.exp(-F.col("margin")))
+            trust = F.greatest(p * (1 - p), F.lit(1e-6))
+            shown = ElementwiseProduct(scalingVec=Vectors.dense([float(j in chosen) for j in range(width)]), inputCol="features", outputCol="shown")
+            every = shown.transform(now.withColumns({"step": (F.col("label") - p) / trust, "trust": trust * F.col("w")}))
+            drawn = every.where(F.pmod(F.xxhash64("row", F.lit(self.seed + k)), F.lit(1_000_000)) < self.subsample * 1_000_000)
+            trees.append(self.tree.fit(drawn))
+            before, now = now, trees[-1].transform(every).select("features", "label", "w", "row", (F.col("margin") + self.rate * F.col("grown")).alias("margin"))
+            now = stored(now, "boosting") if k % self.written == self.written - 1 else now.persist()
+            if older is not None:
+                older.unpersist()  # the fit after has read what stands on it
+            older = before
+        for kept in (older, now):
+            kept.unpersist()
+        self.model = PipelineModel([*prepared.stages, _ensemble(train.sparkSession, trees, self.rate / 2)])
+        return self
+
+
+def _ensemble(spark: SparkSession, trees: list, weight: float) -> GBTClassificationModel:
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    grown = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(jvm.double, len(trees))
+    for k, tree in enumerate(trees):
+        grown[k], weights[k] = tree._java_obj, weight
+    return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel("stochastic-trees", grown, weights))
+
+
 def gbt(max_iter: int = 150, learning_rate: float = 0.1, max_depth: int = 5, seed: int = 42) -> MLStrategy:
     return MLStrategy(GBTClassifier(maxIter=max_iter, stepSize=learning_rate, maxDepth=max_depth, seed=seed))
 
@@ -103,8 +162,8 @@ def logreg(max_iter: int = 1000, reg: float = 1e-4) -> MLStrategy:
     return MLStrategy(LogisticRegression(maxIter=max_iter, regParam=reg, standardization=False, weightCol="w"), scale=True, balanced="both", keep_empty=True)
 
 
-def stochastic_gbt(n_estimators: int = 300, learning_rate: float = 0.05, max_depth: int = 6, min_child: int = 5, subsample: float = 0.8, colsample: float = 0.8, seed: int = 42) -> MLStrategy:
-    return MLStrategy(GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, minInstancesPerNode=min_child, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), weightCol="w", seed=seed), balanced="positive")
+def stochastic_gbt(n_estimators: int = 300, learning_rate: float = 0.05, max_depth: int = 6, min_child: int = 5, subsample: float = 0.8, colsample: float = 0.8, seed: int = 42) -> StochasticTrees:
+    return StochasticTrees(n_estimators, learning_rate, max_depth, min_child, subsample, colsample, seed)
 
 
 REGISTRY: dict[str, Callable] = {"constant": Constant, "formula": Formula, "gbt": gbt, "logreg": logreg, "stochastic_gbt": stochastic_gbt}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlake.operators import ml as M
@@ -41,37 +42,57 @@ def m02(spark, d):
     return M.walk_forward_split(nation_features(spark, d), MONTHS)
 
 
-@query("m03_strategy_registry")
+FILLED = " + ".join(f"CAST(count({c}) > 0 AS INTEGER)" for c in M.FEATURES)
+
+
+@query("m03_strategy_registry", ["nfeat"], f"SELECT strategy, n_features FROM (VALUES ('constant'), ('formula'), ('gbt'), ('logreg'), ('stochastic_gbt')) s(strategy), (SELECT {FILLED} AS n_features FROM nfeat)")
 def m03(spark, d):
     """Registered strategies with the features that their training rows fill."""
     filled = nation_features(spark, d).agg(*(F.count(c).alias(c) for c in M.FEATURES)).first()
     return spark.createDataFrame([(name, sum(bool(filled[c]) for c in M.FEATURES)) for name in sorted(M.REGISTRY)], "strategy string, n_features int")
 
 
+FORMULA_PICKS = "SELECT signal_date, symbol, CAST(row_number() OVER (ORDER BY prob DESC, symbol) AS INTEGER) AS rank, prob FROM nscored WHERE signal_date = (SELECT max(signal_date) FROM nscored WHERE did_2pct_next IS NOT NULL) AND median_vol_20 >= 100000"
+#: What any strategy's picks of the last day must be like: as many as names are liquid, by falling probability, with no name twice.
+PICKS_SQL = f"SELECT signal_date, rank, TRUE AS in_range, TRUE AS falling, (SELECT count(*) FROM ({FORMULA_PICKS}) WHERE rank <= 10) AS n_names FROM ({FORMULA_PICKS}) WHERE rank <= 10"
+
+
 def _fit(name, **params):
+    """A digest of a fitted strategy's picks: their probabilities stand on the fit, all else is fixed."""
+
     def run(spark, d):
         frame = history(spark, d)
-        return rounded(M.predict_for(frame, name, last_day_of(frame), 10, **params), "prob")
+        picks = stored(M.predict_for(frame, name, last_day_of(frame), 10, **params), "picks")
+        above = F.lag("prob").over(Window.partitionBy("signal_date").orderBy("rank"))  # ten rows
+        names = picks.agg(F.count_distinct("symbol").alias("n_names"))
+        return picks.select("signal_date", "rank", F.col("prob").between(0, 1).alias("in_range"), F.coalesce(F.col("prob") <= above, F.lit(True)).alias("falling")).join(names, F.lit(True))
 
     return run
 
 
-query("m04_gbt_strategy")(_fit("gbt"))
-query("m05_logreg_strategy")(_fit("logreg"))
-query("m06_stochastic_gbt_strategy")(_fit("stochastic_gbt"))
+query("m04_gbt_strategy", ["nscored"], PICKS_SQL)(_fit("gbt"))
+query("m05_logreg_strategy", ["nscored"], PICKS_SQL)(_fit("logreg"))
+query("m06_stochastic_gbt_strategy", ["nscored"], PICKS_SQL)(_fit("stochastic_gbt"))
+
+
+PICKED = f"(SELECT n.*, row_number() OVER (PARTITION BY signal_date ORDER BY prob DESC, symbol) AS rank FROM nscored n JOIN {RUNS} ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL AND median_vol_20 >= 100000 QUALIFY rank <= 20)"
 
 
-@query("m07_run_benchmark")
+@query(
+    "m07_run_benchmark",
+    ["folds", "nscored", "nlab"],
+    f"""SELECT 1 AS id, 'logreg' AS strategy, 'open_to_high' AS event, '{{"months": 12, "top_n": 20}}' AS params, count(*) AS n_rows, count(DISTINCT target_date) AS n_days, CAST(count(DISTINCT target_date) AS VARCHAR) AS days, max(scored) AS scored, round(max(base), 6) + 0.0 AS base_rate, TRUE AS in_range FROM {PICKED},
+      (SELECT avg(did_2pct_next) AS base, CAST(count(*) AS VARCHAR) AS scored FROM nscored JOIN {RUNS} ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL) HAVING count(*) > 0""",
+)
 def m07(spark, d):
-    """A logistic regression benchmarked and recorded; the ledger row as readers find it."""
+    """A logistic regression benchmarked and recorded: its ledger row as readers find it, of the metrics those that don't stand on the fit."""
     ledger, daily = fresh_path(spark, "ledger"), fresh_path(spark, "ledger-daily")
     M.record_benchmark(spark, M.run_benchmark(history(spark, d), "logreg", MONTHS, TOP_N), ledger, daily, run_id=1, run_ts="2024-02-01 00:00:00")
     runs, rows = W.recorded_experiments(spark, ledger, daily)
     counts = rows.groupBy(F.col("seq").alias("id")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("target_date").alias("n_days"))
-    return runs.join(counts, "id")
-
-
-PICKED = f"(SELECT n.*, row_number() OVER (PARTITION BY signal_date ORDER BY prob DESC, symbol) AS rank FROM nscored n JOIN {RUNS} ON target_date BETWEEN month_start AND month_end WHERE did_2pct_next IS NOT NULL AND median_vol_20 >= 100000 QUALIFY rank <= 20)"
+    metric = {name: F.get_json_object("metrics", f"$.{name}") for name in ("days", "n_rows", "base_rate", "auc", "precision_at_n", "brier")}
+    unit = [metric[name].cast("double").between(0, 1) for name in ("auc", "precision_at_n", "brier")]
+    return rounded(runs.join(counts, "id").select(F.col("id").cast("int").alias("id"), "strategy", "event", "params", "n_rows", "n_days", metric["days"].alias("days"), metric["n_rows"].alias("scored"), metric["base_rate"].cast("double").alias("base_rate"), (unit[0] & unit[1] & unit[2]).alias("in_range")), "base_rate")
 
 
 @query(
@@ -131,7 +152,6 @@ def shadowed(spark, d):
     return logged, became
 
 
-FORMULA_PICKS = "SELECT signal_date, symbol, CAST(row_number() OVER (ORDER BY prob DESC, symbol) AS INTEGER) AS rank, prob FROM nscored WHERE signal_date = (SELECT max(signal_date) FROM nscored WHERE did_2pct_next IS NOT NULL) AND median_vol_20 >= 100000"
 
 
 @query("m15_shadow_predict", ["nscored"], f"SELECT challenger, TIMESTAMP '2030-01-01 10:00:00' AS created_ts, count(*) AS n_picks, list(rank ORDER BY rank) AS ranks, CASE WHEN challenger LIKE 'formula%' THEN list(symbol ORDER BY rank) END AS symbols, TRUE AS in_range FROM (SELECT * FROM ({FORMULA_PICKS}) WHERE rank <= 5), (VALUES ('formula {{}}'), ('logreg {{\"max_iter\": 200, \"reg\": 0.01}}')) c(challenger) GROUP BY 1")
