@@ -15,7 +15,8 @@ more of them is edited or moved. Documents at 0.8 or more are linked, and linked
    at the threshold share one of the first n - ceil(0.8 n) + 1 of their n shingles in any order that is the same for all
    texts, and here the rarest stand first. So a group is those who share such a shingle, whatever the key's size; in it one node of
    each part is paired with one leader first, and then those are that are still apart, unless their lengths or the places of
-   the shingle leave too little to share.
+   the shingle leave too little to share. Where more than HOT still share a shingle, they are grouped by it and a second one:
+   of n shingles the first n - ceil(0.8 n) + 2 hold two in common, so texts that share just that one don't meet.
 4. Candidates are verified exactly: longest common subsequence within the diagonal band that the threshold allows, bit-parallel.
 5. Classes are the connected components of the links (least-label hooking on shared tables, never on the driver).
 """
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,9 @@ from barlake.llm.textbytes import Piece, grams, lowered, mix, pieces, text_of, w
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKE, SMALL = 14, 3, 16
+#: Texts of different parts under a rare shingle from which a second one is asked for, and the most shingles in front of which that is done: each of
+#: them makes a row with each one after it. Longer texts meet under one shingle.
+HOT, FRONT = 64, 64
 #: Bits of a shingle's hash under which shingles are counted for the order by rarity: a table of 4 MB, whatever the input.
 RARITY_BITS = 20
 #: Stands for a null id: after all others.
@@ -263,9 +267,9 @@ def rarities(texts: DataFrame, bits: int = RARITY_BITS) -> np.ndarray:
     return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
 
-def prefixes(texts: DataFrame, least: float = SIMILARITY, bits: int = RARITY_BITS) -> DataFrame:
-    """The rarest shingles of each row of texts (node, comp, seq), as many as surely hold one in common with any text at `least`:
-    rows of `token`, its `place` in the text's order, node, comp, and n (shingles of the text)."""
+def prefixes(texts: DataFrame, least: float = SIMILARITY, bits: int = RARITY_BITS, common: int = 1) -> DataFrame:
+    """The rarest shingles of each row of texts (node, comp, seq), as many as surely hold `common` in common with any text at `least` (that shares so many at
+    all): rows of `token`, its `place` in the text's order, node, comp, and n (shingles of the text)."""
     counts = texts.sparkSession.sparkContext.broadcast(rarities(texts, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +284,7 @@ def prefixes(texts: DataFrame, least: float = SIMILARITY, bits: int = RARITY_BIT
             for node, comp, seq in zip(*batch.columns, strict=True):
                 own = _numbered(seq.as_py())
                 n = len(own)
-                firsts.append(own[np.lexsort((own, counts.value[(own >> np.uint64(64 - bits)).astype(np.int64)]))[: n - int(np.ceil(least * n - 1e-9)) + 1]])
+                firsts.append(own[np.lexsort((own, counts.value[(own >> np.uint64(64 - bits)).astype(np.int64)]))[: n - int(np.ceil(least * n - 1e-9)) + common]])
                 nodes.append(node.as_py())
                 comps.append(comp.as_py())
                 whole.append(n)
@@ -299,7 +303,7 @@ def _apart(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(several, "token"), "apart")
 
 
-def rare_links(texts: DataFrame, seqs: DataFrame, least: float = SIMILARITY, bits: int = RARITY_BITS) -> DataFrame:
+def rare_links(texts: DataFrame, seqs: DataFrame, least: float = SIMILARITY, bits: int = RARITY_BITS, hot: int = HOT) -> DataFrame:
     """Links between parts (comp) of texts (node, comp, seq), enough of them to join all that are similar."""
     rows = _apart(materialize(prefixes(texts, least, bits), "prefixes"))
     # one node of each part under a token meets one leader
@@ -314,11 +318,33 @@ def rare_links(texts: DataFrame, seqs: DataFrame, least: float = SIMILARITY, bit
     joined = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
     rows = rows.join(joined.select(F.col("node").alias("comp"), "root"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
     rows = _apart(rows)
-    one, two = (rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("place", "node", "comp", "n"))) for x in "ab")
-    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # shingles in common if this is the first of them
-    near = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _of_length("n_a", "n_b", least) & (most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-6)
-    pairs = one.join(two, "token").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return found.unionByName(materialize(verified(pairs.join(met, ["a", "b"], "left_anti"), seqs, least), "links"))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    sized = materialize(rows.join(counts, "token").withColumn("refined", (F.col("count") > hot) & (F.col("n") * (1 - least) < FRONT)), "sized-tokens")
+    once = (F.col("node_a") < F.col("node_b")) | F.col("refined_b")  # a text that meets under one shingle meets all
+    pairs = _meeting(sized.where(~F.col("refined")), sized, ["token"], "place", least, once)
+    if sized.where("refined").limit(1).count():
+        pairs = pairs.unionByName(_refined(sized.where("refined"), texts, least, bits))
+    return found.unionByName(materialize(verified(pairs.distinct().join(met, ["a", "b"], "left_anti"), seqs, least), "links"))
+
+
+def _meeting(one: DataFrame, two: DataFrame, on: list[str], place: str, least: float, once: Column, before: int = 0) -> DataFrame:
+    """Pairs of nodes of different parts under a token, one of them of `one`, that can share enough if its `place` is that of the next
+    shingle that they share after `before` others."""
+    a, b = (side.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in (place, "node", "comp", "n", "refined"))) for side, x in ((one, "a"), (two, "b")))
+    most = before + F.least(F.col("n_a") - F.col(f"{place}_a"), F.col("n_b") - F.col(f"{place}_b"))
+    near = once & (F.col("comp_a") != F.col("comp_b")) & _of_length("n_a", "n_b", least) & (most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-6)
+    return a.join(b, on).where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _refined(rows: DataFrame, texts: DataFrame, least: float, bits: int) -> DataFrame:
+    """Pairs under hot tokens that share a second shingle: rows of hot tokens, each with every later shingle of its text's front. Texts of one shingle share
+    it with none but their equals, which are one node."""
+    own = texts.join(rows.select("node").distinct(), "node", "left_semi")
+    fronts = prefixes(own, least, bits, common=2).select("node", F.col("token").alias("next"), F.col("place").alias("next_place"))
+    both = rows.join(fronts, "node").where("next_place > place").select("token", "next", "next_place", "node", "comp", "n", "refined")
+    several = both.groupBy("token", "next").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "next")
+    both = materialize(both.join(several, ["token", "next"]), "refined")
+    return _meeting(both, both, ["token", "next"], "next_place", least, F.col("node_a") < F.col("node_b"), before=1)
 
 
 def links(members: DataFrame, seqs: DataFrame, *, least: float = SIMILARITY, small: int = SMALL, rarity_bits: int = RARITY_BITS) -> DataFrame:

@@ -172,6 +172,28 @@ def test_op4_prefixes_meet_wherever_texts_are_similar(spark):
     assert {n: roots.get(n, n) for n in want} == want
 
 
+def test_op4_a_hot_shingle_asks_for_a_second(spark, monkeypatch):
+    """Texts that share a passage and nothing else, some similar ones among them: fewer pairs are compared, and no link is lost."""
+    rng = random.Random(9)
+    word = lambda: rng.randrange(2**32)
+    passage = [word() for _ in range(9)]
+    seqs = []
+    for k in range(700):
+        one = [*passage, *(word() for _ in range(rng.randrange(28, 34)))]
+        seqs.append(one)
+        if k % 20 == 0:
+            seqs.append([*one[:-1], word()])
+    seqs.append([*passage, *(word() for _ in range(600))])  # longer than a front
+    seqs.append([*seqs[-1][:-2], word()])
+    rows = [(f"n{k:04}".encode(), f"n{k:04}".encode(), np.array(q, "<u4").tobytes()) for k, q in enumerate(seqs)]
+    texts = spark.createDataFrame(rows, "node binary, comp binary, seq binary")
+    compared = []
+    monkeypatch.setattr(ordermh, "verified", lambda pairs, *a, real=ordermh.verified, **b: (compared.append(pairs.count()), real(pairs, *a, **b))[1])
+    found = {hot: {tuple(map(bytes, r)) for r in ordermh.rare_links(texts, texts.select("node", "seq"), bits=1, hot=hot).collect()} for hot in (64, 1 << 40)}
+    assert len(found[64]) == 36 and found[64] == found[1 << 40]
+    assert compared[1] < compared[3] * 0.7 and compared[3] > 5_000
+
+
 def test_order_matters(spark):
     rng = random.Random(2)
     parts = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
