@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     text = F.coalesce("text", F.lit(""))
     one = slim.join(sample, "__id").groupBy("__id", "__label").agg(F.min_by(text, F.sha2(text.cast("binary"), 256)).alias("text"))
-    rows = one.select("__label", "text").mapInArrow(run, schema).orderBy(*schema.names).toPandas()  # max_labelled rows
+    rows = one.select("__label", "text").mapInArrow(run, schema).toPandas().sort_values(schema.names)  # max_labelled rows
     return fit(rows[FEATURES].to_numpy(), rows["label"].to_numpy(), monotone=[MONOTONE.get(n, 0) for n in FEATURES])
 
 
