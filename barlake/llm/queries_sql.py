@@ -6,7 +6,7 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP5 = f"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM items, range(1, 100000) t(i) WHERE i <= len(w) - n + 1),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
 lengths AS (SELECT DISTINCT n FROM items),
 places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)),
 hits AS (SELECT doc_id, p.n, i, item_id FROM places p JOIN windows v ON v.n = p.n AND v.win = p.win),

@@ -2,6 +2,8 @@
 
 import hashlib
 import hmac
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -395,3 +397,40 @@ def test_pipeline_on_odd_rows(spark, odd, sf_dir):
 def test_op2_samples_400_documents_a_language():
     """The sample isn't cut to fit a machine's memory."""
     assert langid.PER_LANGUAGE == 400
+
+
+def plain_buckets(word):
+    """The buckets of a word: its n-grams with a blank on both sides, and the word itself."""
+    out, framed = [], b" " + word + b" "
+    for n in toxicity.SIZES:
+        for at in range(len(framed) - n + 1):
+            h = 0x811C9DC5 + n
+            for byte in framed[at : at + n]:
+                h = (h ^ byte) * 0x01000193 % 2**32
+            h ^= h >> 15
+            out.append((h * 0x85EBCA6B % 2**32) >> (32 - toxicity.BITS))
+    x = (sum((byte + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, byte in enumerate(word)) + len(word) * 0xD6E8FEB86659FD93) % 2**64
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return [*out, x >> (64 - toxicity.BITS)]
+
+
+@pytest.mark.parametrize("window", [8, None])
+def test_toxicity_scores_equal_plain_sums(spark, window):
+    """Each score from the table by plain loops over words, n-grams and passages."""
+    rng = random.Random(8)
+    vocabulary = ["fine", "idiot", "Weather", "moron", "größe", "x", "a1b2", "rain", "naïve", "sun"]
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", ",", " - ", "\n"]) for _ in range(rng.choice([0, 1, 3, 8, 9, 12, 40]))) for _ in range(60)] + [None, "", "?! --"]
+    model = toxicity.fit([(t, int("idiot" in t)) for t in texts if t], window)
+    assert model.table.any()
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        found = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        size = window or max(len(found), 1)
+        starts = [0] if len(found) <= size else range(0, -(-(len(found) - size) // (size // 2)) * (size // 2) + 1, size // 2)
+        odds = []
+        for at in starts if found else []:
+            buckets = [b for word in found[at : at + size] for b in plain_buckets(word)]
+            odds.append(sum(float(model.table[b]) for b in buckets) / len(buckets))
+        raw = max(odds) + model.bias if odds else min(model.bias, 0.0)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-6), text
