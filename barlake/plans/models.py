@@ -45,7 +45,7 @@ def m02(spark, d):
 FILLED = " + ".join(f"CAST(count({c}) > 0 AS INTEGER)" for c in M.FEATURES)
 
 
-@query("m03_strategy_registry", ["nfeat"], f"SELECT strategy, n_features FROM (VALUES ('constant'), ('formula'), ('gbt'), ('logreg'), ('stochastic_gbt')) s(strategy), (SELECT {FILLED} AS n_features FROM nfeat)")
+@query("m03_strategy_registry", ["nfeat"], f"SELECT strategy, n_features FROM (VALUES ('constant'), ('formula'), ('gbt'), ('logreg'), ('stochastic_gbt'), ('stochastic_trees')) s(strategy), (SELECT {FILLED} AS n_features FROM nfeat)")
 def m03(spark, d):
     """Registered strategies with the features that their training rows fill."""
     filled = nation_features(spark, d).agg(*(F.count(c).alias(c) for c in M.FEATURES)).first()

@@ -199,13 +199,13 @@ def test_ticks_later_than_the_watermark_are_dropped(spark, tmp_path):
 
 def test_a_tree_uses_only_the_columns_drawn_for_it(spark):
     frame = frame_of(spark, n=600)
-    fitted = M.strategy("stochastic_gbt", n_estimators=12, colsample=0.4, max_depth=4).fit(frame)
+    fitted = M.strategy("stochastic_trees", n_estimators=12, colsample=0.4, max_depth=4).fit(frame)
     names = [*fitted.used, *fitted.gaps]
     trees = fitted.model.stages[-1].trees
     assert len(trees) == 12 and {len(c) for c in fitted.columns} == {round(0.4 * len(names))} and len({tuple(c) for c in fitted.columns}) > 3
     for tree, chosen in zip(trees, fitted.columns, strict=True):
         assert set(tree.featureImportances.indices.tolist()) <= set(chosen)
-    again = M.strategy("stochastic_gbt", n_estimators=12, colsample=0.4, max_depth=4).fit(frame.orderBy(F.rand(1)))
+    again = M.strategy("stochastic_trees", n_estimators=12, colsample=0.4, max_depth=4).fit(frame.orderBy(F.rand(1)))
     assert again.columns == fitted.columns
     scored = fitted.score(frame).select("symbol", "signal_date", "did_2pct_next", "prob")
     good = scored.agg(F.avg(F.when(F.col("did_2pct_next") == 1, F.col("prob"))), F.avg(F.when(F.col("did_2pct_next") == 0, F.col("prob")))).first()
@@ -215,7 +215,7 @@ def test_a_tree_uses_only_the_columns_drawn_for_it(spark):
 def test_one_tree_is_a_newton_step(spark):
     """With one split on one column the leaves are sums of gradients over sums of hessians."""
     frame = frame_of(spark, empty=tuple(c for c in FE.FEATURES if c != "close_pos"), n=200)
-    fitted = M.strategy("stochastic_gbt", n_estimators=1, max_depth=1, subsample=1.0, colsample=1.0, learning_rate=1.0).fit(frame)
+    fitted = M.strategy("stochastic_trees", n_estimators=1, max_depth=1, subsample=1.0, colsample=1.0, learning_rate=1.0).fit(frame)
     rows = fitted.score(frame).select("did_2pct_next", "prob").collect()
     share = sum(r[0] for r in rows) / len(rows)
     for p in {r["prob"] for r in rows}:
