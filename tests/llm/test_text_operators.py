@@ -1,6 +1,7 @@
 """Operators against brute force on the small tables, and on awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -130,6 +131,37 @@ def test_op5_short_items_joins_and_odd_rows(spark, odd):
     assert whole.columns == [*(c for c in odd.columns if c != "n_words"), "n_words", "hit_spans", "hit_items"]
 
 
+def test_op5_every_shared_passage_of_ten_words_is_found(spark):
+    """Passages of 9 to 14 words at any place, items that share all but a few words, and k-grams of many contexts, by each way."""
+    rng = random.Random(5)
+    vocabulary = [*(f"v{i}" for i in range(12)), "x" * 40, "x" * 39 + "y"]
+    stock = ["let", "it", "be", "known", "that"]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=8) + stock + rng.choices(vocabulary, k=9) + (stock if i % 3 else []))) for i in range(60)]
+    items += [("short", "it be known"), ("five", "let it be known that"), ("copy", items[0][1])]
+    docs = []
+    for i in range(150):
+        own = rng.choice(items[:60])[1].split()
+        at, length = rng.randrange(len(own)), rng.randint(9, 14)
+        docs.append((i, " ".join(rng.choices(vocabulary, k=rng.randrange(6)) + own[at : at + length] + rng.choices(vocabulary, k=rng.randrange(6)))))
+    want = {i: brute_overlap(text, items) for i, text in docs}
+    assert 20 < sum(w[4] for w in want.values()) < 150
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for how in ({}, {"crowd": 1}, {"crowd": 1, "broadcast_windows": 0}, {"crowd": 10**6}):
+        assert {r["doc_id"]: tuple(r)[1:] for r in decontam.digest(decontam.overlaps(frame, bench, **how)).collect()} == want
+
+
+def test_op5_keeps_a_third_of_the_k_grams_and_one_of_every_stretch():
+    rng = np.random.default_rng(0)
+    hashes, row = rng.integers(0, 1 << 63, 30_000).astype(np.uint64), np.repeat([0, 1, 2], 10_000)
+    at, _ = decontam.winnowed(hashes, row, 10, 5)
+    assert 0.25 < len(at) / len(hashes) < 0.32
+    kept = set(at.tolist())
+    assert all(kept & set(range(i, i + 6)) for i in range(len(hashes) - 9) if row[i] == row[i + 9])
+    assert not any(row[i] != row[i + 4] for i in kept)
+    at, _ = decontam.winnowed(np.repeat(hashes[:1], 30), np.zeros(30, int), 10, 5)
+    assert at.tolist() == list(range(5, 26))  # of equal ones the last of each stretch
+
+
 def test_op5_items_without_an_id_count(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "a b c d e f g h i")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "a b c d e f g h i j"), (None, "a b c d e f g h i j k")], "item_id long, text string")
