@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barlake.llm.store import discard, materialize
 from barlake.llm.textbytes import WORD, Piece, lowered, pieces, range_hashes, text_of
 
 BITS, SIZES, WINDOW = 18, (3, 4, 5, 6), 8
 DIMENSIONS, STEPS, BATCH, RATE = 8, 600, 64, 0.05
-MAX_LABELLED = 3_000
+#: The sample's bounds: documents, and bytes of their texts (fitting takes some 20 times these).
+MAX_LABELLED, MAX_BYTES = 3_000, 24 << 20
 TOXIC_AT = 0.7
 
 
@@ -160,8 +162,9 @@ def fit(sample: list[tuple[str, int]], window: int | None = WINDOW) -> Model:
     return Model((e @ (u[1] - u[0])).astype(np.float32), float(b[1] - b[0]), window)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, window: int | None = WINDOW) -> Model:
-    """Fit on at most `max_labelled` labelled documents, half of them toxic if there are as many: those whose ids hash least.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES, window: int | None = WINDOW) -> Model:
+    """Fit on at most `max_labelled` labelled documents, half of them toxic if there are as many: those whose ids hash least. Their whole
+    texts come to the driver, at most `max_bytes` together and half of that a class: a text that doesn't fit in what is left is passed over.
 
     Null ids and labels teach nothing, a null text is an empty one. An id counts once, however often it is labelled or stored: one whose
     labels disagree teaches nothing, and of several texts of an id that of the least digest is taken. So copies of rows, and their
@@ -172,7 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = known.where("__label = 1").orderBy(F.xxhash64("__id"), "__id").limit(half).unionByName(known.where("__label <> 1").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled - half))
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     text = F.coalesce("text", F.lit(""))
-    rows = slim.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min_by(text, F.sha2(text.cast("binary"), 256)).alias("text")).select("text", "__label").collect()  # max_labelled rows
+    one = slim.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min_by(text, F.sha2(text.cast("binary"), 256)).alias("text"))
+    sample = materialize(one.withColumn("tag", F.monotonically_increasing_id()), "labelled")
+    order = [F.xxhash64("__id"), F.sha2(F.col("text").cast("binary"), 256)]
+    left, tags = {0: max_bytes // 2, 1: max_bytes // 2}, []
+    for tag, label, size in sample.orderBy(*order).select("tag", "__label", F.octet_length("text")).collect():  # max_labelled rows
+        if size <= left[label]:
+            left[label] -= size
+            tags.append(tag)
+    rows = sample.where(F.col("tag").isin(tags)).select("text", "__label").collect()  # max_labelled rows of max_bytes
+    discard(sample)
     return fit([(r["text"], r["__label"]) for r in rows], window)
 
 

@@ -44,6 +44,16 @@ def test_an_id_of_two_labels_teaches_nothing(labelled):
     assert quality.train(docs, torn).value.tobytes() == quality.train(docs, kept).value.tobytes()
 
 
+def test_the_toxic_sample_is_bounded_in_bytes(spark, labelled):
+    docs, labels = labelled
+    extra = spark.createDataFrame([(-1, "long " * 300_000), (-2, "long " * 300_000)], "doc_id long, text string")
+    more = labels.select("doc_id", "toxic").unionByName(spark.createDataFrame([(-1, 1), (-2, 0)], "doc_id long, toxic int"))
+    want = toxicity.train(docs, labels)
+    got = toxicity.train(docs.select("doc_id", "text").unionByName(extra), more, max_bytes=2_000_000)  # neither long text fits in half of it
+    assert got.table.tobytes() == want.table.tobytes() and got.bias == want.bias
+    assert toxicity.train(docs, labels, max_bytes=0).bias == 0
+
+
 def test_a_language_of_many_copies_is_drawn_whole(spark):
     docs = spark.createDataFrame([(i, f"der satz nummer {i}", "de") for i in range(300)] + [(1000 + i, f"sentence number {i}", "en") for i in range(300)], "doc_id long, text string, lang string")
     many = docs.where("lang = 'en'").unionByName(times(docs.where("lang = 'de'"), 1000))
