@@ -194,7 +194,8 @@ def _stretches(marks: DataFrame, k: int) -> DataFrame:
 
 
 def occurrences(candidates: DataFrame, index: DataFrame, *, k: int = K, span: int = SPAN, broadcast_windows: int = BROADCAST_WINDOWS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Hits (__tag, lo, hi) of candidates (__tag, at, print, n, gram, before, after), and (__tag, item) of what they hit."""
+    """Hits (__tag, lo, hi) of candidates (__tag, at, print, n, gram, before, after), and (__tag, item) of what they hit. `crowd` is
+    1 or more: items of fewer than `span` words have one context, and are never crowded."""
     contexts = index.drop("item").distinct()
     crowded = materialize(contexts.groupBy(*KEYS).count().where(F.col("count") > crowd).select(*KEYS), "crowded")
     few = materialize(contexts.join(crowded, KEYS, "left_anti").withColumnsRenamed({"before": "own_before", "after": "own_after"}), "contexts")
