@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -101,7 +101,15 @@ class MLStrategy:
         return rows.withColumns({**cast, **{f"{c}_gap": F.col(c).isNull().cast("double") for c in self.gaps}})
 
     def score(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(self._prepared(rows)).withColumn("prob", vector_to_array("probability")[1]).select(*rows.columns, "prob")
+        """A logistic regression scores by its coefficients: Spark's model takes its training summary into each task and with that the session,
+        which can't be serialised once anything was observed in it."""
+        *before, last = self.model.stages
+        if not isinstance(last, LogisticRegressionModel):
+            return self.model.transform(self._prepared(rows)).withColumn("prob", vector_to_array("probability")[1]).select(*rows.columns, "prob")
+        seen = PipelineModel(before).transform(self._prepared(rows))
+        terms = F.zip_with(vector_to_array("features"), F.array(*(F.lit(float(b)) for b in last.coefficients)), lambda x, b: x * b)
+        margin = F.aggregate(terms, F.lit(float(last.intercept)), lambda so_far, term: so_far + term)
+        return seen.withColumn("prob", 1 / (1 + F.exp(-margin))).select(*rows.columns, "prob")
 
 
 class StochasticTrees(MLStrategy):
