@@ -15,13 +15,17 @@ from barlake.streaming import bars as T
 CLOSED = "SELECT symbol, ts, open, high, low, close, volume FROM ib WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
+#: Five event types with some hours open each: their state is a few hundred rows, however many ticks there are.
+STATE_TASKS = 4
+
+
 def stream(spark, d):
     return T.event_stream(spark, S.read_table(spark, d, "events"))
 
 
 @query("t01_stream_bars", ["ib"], CLOSED)
 def t01(spark, d):
-    return T.drain(T.stream_bars(stream(spark, d)))
+    return T.drain(T.stream_bars(stream(spark, d)), state_tasks=STATE_TASKS)
 
 
 #: The feed comes in batches of six days. Every 40th tick comes two batches late; odd ticks of a batch's last hour come with the next.
@@ -44,7 +48,7 @@ def late_feed(spark, d):
 @query("t01b_stream_late_ticks", [], LATE_SQL)
 def t01b(spark, d):
     """Bars over seven triggers: ticks within the watermark count, later ones don't."""
-    return T.drain(T.stream_bars(late_feed(spark, d)))
+    return T.drain(T.stream_bars(late_feed(spark, d)), state_tasks=STATE_TASKS)
 
 
 @query("t02_stream_upsert", ["ib"], f"SELECT symbol, ts, date, open, close FROM (SELECT *, CAST(ts AS DATE) AS date FROM ({CLOSED})) UNION ALL SELECT symbol, ts, date, 0.0, 0.0 FROM ib WHERE day(date) <= 3 AND ts NOT IN (SELECT ts FROM ({CLOSED}))")

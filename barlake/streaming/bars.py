@@ -30,26 +30,39 @@ def stream_bars(events: DataFrame, key: str = "event_type", width: str = "60 min
     return made.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def drain(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Run a stream over what is there now into a Parquet table, and read it."""
+def drain(stream: DataFrame, path: str | None = None, state_tasks: int | None = None) -> DataFrame:
+    """Run a stream over what is there now into a Parquet table, and read it. `state_tasks`: over how many tasks its state is dealt; each costs every
+    trigger a few files, so a stream of few keys takes few. Without it as many as the session's shuffle partitions."""
     spark = stream.sparkSession
     path = path or fresh_path(spark, "stream")
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}_log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}_log").outputMode("append").trigger(availableNow=True)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", state_tasks or tasks)
+        query = writer.start()  # takes the session's settings as they are now
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def arriving(ticks: DataFrame, batch: str, path: str, ticks_per_file: int = 2_000_000) -> DataFrame:
+def arriving(ticks: DataFrame, batch: str, path: str, ticks_per_file: int = 250_000) -> DataFrame:
     """ticks as a stream in which those of each value of the column `batch` arrive together, in its order: what a late feed looks like to the jobs below.
 
     The ticks of a value are written as so many files, after those of lesser values, and as many files make a trigger. The values are few: the driver
-    writes them one after another."""
+    writes them one after another, from a table in which each has a folder, so the ticks themselves are read once. A value's files are the
+    same in number for all, so a value must have ticks for each file from one of the tasks that deal them."""
     spark = ticks.sparkSession
-    sizes = {r[0]: r[1] for r in ticks.groupBy(batch).agg(F.count(F.lit(1))).collect()}
+    sorted_out, own = f"{path}_values", ticks.drop(batch).schema
+    ticks.withColumn("arrives", F.col(batch)).drop(batch).write.partitionBy("arrives").parquet(sorted_out)
+    kept = spark.read.schema(own.add("arrives", ticks.schema[batch].dataType)).parquet(sorted_out)
+    sizes = {r[0]: r[1] for r in kept.groupBy("arrives").agg(F.count(F.lit(1))).collect()}
+    parts = {value: kept.where(F.col("arrives") == value).drop("arrives") for value in sorted(sizes)}
     files = -(-max(sizes.values(), default=1) // ticks_per_file)
-    for value in sorted(sizes):
-        part = ticks.where(F.col(batch) == value).drop(batch)
+    if files > 1:
+        files = max(1, min(files, *(sizes[value] // part.rdd.getNumPartitions() for value, part in parts.items())))
+    for part in parts.values():
         (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
-    own = ticks.drop(batch).schema
     return spark.readStream.schema(own).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
