@@ -45,6 +45,12 @@ def test_query_equals_oracle(spark, sf_dir, duck, name):
     assert got[1] or name in MAY_BE_EMPTY
 
 
+@pytest.mark.parametrize("name", ["m05_logreg_strategy", "m15_shadow_predict", "m15b_shadow_roster", "m15c_shadow_report"])
+def test_query_equals_oracle_after_one_that_observes(spark, sf_dir, duck, name):
+    QUERIES["s02b_daily_bar_write"](spark, sf_dir).collect()
+    test_query_equals_oracle(spark, sf_dir, duck, name)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_oracle_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0 or name in MAY_BE_EMPTY
